@@ -11,6 +11,7 @@ from vendorlytics.sources.tables import FixtureTables
 # each oracle module ORACLES.
 MODULES = [
     ("vendorlytics.plans.kpis", "vendorlytics.plans.oracle_kpis"),
+    ("vendorlytics.plans.reads", "vendorlytics.plans.oracle_reads"),
 ]
 
 
