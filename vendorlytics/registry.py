@@ -12,6 +12,7 @@ from vendorlytics.sources.tables import FixtureTables
 MODULES = [
     ("vendorlytics.plans.kpis", "vendorlytics.plans.oracle_kpis"),
     ("vendorlytics.plans.reads", "vendorlytics.plans.oracle_reads"),
+    ("vendorlytics.plans.repair", "vendorlytics.plans.oracle_repair"),
 ]
 
 
