@@ -13,6 +13,7 @@ MODULES = [
     ("vendorlytics.plans.kpis", "vendorlytics.plans.oracle_kpis"),
     ("vendorlytics.plans.reads", "vendorlytics.plans.oracle_reads"),
     ("vendorlytics.plans.repair", "vendorlytics.plans.oracle_repair"),
+    ("vendorlytics.plans.changes_sales", "vendorlytics.plans.oracle_changes_sales"),
 ]
 
 
