@@ -14,6 +14,7 @@ MODULES = [
     ("vendorlytics.plans.reads", "vendorlytics.plans.oracle_reads"),
     ("vendorlytics.plans.repair", "vendorlytics.plans.oracle_repair"),
     ("vendorlytics.plans.changes_sales", "vendorlytics.plans.oracle_changes_sales"),
+    ("vendorlytics.plans.changes_inventory", "vendorlytics.plans.oracle_changes_inventory"),
 ]
 
 

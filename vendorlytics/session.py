@@ -47,17 +47,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster must set it to shared storage. Only when it is unset (local
-    tests) do we create a scratch folder for this process.
+    A cluster sets it to shared storage and we only read it. When it is
+    unset (local tests) a scratch folder is created once per application.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="vl-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_CKPT:
+            _LOCAL_CKPT[app] = tempfile.mkdtemp(prefix="vl-ckpt-")
+        conf_dir = _LOCAL_CKPT[app]
+    spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir

@@ -53,3 +53,38 @@ def instalment_requests(t: Tables) -> DataFrame:
     li = t.read("lineitem")
     return li.select(*SEQ, req_id().alias("req_id"), F.col("l_orderkey").alias("venta_id"),
                      F.col("l_extendedprice").cast(MONEY).alias("monto"))
+
+
+def admission_requests(t: Tables) -> DataFrame:
+    """Every lineitem row asks to add part l_partkey to vendor l_suppkey's
+    inventory (distinct pairs plus repeats), in SEQ order."""
+    return t.read("lineitem").select(
+        *SEQ, req_id().alias("req_id"), F.col("l_suppkey").alias("vendedor_id"),
+        F.col("l_partkey").alias("producto_maestro_id"), F.col("l_quantity").cast("int").alias("stock"),
+        F.col("l_extendedprice").cast(MONEY).alias("precio_personalizado"))
+
+
+def custom_item_requests(t: Tables) -> DataFrame:
+    """Own items; SKUs repeat across orders ('CUS-' || orderkey % 5000),
+    a name is missing for one order in 97."""
+    k = F.col("l_orderkey")
+    return t.read("lineitem").select(
+        *SEQ, req_id().alias("req_id"), F.col("l_suppkey").alias("vendedor_id"),
+        F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Pieza "), k.cast("string")))
+        .alias("nombre"),
+        F.concat(F.lit("CUS-"), (k % 5000).cast("string")).alias("sku"),
+        F.col("l_quantity").cast("int").alias("stock"),
+        F.col("l_extendedprice").cast(MONEY).alias("precio_personalizado"))
+
+
+def inventory_patch_requests(t: Tables) -> DataFrame:
+    """Stock or price edits of item (l_suppkey, l_partkey); line 6 is
+    sent by another vendor (not the owner)."""
+    k, s, p = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_partkey")
+    even = k % 2 == 0
+    return t.read("lineitem").select(
+        *SEQ, req_id().alias("req_id"), (s * 1000000 + p).alias("id"),
+        F.when(F.col("l_linenumber") == 6, s + 1).otherwise(s).alias("vendedor_id"),
+        F.when(even, F.lit(None).cast("int")).otherwise(F.col("l_quantity").cast("int")).alias("stock"),
+        F.when(even, F.col("l_extendedprice").cast(MONEY)).otherwise(F.lit(None).cast(MONEY))
+        .alias("precio_personalizado"))
