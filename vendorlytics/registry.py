@@ -15,6 +15,7 @@ MODULES = [
     ("vendorlytics.plans.repair", "vendorlytics.plans.oracle_repair"),
     ("vendorlytics.plans.changes_sales", "vendorlytics.plans.oracle_changes_sales"),
     ("vendorlytics.plans.changes_inventory", "vendorlytics.plans.oracle_changes_inventory"),
+    ("vendorlytics.plans.changes_accounts", "vendorlytics.plans.oracle_changes_accounts"),
 ]
 
 
