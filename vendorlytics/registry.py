@@ -16,6 +16,7 @@ MODULES = [
     ("vendorlytics.plans.changes_sales", "vendorlytics.plans.oracle_changes_sales"),
     ("vendorlytics.plans.changes_inventory", "vendorlytics.plans.oracle_changes_inventory"),
     ("vendorlytics.plans.changes_accounts", "vendorlytics.plans.oracle_changes_accounts"),
+    ("vendorlytics.plans.billing", "vendorlytics.plans.oracle_billing"),
 ]
 
 
