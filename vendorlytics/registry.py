@@ -17,6 +17,7 @@ MODULES = [
     ("vendorlytics.plans.changes_inventory", "vendorlytics.plans.oracle_changes_inventory"),
     ("vendorlytics.plans.changes_accounts", "vendorlytics.plans.oracle_changes_accounts"),
     ("vendorlytics.plans.billing", "vendorlytics.plans.oracle_billing"),
+    ("vendorlytics.streaming.billing_stream", "vendorlytics.streaming.oracle_stream"),
 ]
 
 
