@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vendorlytics.session import checkpoint_dir
+
 MAX_LIST = 2048
 
 
@@ -64,28 +66,28 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     Returns (rows, final): rows = (row_id, accepted), final = (key..., balance)
     for every key of ``start``. Change rows whose key has no start balance
     are returned with accepted = NULL (the caller decides the reason).
+
+    The joined input (with each key's path) is checkpointed once to the
+    shared checkpoint folder, so the branches below read it instead of
+    recomputing the change table.
     """
+    checkpoint_dir(changes.sparkSession)
     ch = changes.select(*key, *seq, F.col(amount).cast("long").alias("__a"), F.col(row_id).alias("__rid"))
     st = start.select(*key, F.col(balance).cast("long").alias("__s"))
     j = ch.join(st, key, "left")
-    unknown = j.where(F.col("__s").isNull()).select("__rid", F.lit(None).cast("boolean").alias("accepted"))
-    j = j.where(F.col("__s").isNotNull())
-
-    never = (F.col("__a") <= 0) | (F.col("__a") > F.col("__s"))
-    refused = j.where(never).select("__rid", F.lit(False).alias("accepted"))
-    live = j.where(~never)
-
-    stats = live.groupBy(*key).agg(F.sum("__a").alias("__sum"), F.count(F.lit(1)).alias("__n"),
-                                   F.first("__s").alias("__s0"))
-    stats = stats.withColumn("__path", F.when(F.col("__sum") <= F.col("__s0"), F.lit("all"))
-                             .when(F.col("__n") <= max_list, F.lit("list")).otherwise(F.lit("stream")))
-    live = live.join(stats.select(*key, "__path", "__sum"), key)
+    never = F.col("__s").isNull() | (F.col("__a") <= 0) | (F.col("__a") > F.col("__s"))
+    stats = j.where(~never).groupBy(*key).agg(F.sum("__a").alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    path = (F.when(F.col("__s").isNull(), F.lit("unknown")).when(never, F.lit("never"))
+            .when(F.col("__sum") <= F.col("__s"), F.lit("all"))
+            .when(F.col("__n") <= max_list, F.lit("list")).otherwise(F.lit("stream")))
+    j = j.join(stats, key, "left").withColumn("__path", path).checkpoint()
 
-    all_fit = live.where(F.col("__path") == "all").select("__rid", F.lit(True).alias("accepted"))
+    simple = j.where(F.col("__path").isin("unknown", "never", "all")).select(
+        "__rid", F.when(F.col("__path") == "all", F.lit(True))
+        .when(F.col("__path") == "never", F.lit(False)).alias("accepted"))
 
     # Bounded lists: JVM-side fold with aggregate().
-    small = live.where(F.col("__path") == "list")
-    lists = small.groupBy(*key).agg(
+    lists = j.where(F.col("__path") == "list").groupBy(*key).agg(
         F.first("__s").alias("__s"),
         F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in seq], F.col("__a"), F.col("__rid"))))
         .alias("__rows"))
@@ -101,20 +103,21 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
         .select(F.col("z.rid").alias("__rid"), F.col("z.ok").alias("accepted"))
 
     # Large keys: streaming fold over sorted partitions.
-    big = live.where(F.col("__path") == "stream")
-    big = big.withColumn("__k", F.to_json(F.struct(*key)))
+    big = j.where(F.col("__path") == "stream").withColumn("__k", F.to_json(F.struct(*key)))
     schema = T.StructType([T.StructField("__rid", big.schema["__rid"].dataType),
                            T.StructField("accepted", T.BooleanType()),
                            T.StructField("remaining", T.LongType())])
     streamed = (big.select("__k", *key, *seq, "__a", "__s", "__rid")
                 .repartition(*key).sortWithinPartitions(*key, *seq)
-                .mapInPandas(_stream_fold, schema).select("__rid", "accepted"))
+                .mapInPandas(_stream_fold, schema))
 
-    rows = unknown.unionByName(refused).unionByName(all_fit).unionByName(listed).unionByName(streamed)
+    rows = simple.unionByName(listed).unionByName(streamed.select("__rid", "accepted"))
     rows = rows.withColumnRenamed("__rid", row_id)
 
-    used = rows.where(F.col("accepted")).join(ch.select(*key, "__a", F.col("__rid").alias(row_id)), row_id) \
-        .groupBy(*key).agg(F.sum("__a").alias("__used"))
-    final = st.join(used, key, "left").select(
-        *key, (F.col("__s") - F.coalesce(F.col("__used"), F.lit(0))).alias(balance))
+    # Final balance per key: start - sum of accepted, from the paths above.
+    ends = (j.where(F.col("__path") == "all").groupBy(*key).agg(F.first(F.col("__s") - F.col("__sum")).alias("__end"))
+            .unionByName(folded.select(*key, F.col("__st.rem").alias("__end")))
+            .unionByName(big.select(*key, "__rid").join(streamed, "__rid").groupBy(*key)
+                         .agg(F.min("remaining").alias("__end"))))
+    final = st.join(ends, key, "left").select(*key, F.coalesce(F.col("__end"), F.col("__s")).alias(balance))
     return rows, final

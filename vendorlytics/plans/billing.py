@@ -20,6 +20,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendorlytics.session import checkpoint_dir
 from vendorlytics.sources.tables import Tables
 
 # Fixed values (reference handlers).
@@ -243,30 +244,151 @@ def _step(acc, e):
         settled.alias("settled"))
 
 
+MAX_EVENTS = 2048
+_EV_FIELDS = ["event_id", "type", "ts", "subscription_id", "customer_id", "email_ok", "period_end", "plan", "pay_ok",
+              "mapped", "pago_id"]
+_STATE_FIELDS = ["estado", "plan", "inicio", "fin", "sub", "cus"]
+
+
+def _fold_stream(pdf_iter):
+    """Python twin of ``_step`` for users with very many events: rows of one
+    user arrive together, sorted as state (kind 0), pending pagos newest
+    first (kind 1), events by id (kind 2); only the state is kept."""
+    import pandas as pd
+
+    def val(x):
+        return None if x is None or (not isinstance(x, str) and pd.isna(x)) else x
+
+    out = []
+    uid, st, pend, gone, head, settled = None, None, [], set(), 0, []
+
+    def flush():
+        if uid is not None:
+            out.append({"uid": uid, **st, "pago_id": None, "event_id": None, "kind": 0})
+            for p, e in settled:
+                out.append({"uid": uid, **{k: None for k in _STATE_FIELDS}, "pago_id": p, "event_id": e, "kind": 1})
+
+    for pdf in pdf_iter:
+        for r in pdf.to_dict("records"):
+            if r["uid"] != uid:
+                flush()
+                uid, st, pend, gone, head, settled = r["uid"], None, [], set(), 0, []
+            kind = r["kind"]
+            if kind == 0:
+                st = {k: val(r["s_" + k]) for k in _STATE_FIELDS}
+                continue
+            if kind == 1:
+                pend.append(int(r["pago_id"]))
+                continue
+            e = {k: val(r[k]) for k in _EV_FIELDS}
+            sid, cid, typ = e["subscription_id"], e["customer_id"], e["type"]
+            resolved = typ == PAID and ((sid is not None and st["sub"] == sid)
+                                        or (cid is not None and st["cus"] == cid) or bool(e["email_ok"]))
+            chk_paid = typ == CHECKOUT and bool(e["pay_ok"])
+            activate = chk_paid or resolved
+            match = sid is not None and st["sub"] == sid
+            linked_sub = (sid if sid is not None else st["sub"]) if typ == CHECKOUT else st["sub"]
+            linked_cus = (cid if cid is not None else st["cus"]) if typ == CHECKOUT else st["cus"]
+            if activate:
+                st["estado"] = "activa"
+            elif match and typ == FAILED:
+                st["estado"] = "pago_fallido"
+            elif match and typ == DELETED:
+                st["estado"] = "cancelada"
+            elif match and typ == UPDATED and e["mapped"] is not None:
+                st["estado"] = e["mapped"]
+            while head < len(pend) and pend[head] in gone:
+                head += 1
+            if chk_paid and e["pago_id"] is not None and int(e["pago_id"]) in set(pend) - gone:
+                gone.add(int(e["pago_id"]))
+                settled.append((int(e["pago_id"]), int(e["event_id"])))
+            elif resolved and head < len(pend):
+                gone.add(pend[head])
+                settled.append((pend[head], int(e["event_id"])))
+            if activate:
+                ts = pd.Timestamp(e["ts"])
+                st["plan"] = e["plan"]
+                st["inicio"] = st["inicio"] if st["inicio"] is not None else ts
+                st["fin"] = next(x for x in (e["period_end"], st["fin"], ts + pd.DateOffset(months=1))
+                                 if x is not None)
+                st["sub"] = sid if sid is not None else linked_sub
+            else:
+                st["sub"] = linked_sub
+            st["cus"] = linked_cus
+        if len(out) > 10000:
+            yield pd.DataFrame(out)
+            out = []
+    flush()
+    if out:
+        yield pd.DataFrame(out)
+
+
 def subscription_fold(t: Tables, events: DataFrame | None = None, users: DataFrame | None = None,
-                      payments: DataFrame | None = None) -> DataFrame:
+                      payments: DataFrame | None = None, max_events: int = MAX_EVENTS) -> DataFrame:
     """B5 + B6: fold each user's events (arrival order) over their state.
 
     Returns one row per user: estado, plan, inicio, fin, sub, cus and the
-    list of (pago_id, event_id) settled by this batch. The per-user event
-    list is ordered by ``array_sort`` and folded with ``aggregate``; users
-    without events keep their state.
+    list of (pago_id, event_id) settled by this batch. Users with at most
+    ``max_events`` events: the list is ordered by ``array_sort`` and folded
+    with ``aggregate`` (bounded list). Users with more: a streaming pass over
+    their rows sorted by Spark (``_fold_stream``), holding only the state
+    and the user's pending pagos. Users without events keep their state.
     """
     ev, init, pend = fold_inputs(t, events, users, payments)
-    ev_lists = ev.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(
-        "event_id", "type", "ts", "subscription_id", "customer_id", "email_ok", "period_end", "plan", "pay_ok",
-        "mapped", "pago_id"))).alias("evs"))
-    pend_lists = pend.groupBy("uid").agg(
+    checkpoint_dir(ev.sparkSession)
+    counts = ev.groupBy("uid").agg(F.count(F.lit(1)).alias("n_ev"))
+    init = init.join(counts, "uid", "left").withColumn("big", F.coalesce(F.col("n_ev") > max_events, F.lit(False)))
+    init = init.checkpoint()
+    small_users = init.where(~F.col("big")).drop("big", "n_ev")
+    big_users = init.where(F.col("big")).select("uid")
+
+    ev_small = ev.join(big_users, "uid", "left_anti")
+    ev_lists = ev_small.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(*_EV_FIELDS))).alias("evs"))
+    pend_small = pend.join(big_users, "uid", "left_anti")
+    pend_lists = pend_small.groupBy("uid").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("creado_en", "pago_id")), asc=False),
                     lambda p: F.struct(p["pago_id"].alias("pago_id"))).alias("pend"))
-    s = init.join(ev_lists, "uid", "left").join(pend_lists, "uid", "left")
+    s = small_users.join(ev_lists, "uid", "left").join(pend_lists, "uid", "left")
     start = F.struct(
         F.col("estado"), F.col("plan"), F.col("inicio"), F.col("fin"), F.col("sub"), F.col("cus"),
         F.coalesce(F.col("pend"), F.array().cast("array<struct<pago_id:bigint>>")).alias("pend"),
         F.array().cast("array<struct<pago_id:bigint,event_id:bigint>>").alias("settled"))
     folded = s.select("uid", F.aggregate(F.coalesce("evs", F.array().cast(s.schema["evs"].dataType)),
                                          start, _step).alias("st"))
-    return folded.select(F.col("uid").alias("id"), "st.*").drop("pend")
+    small_out = folded.select(F.col("uid").alias("id"), "st.*").drop("pend")
+
+    # Users with many events: one sorted stream of state, pagos, events.
+    big_init = init.where(F.col("big"))
+    null = {c: F.lit(None) for c in _EV_FIELDS}
+    cols = ["uid", "kind", "order_a", "order_b"] + [f"s_{k}" for k in _STATE_FIELDS] + _EV_FIELDS
+    st_rows = big_init.select("uid", F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("order_a"),
+                              F.lit(0).cast("bigint").alias("order_b"),
+                              *[F.col(k).alias(f"s_{k}") for k in _STATE_FIELDS],
+                              *[null[c].cast(ev.schema[c].dataType).alias(c) for c in _EV_FIELDS])
+    p_rows = pend.join(big_users, "uid").select(
+        "uid", F.lit(1).alias("kind"), F.col("creado_en").alias("order_a"), F.col("pago_id").alias("order_b"),
+        *[F.lit(None).cast(init.schema[k].dataType).alias(f"s_{k}") for k in _STATE_FIELDS],
+        *[(F.col("pago_id") if c == "pago_id" else null[c].cast(ev.schema[c].dataType)).alias(c)
+          for c in _EV_FIELDS])
+    e_rows = ev.join(big_users, "uid").select(
+        "uid", F.lit(2).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("order_a"),
+        F.col("event_id").alias("order_b"),
+        *[F.lit(None).cast(init.schema[k].dataType).alias(f"s_{k}") for k in _STATE_FIELDS], *_EV_FIELDS)
+    stream_in = (st_rows.select(*cols).unionByName(p_rows.select(*cols)).unionByName(e_rows.select(*cols))
+                 .repartition("uid"))
+    stream_in = stream_in.sortWithinPartitions(
+        "uid", "kind", F.when(F.col("kind") == 1, F.col("order_a")).desc_nulls_last(),
+        F.when(F.col("kind") == 1, -F.col("order_b")).otherwise(F.col("order_b")))
+    out_schema = ("uid bigint, estado string, plan string, inicio timestamp_ntz, fin timestamp_ntz, sub string, "
+                  "cus string, pago_id bigint, event_id bigint, kind int")
+    streamed = stream_in.mapInPandas(_fold_stream, out_schema)
+    big_state = streamed.where(F.col("kind") == 0).drop("pago_id", "event_id", "kind")
+    big_settled = streamed.where(F.col("kind") == 1).groupBy("uid").agg(
+        F.collect_list(F.struct("pago_id", "event_id")).alias("settled"))
+    big_out = big_state.join(big_settled, "uid", "left").select(
+        F.col("uid").alias("id"), *_STATE_FIELDS,
+        F.coalesce("settled", F.array().cast("array<struct<pago_id:bigint,event_id:bigint>>")).alias("settled"))
+    return small_out.unionByName(big_out)
 
 
 def subscription_state(t: Tables) -> DataFrame:

@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.ansi.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
