@@ -12,8 +12,8 @@ the batch has exactly one sequential answer. We compute it set-wise:
   set-wise step A_{k+1} = step(A_k) until nothing changes. Each request
   depends only on earlier ones, so a fixed point is the sequential answer;
   the number of rounds is the length of the longest chain of dependent
-  decisions, not the batch size. Each round's flags are checkpointed to the
-  shared checkpoint folder to cut lineage.
+  decisions, not the batch size. Each round's flags are written to the shared
+  checkpoint folder (``materialize``) to cut lineage.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.operators.topk import top_k
-from vendorlytics.session import checkpoint_dir
+from vendorlytics.session import materialize
 
 
 def seq_struct(seq: list[str]) -> F.Column:
@@ -45,11 +45,9 @@ def quota_ok(limited, cap, fill, seq: list[str]) -> F.Column:
 def fixpoint(step, flags: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
     """Iterate ``flags -> step(flags)`` (DataFrames of (key, ok)) until no
     flag changes. Raises if it does not settle within ``max_rounds``."""
-    spark = flags.sparkSession
-    checkpoint_dir(spark)
-    cur = flags.checkpoint()
+    cur = materialize(flags, "admission-flags")
     for _ in range(max_rounds):
-        nxt = step(cur).checkpoint()
+        nxt = materialize(step(cur), "admission-flags")
         diff = nxt.alias("n").join(cur.alias("c"), key).where(~F.col("n.ok").eqNullSafe(F.col("c.ok")))
         cur = nxt
         if diff.isEmpty():

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorlytics.session import checkpoint_dir
+from vendorlytics.session import materialize
 
 MAX_LIST = 2048
 
@@ -67,11 +67,10 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     for every key of ``start``. Change rows whose key has no start balance
     are returned with accepted = NULL (the caller decides the reason).
 
-    The joined input (with each key's path) is checkpointed once to the
-    shared checkpoint folder, so the branches below read it instead of
+    The joined input (with each key's path) is written once to the shared
+    checkpoint folder, so the branches below read it instead of
     recomputing the change table.
     """
-    checkpoint_dir(changes.sparkSession)
     ch = changes.select(*key, *seq, F.col(amount).cast("long").alias("__a"), F.col(row_id).alias("__rid"))
     st = start.select(*key, F.col(balance).cast("long").alias("__s"))
     j = ch.join(st, key, "left")
@@ -80,7 +79,7 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     path = (F.when(F.col("__s").isNull(), F.lit("unknown")).when(never, F.lit("never"))
             .when(F.col("__sum") <= F.col("__s"), F.lit("all"))
             .when(F.col("__n") <= max_list, F.lit("list")).otherwise(F.lit("stream")))
-    j = j.join(stats, key, "left").withColumn("__path", path).checkpoint()
+    j = materialize(j.join(stats, key, "left").withColumn("__path", path), "fold-input")
 
     simple = j.where(F.col("__path").isin("unknown", "never", "all")).select(
         "__rid", F.when(F.col("__path") == "all", F.lit(True))
@@ -111,13 +110,17 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
                 .repartition(*key).sortWithinPartitions(*key, *seq)
                 .mapInPandas(_stream_fold, schema))
 
-    rows = simple.unionByName(listed).unionByName(streamed.select("__rid", "accepted"))
+    has_big = not big.isEmpty()
+    rows = simple.unionByName(listed)
+    if has_big:
+        rows = rows.unionByName(streamed.select("__rid", "accepted"))
     rows = rows.withColumnRenamed("__rid", row_id)
 
     # Final balance per key: start - sum of accepted, from the paths above.
     ends = (j.where(F.col("__path") == "all").groupBy(*key).agg(F.first(F.col("__s") - F.col("__sum")).alias("__end"))
-            .unionByName(folded.select(*key, F.col("__st.rem").alias("__end")))
-            .unionByName(big.select(*key, "__rid").join(streamed, "__rid").groupBy(*key)
-                         .agg(F.min("remaining").alias("__end"))))
+            .unionByName(folded.select(*key, F.col("__st.rem").alias("__end"))))
+    if has_big:
+        ends = ends.unionByName(big.select(*key, "__rid").join(streamed, "__rid").groupBy(*key)
+                                .agg(F.min("remaining").alias("__end")))
     final = st.join(ends, key, "left").select(*key, F.coalesce(F.col("__end"), F.col("__s")).alias(balance))
     return rows, final

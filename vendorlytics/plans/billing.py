@@ -20,7 +20,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlytics.session import checkpoint_dir
+from vendorlytics.session import materialize
 from vendorlytics.sources.tables import Tables
 
 # Fixed values (reference handlers).
@@ -42,9 +42,19 @@ def _lit_map(d: dict) -> F.Column:
     return F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))
 
 
-def _id_of(json_col, path: str) -> F.Column:
+# The event body, parsed once. Fields that are "id" or {"id": ...} are read
+# as text (an object arrives as its JSON text) and resolved by ``_id_of``.
+OBJECT_SCHEMA = (
+    "id string, customer string, subscription string, status string, payment_status string, "
+    "metadata struct<pago_id: string, price_id: string>, "
+    "parent struct<subscription_details: struct<subscription: string>>, "
+    "lines struct<data: array<struct<subscription: string, period: struct<`end`: bigint>, "
+    "price: struct<id: string>, plan: struct<id: string>>>>")
+
+
+def _id_of(ref) -> F.Column:
     """A provider reference that is either "id" or {"id": ...}."""
-    return F.coalesce(F.get_json_object(json_col, f"{path}.id"), F.get_json_object(json_col, path))
+    return F.when(ref.startswith("{"), F.get_json_object(ref, "$.id")).otherwise(ref)
 
 
 def plan_from_price(price_id, price_plans: dict = PRICE_PLANS) -> F.Column:
@@ -54,31 +64,31 @@ def plan_from_price(price_id, price_plans: dict = PRICE_PLANS) -> F.Column:
 
 # -- B1 -------------------------------------------------------------------
 def parse_events(ev: DataFrame) -> DataFrame:
-    """B1: typed fields out of the event body (both id shapes)."""
-    o = F.col("object")
-    lines = F.from_json(F.get_json_object(o, "$.lines.data"), "array<string>")
-    sub_line = F.get(F.filter(lines, lambda l: F.get_json_object(l, "$.subscription").isNotNull()), 0)
-    period_line = F.get(F.filter(lines, lambda l: F.get_json_object(l, "$.period.end").isNotNull()), 0)
+    """B1: typed fields out of the event body (both id shapes), one parse
+    per event."""
+    o = F.col("o")
+    lines = o["lines"]["data"]
+    sub_line = F.get(F.filter(lines, lambda l: l["subscription"].isNotNull()), 0)
+    period_line = F.get(F.filter(lines, lambda l: l["period"]["end"].isNotNull()), 0)
     invoice = F.col("type").startswith("invoice.")
     checkout = F.col("type") == CHECKOUT
     subscription = F.col("type").startswith("customer.subscription.")
-    sub_id = (F.when(invoice, F.coalesce(_id_of(o, "$.parent.subscription_details.subscription"),
-                                         _id_of(sub_line, "$.subscription")))
-              .when(checkout, _id_of(o, "$.subscription"))
-              .when(subscription, F.get_json_object(o, "$.id")))
-    period_end = F.get_json_object(period_line, "$.period.end").cast("bigint")
-    price = F.when(invoice, F.coalesce(F.get_json_object(period_line, "$.price.id"),
-                                       F.get_json_object(period_line, "$.plan.id"))) \
-        .when(checkout, F.get_json_object(o, "$.metadata.price_id"))
-    return ev.select(
+    sub_id = (F.when(invoice, F.coalesce(_id_of(o["parent"]["subscription_details"]["subscription"]),
+                                         _id_of(sub_line["subscription"])))
+              .when(checkout, _id_of(o["subscription"]))
+              .when(subscription, o["id"]))
+    price = F.when(invoice, F.coalesce(period_line["price"]["id"], period_line["plan"]["id"])) \
+        .when(checkout, o["metadata"]["price_id"])
+    parsed = ev.select("event_id", "ts", "user_id", "type", F.from_json("object", OBJECT_SCHEMA).alias("o"))
+    return parsed.select(
         "event_id", "ts", "user_id", "type",
-        F.when(~subscription, _id_of(o, "$.customer")).alias("customer_id"),
+        F.when(~subscription, _id_of(F.col("o.customer"))).alias("customer_id"),
         sub_id.alias("subscription_id"),
-        F.timestamp_seconds(period_end).cast("timestamp_ntz").alias("period_end"),
+        F.timestamp_seconds(period_line["period"]["end"]).cast("timestamp_ntz").alias("period_end"),
         price.alias("price_id"),
-        F.when(checkout, F.get_json_object(o, "$.payment_status")).alias("payment_status"),
-        F.when(checkout, F.get_json_object(o, "$.metadata.pago_id")).alias("pago_id"),
-        F.when(subscription, F.get_json_object(o, "$.status")).alias("status"))
+        F.when(checkout, F.col("o.payment_status")).alias("payment_status"),
+        F.when(checkout, F.col("o.metadata.pago_id")).alias("pago_id"),
+        F.when(subscription, F.col("o.status")).alias("status"))
 
 
 def billing_events_parsed(t: Tables) -> DataFrame:
@@ -180,7 +190,8 @@ def fold_inputs(t: Tables, events: DataFrame | None = None, users: DataFrame | N
     events = events if events is not None else t.billing()
     users = users if users is not None else t.users()
     payments = payments if payments is not None else t.payments()
-    parsed = parse_events(events).where(F.col("type").isin(*HANDLED))
+    # Parsed once: routing and the fold read it several times.
+    parsed = materialize(parse_events(events).where(F.col("type").isin(*HANDLED)), "billing-parsed")
     customers = customer_emails(t)
     routed = route_events(t, parsed, users, payments, customers)
     ev = routed.join(parsed, "event_id").join(customers, "customer_id", "left") \
@@ -335,10 +346,10 @@ def subscription_fold(t: Tables, events: DataFrame | None = None, users: DataFra
     and the user's pending pagos. Users without events keep their state.
     """
     ev, init, pend = fold_inputs(t, events, users, payments)
-    checkpoint_dir(ev.sparkSession)
+    ev = materialize(ev, "billing-routed")
     counts = ev.groupBy("uid").agg(F.count(F.lit(1)).alias("n_ev"))
     init = init.join(counts, "uid", "left").withColumn("big", F.coalesce(F.col("n_ev") > max_events, F.lit(False)))
-    init = init.checkpoint()
+    init = materialize(init, "billing-init")
     small_users = init.where(~F.col("big")).drop("big", "n_ev")
     big_users = init.where(F.col("big")).select("uid")
 
@@ -356,6 +367,8 @@ def subscription_fold(t: Tables, events: DataFrame | None = None, users: DataFra
     folded = s.select("uid", F.aggregate(F.coalesce("evs", F.array().cast(s.schema["evs"].dataType)),
                                          start, _step).alias("st"))
     small_out = folded.select(F.col("uid").alias("id"), "st.*").drop("pend")
+    if big_users.isEmpty():
+        return small_out
 
     # Users with many events: one sorted stream of state, pagos, events.
     big_init = init.where(F.col("big"))

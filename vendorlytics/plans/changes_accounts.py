@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vendorlytics.functions.formats import digits_only, money, nonempty, slugify
 from vendorlytics.operators.admission import fixpoint, quota_fill, quota_ok
+from vendorlytics.session import materialize
 from vendorlytics.sources.tables import AS_OF, Tables
 
 # Fixed values (reference constants).
@@ -78,7 +79,7 @@ def apply_store_settings(t: Tables, req: DataFrame | None = None) -> DataFrame:
          .withColumn("pro", F.coalesce(F.col("suscripcion_plan"), F.lit("mini")) == PRO_PLAN)
          .withColumn("current", F.col("seq") == F.col("first_seq")))
     base = r.where(F.col("current")).select("id", "seq", "slug", (F.col("filled") & F.col("pro")).alias("pre_ok"))
-    base = base.checkpoint()
+    base = materialize(base, "store-settings")
     holders = users.select(F.col("id").alias("h_id"), F.col("store_slug").alias("h_slug"))
 
     def step(flags: DataFrame) -> DataFrame:

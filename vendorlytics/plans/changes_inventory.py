@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vendorlytics.functions.formats import money
 from vendorlytics.operators.admission import fixpoint, quota_fill, quota_ok, seq_struct
+from vendorlytics.session import materialize
 from vendorlytics.sources.requests import SEQ, admission_requests, custom_item_requests, inventory_patch_requests
 from vendorlytics.sources.tables import MONEY, Tables
 
@@ -110,7 +111,8 @@ def submit_custom_items(t: Tables, req: DataFrame | None = None, snapshot: DataF
             .withColumn("cap", F.coalesce("cap", F.lit(quota)))
             .withColumn("seq", seq_struct(SEQ))
             .select("req_id", "vendedor_id", "sku", "seq", *SEQ, "valid",
-                    F.coalesce("in_catalog", F.lit(False)).alias("in_catalog"), "limited", "cap")).checkpoint()
+                    F.coalesce("in_catalog", F.lit(False)).alias("in_catalog"), "limited", "cap"))
+    base = materialize(base, "custom-items")
 
     def step(flags: DataFrame) -> DataFrame:
         cur = base.join(flags, "req_id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins and shuffle partition
 # counts from runtime statistics, so one configuration serves sf0.001 and a
@@ -65,3 +66,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = _LOCAL_CKPT[app]
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: cuts the lineage (a lost executor re-reads files instead of
+    recomputing the plan) and computes the input a single time, unlike
+    ``DataFrame.checkpoint()`` which evaluates it twice."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
