@@ -50,11 +50,14 @@ def _catalog_cols(p: DataFrame) -> list:
 PROFILED = ["users", "roles", "categories", "products", "inventory", "sales", "clients", "push", "payments"]
 
 
-def schema_profile(t: Tables, tables: list[str] | None = None) -> DataFrame:
+def schema_profile(t: Tables, tables: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Per table and column: type, nullability, null and distinct counts.
 
     The column list comes from each DataFrame's schema (the catalog); the
-    counts are one aggregation per table, computed on the executors.
+    counts are one aggregation per table, computed on the executors. Exact
+    distinct counts expand each row once per column before the shuffle;
+    ``exact=False`` uses HyperLogLog sketches (one pass, bounded state) for
+    very large tables.
     """
     parts = []
     for name in tables or PROFILED:
@@ -63,7 +66,8 @@ def schema_profile(t: Tables, tables: list[str] | None = None) -> DataFrame:
         aggs = []
         for f in fields:
             c = F.col(f.name)
-            aggs += [F.count_if(c.isNull()).alias(f"n__{f.name}"), F.count_distinct(c).alias(f"d__{f.name}")]
+            distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.01)
+            aggs += [F.count_if(c.isNull()).alias(f"n__{f.name}"), distinct.alias(f"d__{f.name}")]
         stats = df.agg(*aggs)
         stack = ", ".join(f"'{f.name}', {i}, '{f.dataType.simpleString()}', {str(f.nullable).lower()}, "
                           f"`n__{f.name}`, `d__{f.name}`" for i, f in enumerate(fields, 1))
