@@ -141,3 +141,19 @@ def test_deleted_for_replaced_subscription_has_no_effect(spark):
     users = _user(spark, sub="sub_new")
     r = _fold(spark, users, ev)
     assert r["estado"] == "pendiente"
+
+
+def test_sku_moves_in_arrival_order(spark):
+    prod = spark.createDataFrame(
+        [(1, "B", None, "n", None, None, 1, 1, None), (2, "A", None, "n", None, None, 1, 1, None)],
+        "id long, sku string, skus_anteriores array<string>, nombre string, descripcion string, "
+        "precio_sugerido decimal(18,2), categoria_id int, marca_id int, creado_por long")
+    # Product 2 (seq 1) moves A -> C, then product 1 (seq 2) takes the freed A.
+    req = spark.createDataFrame([(2, 1, "C"), (1, 2, "A")], "id long, seq long, sku string").select(
+        "id", "seq", "sku", F.lit(None).cast("string").alias("nombre"), F.lit(None).cast("string").alias("descripcion"),
+        F.lit(None).cast("decimal(18,2)").alias("precio_sugerido"), F.lit(None).cast("string").alias("ruta_imagen"),
+        F.lit(1).alias("categoria_id"), F.lit(None).cast("int").alias("marca_id"))
+    cats = spark.createDataFrame([(1, "c")], "id int, nombre string")
+    out = {r["id"]: r for r in patch_catalog(FakeTables(spark, products=prod, categories=cats), req).collect()}
+    assert (out[2]["resultado"], out[1]["resultado"]) == ("ok", "ok")
+    assert (out[1]["skus_anteriores"], out[2]["skus_anteriores"]) == (["B"], ["A"])

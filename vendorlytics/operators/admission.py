@@ -53,3 +53,36 @@ def fixpoint(step, flags: DataFrame, key: str, max_rounds: int = 64) -> DataFram
         if diff.isEmpty():
             return cur
     raise RuntimeError(f"admission fixpoint did not settle in {max_rounds} rounds")
+
+
+def unique_claims(base: DataFrame, holders: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Unique values claimed in arrival order (store slug, SKU).
+
+    ``base``: one request per owner: (owner, seq, value, pre_ok, post_ok).
+    ``holders``: the snapshot (h_owner, h_value), values unique.
+    A request is blocked when, at its time, another owner holds its value:
+    a snapshot holder that has not moved to another value by an earlier
+    accepted request, or an earlier accepted request for the same value.
+    accepted = pre_ok and not blocked and post_ok; only accepted requests
+    claim. Returns (owner, blocked, ok)."""
+    base = materialize(base, "claims")
+
+    def blocked_by(flags: DataFrame) -> DataFrame:
+        acc = base.join(flags.where(F.col("ok")), "owner").select(
+            F.col("owner").alias("h_owner"), F.col("seq").alias("h_seq"), F.col("value").alias("h_new"))
+        hold = holders.join(acc, "h_owner", "left")
+        snap = base.join(hold, (hold.h_value == base.value) & (hold.h_owner != base.owner)).where(
+            ~(F.col("h_seq").isNotNull() & (F.col("h_seq") < F.col("seq")) & (F.col("h_new") != F.col("value")))
+        ).select("owner").distinct().withColumn("snap_block", F.lit(True))
+        first = acc.groupBy(F.col("h_new").alias("value")).agg(F.min("h_seq").alias("claim_seq"))
+        b = base.join(snap, "owner", "left").join(first, "value", "left")
+        blocked = F.col("snap_block").isNotNull() | F.coalesce(F.col("claim_seq") < F.col("seq"), F.lit(False))
+        return b.select("owner", blocked.alias("blocked"), "pre_ok", "post_ok")
+
+    def step(flags: DataFrame) -> DataFrame:
+        b = blocked_by(flags)
+        return b.select("owner", (F.col("pre_ok") & ~F.col("blocked") & F.col("post_ok")).alias("ok"))
+
+    start = base.select("owner", (F.col("pre_ok") & F.col("post_ok")).alias("ok"))
+    flags = fixpoint(step, start, "owner", max_rounds)
+    return blocked_by(flags).join(flags, "owner").select("owner", "blocked", "ok")

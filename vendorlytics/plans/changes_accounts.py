@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.functions.formats import digits_only, money, nonempty, slugify
-from vendorlytics.operators.admission import fixpoint, quota_fill, quota_ok
-from vendorlytics.session import materialize
+from vendorlytics.operators.admission import quota_fill, quota_ok, unique_claims
 from vendorlytics.sources.tables import AS_OF, Tables
 
 # Fixed values (reference constants).
@@ -78,24 +77,11 @@ def apply_store_settings(t: Tables, req: DataFrame | None = None) -> DataFrame:
          .withColumn("filled", nonempty(F.col("store_slug")) & nonempty(F.col("telefono")))
          .withColumn("pro", F.coalesce(F.col("suscripcion_plan"), F.lit("mini")) == PRO_PLAN)
          .withColumn("current", F.col("seq") == F.col("first_seq")))
-    base = r.where(F.col("current")).select("id", "seq", "slug", (F.col("filled") & F.col("pro")).alias("pre_ok"))
-    base = materialize(base, "store-settings")
-    holders = users.select(F.col("id").alias("h_id"), F.col("store_slug").alias("h_slug"))
-
-    def step(flags: DataFrame) -> DataFrame:
-        acc = base.join(flags.where(F.col("ok")), "id").select(
-            F.col("id").alias("h_id"), F.col("seq").alias("h_seq"), F.col("slug").alias("h_new"))
-        hold = holders.join(acc, "h_id", "left")
-        snap_block = base.join(hold, (hold.h_slug == base.slug) & (hold.h_id != base.id)).where(
-            ~(F.col("h_seq").isNotNull() & (F.col("h_seq") < F.col("seq")) & (F.col("h_new") != F.col("slug")))
-        ).select("id").distinct().withColumn("snap_block", F.lit(True))
-        first_claim = acc.groupBy(F.col("h_new").alias("slug")).agg(F.min("h_seq").alias("claim_seq"))
-        nxt = base.join(snap_block, "id", "left").join(first_claim, "slug", "left")
-        ok = F.col("pre_ok") & F.col("snap_block").isNull() & \
-            (F.col("claim_seq").isNull() | (F.col("claim_seq") >= F.col("seq")))
-        return nxt.select("id", ok.alias("ok"))
-
-    flags = fixpoint(step, base.select("id", F.col("pre_ok").alias("ok")), "id")
+    base = r.where(F.col("current")).select(
+        F.col("id").alias("owner"), "seq", F.col("slug").alias("value"),
+        (F.col("filled") & F.col("pro")).alias("pre_ok"), F.lit(True).alias("post_ok"))
+    holders = users.select(F.col("id").alias("h_owner"), F.col("store_slug").alias("h_value"))
+    flags = unique_claims(base, holders).withColumnRenamed("owner", "id")
     out = r.join(flags, "id", "left")
     result = (F.when(~F.col("current"), "diferida").when(~F.col("filled"), "datos_faltantes")
               .when(~F.col("pro"), "plan").when(~F.col("ok"), "slug_en_uso").otherwise("ok"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.functions.formats import money
-from vendorlytics.operators.admission import fixpoint, quota_fill, quota_ok, seq_struct
+from vendorlytics.operators.admission import fixpoint, quota_fill, quota_ok, seq_struct, unique_claims
 from vendorlytics.session import materialize
 from vendorlytics.sources.requests import SEQ, admission_requests, custom_item_requests, inventory_patch_requests
 from vendorlytics.sources.tables import MONEY, Tables
@@ -279,26 +279,32 @@ def catalog_patch_requests(t: Tables) -> DataFrame:
 
 def patch_catalog(t: Tables, req: DataFrame | None = None) -> DataFrame:
     """COALESCE edits except categoria_id (assigned, NULL included);
-    a changed SKU moves the old one into the history. One request per
-    product per batch; SKUs must stay unique across products."""
+    a changed SKU moves the old one into the history. SKUs stay unique: the
+    unique check (at update) precedes the category key (statement end), and
+    SKUs move between products in arrival order (``unique_claims``). One
+    request per product per batch; later ones are 'diferida'."""
     req = req if req is not None else catalog_patch_requests(t)
     p = t.products()
-    r = req.alias("r").join(p.alias("p"), "id", "left")
-    exists = F.col("p.sku").isNotNull() | F.col("p.nombre").isNotNull()
+    first = req.groupBy("id").agg(F.min("seq").alias("first_seq"))
+    r = req.join(first, "id").alias("r").join(p.alias("p"), "id", "left")
+    exists = F.col("p.sku").isNotNull()
     new_sku = F.coalesce(F.col("r.sku"), F.col("p.sku"))
-    others = p.select(F.col("sku").alias("other_sku"), F.col("id").alias("other_id"))
-    clash = r.select("id", new_sku.alias("new_sku")).join(
-        others, (F.col("new_sku") == F.col("other_sku")) & (F.col("id") != F.col("other_id")))
-    clash = clash.groupBy("id").agg(F.lit(True).alias("clash"))
     cats = t.categories().select(F.col("id").alias("cat_id"), F.lit(True).alias("cat_ok"))
-    r = r.join(clash, "id", "left").join(cats, F.col("r.categoria_id") == F.col("cat_id"), "left")
+    r = r.join(cats, F.col("r.categoria_id") == F.col("cat_id"), "left")
+    fk_ok = F.col("r.categoria_id").isNull() | F.col("cat_ok").isNotNull()
+    current = F.col("r.seq") == F.col("first_seq")
+    base = r.where(current).select(F.col("id").alias("owner"), F.col("r.seq").alias("seq"),
+                                   new_sku.alias("value"), exists.alias("pre_ok"), fk_ok.alias("post_ok"))
+    holders = p.select(F.col("id").alias("h_owner"), F.col("sku").alias("h_value"))
+    claims = unique_claims(base, holders).withColumnRenamed("owner", "id")
+    r = r.join(claims, "id", "left")
     changed = F.col("r.sku").isNotNull() & F.col("p.sku").isNotNull() & (F.col("r.sku") != F.col("p.sku"))
     hist = F.when(changed, F.array_remove(F.array_append(F.coalesce(F.col("p.skus_anteriores"),
                                                                     F.array().cast("array<string>")),
                                                          F.col("p.sku")), F.col("r.sku"))) \
         .otherwise(F.col("p.skus_anteriores"))
-    result = (F.when(~exists, "no_encontrada").when(F.col("clash").isNotNull(), "sku_duplicado")
-              .when(F.col("r.categoria_id").isNotNull() & F.col("cat_ok").isNull(), "fk_invalida").otherwise("ok"))
+    result = (F.when(~current, "diferida").when(~exists, "no_encontrada").when(F.col("blocked"), "sku_duplicado")
+              .when(~fk_ok, "fk_invalida").otherwise("ok"))
     return r.select(
         "id", result.alias("resultado"), new_sku.alias("sku"),
         F.coalesce("r.nombre", "p.nombre").alias("nombre"),
