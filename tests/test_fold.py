@@ -23,10 +23,11 @@ def brute(start, rows):
     return out, rem
 
 
-def run(spark, start, rows, max_list):
+def run(spark, start, rows, max_list, domain_max=1024, segment_rows=500_000):
     ch = spark.createDataFrame(rows, "k long, s long, a long").withColumn("rid", F.concat_ws(":", "k", "s"))
     st = spark.createDataFrame(list(start.items()), "k long, b long")
-    res, final = greedy_consume(ch, st, ["k"], ["s"], "a", "b", "rid", max_list=max_list)
+    res, final = greedy_consume(ch, st, ["k"], ["s"], "a", "b", "rid", max_list=max_list, domain_max=domain_max,
+                                segment_rows=segment_rows)
     got = {tuple(int(x) for x in r["rid"].split(":")): r["accepted"] for r in res.collect()}
     return got, {r["k"]: r["b"] for r in final.collect()}
 
@@ -45,12 +46,19 @@ def test_instalment_case(spark):
     assert final == {7: 0}
 
 
-@pytest.mark.parametrize("max_list", [1, 3, 1000])
-def test_random_against_brute_force(spark, max_list):
-    rnd = random.Random(max_list)
+@pytest.mark.parametrize("max_list,domain_max,segment_rows", [
+    (1, 0, 10**6),       # sequential streaming path
+    (3, 0, 10**6),
+    (3, 1024, 37),       # parallel segments (hot keys split into ~11 segments)
+    (1, 1024, 10**6),    # one segment
+    (1000, 1024, 10),    # bounded JVM lists
+])
+def test_random_against_brute_force(spark, max_list, domain_max, segment_rows):
+    rnd = random.Random(max_list + segment_rows)
     start = {k: rnd.randint(0, 40) for k in range(12)}
-    rows = [(rnd.randint(0, 13), i, rnd.randint(-2, 15)) for i in range(400)]
-    got, final = run(spark, start, rows, max_list)
+    start[0] = 600  # one hot key with a third of the rows
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 13), i, rnd.randint(-2, 15)) for i in range(400)]
+    got, final = run(spark, start, rows, max_list, domain_max, segment_rows)
     want, want_final = brute(start, rows)
     assert got == want
     assert final == want_final

@@ -14,11 +14,19 @@ Plan, cheapest path first:
 3. other keys with at most ``max_list`` rows are folded JVM-side: one
    ``array_sort(collect_list(struct(seq, ...)))`` list per key and
    ``aggregate`` over it (bounded list size by construction);
-4. keys with more rows are folded by a streaming pass over
-   ``repartition(key).sortWithinPartitions(key, seq)``: Spark's external
-   sorter orders the rows (spilling as needed) and ``mapInPandas`` walks
-   the Arrow batches carrying only the current balance, so no group is
-   ever materialised in memory.
+4. keys with more rows and a start balance of at most ``DOMAIN_MAX`` (stock
+   counts) are split into bounded segments and folded in parallel
+   (``_chunked_fold``): one consumption step maps every possible balance
+   0..S to the next, so a segment is summarised by a lookup table of S + 1
+   entries; tables compose in arrival order, which gives each segment's
+   start balance, and each segment is then replayed from its start. A key
+   holding a third of all rows is spread over many tasks;
+5. keys with more rows and larger balances (money in cents) are folded by a
+   streaming pass over ``repartition(key).sortWithinPartitions(key, seq)``:
+   Spark's external sorter orders the rows (spilling as needed) and
+   ``mapInPandas`` walks the Arrow batches carrying only the current
+   balance, so no group is materialised in memory (one task per key: the
+   dependency is sequential).
 
 Amounts and balances are integers (stock units, or money in cents), so the
 result is exact and independent of partitioning.
@@ -33,6 +41,8 @@ from pyspark.sql import types as T
 from vendorlytics.session import materialize
 
 MAX_LIST = 2048
+DOMAIN_MAX = 1024
+SEGMENT_ROWS = 500_000
 
 
 def _stream_fold(pdf_iter):
@@ -58,8 +68,67 @@ def _stream_fold(pdf_iter):
         yield pdf[["__rid"]].assign(accepted=ok, remaining=left)
 
 
+def _chunked_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows: int):
+    """Parallel exact fold for keys with many rows and a small start balance.
+
+    rows: (key..., seq..., __a, __s, __rid). Returns (per-row (__rid,
+    accepted), per-key final balance (key..., __end))."""
+    import numpy as np
+    import pandas as pd
+
+    n = rows.count()
+    parts = max(1, -(-n // segment_rows))
+    seg = materialize(rows.repartitionByRange(parts, *key, *seq).withColumn("__part", F.spark_partition_id()),
+                      "fold-segments")
+    key_fields = [seg.schema[k] for k in key]
+
+    def table(pdf):
+        pdf = pdf.sort_values(seq)
+        s = np.arange(int(pdf["__s"].iloc[0]) + 1, dtype=np.int64)
+        for a in pdf["__a"].to_numpy():
+            s = np.where(s >= a, s - a, s)
+        out = pdf.iloc[:1][key + ["__part", "__s"]].reset_index(drop=True)
+        out["__tab"] = [s.tolist()]
+        return out
+
+    tab_schema = T.StructType(key_fields + [T.StructField("__part", T.IntegerType()),
+                                            T.StructField("__s", T.LongType()),
+                                            T.StructField("__tab", T.ArrayType(T.LongType()))])
+    tabs = seg.groupBy(*key, "__part").applyInPandas(table, tab_schema)
+    # Chain the segment tables of each key (at most ``parts`` tables of S + 1).
+    chained = tabs.groupBy(*key).agg(F.first("__s").alias("__s"),
+                                     F.array_sort(F.collect_list(F.struct("__part", "__tab"))).alias("__tabs"))
+    init = F.struct(F.col("__s").alias("s"), F.array().cast("array<struct<__part:int,start:bigint>>").alias("starts"))
+    walked = chained.select(*key, F.aggregate(
+        "__tabs", init,
+        lambda acc, x: F.struct(F.element_at(x["__tab"], (acc["s"] + 1).cast("int")).alias("s"),
+                                F.array_append(acc["starts"], F.struct(x["__part"].alias("__part"),
+                                                                       acc["s"].alias("start"))).alias("starts")),
+    ).alias("w"))
+    ends = walked.select(*key, F.col("w.s").alias("__end"))
+    starts = walked.select(*key, F.explode("w.starts").alias("x")).select(*key, "x.__part", F.col("x.start")
+                                                                           .alias("__start"))
+
+    def replay(pdf):
+        pdf = pdf.sort_values(seq)
+        rem = int(pdf["__start"].iloc[0])
+        ok = []
+        for a in pdf["__a"].to_numpy():
+            a = int(a)
+            ok.append(a <= rem)
+            if a <= rem:
+                rem -= a
+        return pd.DataFrame({"__rid": pdf["__rid"].to_numpy(), "accepted": ok})
+
+    out_schema = T.StructType([T.StructField("__rid", seg.schema["__rid"].dataType),
+                               T.StructField("accepted", T.BooleanType())])
+    flags = seg.join(starts, [*key, "__part"]).groupBy(*key, "__part").applyInPandas(replay, out_schema)
+    return flags, ends
+
+
 def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: list[str], amount: str,
-                   balance: str, row_id: str, max_list: int = MAX_LIST) -> tuple[DataFrame, DataFrame]:
+                   balance: str, row_id: str, max_list: int = MAX_LIST, domain_max: int = DOMAIN_MAX,
+                   segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Fold ``changes`` (key, seq..., amount, row_id) against ``start``
     (key, balance). Both amount and balance must be integral.
 
@@ -78,7 +147,8 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     stats = j.where(~never).groupBy(*key).agg(F.sum("__a").alias("__sum"), F.count(F.lit(1)).alias("__n"))
     path = (F.when(F.col("__s").isNull(), F.lit("unknown")).when(never, F.lit("never"))
             .when(F.col("__sum") <= F.col("__s"), F.lit("all"))
-            .when(F.col("__n") <= max_list, F.lit("list")).otherwise(F.lit("stream")))
+            .when(F.col("__n") <= max_list, F.lit("list"))
+            .when(F.col("__s") <= domain_max, F.lit("chunked")).otherwise(F.lit("stream")))
     j = materialize(j.join(stats, key, "left").withColumn("__path", path), "fold-input")
 
     simple = j.where(F.col("__path").isin("unknown", "never", "all")).select(
@@ -111,9 +181,14 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
                 .mapInPandas(_stream_fold, schema))
 
     has_big = not big.isEmpty()
+    chunk_rows = j.where(F.col("__path") == "chunked").select(*key, *seq, "__a", "__s", "__rid")
+    has_chunked = not chunk_rows.isEmpty()
     rows = simple.unionByName(listed)
     if has_big:
         rows = rows.unionByName(streamed.select("__rid", "accepted"))
+    if has_chunked:
+        chunk_flags, chunk_ends = _chunked_fold(chunk_rows, key, seq, segment_rows)
+        rows = rows.unionByName(chunk_flags)
     rows = rows.withColumnRenamed("__rid", row_id)
 
     # Final balance per key: start - sum of accepted, from the paths above.
@@ -122,5 +197,7 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     if has_big:
         ends = ends.unionByName(big.select(*key, "__rid").join(streamed, "__rid").groupBy(*key)
                                 .agg(F.min("remaining").alias("__end")))
+    if has_chunked:
+        ends = ends.unionByName(chunk_ends)
     final = st.join(ends, key, "left").select(*key, F.coalesce(F.col("__end"), F.col("__s")).alias(balance))
     return rows, final
