@@ -107,7 +107,7 @@ SELECT event_id, user_id, estado, CASE WHEN estado = 200 THEN 'uploads/' || CAST
  CAST(event_id AS VARCHAR) || ext END AS storage_key FROM st""",
 
     "upload_bytes_by_user": f"""WITH {_UPLOADS}
-SELECT user_id, COUNT(*) AS subidas, SUM(size) AS bytes FROM st WHERE estado = 200 GROUP BY user_id""",
+SELECT user_id, COUNT(*) AS subidas, CAST(SUM(size) AS BIGINT) AS bytes FROM st WHERE estado = 200 GROUP BY user_id""",
 
     "payment_error_summary": """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS dia,
    CASE WHEN event_id % 20 < 10 THEN 'card_error' ELSE (['api_connection_error', 'authentication_error',

@@ -86,9 +86,9 @@ SELECT p.id,
       ELSE 'ok' END AS resultado,
  COALESCE(r.sku, p.sku) AS sku, COALESCE(r.nombre, p.nombre) AS nombre, COALESCE(r.descripcion, p.descripcion) AS descripcion,
  CAST(p.precio_sugerido AS DOUBLE) AS precio_sugerido, r.categoria_id, p.marca_id,
- CASE WHEN r.sku IS NOT NULL AND p.sku IS NOT NULL AND r.sku <> p.sku
+ CAST(to_json(CASE WHEN r.sku IS NOT NULL AND p.sku IS NOT NULL AND r.sku <> p.sku
       THEN list_filter(list_append(COALESCE(p.skus_anteriores, CAST([] AS VARCHAR[])), p.sku), lambda x: x <> r.sku)
-      ELSE p.skus_anteriores END AS skus_anteriores
+      ELSE p.skus_anteriores END) AS VARCHAR) AS skus_anteriores
 FROM req r JOIN v_products p ON p.id = r.id""",
 
     "catalog_approve": """SELECT id, CASE WHEN categoria_id IS NULL THEN 'sin_categoria' ELSE 'aprobada' END AS resultado

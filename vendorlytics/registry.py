@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import importlib
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from vendorlytics.sources.oracle_views import with_views
 from vendorlytics.sources.tables import FixtureTables
 
@@ -29,11 +33,18 @@ def _load():
     return queries, oracles
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text, for engine-neutral comparison."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    return df.select(*[F.to_json(F.col(f.name)).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def queries():
     q, _ = _load()
 
     def bind(fn):
-        return lambda spark, sf_dir: fn(FixtureTables(spark, sf_dir))
+        return lambda spark, sf_dir: flat(fn(FixtureTables(spark, sf_dir)))
 
     return {name: bind(fn) for name, fn in q.items()}
 
