@@ -46,6 +46,21 @@ def daily_rollup(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataFrame
                  F.count("id").alias("n")))
 
 
+def sales_rollups(t: Tables, vendor_id=None) -> tuple[DataFrame, DataFrame]:
+    """(vendor, day) and (vendor, item) aggregates from ONE pass over the
+    sales fact: a grouping-sets aggregate (Expand + partial aggregation
+    before a single shuffle); the two results share that exchange."""
+    s = _vendor_filter(t.sales(), vendor_id).select(
+        "vendedor_id", F.to_date("fecha").alias("dia"), "inventario_id", "cantidad", "precio_total", "id")
+    g = (s.groupingSets([["vendedor_id", "dia"], ["vendedor_id", "inventario_id"]],
+                        "vendedor_id", "dia", "inventario_id")
+         .agg(F.sum("precio_total").alias("revenue"), F.sum("cantidad").alias("units"),
+              F.count("id").alias("n"), F.grouping_id().alias("gid")))
+    daily = g.where(F.col("gid") == 1).select("vendedor_id", "dia", "revenue", "units", "n")
+    per_item = g.where(F.col("gid") == 2).select("vendedor_id", "inventario_id", F.col("units").alias("u"))
+    return daily, per_item
+
+
 def sales_summary(t: Tables, as_of: dt.date = AS_OF, vendor_id=None, rollup: DataFrame | None = None) -> DataFrame:
     """K1: totals and today's figures per vendor."""
     r = rollup if rollup is not None else daily_rollup(t, as_of, vendor_id)
@@ -102,14 +117,15 @@ def _sales_products(t: Tables, sales: DataFrame) -> DataFrame:
     return sales.join(inv, "inventario_id").join(prod, "producto_maestro_id")
 
 
-def top_products(t: Tables, vendor_id=None, k: int = 3) -> DataFrame:
+def top_products(t: Tables, vendor_id=None, k: int = 3, per_item: DataFrame | None = None) -> DataFrame:
     """K4: top-k product names by units sold; same-named products merge.
 
     Sales are first reduced to (vendor, item) units with partial
     aggregation, so only one row per sold item reaches the joins.
     """
-    per_item = (_vendor_filter(t.sales(), vendor_id)
-                .groupBy("vendedor_id", "inventario_id").agg(F.sum("cantidad").alias("u")))
+    if per_item is None:
+        per_item = (_vendor_filter(t.sales(), vendor_id)
+                    .groupBy("vendedor_id", "inventario_id").agg(F.sum("cantidad").alias("u")))
     by_name = (_sales_products(t, per_item)
                .groupBy("vendedor_id", "nombre").agg(F.sum("u").cast("int").alias("total_vendido")))
     return top_k(by_name, ["vendedor_id"], [F.desc("total_vendido"), F.asc("nombre")], k, "ord")
@@ -183,7 +199,7 @@ def vendor_dashboard(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataF
     months and one entry per year. The due-client list (K10) is not bounded
     per vendor, so the document carries its count and K10 stays a table.
     """
-    rollup = daily_rollup(t, as_of, vendor_id)
+    rollup, per_item = sales_rollups(t, vendor_id)
     summary = sales_summary(t, as_of, vendor_id, rollup)
     resumen = summary.select("vendedor_id", F.struct(*[c for c in summary.columns if c != "vendedor_id"])
                              .alias("resumen"))
@@ -193,7 +209,7 @@ def vendor_dashboard(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataF
                      F.struct(F.col("productos_criticos").cast("int").alias("productos_criticos")).alias("alertas"),
                      F.struct(F.col("total_productos").cast("int").alias("total_productos"),
                               money("valor_total").alias("valor_total")).alias("inventario"))
-    top = _list(top_products(t, vendor_id), ["ord"], ["nombre", "total_vendido"], "top_productos")
+    top = _list(top_products(t, vendor_id, per_item=per_item), ["ord"], ["nombre", "total_vendido"], "top_productos")
     recent = _list(recent_sales(t, vendor_id), ["ord"],
                    ["id", "cantidad", "total", "fecha", "producto_nombre", "imagen"], "ultimas_ventas")
     daily = _list(daily_revenue_7d(t, as_of, vendor_id, rollup), ["dia"], ["etiqueta", "total"], "grafica_reciente")
