@@ -26,8 +26,8 @@ def brute(start, rows):
 def run(spark, start, rows, max_list, domain_max=1024, segment_rows=500_000):
     ch = spark.createDataFrame(rows, "k long, s long, a long").withColumn("rid", F.concat_ws(":", "k", "s"))
     st = spark.createDataFrame(list(start.items()), "k long, b long")
-    res, final = greedy_consume(ch, st, ["k"], ["s"], "a", "b", "rid", max_list=max_list, domain_max=domain_max,
-                                segment_rows=segment_rows)
+    res, final = greedy_consume(ch, st, ["k"], ["s"], "a", "b", carry=["rid"], max_list=max_list,
+                                domain_max=domain_max, segment_rows=segment_rows)
     got = {tuple(int(x) for x in r["rid"].split(":")): r["accepted"] for r in res.collect()}
     return got, {r["k"]: r["b"] for r in final.collect()}
 

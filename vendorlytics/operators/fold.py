@@ -65,16 +65,15 @@ def _stream_fold(pdf_iter):
                 rem -= a
                 ok[i] = True
             left[i] = rem
-        yield pdf[["__rid"]].assign(accepted=ok, remaining=left)
+        yield pdf.drop(columns=["__k", "__s"]).assign(accepted=ok, remaining=left)
 
 
 def _chunked_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows: int):
     """Parallel exact fold for keys with many rows and a small start balance.
 
-    rows: (key..., seq..., __a, __s, __rid). Returns (per-row (__rid,
-    accepted), per-key final balance (key..., __end))."""
+    rows: (key..., seq..., carry..., __a, __s). Returns (rows with
+    ``accepted``, per-key final balance (key..., __end))."""
     import numpy as np
-    import pandas as pd
 
     n = rows.count()
     parts = max(1, -(-n // segment_rows))
@@ -118,29 +117,33 @@ def _chunked_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows:
             ok.append(a <= rem)
             if a <= rem:
                 rem -= a
-        return pd.DataFrame({"__rid": pdf["__rid"].to_numpy(), "accepted": ok})
+        return pdf.drop(columns=["__s", "__part", "__start"]).assign(accepted=ok)
 
-    out_schema = T.StructType([T.StructField("__rid", seg.schema["__rid"].dataType),
-                               T.StructField("accepted", T.BooleanType())])
+    out_schema = T.StructType([f for f in seg.schema.fields if f.name not in ("__s", "__part")]
+                              + [T.StructField("accepted", T.BooleanType())])
     flags = seg.join(starts, [*key, "__part"]).groupBy(*key, "__part").applyInPandas(replay, out_schema)
     return flags, ends
 
 
 def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: list[str], amount: str,
-                   balance: str, row_id: str, max_list: int = MAX_LIST, domain_max: int = DOMAIN_MAX,
+                   balance: str, carry: list[str] = (), max_list: int = MAX_LIST, domain_max: int = DOMAIN_MAX,
                    segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Fold ``changes`` (key, seq..., amount, row_id) against ``start``
+    """Fold ``changes`` (key, seq..., amount, carry...) against ``start``
     (key, balance). Both amount and balance must be integral.
 
-    Returns (rows, final): rows = (row_id, accepted), final = (key..., balance)
-    for every key of ``start``. Change rows whose key has no start balance
-    are returned with accepted = NULL (the caller decides the reason).
+    Returns (rows, final): rows = (key..., seq..., carry..., accepted), one
+    per change row; final = (key..., balance) for every key of ``start``.
+    Change rows whose key has no start balance get accepted = NULL (the
+    caller decides the reason). The carried columns travel through every
+    path, so no join back to the change table is needed.
 
     The joined input (with each key's path) is written once to the shared
     checkpoint folder, so the branches below read it instead of
     recomputing the change table.
     """
-    ch = changes.select(*key, *seq, F.col(amount).cast("long").alias("__a"), F.col(row_id).alias("__rid"))
+    carry = [c for c in carry if c not in key and c not in seq]
+    cols = [*key, *seq, *carry]
+    ch = changes.select(*cols, F.col(amount).cast("long").alias("__a"))
     st = start.select(*key, F.col(balance).cast("long").alias("__s"))
     j = ch.join(st, key, "left")
     never = F.col("__s").isNull() | (F.col("__a") <= 0) | (F.col("__a") > F.col("__s"))
@@ -152,14 +155,14 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     j = materialize(j.join(stats, key, "left").withColumn("__path", path), "fold-input")
 
     simple = j.where(F.col("__path").isin("unknown", "never", "all")).select(
-        "__rid", F.when(F.col("__path") == "all", F.lit(True))
+        *cols, F.when(F.col("__path") == "all", F.lit(True))
         .when(F.col("__path") == "never", F.lit(False)).alias("accepted"))
 
     # Bounded lists: JVM-side fold with aggregate().
     lists = j.where(F.col("__path") == "list").groupBy(*key).agg(
         F.first("__s").alias("__s"),
-        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in seq], F.col("__a"), F.col("__rid"))))
-        .alias("__rows"))
+        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in seq], F.col("__a"),
+                                             *[F.col(c) for c in carry]))).alias("__rows"))
     init = F.struct(F.col("__s").alias("rem"), F.array().cast("array<boolean>").alias("ok"))
     folded = lists.select(*key, F.aggregate(
         "__rows", init,
@@ -167,37 +170,31 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
             F.when(x["__a"] <= acc["rem"], acc["rem"] - x["__a"]).otherwise(acc["rem"]).alias("rem"),
             F.array_append(acc["ok"], x["__a"] <= acc["rem"]).alias("ok")),
     ).alias("__st"), "__rows")
-    listed = folded.select(F.explode(F.arrays_zip(F.col("__rows.__rid").alias("rid"),
-                                                  F.col("__st.ok").alias("ok"))).alias("z")) \
-        .select(F.col("z.rid").alias("__rid"), F.col("z.ok").alias("accepted"))
-
-    # Large keys: streaming fold over sorted partitions.
-    big = j.where(F.col("__path") == "stream").withColumn("__k", F.to_json(F.struct(*key)))
-    schema = T.StructType([T.StructField("__rid", big.schema["__rid"].dataType),
-                           T.StructField("accepted", T.BooleanType()),
-                           T.StructField("remaining", T.LongType())])
-    streamed = (big.select("__k", *key, *seq, "__a", "__s", "__rid")
-                .repartition(*key).sortWithinPartitions(*key, *seq)
-                .mapInPandas(_stream_fold, schema))
-
-    has_big = not big.isEmpty()
-    chunk_rows = j.where(F.col("__path") == "chunked").select(*key, *seq, "__a", "__s", "__rid")
-    has_chunked = not chunk_rows.isEmpty()
-    rows = simple.unionByName(listed)
-    if has_big:
-        rows = rows.unionByName(streamed.select("__rid", "accepted"))
-    if has_chunked:
-        chunk_flags, chunk_ends = _chunked_fold(chunk_rows, key, seq, segment_rows)
-        rows = rows.unionByName(chunk_flags)
-    rows = rows.withColumnRenamed("__rid", row_id)
+    listed = folded.select(*key, F.explode(F.arrays_zip(F.col("__rows").alias("r"),
+                                                        F.col("__st.ok").alias("ok"))).alias("z")) \
+        .select(*key, *[F.col(f"z.r.{c}").alias(c) for c in [*seq, *carry]], F.col("z.ok").alias("accepted"))
 
-    # Final balance per key: start - sum of accepted, from the paths above.
+    rows = simple.unionByName(listed)
     ends = (j.where(F.col("__path") == "all").groupBy(*key).agg(F.first(F.col("__s") - F.col("__sum")).alias("__end"))
             .unionByName(folded.select(*key, F.col("__st.rem").alias("__end"))))
-    if has_big:
-        ends = ends.unionByName(big.select(*key, "__rid").join(streamed, "__rid").groupBy(*key)
-                                .agg(F.min("remaining").alias("__end")))
-    if has_chunked:
+
+    # Large keys with big balances: streaming fold over sorted partitions.
+    big = j.where(F.col("__path") == "stream").withColumn("__k", F.to_json(F.struct(*key))) \
+        .select("__k", *cols, "__a", "__s")
+    if not big.isEmpty():
+        schema = T.StructType([f for f in big.schema.fields if f.name not in ("__k", "__s")]
+                              + [T.StructField("accepted", T.BooleanType()),
+                                 T.StructField("remaining", T.LongType())])
+        streamed = (big.repartition(*key).sortWithinPartitions(*key, *seq).mapInPandas(_stream_fold, schema))
+        rows = rows.unionByName(streamed.select(*cols, "accepted"))
+        ends = ends.unionByName(streamed.groupBy(*key).agg(F.min("remaining").alias("__end")))
+
+    # Large keys with small balances: parallel segments.
+    chunk_rows = j.where(F.col("__path") == "chunked").select(*cols, "__a", "__s")
+    if not chunk_rows.isEmpty():
+        chunk_flags, chunk_ends = _chunked_fold(chunk_rows, key, seq, segment_rows)
+        rows = rows.unionByName(chunk_flags.select(*cols, "accepted"))
         ends = ends.unionByName(chunk_ends)
+
     final = st.join(ends, key, "left").select(*key, F.coalesce(F.col("__end"), F.col("__s")).alias(balance))
     return rows, final

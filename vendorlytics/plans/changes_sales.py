@@ -61,13 +61,13 @@ def sale_payment_split(t: Tables) -> DataFrame:
 def stock_ledger_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     ch = stock_changes(t)
     start = ch.select("item").distinct().withColumn("stock", F.lit(START_STOCK))
-    return greedy_consume(ch, start, ["item"], SEQ, "cant", "stock", "req_id")
+    return greedy_consume(ch, start, ["item"], SEQ, "cant", "stock", carry=["cant"])
 
 
 def stock_ledger(t: Tables) -> DataFrame:
     """W2 on the fixture: start stock 300 per part, lineitem rows in SEQ."""
     rows, _ = stock_ledger_rows(t)
-    return stock_changes(t).join(rows, "req_id").select(*IDENT, "item", "cant", "accepted")
+    return rows.select(*IDENT, "item", "cant", "accepted")
 
 
 def stock_ledger_final(t: Tables) -> DataFrame:
@@ -90,11 +90,13 @@ def register_sales(t: Tables, req: DataFrame | None = None, inventory: DataFrame
                                                      F.lit("clienta_no_existe")))).drop("__known")
     ok = r.where(F.col("motivo").isNull())
     start = inventory.select(F.col("id").alias("inventario_id"), "vendedor_id", "stock")
-    rows, final = greedy_consume(ok, start, ["inventario_id", "vendedor_id"], SEQ, "cantidad", "stock", "req_id")
-    rows = rows.select("req_id", F.when(F.col("accepted").isNull(), F.lit("no_pertenece"))
-                       .when(~F.col("accepted"), F.lit("sin_stock")).alias("motivo_stock"))
-    out = r.join(rows, "req_id", "left").withColumn("motivo", F.coalesce("motivo", "motivo_stock")) \
-        .withColumn("aceptada", F.col("motivo").isNull()).drop("motivo_stock")
+    key = ["inventario_id", "vendedor_id"]
+    rows, final = greedy_consume(ok, start, key, SEQ, "cantidad", "stock",
+                                 carry=[c for c in r.columns if c not in key + SEQ])
+    folded = rows.withColumn("motivo", F.when(F.col("accepted").isNull(), F.lit("no_pertenece"))
+                             .when(~F.col("accepted"), F.lit("sin_stock"))).drop("accepted")
+    out = r.where(F.col("motivo").isNotNull()).unionByName(folded) \
+        .withColumn("aceptada", F.col("motivo").isNull())
     new_stock = inventory.join(final.withColumnRenamed("stock", "nuevo_stock")
                                .withColumnRenamed("inventario_id", "id"), ["id", "vendedor_id"], "left") \
         .withColumn("stock", F.coalesce("nuevo_stock", "stock")).drop("nuevo_stock")
@@ -144,13 +146,13 @@ def instalment_fold(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     req = instalment_requests(t).join(sales.select("venta_id"), "venta_id")
     ch = req.withColumn("cents", (F.col("monto") * 100).cast("long"))
     start = sales.select("venta_id", (F.col("saldo_restante") * 100).cast("long").alias("cents"))
-    rows, final = greedy_consume(ch, start, ["venta_id"], SEQ, "cents", "cents", "req_id")
+    rows, final = greedy_consume(ch, start, ["venta_id"], SEQ, "cents", "cents", carry=["monto"])
     return req, rows, final
 
 
 def instalment_ledger(t: Tables) -> DataFrame:
-    req, rows, _ = instalment_fold(t)
-    return req.join(rows, "req_id").select(*IDENT, "venta_id", money("monto").alias("monto"), "accepted")
+    _, rows, _ = instalment_fold(t)
+    return rows.select(*IDENT, "venta_id", money("monto").alias("monto"), "accepted")
 
 
 def instalment_sale_state(t: Tables) -> DataFrame:
@@ -162,8 +164,8 @@ def instalment_sale_state(t: Tables) -> DataFrame:
 
 def instalment_client_balance(t: Tables) -> DataFrame:
     """Each client's balance falls by the instalments accepted."""
-    req, rows, _ = instalment_fold(t)
-    paid = req.join(rows.where(F.col("accepted")), "req_id") \
+    _, rows, _ = instalment_fold(t)
+    paid = rows.where(F.col("accepted")) \
         .join(t.credit_sales().select("venta_id", "clienta_id"), "venta_id") \
         .groupBy("clienta_id").agg(F.sum("monto").alias("pagado"))
     c = t.clients()

@@ -27,7 +27,7 @@ def sale_requests(t: Tables) -> DataFrame:
     sid = (k * 100000 + s) * 1000000 + p
     total = F.col("l_extendedprice").cast(MONEY)
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        *SEQ, req_id().alias("req_id"),
+        *SEQ,
         s.alias("vendedor_id"), (s * 1000000 + p).alias("inventario_id"),
         F.when(sid % 50 == 0, F.lit(0)).otherwise(F.col("l_quantity").cast("int")).alias("cantidad"),
         F.when(sid % 60 == 0, F.lit(None).cast(MONEY))
@@ -44,14 +44,14 @@ def sale_requests(t: Tables) -> DataFrame:
 
 def stock_changes(t: Tables) -> DataFrame:
     """Every lineitem row takes l_quantity units of item l_partkey."""
-    return t.read("lineitem").select(*SEQ, req_id().alias("req_id"), F.col("l_partkey").alias("item"),
+    return t.read("lineitem").select(*SEQ, F.col("l_partkey").alias("item"),
                                      F.col("l_quantity").cast("int").alias("cant"))
 
 
 def instalment_requests(t: Tables) -> DataFrame:
     """instalments = lineitem rows of open orders, amount = extended price."""
     li = t.read("lineitem")
-    return li.select(*SEQ, req_id().alias("req_id"), F.col("l_orderkey").alias("venta_id"),
+    return li.select(*SEQ, F.col("l_orderkey").alias("venta_id"),
                      F.col("l_extendedprice").cast(MONEY).alias("monto"))
 
 
@@ -59,7 +59,7 @@ def admission_requests(t: Tables) -> DataFrame:
     """Every lineitem row asks to add part l_partkey to vendor l_suppkey's
     inventory (distinct pairs plus repeats), in SEQ order."""
     return t.read("lineitem").select(
-        *SEQ, req_id().alias("req_id"), F.col("l_suppkey").alias("vendedor_id"),
+        *SEQ, F.col("l_suppkey").alias("vendedor_id"),
         F.col("l_partkey").alias("producto_maestro_id"), F.col("l_quantity").cast("int").alias("stock"),
         F.col("l_extendedprice").cast(MONEY).alias("precio_personalizado"))
 
@@ -83,7 +83,7 @@ def inventory_patch_requests(t: Tables) -> DataFrame:
     k, s, p = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_partkey")
     even = k % 2 == 0
     return t.read("lineitem").select(
-        *SEQ, req_id().alias("req_id"), (s * 1000000 + p).alias("id"),
+        *SEQ, (s * 1000000 + p).alias("id"),
         F.when(F.col("l_linenumber") == 6, s + 1).otherwise(s).alias("vendedor_id"),
         F.when(even, F.lit(None).cast("int")).otherwise(F.col("l_quantity").cast("int")).alias("stock"),
         F.when(even, F.col("l_extendedprice").cast(MONEY)).otherwise(F.lit(None).cast(MONEY))

@@ -60,6 +60,19 @@ class SnapshotTables(Tables):
             return lambda: self.read(name)
         raise AttributeError(name)
 
+    def inventory_raw(self) -> DataFrame:
+        """Before the unique constraint the raw table is the table itself."""
+        return self.read("inventory")
+
+    def credit_sales(self) -> DataFrame:
+        """Open credit sales: the instalment ledger's snapshot."""
+        return (self.read("sales").where(F.col("estado_pago") == "EN_ABONOS")
+                .select(F.col("id").alias("venta_id"), "clienta_id", "saldo_restante"))
+
+    def billing(self) -> DataFrame:
+        """Stored webhook events (event_id, ts, user_id, type, object)."""
+        return self.read("billing_events")
+
 
 class FixtureTables(Tables):
     """Application tables derived from the driver's parquet tables."""
