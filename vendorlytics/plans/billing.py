@@ -52,6 +52,12 @@ OBJECT_SCHEMA = (
     "price: struct<id: string>, plan: struct<id: string>>>>")
 
 
+def _epoch_ntz(seconds) -> F.Column:
+    """Epoch seconds as a wall-clock UTC timestamp, whatever the session
+    time zone (``timestamp_seconds`` would be shifted by a cast to NTZ)."""
+    return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def _id_of(ref) -> F.Column:
     """A provider reference that is either "id" or {"id": ...}."""
     return F.when(ref.startswith("{"), F.get_json_object(ref, "$.id")).otherwise(ref)
@@ -59,7 +65,7 @@ def _id_of(ref) -> F.Column:
 
 def plan_from_price(price_id, price_plans: dict = PRICE_PLANS) -> F.Column:
     """Price id -> plan ('mini' when unknown or missing)."""
-    return F.coalesce(F.element_at(_lit_map(price_plans), price_id), F.lit(DEFAULT_PLAN))
+    return F.coalesce(F.try_element_at(_lit_map(price_plans), price_id), F.lit(DEFAULT_PLAN))
 
 
 # -- B1 -------------------------------------------------------------------
@@ -84,7 +90,7 @@ def parse_events(ev: DataFrame) -> DataFrame:
         "event_id", "ts", "user_id", "type",
         F.when(~subscription, _id_of(F.col("o.customer"))).alias("customer_id"),
         sub_id.alias("subscription_id"),
-        F.timestamp_seconds(period_line["period"]["end"]).cast("timestamp_ntz").alias("period_end"),
+        _epoch_ntz(period_line["period"]["end"]).alias("period_end"),
         price.alias("price_id"),
         F.when(checkout, F.col("o.payment_status")).alias("payment_status"),
         F.when(checkout, F.col("o.metadata.pago_id")).alias("pago_id"),
@@ -201,8 +207,8 @@ def fold_inputs(t: Tables, events: DataFrame | None = None, users: DataFrame | N
         F.coalesce(F.lower(F.col("customer_email")) == F.col("u_mail"), F.lit(False)).alias("email_ok"),
         "period_end", plan_from_price(F.col("price_id")).alias("plan"),
         F.coalesce(F.col("payment_status").isin(*PAID_STATUSES), F.lit(False)).alias("pay_ok"),
-        F.element_at(_lit_map(UPDATED_STATUS_MAP), F.col("status")).alias("mapped"),
-        F.col("pago_id").cast("bigint").alias("pago_id"))
+        F.try_element_at(_lit_map(UPDATED_STATUS_MAP), F.col("status")).alias("mapped"),
+        F.col("pago_id").try_cast("bigint").alias("pago_id"))
     init = users.select(F.col("id").alias("uid"), F.col("suscripcion_estado").alias("estado"),
                         F.col("suscripcion_plan").alias("plan"),
                         (F.col("suscripcion_inicio") if "suscripcion_inicio" in users.columns

@@ -269,7 +269,7 @@ def upload_manifest_check(t: Tables) -> DataFrame:
     """Allowed content type (400), 0 < size <= 5 MiB (413); the object
     key is uploads/<user>/<request id><ext>."""
     r = upload_requests(t)
-    ext = F.element_at(_lit_map(UPLOAD_TYPES), F.col("content_type"))
+    ext = F.try_element_at(_lit_map(UPLOAD_TYPES), F.col("content_type"))
     status = (F.when(ext.isNull(), 400)
               .when(F.col("size").isNull() | (F.col("size") <= 0) | (F.col("size") > MAX_UPLOAD_BYTES), 413)
               .otherwise(200))
@@ -296,9 +296,9 @@ def payment_errors(t: Tables) -> DataFrame:
 
 def classify_payment_error(tipo, codigo) -> F.Column:
     """Message class of a failure: card codes first, then the error type."""
-    return (F.when(tipo == "card_error", F.coalesce(F.element_at(_lit_map(CARD_CODE_CLASS), codigo),
+    return (F.when(tipo == "card_error", F.coalesce(F.try_element_at(_lit_map(CARD_CODE_CLASS), codigo),
                                                     F.lit(CARD_OTHER_CLASS)))
-            .otherwise(F.coalesce(F.element_at(_lit_map(ERROR_TYPE_CLASS), tipo), F.lit(GENERIC_CLASS))))
+            .otherwise(F.coalesce(F.try_element_at(_lit_map(ERROR_TYPE_CLASS), tipo), F.lit(GENERIC_CLASS))))
 
 
 def payment_error_summary(t: Tables) -> DataFrame:

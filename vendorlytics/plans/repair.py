@@ -170,7 +170,7 @@ def data_uri_objects(t: Tables, public_url: str = PUBLIC_URL) -> DataFrame:
     mime = F.regexp_extract("valor", DATA_URI, 1)
     payload = F.regexp_extract("valor", DATA_URI, 2)
     parsed = s.where(F.col("valor").rlike(DATA_URI)).select("tabla", "id", mime.alias("mime"),
-                                                             F.unbase64(payload).alias("bytes"))
+                                                             F.try_to_binary(payload, F.lit("base64")).alias("bytes"))
     ext = F.regexp_replace(F.split_part("mime", F.lit("/"), F.lit(2)), "jpeg", "jpg")
     folder = F.when(F.col("tabla") == "catalogo_maestro", F.lit(FOLDERS["catalogo_maestro"])) \
         .otherwise(F.lit(FOLDERS["usuarios"]))

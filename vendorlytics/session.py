@@ -18,7 +18,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.ansi.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -44,8 +43,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
-        spark.conf.set(k, conf[k])
+    spark.conf.set("spark.sql.session.timeZone", conf["spark.sql.session.timeZone"])
     return spark
 
 

@@ -120,7 +120,7 @@ def latest_version(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).agg(F.max("v")).first()[0]
 
 
-def billing_stream_state(t: Tables, chunks: int = 4) -> DataFrame:
+def billing_stream_state(t: Tables, chunks: int = 3) -> DataFrame:
     """B8 end to end on the fixture: events land in ``chunks`` files (one
     chunk delivered twice), the stream folds them, the final user state is
     returned. Equals the batch fold B5 (``subscription_state``)."""
