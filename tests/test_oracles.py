@@ -7,6 +7,8 @@ from tests.conftest import SMALL
 from tools.oracle_check import TABLES, rows_of
 from vendorlytics import registry
 
+DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 QUERIES = registry.queries()
 ORACLES = registry.oracle_sql()
 
@@ -26,6 +28,11 @@ def test_query_matches_oracle(spark, duck, name):
     if name not in ORACLES:
         assert len(df.columns) > 0
         return
+    rel = duck.sql(ORACLES[name])
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        assert DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString().upper()) == types.get(f.name), \
+            (f.name, f.dataType.simpleString(), types.get(f.name))
     cur = duck.execute(ORACLES[name])
     drows = cur.fetchall()
     sc, sr = rows_of(df.columns, srows)

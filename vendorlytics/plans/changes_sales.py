@@ -99,7 +99,7 @@ def register_sales(t: Tables, req: DataFrame | None = None, inventory: DataFrame
         .withColumn("aceptada", F.col("motivo").isNull())
     new_stock = inventory.join(final.withColumnRenamed("stock", "nuevo_stock")
                                .withColumnRenamed("inventario_id", "id"), ["id", "vendedor_id"], "left") \
-        .withColumn("stock", F.coalesce("nuevo_stock", "stock")).drop("nuevo_stock")
+        .withColumn("stock", F.coalesce("nuevo_stock", "stock").cast("int")).drop("nuevo_stock")
     return out, new_stock
 
 

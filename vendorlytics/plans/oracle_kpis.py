@@ -15,13 +15,13 @@ _SALES_PRODUCTS = """v_sales v JOIN v_inventory iv ON v.inventario_id = iv.id
  JOIN v_products cm ON iv.producto_maestro_id = cm.id"""
 
 _TOP = f"""top AS (SELECT * FROM (SELECT vendedor_id, nombre, total_vendido,
-  row_number() OVER (PARTITION BY vendedor_id ORDER BY total_vendido DESC, nombre ASC) AS ord
+  CAST(row_number() OVER (PARTITION BY vendedor_id ORDER BY total_vendido DESC, nombre ASC) AS INTEGER) AS ord
   FROM (SELECT v.vendedor_id, cm.nombre, CAST(SUM(v.cantidad) AS INTEGER) AS total_vendido
         FROM {_SALES_PRODUCTS} GROUP BY v.vendedor_id, cm.nombre)) WHERE ord <= 3)"""
 
 _RECENT = f"""rec AS (SELECT * FROM (SELECT v.vendedor_id, v.id, v.cantidad, CAST(v.precio_total AS DOUBLE) AS total,
   strftime(v.fecha, '%d/%m/%Y %H:%M') AS fecha, cm.nombre AS producto_nombre, cm.ruta_imagen AS imagen,
-  row_number() OVER (PARTITION BY v.vendedor_id ORDER BY v.fecha DESC, v.id DESC) AS ord
+  CAST(row_number() OVER (PARTITION BY v.vendedor_id ORDER BY v.fecha DESC, v.id DESC) AS INTEGER) AS ord
   FROM {_SALES_PRODUCTS}) WHERE ord <= 5)"""
 
 _DUE_WHERE = "saldo_pendiente > 0 AND fecha_proximo_pago <= DATE '2001-08-01'"
@@ -85,9 +85,9 @@ SELECT u.id AS vendedor_id, {_K1_COLS},
    AS ultimas_ventas,
  COALESCE((SELECT string_agg(strftime(dia, '%d %b'), '|' ORDER BY dia) FROM d7 WHERE d7.vendedor_id = u.id), '')
    AS dias,
- (SELECT COUNT(*) FROM d7 WHERE d7.vendedor_id = u.id) AS n_dias,
+ CAST((SELECT COUNT(*) FROM d7 WHERE d7.vendedor_id = u.id) AS INTEGER) AS n_dias,
  COALESCE((SELECT string_agg(strftime(m, '%B'), '|' ORDER BY m) FROM mo WHERE mo.vendedor_id = u.id), '') AS meses,
- COALESCE(yr.ny, 0) AS n_anios,
+ CAST(COALESCE(yr.ny, 0) AS INTEGER) AS n_anios,
  CAST(COALESCE(due.c, 0) AS INTEGER) AS cobros_hoy
 FROM v_users u LEFT JOIN s ON u.id = s.vendedor_id LEFT JOIN inv ON u.id = inv.vendedor_id
  LEFT JOIN yr ON u.id = yr.vendedor_id LEFT JOIN due ON u.id = due.vendedor_id""",

@@ -72,7 +72,7 @@ UNION ALL SELECT 'usuarios', id, nombre, json_extract_string(personalizacion, '$
 FROM src GROUP BY tabla""",
 
     "data_uri_extract": f"""WITH {_OBJ}
-SELECT k.tabla, k.id, k.mime, octet_length(k.bytes) AS n_bytes, k.storage_key,
+SELECT k.tabla, k.id, k.mime, CAST(octet_length(k.bytes) AS INTEGER) AS n_bytes, k.storage_key,
  'https://assets.example/' || k.storage_key AS url,
  'https://assets.example/' || k.storage_key AS logo,
  CASE WHEN k.tabla = 'usuarios' THEN json_extract_string(u.personalizacion, '$.accent_color') END AS accent_color,
