@@ -8,7 +8,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlytics.functions.formats import digits_only, money, nonempty, slugify
+from vendorlytics.functions.formats import digits_only, nonempty, slugify
 from vendorlytics.operators.admission import quota_fill, quota_ok, unique_claims
 from vendorlytics.sources.tables import AS_OF, Tables
 
