@@ -3,11 +3,12 @@
 B8: webhook bodies land as JSON files; ``readStream`` with an explicit
 schema -> event-time watermark -> ``dropDuplicatesWithinWatermark`` on the
 event id (the provider retries, so deliveries are at-least-once) ->
-``foreachBatch`` that folds the micro-batch into the per-user state and
-writes the next state version. A version is written as
-``<state>/v=<batch_id>`` from version ``batch_id - 1``, so a replayed batch
-rewrites the same version: the sink is idempotent and the job survives
-executor or driver loss through the checkpoint.
+``foreachBatch`` that folds the micro-batch into the per-user state. State
+is merge-on-read: each batch writes only the rows it changed as
+``delta/v=<batch_id>``, computed from version ``batch_id - 1``, and every
+few batches a compacted ``base`` is written. A replayed batch rewrites the
+same files: the sink is idempotent and the job survives executor or driver
+loss through the streaming checkpoint.
 
 B9: the same source counted per key in clock-aligned 15-minute windows
 with a watermark; ``update`` output merged per batch, so every window's
@@ -86,22 +87,56 @@ def apply_batch(t: Tables, events: DataFrame, users: DataFrame, payments: DataFr
     return new_users, new_pay
 
 
+COMPACT_EVERY = 8
+
+
+def _base_of(v: int, every: int) -> int:
+    """Last compacted version at or before ``v`` (-1 = the initial state)."""
+    return ((v + 1) // every) * every - 1
+
+
+def read_state(spark: SparkSession, root: str, v: int, every: int) -> DataFrame:
+    """State after version ``v``: the last compacted base plus the deltas
+    written since (latest row per id wins). Deltas are few and small, so the
+    anti-join against the base is planned with Spark's size check."""
+    b = _base_of(v, every)
+    base = spark.read.parquet(f"{root}/base/b={b}")
+    if v == b:
+        return base
+    cols = base.columns
+    deltas = spark.read.parquet(f"{root}/delta").where((F.col("v") > b) & (F.col("v") <= v))
+    latest = deltas.groupBy("id").agg(F.max_by(F.struct(*cols), "v").alias("r")).select("r.*")
+    return base.join(latest.select("id"), "id", "left_anti").unionByName(latest)
+
+
 def run_billing_stream(t: Tables, source: str, state: str, lateness: str = "1 day",
                        max_files_per_trigger: int = 1, users: DataFrame | None = None,
-                       payments: DataFrame | None = None) -> int:
-    """Process every file in ``source``; returns the last version."""
+                       payments: DataFrame | None = None, compact_every: int = COMPACT_EVERY) -> int:
+    """Process every file in ``source``; returns the last version.
+
+    Merge-on-read state: a micro-batch writes only the users and pagos it
+    changed (``delta/v=<batch_id>``); every ``compact_every`` batches the
+    whole state is rewritten as a new base. Every write is keyed by the batch
+    id and computed from the previous version only, so a replayed batch
+    rewrites identical files."""
     spark = t.spark
     u0, p0 = _initial_state(t, users, payments)
-    u0.write.mode("overwrite").parquet(f"{state}/users/v=-1")
-    p0.write.mode("overwrite").parquet(f"{state}/payments/v=-1")
+    u0.write.mode("overwrite").parquet(f"{state}/users/base/b=-1")
+    p0.write.mode("overwrite").parquet(f"{state}/payments/base/b=-1")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        prev_u = spark.read.parquet(f"{state}/users/v={batch_id - 1}")
-        prev_p = spark.read.parquet(f"{state}/payments/v={batch_id - 1}")
+        prev_u = read_state(spark, f"{state}/users", batch_id - 1, compact_every)
+        prev_p = read_state(spark, f"{state}/payments", batch_id - 1, compact_every)
         ev = batch.select("event_id", "ts", "user_id", "type", "object")
         new_u, new_p = apply_batch(t, ev, prev_u, prev_p)
-        new_u.write.mode("overwrite").parquet(f"{state}/users/v={batch_id}")
-        new_p.write.mode("overwrite").parquet(f"{state}/payments/v={batch_id}")
+        if _base_of(batch_id, compact_every) == batch_id:
+            new_u.write.mode("overwrite").parquet(f"{state}/users/base/b={batch_id}")
+            new_p.write.mode("overwrite").parquet(f"{state}/payments/base/b={batch_id}")
+        else:
+            new_u.subtract(prev_u).write.mode("overwrite").parquet(f"{state}/users/delta/v={batch_id}")
+            new_p.subtract(prev_p).write.mode("overwrite").parquet(f"{state}/payments/delta/v={batch_id}")
+        spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite") \
+            .parquet(f"{state}/_versions/v={batch_id}")
 
     stream = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("timestampNTZFormat", TS_FORMAT).json(source)
@@ -111,24 +146,28 @@ def run_billing_stream(t: Tables, source: str, state: str, lateness: str = "1 da
     q = (stream.writeStream.foreachBatch(merge).trigger(availableNow=True)
          .option("checkpointLocation", f"{state}/_checkpoint").start())
     q.awaitTermination()
-    return latest_version(spark, f"{state}/users")
+    return latest_version(spark, state)
 
 
-def latest_version(spark: SparkSession, path: str) -> int:
+def latest_version(spark: SparkSession, state: str) -> int:
     """Highest committed state version (also after a restart that found no
-    new files, when no batch ran in this process)."""
-    return spark.read.parquet(path).agg(F.max("v")).first()[0]
+    new files, when no batch ran in this process); -1 before any batch."""
+    try:
+        return spark.read.parquet(f"{state}/_versions").agg(F.max("v")).first()[0]
+    except Exception:  # noqa: BLE001 - no batch committed yet
+        return -1
 
 
-def billing_stream_state(t: Tables, chunks: int = 3) -> DataFrame:
+def billing_stream_state(t: Tables, chunks: int = 3, compact_every: int = 2) -> DataFrame:
     """B8 end to end on the fixture: events land in ``chunks`` files (one
     chunk delivered twice), the stream folds them, the final user state is
-    returned. Equals the batch fold B5 (``subscription_state``)."""
+    returned. Equals the batch fold B5 (``subscription_state``). Compaction
+    every 2 batches here, so both deltas and bases are exercised."""
     spark = t.spark
     src, state = scratch(spark, "billing-src"), scratch(spark, "billing-state")
     write_event_files(t.billing(), src, chunks, duplicate_chunks=(1,))
-    v = run_billing_stream(t, src, state)
-    users = spark.read.parquet(f"{state}/users/v={v}")
+    v = run_billing_stream(t, src, state, compact_every=compact_every)
+    users = read_state(spark, f"{state}/users", v, compact_every)
     return users.select("id", "suscripcion_estado", "suscripcion_plan", "suscripcion_inicio", "suscripcion_fin",
                         "stripe_subscription_id", "stripe_customer_id")
 
