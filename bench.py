@@ -36,7 +36,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     reps = int(os.environ.get("BENCH_REPS", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus)
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_PARTITIONS", cpus)))
     qs = registry.queries()
     times = {}
     for name in names:

@@ -186,49 +186,49 @@ def receivables_due_count(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) ->
     return out.select("vendedor_id", F.col("count").cast("int").alias("count"))
 
 
-def _list(df: DataFrame, order_cols: list[str], fields: list[str], name: str) -> DataFrame:
-    """Per-vendor ordered list of structs; used only for bounded lists."""
-    return (df.groupBy("vendedor_id")
-            .agg(F.sort_array(F.collect_list(F.struct(*order_cols, *fields))).alias(name)))
-
-
 def vendor_dashboard(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataFrame:
     """One dashboard document per vendor.
 
-    Lists are bounded by construction: top 3, last 5, at most 8 days, 12
-    months and one entry per year. The due-client list (K10) is not bounded
-    per vendor, so the document carries its count and K10 stays a table.
+    The parts (summary, alerts, inventory value, top products, last sales,
+    daily/monthly/yearly charts, due-client count) are unioned into one
+    frame and assembled by a single ``groupBy(vendor)``: one shuffle instead
+    of a join per part. Lists are bounded by construction (top 3, last 5,
+    8 days, 12 months, one entry per year); the due-client list (K10) is not
+    bounded per vendor, so the document carries its count and K10 stays a
+    table.
     """
     rollup, per_item = sales_rollups(t, vendor_id)
     summary = sales_summary(t, as_of, vendor_id, rollup)
-    resumen = summary.select("vendedor_id", F.struct(*[c for c in summary.columns if c != "vendedor_id"])
-                             .alias("resumen"))
     inv = with_all_vendors(t, _inventory_counts(t, vendor_id),
                            {"productos_criticos": 0, "total_productos": 0, "valor_total": 0}, vendor_id)
-    inv = inv.select("vendedor_id",
-                     F.struct(F.col("productos_criticos").cast("int").alias("productos_criticos")).alias("alertas"),
-                     F.struct(F.col("total_productos").cast("int").alias("total_productos"),
-                              money("valor_total").alias("valor_total")).alias("inventario"))
-    top = _list(top_products(t, vendor_id, per_item=per_item), ["ord"], ["nombre", "total_vendido"], "top_productos")
-    recent = _list(recent_sales(t, vendor_id), ["ord"],
-                   ["id", "cantidad", "total", "fecha", "producto_nombre", "imagen"], "ultimas_ventas")
-    daily = _list(daily_revenue_7d(t, as_of, vendor_id, rollup), ["dia"], ["etiqueta", "total"], "grafica_reciente")
-    monthly = _list(monthly_revenue_ytd(t, as_of, vendor_id, rollup), ["mes_inicio"], ["mes", "total"],
-                    "grafica_mensual")
-    yearly = _list(yearly_revenue(t, as_of, vendor_id, rollup), ["anio"], ["total"], "grafica_anual")
-    due = receivables_due_count(t, as_of, vendor_id).select("vendedor_id", F.col("count").alias("cobros_hoy"))
-    doc = resumen.join(inv, "vendedor_id")
-    for part in (top, recent, daily, monthly, yearly):
-        doc = doc.join(part, "vendedor_id", "left")
-    doc = doc.join(due, "vendedor_id")
-    empty = F.array()
-    return doc.select("vendedor_id", "resumen", "alertas",
-                      F.coalesce("top_productos", empty).alias("top_productos"), "inventario",
-                      F.coalesce("ultimas_ventas", empty).alias("ultimas_ventas"),
-                      F.coalesce("grafica_reciente", empty).alias("grafica_reciente"),
-                      F.coalesce("grafica_mensual", empty).alias("grafica_mensual"),
-                      F.coalesce("grafica_anual", empty).alias("grafica_anual"),
-                      "cobros_hoy")
+    parts = {
+        "resumen": summary.select("vendedor_id", F.struct(*[c for c in summary.columns if c != "vendedor_id"])),
+        "alertas": inv.select("vendedor_id", F.struct(
+            F.col("productos_criticos").cast("int").alias("productos_criticos"))),
+        "inventario": inv.select("vendedor_id", F.struct(
+            F.col("total_productos").cast("int").alias("total_productos"), money("valor_total").alias("valor_total"))),
+        "top_productos": top_products(t, vendor_id, per_item=per_item).select(
+            "vendedor_id", F.struct("ord", "nombre", "total_vendido")),
+        "ultimas_ventas": recent_sales(t, vendor_id).select(
+            "vendedor_id", F.struct("ord", "id", "cantidad", "total", "fecha", "producto_nombre", "imagen")),
+        "grafica_reciente": daily_revenue_7d(t, as_of, vendor_id, rollup).select(
+            "vendedor_id", F.struct("dia", "etiqueta", "total")),
+        "grafica_mensual": monthly_revenue_ytd(t, as_of, vendor_id, rollup).select(
+            "vendedor_id", F.struct("mes_inicio", "mes", "total")),
+        "grafica_anual": yearly_revenue(t, as_of, vendor_id, rollup).select(
+            "vendedor_id", F.struct("anio", "total")),
+        "cobros_hoy": receivables_due_count(t, as_of, vendor_id).select("vendedor_id", F.col("count")),
+    }
+    types = {name: df.schema.fields[1].dataType for name, df in parts.items()}
+    aligned = None
+    for name, df in parts.items():
+        cols = [F.col(df.columns[1]).alias(n) if n == name else F.lit(None).cast(types[n]).alias(n) for n in parts]
+        d = df.select("vendedor_id", *cols)
+        aligned = d if aligned is None else aligned.unionByName(d)
+    lists = {"top_productos", "ultimas_ventas", "grafica_reciente", "grafica_mensual", "grafica_anual"}
+    aggs = [F.sort_array(F.collect_list(n)).alias(n) if n in lists else F.first(n, ignorenulls=True).alias(n)
+            for n in parts]
+    return aligned.groupBy("vendedor_id").agg(*aggs)
 
 
 def vendor_dashboard_flat(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataFrame:
