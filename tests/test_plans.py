@@ -16,11 +16,29 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def unpartitioned_windows(plan: str) -> list[str]:
+    """Window specs without PARTITION BY (they run in a single task): their
+    first item is a sort order or the frame itself."""
+    bad = []
+    for part in plan.split("windowspecdefinition(")[1:]:
+        first = part.split(", ")[0]
+        if " ASC" in first or " DESC" in first or first.startswith("specifiedwindowframe"):
+            bad.append(first)
+    return bad
+
+
+def test_detector_sees_an_unpartitioned_window(spark):
+    from pyspark.sql import Window, functions as F
+    df = spark.range(5).withColumn("r", F.row_number().over(Window.orderBy("id")))
+    assert unpartitioned_windows(plan_of(df))
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMING))
-def test_no_cross_join_or_row_udf(spark, name):
+def test_no_cross_join_row_udf_or_global_window(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     for op in FORBIDDEN:
         assert op not in plan, f"{name} plans {op}"
+    assert not unpartitioned_windows(plan), f"{name} has a window without PARTITION BY"
 
 
 def test_topk_is_limited_before_the_shuffle(spark):
