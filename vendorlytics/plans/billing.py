@@ -277,7 +277,7 @@ def _fold_stream(pdf_iter):
         return None if x is None or (not isinstance(x, str) and pd.isna(x)) else x
 
     out = []
-    uid, st, pend, gone, head, settled = None, None, [], set(), 0, []
+    uid, st, pend, live, gone, head, settled = None, None, [], set(), set(), 0, []
 
     def flush():
         if uid is not None:
@@ -289,13 +289,14 @@ def _fold_stream(pdf_iter):
         for r in pdf.to_dict("records"):
             if r["uid"] != uid:
                 flush()
-                uid, st, pend, gone, head, settled = r["uid"], None, [], set(), 0, []
+                uid, st, pend, live, gone, head, settled = r["uid"], None, [], set(), set(), 0, []
             kind = r["kind"]
             if kind == 0:
                 st = {k: val(r["s_" + k]) for k in _STATE_FIELDS}
                 continue
             if kind == 1:
                 pend.append(int(r["pago_id"]))
+                live.add(int(r["pago_id"]))
                 continue
             e = {k: val(r[k]) for k in _EV_FIELDS}
             sid, cid, typ = e["subscription_id"], e["customer_id"], e["type"]
@@ -316,10 +317,12 @@ def _fold_stream(pdf_iter):
                 st["estado"] = e["mapped"]
             while head < len(pend) and pend[head] in gone:
                 head += 1
-            if chk_paid and e["pago_id"] is not None and int(e["pago_id"]) in set(pend) - gone:
+            if chk_paid and e["pago_id"] is not None and int(e["pago_id"]) in live:
+                live.discard(int(e["pago_id"]))
                 gone.add(int(e["pago_id"]))
                 settled.append((int(e["pago_id"]), int(e["event_id"])))
             elif resolved and head < len(pend):
+                live.discard(pend[head])
                 gone.add(pend[head])
                 settled.append((pend[head], int(e["event_id"])))
             if activate:
