@@ -15,6 +15,7 @@ import importlib
 
 from vendorlytics.registry import MODULES
 from vendorlytics.session import get_session
+from vendorlytics.sources.snapshots import write_version
 from vendorlytics.sources.tables import FixtureTables, SnapshotTables
 
 
@@ -33,10 +34,16 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", default="parquet")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--versioned", action="store_true",
+                    help="write a new snapshot version under --out and switch its pointer")
     a = ap.parse_args(argv)
     spark = get_session(a.master)
     t = FixtureTables(spark, a.tables) if a.fixture else SnapshotTables(spark, a.tables)
-    jobs()[a.query](t).write.mode("overwrite").format(a.format).save(a.out)
+    df = jobs()[a.query](t)
+    if a.versioned:
+        write_version(df, a.out)
+    else:
+        df.write.mode("overwrite").format(a.format).save(a.out)
 
 
 if __name__ == "__main__":
