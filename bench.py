@@ -38,18 +38,25 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_PARTITIONS", cpus)))
     qs = registry.queries()
-    times = {}
+    times, failed = {}, {}
     for name in names:
         def run():
             t0 = time.perf_counter()
             qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t0
-        run()
-        times[name] = round(statistics.median(run() for _ in range(reps)), 3)
-        print(f"# {name}: {times[name]}s", file=sys.stderr)
+        try:
+            run()
+            times[name] = round(statistics.median(run() for _ in range(reps)), 3)
+            print(f"# {name}: {times[name]}s", file=sys.stderr)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the rest
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {failed[name]}", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else None}))
+    out = {"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else None}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
