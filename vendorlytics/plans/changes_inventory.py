@@ -194,8 +194,7 @@ def delete_inventory(t: Tables, req: DataFrame | None = None, snapshot: DataFram
     Requests (id, vendedor_id, seq). Returns (outcome, new inventory,
     removed products)."""
     snap = snapshot if snapshot is not None else delete_snapshot(t)
-    req = req if req is not None else snap.where(F.col("id") % 3 == 0).select(
-        "id", "vendedor_id", F.col("id").alias("seq"))
+    req = req if req is not None else snap.select("id", "vendedor_id", F.col("id").alias("seq"))
     sold = t.sales().groupBy(F.col("inventario_id").alias("id")).agg(F.count(F.lit(1)).alias("ventas"))
     owned = snap.select("id", "vendedor_id", "producto_maestro_id", F.lit(True).alias("owned"))
     first = req.groupBy("id", "vendedor_id").agg(F.min("seq").alias("first_seq"))

@@ -66,9 +66,9 @@ SELECT k.seq, CASE WHEN k.ex OR w.w < k.seq THEN 'correo_registrado' ELSE 'ok' E
 FROM k LEFT JOIN w ON w.email = k.email""",
 
     "user_soft_delete": """SELECT id,
- CASE WHEN id IN (SELECT c_custkey % 130 FROM customer WHERE c_custkey % 10 = 0) THEN 'cancelada' ELSE suscripcion_estado END
+ CASE WHEN id IN (SELECT (c_custkey * 37) % 1000 FROM customer) THEN 'cancelada' ELSE suscripcion_estado END
    AS suscripcion_estado,
- CASE WHEN id IN (SELECT c_custkey % 130 FROM customer WHERE c_custkey % 10 = 0) THEN DATE '2001-08-01' ELSE suscripcion_fin END
+ CASE WHEN id IN (SELECT (c_custkey * 37) % 1000 FROM customer) THEN DATE '2001-08-01' ELSE suscripcion_fin END
    AS suscripcion_fin FROM v_users""",
 
     "client_admission": f"""WITH {_CLIENTS}
@@ -89,7 +89,7 @@ FROM v_clients c LEFT JOIN req r ON r.id = c.id AND r.vendedor_id = c.vendedor_i
     "client_delete": """SELECT c.id, CASE WHEN c.saldo_pendiente > 0 THEN 'saldo_pendiente' ELSE 'eliminada' END AS resultado,
  CAST(CASE WHEN c.saldo_pendiente > 0 THEN 0 ELSE (SELECT COUNT(*) FROM v_sales v WHERE v.clienta_id = c.id) END AS BIGINT)
    AS ventas_desvinculadas
-FROM v_clients c WHERE c.id % 5 = 0""",
+FROM v_clients c""",
 
     "push_subscribe": """WITH e AS (SELECT event_id AS seq, user_id AS vendedor_id,
    'https://push.example/' || CAST(user_id AS VARCHAR) AS endpoint FROM events),

@@ -33,7 +33,7 @@ _PATCH = f"""req AS (SELECT {SEQ}, l_suppkey * 1000000 + l_partkey AS id,
 _DELETE = """snap AS (SELECT id, vendedor_id, producto_maestro_id FROM v_inventory UNION ALL
    SELECT s_suppkey * 1000000 + p_partkey, s_suppkey, p_partkey FROM supplier JOIN part ON p_partkey % 97 = s_suppkey % 97
    WHERE s_suppkey * 1000000 + p_partkey NOT IN (SELECT id FROM v_inventory)),
- req AS (SELECT id, vendedor_id, id AS seq FROM snap WHERE id % 3 = 0),
+ req AS (SELECT id, vendedor_id, id AS seq FROM snap),
  sold AS (SELECT inventario_id AS id, COUNT(*) AS n FROM v_sales GROUP BY 1),
  outc AS (SELECT r.id, r.vendedor_id, r.seq, s.producto_maestro_id, COALESCE(sold.n, 0) AS ventas,
    CASE WHEN COALESCE(sold.n, 0) > 0 THEN 'tiene_ventas' WHEN s.id IS NULL THEN 'no_encontrado' ELSE 'eliminado' END
