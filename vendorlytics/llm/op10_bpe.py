@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorlytics.llm.common import table
+from vendorlytics.llm.common import sub_batches, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -43,7 +43,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # Fixed value: the pattern that splits text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 250_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -176,7 +176,7 @@ class Coder:
         self.labels = automaton.labels
 
     def one(self, w: str) -> bytes:
-        if len(self.table) > 4 * CACHE_ENTRIES:
+        if len(self.table) > 2 * CACHE_ENTRIES:
             self.table.clear()
         return struct.pack(f"<{len(path := self.automaton.word(w.encode(), self.table))}I", *path)
 
@@ -225,42 +225,44 @@ def worker_coder(automaton: Automaton) -> Coder:
     return coder
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"column {name} exists already")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
-
-
-def _mapped(df: DataFrame, column: str, name: str, kind: T.DataType, arrow_kind: str, method: str, automaton: Automaton):
+def _mapped(df: DataFrame, column: str, steps: list[tuple[str, str]], automaton: Automaton) -> DataFrame:
+    """``steps``: (output name, "encode" or "decode"), each on the one before."""
+    clash = {name for name, _ in steps} & set(df.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    kinds = {"encode": T.BinaryType(), "decode": T.StringType()}
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, kinds[what]) for name, what in steps)])
     shared = df.sparkSession.sparkContext.broadcast(automaton)  # bounded by the vocabulary
 
     def run(batches):
         import pyarrow as pa
 
-        f = getattr(worker_coder(shared.value), method)
+        coder = worker_coder(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out = [f(x) if x is not None else f("" if method == "encode" else b"") for x in part.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, getattr(pa, arrow_kind)())], names=[*part.schema.names, name])
+            for part in sub_batches(batch, column, 1 << 20):
+                values, added = part.column(column).to_pylist(), []
+                for _, what in steps:
+                    f, empty = getattr(coder, what), "" if what == "encode" else b""
+                    values = [f(empty if x is None else x) for x in values]
+                    added.append(pa.array(values, pa.binary() if what == "encode" else pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.names)
 
-    return df.mapInArrow(run, _with(df, name, kind))
+    return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, automaton: Automaton, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the ids of every text as little-endian unsigned 32-bit integers."""
-    return _mapped(df, text, out, T.BinaryType(), "binary", "encode", automaton)
+    return _mapped(df, text, [(out, "encode")], automaton)
 
 
 def decode(df: DataFrame, automaton: Automaton, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text that the ids stand for (invalid UTF-8 is replaced)."""
-    return _mapped(df, ids, out, T.StringType(), "string", "decode", automaton)
+    return _mapped(df, ids, [(out, "decode")], automaton)
 
 
 def encode_decode(df: DataFrame, path: str = TOKENIZER, text: str = "text") -> DataFrame:
-    """Both directions, adding ``ids`` and ``decoded``."""
-    automaton = Automaton.load(path)
-    return decode(encode(df, automaton, text), automaton)
+    """Both directions in one pass, adding ``ids`` and ``decoded``."""
+    return _mapped(df, text, [("ids", "encode"), ("decoded", "decode")], Automaton.load(path))
 
 
 def digest(df: DataFrame) -> DataFrame:
