@@ -157,19 +157,19 @@ WITH RECURSIVE recipe(i, name, w) AS (
 ), st AS (
   SELECT list(w ORDER BY i) AS w, list(coalesce(n, 0) ORDER BY i) AS n
   FROM recipe LEFT JOIN (SELECT i, (count(*) + {BLOCK - 1}) // {BLOCK} AS n FROM d GROUP BY i) c USING (i)
-), run(slot, phase, at, k, done, pick, blk, rel, due) AS (
+), run(slot, phase, base, k, done, pick, blk, rel, due) AS (
   SELECT -1, 0, 0, [0 for x in w], [0 for x in w], 0, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM st
   UNION ALL
   SELECT slot + 1,
          CASE WHEN ended THEN phase + 1 ELSE phase END,
-         CASE WHEN ended THEN slot + 2 ELSE at END,
+         CASE WHEN ended THEN slot + 2 ELSE base END,
          CASE WHEN ended THEN [0 for x in w] ELSE [k[x] + (x = p)::INT for x in range(1, len(w) + 1)] END,
          [done[x] + (x = p)::INT for x in range(1, len(w) + 1)],
-         p, done[p]::BIGINT, (at + k[p] * q // w[p])::BIGINT, (at + ((k[p] + 1) * q + w[p] - 1) // w[p])::BIGINT
+         p, done[p]::BIGINT, (base + k[p] * q // w[p])::BIGINT, (base + ((k[p] + 1) * q + w[p] - 1) // w[p])::BIGINT
   FROM (
     SELECT *, done[p] + 1 = n[p] AS ended FROM (
       SELECT *, (list_min([((k[x] + 1) * q + w[x] - 1) // w[x] * 1000 + x for x in range(1, len(w) + 1)
-                           if done[x] < n[x] AND k[x] * q // w[x] <= slot + 1 - at]) % 1000)::INT AS p
+                           if done[x] < n[x] AND k[x] * q // w[x] <= slot + 1 - base]) % 1000)::INT AS p
       FROM (
         SELECT run.*, w, n, list_sum([w[x] for x in range(1, len(w) + 1) if done[x] < n[x]])::BIGINT AS q
         FROM run, st WHERE list_sum(done) < list_sum(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["op1_mixing", "op4_lines", "op6_quality", "op10_bpe"]
+MODULES = ["op1_mixing", "op4_lines", "op5_jaccard", "op6_quality", "op10_bpe"]
 
 
 def _collect(kind: str) -> dict:
