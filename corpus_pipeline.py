@@ -2,32 +2,54 @@
 
 1. quality classifier (6): documents with a predicted label of 0 go.
 2. line dedup (4): repeated lines stay in the smallest doc_id only.
-3. n-gram Jaccard join (5): of each near-duplicate group the smallest doc_id stays.
+3. n-gram Jaccard join (5): of each near-duplicate group the smallest doc_id
+   stays; of several rows with that doc_id, the one with the smallest text hash.
 4. mixing (1): rows are put in the order of the weighted mix.
-5. BPE (10): token ids, with a digest of the decoded text.
+5. BPE (10): number of tokens, digests of the ids and of the decoded text.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last
-return the columns of documents; a filtering stage keeps whole rows, and line
-dedup sets ``n_chars`` to the new text's length.
+return the columns of documents; line dedup sets ``n_chars`` to the new
+text's length. Rows without words link with nothing and stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vendorlytics.llm import op10_bpe
+from vendorlytics.llm import op1_mixing, op4_lines, op5_jaccard, op6_quality, op10_bpe
 from vendorlytics.llm.common import Scratch, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return op6_quality.classify(docs, labels).where("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = op4_lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5_jaccard.first_of_groups(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op1_mixing.mix(docs, op1_mixing.RECIPE, op1_mixing.REST_WEIGHT).orderBy("position").select(*docs.columns)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op10_bpe.digest(op10_bpe.encode_decode(docs.select("doc_id", "text")))
 
 
-STAGES = [("bpe", tokenize)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("bpe", tokenize)]
 
-# The classifier and the near-duplicate join can't be written in SQL;
-# tests/llm/test_pipeline.py holds run() against a brute-force version.
+# The classifier and the near-duplicate join can't be written in SQL over
+# whole tables; tests/llm/test_pipeline.py holds run() to a brute-force version.
 ORACLE_SQL = None
 
 

@@ -43,8 +43,8 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IP_VALID = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
-CANDIDATE = r"(?:(?<![^ \t-\r])|\G)[^ \t-\r]++(?=[ \t-\r]++[^ \t-\r]*[0-9@])|(?<![^ \t-\r])[^ \t-\r]*[0-9@][^ \t-\r]*+"
-WORD_WITH_DIGIT = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+# a word with a digit or an @, and the word before it if that has neither
+CANDIDATE = r"(?<![^ \t-\r])(?:[^ \t-\r0-9@]{1,32}[ \t-\r]{1,4})?+[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
 LONGEST = 64  # a longer word is no identifier
 
 ROUNDS = 3
@@ -52,57 +52,49 @@ SUPPORT = 5
 CONFIDENT = 0.8
 
 
-def pieces(text: Column, pattern: str) -> Column:
-    """[(start, end, match)] of all matches, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    step = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
+BLOCK = 64
 
-    def add(acc, x):
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(F.coalesce(x["match"], F.lit("")))
-        one = F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), x["match"].alias("match"))
-        return F.struct(e.alias("at"), F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(one))).alias("found"))
 
-    return F.aggregate(step, start, add, lambda acc: acc["found"])
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def spans_of(text: Column, pattern: str) -> Column:
-    """As ``pieces``, in time linear in the matches: running sums are taken
-    over the lengths of gaps and matches in blocks of 64."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    """[(start, end, match)] of all matches, in code points: the lengths of
+    the gaps and matches before, summed in blocks of ``BLOCK``."""
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(F.size(matches) == 0, none).otherwise(_placed(gaps, matches))
 
+    def found(matches):
+        return F.when(F.size(matches) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: placed(gaps, matches)))
 
-BLOCK = 64
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
-def _placed(gaps: Column, matches: Column) -> Column:
+def placed(gaps: Column, matches: Column) -> Column:
     n = F.size(matches)
-    last = F.floor((n - 1) / BLOCK).cast("int")
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
 
     def width(lo, size):
         return (F.aggregate(F.slice(gaps, lo + 1, size), F.lit(0), lambda a, g: a + F.length(g))
                 + F.aggregate(F.slice(matches, lo + 1, size), F.lit(0), lambda a, m: a + F.length(m)))
 
-    totals = F.transform(F.sequence(F.lit(0), last), lambda b: width(b * BLOCK, F.lit(BLOCK)))
-
-    def block(b):
+    def block(b, before):
         lo = b * BLOCK
-        before = F.aggregate(F.slice(totals, F.lit(1), b), F.lit(0), lambda a, x: a + x)
-        inside = F.sequence(F.lit(0), F.least(F.lit(BLOCK), n - lo) - 1)
 
         def one(i):
             s = before + width(lo, i) + F.length(F.get(gaps, lo + i))
             m = F.get(matches, lo + i)
             return F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("match"))
 
-        return F.transform(inside, one)
+        return F.transform(F.sequence(F.lit(0), F.least(F.lit(BLOCK), n - lo) - 1), one)
+
+    def all_blocks(totals):
+        def before(b):
+            return F.aggregate(F.slice(totals, F.lit(1), b), F.lit(0), lambda a, x: a + x)
+        return F.flatten(F.transform(blocks, lambda b: let(before(b), lambda x: block(b, x))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), last), block))
+    return let(F.transform(blocks, lambda b: width(b * BLOCK, F.lit(BLOCK))), all_blocks)
 
 
 def digits(match: Column) -> Column:
@@ -130,12 +122,11 @@ def valid(kind: str, match: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """[(start, order, kind, end)] of the fixed patterns, sorted."""
-    found = []
-    for order, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE))):
-        ok = F.filter(spans_of(text, pattern), lambda x, k=kind: valid(k, x["match"]))
-        found.append(F.transform(ok, lambda x, k=kind, o=order: F.struct(
-            x["start"].alias("start"), F.lit(o).alias("order"), F.lit(k).alias("kind"), x["end"].alias("end"))))
-    return F.array_sort(F.concat(*found))
+    def of(order: int, kind: str, pattern: str) -> Column:
+        ok = F.filter(spans_of(text, pattern), lambda x: valid(kind, x["match"]))
+        return F.transform(ok, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+
+    return F.array_sort(F.concat(*[of(i, k, p) for i, (k, p) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE)))]))
 
 
 def joined(spans: Column) -> Column:
@@ -154,8 +145,7 @@ MARKS = r"""^[^\p{L}0-9+]+|[^\p{L}0-9]+$"""
 def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate: doc, row, start, end, pattern, instance, seed
     (does it overlap a base span?)."""
-    pair = r"(?<![^ \t-\r])(?:[^ \t-\r0-9@]{1,32}[ \t-\r]{1,4})?+[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
-    found = docs.where(F.col("text").rlike("[0-9@]")).select("doc", "row", "base", F.explode(spans_of(F.col("text"), pair)).alias("c"))
+    found = docs.where(F.col("text").rlike("[0-9@]")).select("doc", "row", "base", F.explode(spans_of(F.col("text"), CANDIDATE)).alias("c"))
     word = F.regexp_replace(F.col("c.match"), r"^[^ \t-\r0-9@]{1,32}[ \t-\r]{1,4}(?=[^ \t-\r])", "")
     found = found.withColumn("word", word).withColumn("before", F.substring("c.match", F.lit(1), F.length("c.match") - F.length("word")))
     bare = F.regexp_replace("word", MARKS, "")
@@ -215,7 +205,11 @@ def find_pii(docs: DataFrame, text: str = "text", confident: float = CONFIDENT)
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    count = [number(k) for k in KINDS]
     return out.select("doc_id", *count, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
                       (F.size("spans") - F.size("base")).cast("long").alias("n_found"))
 

@@ -16,12 +16,14 @@ start. The join of the classes:
    light set whose size allows a heavy partner is in both. The boundary is the
    size up to which enumerating costs less than scanning lists, with the
    lists' mean length taken from the counts of step 1.
-3. *Verification in two rounds.* Round one compares each member of a list
-   with a member of about its size (linear in the list), and joins linked
-   classes. Round two compares, exhaustively, the members of a list that are
-   still in different components. Pairs inside a component need no comparing:
-   the result is the component. So a group of near copies never costs its
-   square, and no link between components is lost.
+3. *Verification in three rounds.* Round one compares each member of a list
+   with a member of about its size, round two with a random one (both linear
+   in the list); linked classes are joined. Round three takes the lists whose
+   members are still in different components and compares these members, each
+   with all of the others that sizes and odd sketches (an exact bound on the
+   difference) don't rule out. Pairs inside a component need no comparing: the
+   result is the component. So a group of near copies doesn't become its
+   square of pairs, and no link between components is lost.
 
 Lists are found in packed form: a task sorts its signatures into buckets and
 emits one binary row a bucket, so billions of signatures don't become rows.
@@ -48,6 +50,8 @@ HEAVY_SHINGLES = 1 << 18
 HEAVY_FROM = 12
 VERIFY_COST = 16  # what comparing two sets costs, in signatures made
 NO_ID = (1 << 63) - 1
+LIST_BLOCK = 4096
+LEAST_CELLS, MOST_CELLS = 256, 8192
 
 
 def cell_of(h, buckets: int):
@@ -301,37 +305,141 @@ def set_components(docs: DataFrame, sets: DataFrame, scratch: Scratch, text: str
     if not sets.groupBy("doc", "row").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["k"])
     texts = scratch.write(texts, "texts")
-    first = lists.where("k <> pivot").select(*pair("k", "pivot")).distinct()
-    links = scratch.write(linked(first, texts), "links")
+    # rounds one and two: a member of about its size, then one at random
+    tried = scratch.write(lists.where("k <> pivot").select(*pair("k", "pivot")).distinct(), "tried")
+    links = scratch.write(linked(tried, texts), "links")
     roots = components(links, scratch)
-    # what is still apart in a list
-    part = lists.select("sig", "k", "n").join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    part = scratch.write(part, "apart")
-    split = part.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    part = part.join(split, "sig")
-    a, b = part.select("sig", F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("root").alias("r1")), part.select(
-        "sig", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-    rest = (a.join(b, "sig").where("k1 < k2 and r1 <> r2 and n1 * 100 >= n2 * 80 and n2 * 100 >= n1 * 80")
-             .select(F.col("k1").alias("u"), F.col("k2").alias("v")).distinct().join(first, ["u", "v"], "left_anti"))
-    more = scratch.write(linked(rest, texts), "links")
+    apart = scratch.write(split_lists(lists, roots), "apart")
+    pivots = apart.groupBy("sig").agg(F.min_by(F.struct("k", "n", "root"), F.xxhash64("k", "sig")).alias("p"))
+    again = (apart.join(pivots, "sig").where("root <> p.root and n * 100 >= p.n * 80 and p.n * 100 >= n * 80")
+                  .select("k", F.col("p.k").alias("pivot")).select(*pair("k", "pivot")).distinct())
+    again = scratch.write(again.join(tried, ["u", "v"], "left_anti"), "tried")
+    links = links.unionByName(scratch.write(linked(again, texts), "links"))
+    roots = components(links, scratch)
+    # round three: what is still apart
+    apart = scratch.write(split_lists(apart.select("sig", "k", "n"), roots), "apart")
+    used = texts.join(apart.select("k").distinct(), "k", "left_semi")
+    bits = scratch.write(odd_sketches(used), "sketches")
+    rest = close_pairs(apart, bits, buckets).distinct()
+    more = scratch.write(linked(rest.join(tried.unionByName(again), ["u", "v"], "left_anti"), texts), "links")
     if more.isEmpty():
         return roots
     return components(links.unionByName(more), scratch)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, k) for every row of ``docs``."""
+def split_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, k, n, root) of the lists that span two components or more."""
+    part = lists.select("sig", "k", "n").join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    split = part.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    return part.join(split, "sig")
+
+
+def odd_sketches(texts: DataFrame) -> DataFrame:
+    """(k, bits): for each of M cells, whether the set has an odd number of
+    shingles there. Two sets differ in at least as many shingles as their
+    sketches differ in cells, so a sketch can rule a pair out for certain. M
+    is a power of two near 4 n; halves fold onto each other by XOR."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in sub_batches(batch, "text"):
+                h, _, size, _ = set_arrays(part.column("text"))
+                end, out = np.cumsum(size).tolist(), []
+                for n, e in zip(size.tolist(), end):
+                    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * n - 1).bit_length()))
+                    odd = np.bincount((h[e - n:e] & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+                    out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(out, pa.binary())], names=["k", "bits"])
+
+    return texts.mapInArrow(run, "k long, bits binary")
+
+
+def close_pairs(apart: DataFrame, bits: DataFrame, buckets: int) -> DataFrame:
+    """(u, v) in one list, in different components, that sizes and sketches
+    don't rule out. A list is compared in blocks of about ``LIST_BLOCK``
+    members, so a very long one is many tasks' work."""
+    size = apart.groupBy("sig").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("c"))
+    rows = apart.join(size, "sig").withColumn("own", F.pmod(F.xxhash64("k"), F.col("c")).cast("int"))
+    rows = rows.select("sig", "k", "n", "root", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+    rows = rows.withColumn("block", F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.join(bits, "k").withColumn("g", F.pmod("block", F.lit(buckets)))
+
+    def compare(key, pdf):
+        import pandas as pd
+
+        u, v = [], []
+        pdf = pdf.sort_values(["block", "n", "k"])
+        block, n, root, k = (pdf[c].to_numpy() for c in ("block", "n", "root", "k"))
+        sketch = [np.frombuffer(x, np.uint64) for x in pdf["bits"]]
+        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if (root[lo:hi] == root[lo]).all():
+                continue
+            names, count = np.unique(root[lo:hi], return_counts=True)
+            main = names[np.argmax(count)]
+            width = np.array([len(x) for x in sketch[lo:hi]])
+            stacks = {w: np.stack([x if len(x) == w else x[:w] ^ x[w:] for x in sketch[lo:hi] if len(x) in (w, 2 * w)]) for w in set(width.tolist())}
+            index = {w: np.flatnonzero((width == w) | (width == 2 * w)) for w in stacks}
+            for i in np.flatnonzero(root[lo:hi] != main).tolist():
+                for w in {int(width[i]), int(width[i]) // 2} & stacks.keys():
+                    mine = sketch[lo + i]
+                    mine = mine if len(mine) == w else mine[:w] ^ mine[w:]
+                    at = index[w]
+                    if w != width[i]:
+                        sel = width[at] == w
+                    else:
+                        sel = np.ones(len(at), bool)
+                    m = n[lo:hi][at]
+                    sel &= (root[lo:hi][at] != root[lo + i]) & (m * 100 >= n[lo + i] * PERCENT) & (n[lo + i] * 100 >= m * PERCENT)
+                    at, m, rows = at[sel], m[sel], stacks[w][sel]
+                    apart = np.bitwise_count(rows ^ mine).sum(1, dtype=np.int64)
+                    # linked sets differ in at most (n1 + n2) / 9 shingles
+                    near = at[apart * (100 + PERCENT) <= (m + n[lo + i]) * (100 - PERCENT)]
+                    u.append(np.full(len(near), k[lo + i]))
+                    v.append(k[lo:hi][near])
+        u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (u, v))
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
+    return rows.groupBy("g").applyInPandas(compare, "u long, v long")
+
+
+def groups(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows with size and set hash; sets with their component's first
+    document and that document's row)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     sets = scratch.write(document_sets(docs, text), "sets")
     roots = set_components(docs, sets, scratch, text)
     # by set, then by component: one row each before the rows are met again
-    by_set = sets.where("n > 0").groupBy("k").agg(F.min("doc").alias("doc"))
+    by_set = sets.where("n > 0").groupBy("k").agg(F.min(F.struct("doc", "row")).alias("first"))
     by_set = by_set.join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    lead = by_set.groupBy("root").agg(F.min("doc").alias("component"))
-    named = by_set.join(lead, "root").select("k", "component")
+    lead = by_set.groupBy("root").agg(F.min("first").alias("lead"))
+    return sets, by_set.join(lead, "root").select("k", F.col("lead.doc").alias("component"), F.col("lead.row").alias("lead_row"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    sets, named = groups(docs, text)
     out = sets.join(named, "k", "left")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
-    return out.select(_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), _id(own).alias("component_id"), "k")
+    return out.select(_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), _id(own).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the
+    smallest doc_id (then text hash); rows without words all stay."""
+    sets, named = groups(docs, text)
+    first = sets.join(named, "k").where("doc = component and row = lead_row").select("doc", "row").distinct()
+    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_row", F.xxhash64(text))
+
+    def those(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys.select(F.col("doc").alias("_doc"), F.col("row").alias("_row")), ["_doc", "_row"], "left_semi")
+
+    if sets.groupBy("doc", "row").count().where("count > 1").isEmpty():
+        out = those(first.unionByName(sets.where("n = 0").select("doc", "row")))
+    else:
+        out = those(first).dropDuplicates(["_doc", "_row"]).unionByName(those(sets.where("n = 0").select("doc", "row").distinct()))
+    return out.select(*docs.columns)
 
 
 def _id(c):
@@ -340,7 +448,7 @@ def _id(c):
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("k")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op5_jaccard": op5_jaccard}

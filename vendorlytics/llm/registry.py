@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["op1_mixing", "op4_lines", "op5_jaccard", "op6_quality", "op10_bpe"]
+MODULES = ["op1_mixing", "op2_pii", "op3_urls", "op4_lines", "op5_jaccard", "op6_quality",
+           "op7_topk", "op8_passages", "op9_embeddings", "op10_bpe"]
 
 
 def _collect(kind: str) -> dict:
