@@ -116,11 +116,11 @@ def test_pii_base_spans(spark):
 
 def test_pii_bootstrapping_finds_unseen_identifiers(spark):
     docs = [(i, f"please call tel: +1 555 {100 + i} {2000 + i} today") for i in range(40)]
-    docs += [(100 + i, f"account mail: u{i}@site.org and more") for i in range(40)] + [(200, "account mail: u77(at)site-org and more"), (201, "room 2024 was fine")]
-    docs += [(300 + i, f"reach mail: user{i}@site.org") for i in range(40)] + [(400, "reach mail: user7@site")]
+    docs += [(100 + i, f"from server 10.0.0.{100 + i} again") for i in range(40)] + [(200, "from server 10.0.0.999 again"), (201, "room 2024 was fine")]
     out = {r["doc_id"]: r for r in op2_pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # no address, but in a context and of a shape that holds addresses only
+    assert [(s["kind"], s["start"], s["end"]) for s in out[200]["spans"]] == [("id", 12, 22)]
     assert len(out[201]["spans"]) == 0
-    assert any(s["kind"] == "id" for s in out[400]["spans"])
 
 
 def test_pii_plan_is_native(spark):
@@ -226,7 +226,7 @@ def vectors(seed=0):
         v = r.normal(size=8)
         rows.append((i, v.tolist(), int(i % 3)))
         if i % 10 == 0:
-            rows += [(1000 + 10 * i + k, (v + r.normal(size=8) * 0.03 * k).tolist(), int(i % 3)) for k in range(6)]
+            rows += [(10001 + 10 * i + k, (v + r.normal(size=8) * 0.03 * k).tolist(), int(i % 3)) for k in range(6)]
     return rows + [(2000, None, 1), (2001, [1.0, None], 1), (2002, [float("nan")] * 8, 1), (2003, [0.0] * 8, 1), (2100, [1.0, 2.0], 1),
                    (2200, [], 1), (None, [1.0] * 8, 0), (2300, [1.0] * 8, None), (2400, [1.0] * 8, 0), (2400, [1.0] * 8, 0)]
 
@@ -285,7 +285,7 @@ def test_compact_windows_against_scan():
                 b += 1
             if b - a + 1 >= op8_passages.SPAN:
                 want.append((a, i, b))
-    assert sorted(zip(l.tolist(), c.tolist(), e.tolist())) == want
+    assert sorted(zip(l.tolist(), c.tolist(), e.tolist())) == sorted(want)
 
 
 def test_bpe_equals_the_library(spark, awkward):

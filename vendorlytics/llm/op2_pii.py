@@ -10,7 +10,7 @@ ends; its pattern is the word before it with the shape of the candidate
 (pattern, instance). Seeds are the instances that overlap a seed span. Then,
 for ``ROUNDS`` rounds over this graph:
 
-    trust(pattern)  = (seed weight + sum of belief) / (sum of weight + 1)
+    trust(pattern)   = sum(w * belief) / (sum(w) + 1), w = log(1 + count)
     belief(instance) = 1 for seeds, else the mean trust of its patterns,
                        weighted by how often each occurs
 
@@ -50,8 +50,6 @@ LONGEST = 64  # a longer word is no identifier
 ROUNDS = 3
 SUPPORT = 5
 CONFIDENT = 0.8
-
-
 BLOCK = 64
 
 
