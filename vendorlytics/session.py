@@ -54,10 +54,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster sets it to shared storage and we only read it. When it is
-    unset (local tests) a scratch folder is created once per application.
+    unset, a local master gets a scratch folder, once per application; any
+    other master raises, as executors would write to their own disks.
     """
     conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_CKPT:
             _LOCAL_CKPT[app] = tempfile.mkdtemp(prefix="vl-ckpt-")
