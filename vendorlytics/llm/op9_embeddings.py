@@ -46,6 +46,7 @@ MORE_ROUNDS = 3
 AUDIT = 200
 RECALL = 0.95
 BLOCK = 2048
+PACK = 1024  # nodes to a group, however many there are
 NO_ID = (1 << 63) - 1
 
 
@@ -112,7 +113,7 @@ def lists_of(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v", "s").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
     both = both.groupBy("u", "v").agg(F.max("s").alias("s"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-    return both.withColumn("r", rank).where(f"r <= {LIST} or (r <= {LARGE} and s >= {COSINE})")
+    return both.withColumn("r", rank).where(f"r <= {LARGE} and (r <= {LIST} or s >= {COSINE})")  # the bound of r is applied before the shuffle
 
 
 def descend(lists: DataFrame, nodes: DataFrame, groups: int) -> DataFrame:
@@ -157,7 +158,8 @@ def count_links(nodes: DataFrame, roots: DataFrame, groups: int) -> DataFrame:
     rows = rows.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     rows = rows.withColumn("block", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
-    rows = rows.withColumn("g", F.pmod("block", F.lit(groups))).select("id", "root", "v", "copies", "own", "c", "other", "block", "g")
+    # small components share groups; a pair of parts of a large one has its own
+    rows = rows.withColumn("g", F.when(F.col("c") == 1, F.pmod("block", F.lit(groups))).otherwise(F.col("block"))).select("id", "root", "v", "copies", "own", "c", "other", "block", "g")
 
     def compare(key, pdf):
         import pandas as pd
@@ -205,10 +207,11 @@ def audit(nodes: DataFrame, found: DataFrame) -> float:
 def near_vectors(vectors: DataFrame) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept) per row, and the audited recall."""
     spark = vectors.sparkSession
-    scratch, groups = Scratch(spark, "embeddings"), max(64, 2 * shuffle_partitions(spark))
+    scratch = Scratch(spark, "embeddings")
     rows, nodes = nodes_of(vectors)
     rows, nodes = scratch.write(rows, "rows"), scratch.write(nodes, "nodes")
     n = nodes.count()
+    groups = max(64, 2 * shuffle_partitions(spark), math.ceil(n / PACK))
     bits, partitions = max(4, math.ceil(math.log2(max(2, n) / 64))), max(4, math.ceil(n / 8192))
     edges = start(nodes, bits, 0, partitions)
     for t in range(1, TABLES):
