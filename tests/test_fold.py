@@ -66,3 +66,12 @@ def test_random_against_brute_force(spark, max_list, domain_max, segment_rows):
     for k in start:
         used = sum(a for kk, s, a in rows if kk == k and want[(kk, s)])
         assert used + want_final[k] == start[k]
+
+
+@pytest.mark.parametrize("domain_max", [0, 1024])
+def test_carried_ids_above_2_53_with_nulls(spark, domain_max):
+    big = 2**53 + 1
+    ch = spark.createDataFrame([(0, i, 3, big if i % 2 else None) for i in range(20)], "k long, s long, a long, c long")
+    st = spark.createDataFrame([(0, 10)], "k long, b long")
+    rows, _ = greedy_consume(ch, st, ["k"], ["s"], "a", "b", carry=["c"], max_list=1, domain_max=domain_max, segment_rows=5)
+    assert {(r["s"], r["c"]) for r in rows.collect()} == {(i, big if i % 2 else None) for i in range(20)}

@@ -12,8 +12,9 @@ the batch has exactly one sequential answer. We compute it set-wise:
   set-wise step A_{k+1} = step(A_k) until nothing changes. Each request
   depends only on earlier ones, so a fixed point is the sequential answer;
   the number of rounds is the length of the longest chain of dependent
-  decisions, not the batch size. Each round's flags are written to the shared
-  checkpoint folder (``materialize``) to cut lineage.
+  decisions, not the batch size, and there is no limit to it: every round
+  settles at least the earliest undecided request. Each round's flags are
+  written to the shared checkpoint folder (``materialize``) to cut lineage.
 """
 
 from __future__ import annotations
@@ -42,20 +43,19 @@ def quota_ok(limited, cap, fill, seq: list[str]) -> F.Column:
     return (~limited) | ((cap > 0) & (fill.isNull() | (seq_struct(seq) <= fill)))
 
 
-def fixpoint(step, flags: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
+def fixpoint(step, flags: DataFrame, key: str) -> DataFrame:
     """Iterate ``flags -> step(flags)`` (DataFrames of (key, ok)) until no
-    flag changes. Raises if it does not settle within ``max_rounds``."""
+    flag changes."""
     cur = materialize(flags, "admission-flags")
-    for _ in range(max_rounds):
+    while True:
         nxt = materialize(step(cur), "admission-flags")
         diff = nxt.alias("n").join(cur.alias("c"), key).where(~F.col("n.ok").eqNullSafe(F.col("c.ok")))
         cur = nxt
         if diff.isEmpty():
             return cur
-    raise RuntimeError(f"admission fixpoint did not settle in {max_rounds} rounds")
 
 
-def unique_claims(base: DataFrame, holders: DataFrame, max_rounds: int = 64) -> DataFrame:
+def unique_claims(base: DataFrame, holders: DataFrame) -> DataFrame:
     """Unique values claimed in arrival order (store slug, SKU).
 
     ``base``: one request per owner: (owner, seq, value, pre_ok, post_ok).
@@ -84,5 +84,5 @@ def unique_claims(base: DataFrame, holders: DataFrame, max_rounds: int = 64) ->
         return b.select("owner", (F.col("pre_ok") & ~F.col("blocked") & F.col("post_ok")).alias("ok"))
 
     start = base.select("owner", (F.col("pre_ok") & F.col("post_ok")).alias("ok"))
-    flags = fixpoint(step, start, "owner", max_rounds)
+    flags = fixpoint(step, start, "owner")
     return blocked_by(flags).join(flags, "owner").select("owner", "blocked", "ok")

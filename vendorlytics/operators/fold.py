@@ -24,7 +24,7 @@ Plan, cheapest path first:
 5. keys with more rows and larger balances (money in cents) are folded by a
    streaming pass over ``repartition(key).sortWithinPartitions(key, seq)``:
    Spark's external sorter orders the rows (spilling as needed) and
-   ``mapInPandas`` walks the Arrow batches carrying only the current
+   ``mapInArrow`` walks the batches carrying only the current
    balance, so no group is materialised in memory (one task per key: the
    dependency is sequential).
 
@@ -45,27 +45,24 @@ DOMAIN_MAX = 1024
 SEGMENT_ROWS = 500_000
 
 
-def _stream_fold(pdf_iter):
-    import numpy as np
+def _stream_fold(batches):
+    """Carried columns stay Arrow columns: NULLs next to integers above 2^53
+    keep their values."""
+    import pyarrow as pa
 
-    cur = None
-    rem = 0
-    for pdf in pdf_iter:
-        keys = pdf["__k"].to_numpy()
-        amt = pdf["__a"].to_numpy()
-        start = pdf["__s"].to_numpy()
-        ok = np.zeros(len(pdf), dtype=bool)
-        left = np.zeros(len(pdf), dtype=np.int64)
-        for i in range(len(pdf)):
-            if keys[i] != cur:
-                cur = keys[i]
-                rem = int(start[i])
-            a = int(amt[i])
-            if a <= rem:
-                rem -= a
-                ok[i] = True
-            left[i] = rem
-        yield pdf.drop(columns=["__k", "__s"]).assign(accepted=ok, remaining=left)
+    cur, rem = None, 0
+    for batch in batches:
+        ok, left = [], []
+        for k, a, start in zip(*(batch.column(c).to_pylist() for c in ("__k", "__a", "__s"))):
+            if k != cur:
+                cur, rem = k, start
+            ok.append(a <= rem)
+            rem -= a if a <= rem else 0
+            left.append(rem)
+        kept = [c for c in batch.schema.names if c not in ("__k", "__s")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), pa.array(ok, pa.bool_()), pa.array(left, pa.int64())],
+            names=[*kept, "accepted", "remaining"])
 
 
 def _chunked_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows: int):
@@ -108,20 +105,20 @@ def _chunked_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows:
     starts = walked.select(*key, F.explode("w.starts").alias("x")).select(*key, "x.__part", F.col("x.start")
                                                                            .alias("__start"))
 
-    def replay(pdf):
-        pdf = pdf.sort_values(seq)
-        rem = int(pdf["__start"].iloc[0])
+    def replay(rows_of_part):
+        import pyarrow as pa
+
+        rows_of_part = rows_of_part.sort_by([(c, "ascending") for c in seq])
+        rem = rows_of_part.column("__start")[0].as_py()
         ok = []
-        for a in pdf["__a"].to_numpy():
-            a = int(a)
+        for a in rows_of_part.column("__a").to_pylist():
             ok.append(a <= rem)
-            if a <= rem:
-                rem -= a
-        return pdf.drop(columns=["__s", "__part", "__start"]).assign(accepted=ok)
+            rem -= a if a <= rem else 0
+        return rows_of_part.drop_columns(["__s", "__part", "__start"]).append_column("accepted", pa.array(ok, pa.bool_()))
 
     out_schema = T.StructType([f for f in seg.schema.fields if f.name not in ("__s", "__part")]
                               + [T.StructField("accepted", T.BooleanType())])
-    flags = seg.join(starts, [*key, "__part"]).groupBy(*key, "__part").applyInPandas(replay, out_schema)
+    flags = seg.join(starts, [*key, "__part"]).groupBy(*key, "__part").applyInArrow(replay, out_schema)
     return flags, ends
 
 
@@ -185,7 +182,7 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
         schema = T.StructType([f for f in big.schema.fields if f.name not in ("__k", "__s")]
                               + [T.StructField("accepted", T.BooleanType()),
                                  T.StructField("remaining", T.LongType())])
-        streamed = (big.repartition(*key).sortWithinPartitions(*key, *seq).mapInPandas(_stream_fold, schema))
+        streamed = (big.repartition(*key).sortWithinPartitions(*key, *seq).mapInArrow(_stream_fold, schema))
         rows = rows.unionByName(streamed.select(*cols, "accepted"))
         ends = ends.unionByName(streamed.groupBy(*key).agg(F.min("remaining").alias("__end")))
 
