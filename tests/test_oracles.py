@@ -11,6 +11,7 @@ DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string":
              "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
 QUERIES = registry.queries()
 ORACLES = registry.oracle_sql()
+BRUTE_FORCE = {"custom_item_submit"}  # compared with a sequential brute force in test_admission.py
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +26,8 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
     srows = df.collect()
-    if name not in ORACLES:
-        assert len(df.columns) > 0
+    if name in BRUTE_FORCE:
+        assert srows
         return
     rel = duck.sql(ORACLES[name])
     types = {c: str(t) for c, t in zip(rel.columns, rel.types)}

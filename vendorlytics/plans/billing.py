@@ -434,9 +434,9 @@ def pending_payment_match(t: Tables) -> DataFrame:
 
 
 # -- B9 batch -------------------------------------------------------------
-def rate_limit_violations(t: Tables, limit: int = 1) -> DataFrame:
+def rate_limit_violations(t: Tables, limit: int = RATE_LIMIT) -> DataFrame:
     """Keys with more than ``limit`` requests in a clock-aligned
-    15-minute window (fixture: key = user, limit 1)."""
+    15-minute window (fixture: key = user; registered with limit 1)."""
     e = t.read("events")
     w = e.groupBy(F.window(F.col("ts").cast("timestamp"), RATE_WINDOW), "user_id").agg(
         F.count(F.lit(1)).alias("solicitudes"))
@@ -452,5 +452,5 @@ QUERIES = {
     "subscription_state": subscription_state,
     "pending_payment_match": pending_payment_match,
     "checkout_payment_link": checkout_payment_link,
-    "rate_limit_violations": rate_limit_violations,
+    "rate_limit_violations": lambda t: rate_limit_violations(t, limit=1),
 }

@@ -142,13 +142,17 @@ def create_users_admin(t: Tables, req: DataFrame | None = None) -> DataFrame:
                     F.when(ok, F.col("rol_id")).alias("rol_id"))
 
 
-def user_soft_delete(t: Tables, now: dt.date = AS_OF) -> DataFrame:
-    """Cancel and expire the requested accounts; history is kept.
-    Requests: every customer row asks for user (key * 37) % 1000 (most of
+def soft_delete_requests(t: Tables) -> DataFrame:
+    """Fixture: every customer row asks for user (key * 37) % 1000 (most of
     those ids do not exist and change nothing)."""
-    req = t.read("customer").select(((F.col("c_custkey") * 37) % 1000).alias("id")).distinct() \
-        .withColumn("hit", F.lit(True))
-    u = t.users().join(req, "id", "left")
+    return t.read("customer").select(((F.col("c_custkey") * 37) % 1000).alias("id"))
+
+
+def user_soft_delete(t: Tables, req: DataFrame | None = None, now: dt.date = AS_OF) -> DataFrame:
+    """Cancel and expire the requested accounts (``req``: id); history
+    is kept."""
+    req = req if req is not None else soft_delete_requests(t)
+    u = t.users().join(req.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
     return u.select("id", F.when(F.col("hit").isNotNull(), "cancelada").otherwise(F.col("suscripcion_estado"))
                     .alias("suscripcion_estado"),
                     F.when(F.col("hit").isNotNull(), F.lit(now)).otherwise(F.col("suscripcion_fin"))
@@ -165,7 +169,7 @@ def client_requests(t: Tables) -> DataFrame:
 
 
 def admit_clients(t: Tables, req: DataFrame | None = None, snapshot: DataFrame | None = None,
-                  quota: int = TEST_CLIENT_QUOTA) -> DataFrame:
+                  quota: int = CLIENT_QUOTA) -> DataFrame:
     """Name required (400) before the client quota of plan 'mini' (403);
     a vendor without a plan is 'mini'. Accepted = first ``cap`` valid
     requests of each limited vendor."""
@@ -187,7 +191,7 @@ def admit_clients(t: Tables, req: DataFrame | None = None, snapshot: DataFrame |
 
 
 def client_admission(t: Tables) -> DataFrame:
-    return admit_clients(t)
+    return admit_clients(t, quota=TEST_CLIENT_QUOTA)
 
 
 def client_patch_requests(t: Tables) -> DataFrame:
@@ -241,16 +245,21 @@ def client_delete(t: Tables, req: DataFrame | None = None) -> DataFrame:
 
 
 # -- W21 / W22 / W23 ------------------------------------------------------
-def push_subscribe(t: Tables) -> DataFrame:
+def push_requests(t: Tables) -> DataFrame:
+    return t.read("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("vendedor_id"),
+                                   F.concat(F.lit("https://push.example/"), F.col("user_id").cast("string"))
+                                   .alias("endpoint"))
+
+
+def push_subscribe(t: Tables, req: DataFrame | None = None) -> DataFrame:
     """Plan 'pro' only; a (vendor, endpoint) already stored, or stored
-    earlier in the batch, is not stored again."""
-    e = t.read("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("vendedor_id"),
-                                F.concat(F.lit("https://push.example/"), F.col("user_id").cast("string"))
-                                .alias("endpoint"))
+    earlier in the batch, is not stored again. ``req``: seq, vendedor_id,
+    endpoint."""
+    req = req if req is not None else push_requests(t)
     plans = t.users().select(F.col("id").alias("vendedor_id"), "suscripcion_plan")
     have = t.push().select("vendedor_id", F.get_json_object("subscription", "$.endpoint").alias("endpoint"),
                            F.lit(True).alias("stored"))
-    r = e.join(plans, "vendedor_id", "left").join(have, ["vendedor_id", "endpoint"], "left")
+    r = req.join(plans, "vendedor_id", "left").join(have, ["vendedor_id", "endpoint"], "left")
     pro = F.coalesce(F.col("suscripcion_plan") == PRO_PLAN, F.lit(False))
     first = r.where(pro & F.col("stored").isNull()).groupBy("vendedor_id", "endpoint").agg(F.min("seq").alias("first"))
     r = r.join(first, ["vendedor_id", "endpoint"], "left")
@@ -266,22 +275,26 @@ def upload_requests(t: Tables) -> DataFrame:
         F.floor(F.col("value") * 20000).cast("bigint").alias("size"))
 
 
-def upload_manifest_check(t: Tables) -> DataFrame:
+def check_uploads(req: DataFrame) -> DataFrame:
     """Allowed content type (400), 0 < size <= 5 MiB (413); the object
-    key is uploads/<user>/<request id><ext>."""
-    r = upload_requests(t)
+    key is uploads/<user>/<request id><ext>. ``req``: event_id, user_id,
+    content_type, size; the size is kept for sums without another join."""
     ext = F.try_element_at(_lit_map(UPLOAD_TYPES), F.col("content_type"))
     status = (F.when(ext.isNull(), 400)
               .when(F.col("size").isNull() | (F.col("size") <= 0) | (F.col("size") > MAX_UPLOAD_BYTES), 413)
               .otherwise(200))
-    return r.select("event_id", "user_id", status.alias("estado"),
-                    F.when(status == 200, F.concat(F.lit("uploads/"), F.col("user_id").cast("string"), F.lit("/"),
-                                                   F.col("event_id").cast("string"), ext)).alias("storage_key"))
+    key = F.concat(F.lit("uploads/"), F.col("user_id").cast("string"), F.lit("/"),
+                   F.col("event_id").cast("string"), ext)
+    return req.select("event_id", "user_id", "size", status.alias("estado"),
+                      F.when(status == 200, key).alias("storage_key"))
+
+
+def upload_manifest_check(t: Tables, req: DataFrame | None = None) -> DataFrame:
+    return check_uploads(req if req is not None else upload_requests(t)).drop("size")
 
 
-def upload_bytes_by_user(t: Tables) -> DataFrame:
-    ok = upload_manifest_check(t).where(F.col("estado") == 200).join(upload_requests(t).select("event_id", "size"),
-                                                                       "event_id")
+def upload_bytes_by_user(t: Tables, req: DataFrame | None = None) -> DataFrame:
+    ok = check_uploads(req if req is not None else upload_requests(t)).where(F.col("estado") == 200)
     return ok.groupBy("user_id").agg(F.count(F.lit(1)).alias("subidas"), F.sum("size").alias("bytes"))
 
 
@@ -302,9 +315,9 @@ def classify_payment_error(tipo, codigo) -> F.Column:
             .otherwise(F.coalesce(F.try_element_at(_lit_map(ERROR_TYPE_CLASS), tipo), F.lit(GENERIC_CLASS))))
 
 
-def payment_error_summary(t: Tables) -> DataFrame:
-    """Failures per message class and day."""
-    e = payment_errors(t)
+def payment_error_summary(t: Tables, errors: DataFrame | None = None) -> DataFrame:
+    """Failures per message class and day (``errors``: ts, tipo, codigo)."""
+    e = errors if errors is not None else payment_errors(t)
     return (e.select(F.to_date("ts").alias("dia"), classify_payment_error(F.col("tipo"), F.col("codigo")).alias("clase"))
             .groupBy("dia", "clase").agg(F.count(F.lit(1)).alias("fallos")))
 

@@ -1,10 +1,9 @@
 """DuckDB oracle SQL for the repair jobs."""
 
-_GROUPS = """grupos AS (SELECT id, vendedor_id, producto_maestro_id, stock,
-  MIN(id) OVER (PARTITION BY vendedor_id, producto_maestro_id) AS superviviente FROM v_inventory_raw)"""
-
-_SUMS = f"""{_GROUPS}, sumas AS (SELECT superviviente, vendedor_id, producto_maestro_id,
-  CAST(SUM(COALESCE(stock, 0)) AS INTEGER) AS stock FROM grupos GROUP BY 1, 2, 3)"""
+_KEY = "(vendedor_id, producto_maestro_id)"
+# One line per pair of vendor and product: the id that stays, the units of all.
+_KEPT = """kept AS (SELECT vendedor_id, producto_maestro_id, min(id) AS keeper, CAST(COALESCE(sum(stock), 0) AS INTEGER) AS units
+  FROM v_inventory_raw GROUP BY vendedor_id, producto_maestro_id)"""
 
 _SRC = """src AS (SELECT 'catalogo_maestro' AS tabla, id, nombre, ruta_imagen AS valor FROM v_products
  UNION ALL SELECT 'usuarios', id, nombre, json_extract_string(personalizacion, '$.logo') FROM v_users)"""
@@ -22,15 +21,15 @@ def _violations(name, kind, sql):
 
 
 ORACLES = {
-    "dedup_survivors": f"WITH {_GROUPS} SELECT id, vendedor_id, producto_maestro_id, superviviente FROM grupos",
+    "dedup_survivors": f"""WITH {_KEPT}
+SELECT r.id, vendedor_id, producto_maestro_id, keeper AS superviviente FROM v_inventory_raw r JOIN kept USING {_KEY}""",
 
-    "dedup_repoint_sales": f"""WITH {_GROUPS}
-SELECT v.id, COALESCE(g.superviviente, v.id) AS inventario_id FROM v_sales v
-LEFT JOIN grupos g ON g.id = v.id AND g.id <> g.superviviente""",
+    "dedup_repoint_sales": f"""WITH {_KEPT}, moved AS (SELECT r.id, keeper FROM v_inventory_raw r JOIN kept USING {_KEY})
+SELECT v.id, COALESCE(moved.keeper, v.id) AS inventario_id FROM v_sales v LEFT JOIN moved ON moved.id = v.id""",
 
-    "dedup_stock_sum": f"WITH {_SUMS} SELECT superviviente, stock FROM sumas",
+    "dedup_stock_sum": f"WITH {_KEPT} SELECT keeper AS superviviente, units AS stock FROM kept",
 
-    "dedup_inventory": f"WITH {_SUMS} SELECT superviviente AS id, vendedor_id, producto_maestro_id, stock FROM sumas",
+    "dedup_inventory": f"WITH {_KEPT} SELECT keeper AS id, vendedor_id, producto_maestro_id, units AS stock FROM kept",
 
     "constraint_violations": "\nUNION ALL ".join([
         _violations("inventario_vendedor_vendedor_producto_unico", "unique",

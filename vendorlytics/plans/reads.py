@@ -9,6 +9,7 @@ per-vendor rank range, which Spark plans with a partial WindowGroupLimit.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,11 @@ def _opt(df: DataFrame, col: str, value) -> DataFrame:
     return df if value is None else df.where(F.col(col) == F.lit(value))
 
 
+def _price(value) -> F.Column:
+    """A bound on a price as a decimal literal, so that it can reach the scan."""
+    return F.lit(Decimal(str(value)))
+
+
 def _categories(t: Tables) -> DataFrame:
     return t.categories().select(F.col("id").alias("categoria_id"), F.col("nombre").alias("categoria"))
 
@@ -103,13 +109,14 @@ def sales_export(t: Tables, vendor_id=None) -> DataFrame:
 
 
 def write_sales_export(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Sink for S3: one file set per sale year, sorted by vendor and date."""
-    (df.withColumn("anio", F.year("fecha")).repartition("anio")
-     .sortWithinPartitions("vendedor_id", F.desc("fecha"))
+    """Sink for S3: one folder per sale year, its files sorted by vendor and
+    date. Ranges of (year, vendor, date) spread a year over many tasks."""
+    (df.withColumn("anio", F.year("fecha")).repartitionByRange("anio", "vendedor_id", "fecha")
+     .sortWithinPartitions("anio", "vendedor_id", F.desc("fecha"))
      .write.mode("overwrite").partitionBy("anio").format(fmt).save(path))
 
 
-def sales_history_page(t: Tables, page: int = 2, vendor_id=None) -> DataFrame:
+def sales_history_page(t: Tables, page: int = 1, vendor_id=None) -> DataFrame:
     """Page ``page`` (50 rows) of each vendor's sales, newest first.
 
     The total is a separate per-vendor count (the reference's
@@ -130,9 +137,10 @@ def sales_history_page(t: Tables, page: int = 2, vendor_id=None) -> DataFrame:
 
 
 # -- R2 -------------------------------------------------------------------
-def catalog_search(t: Tables, search: str | None = "old-1", categoria_id: int | None = None,
-                   orden_precio: str | None = "desc", precio_min: float | None = 100.0,
-                   precio_max: float | None = None, page: int = 2, limit: int | None = 30) -> DataFrame:
+def catalog_search(t: Tables, search: str | None = None, categoria_id: int | None = None,
+                   orden_precio: str | None = None, precio_min: float | None = None,
+                   precio_max: float | None = None, page: int = 1,
+                   limit: int | None = CATALOG_PAGE_DEFAULT) -> DataFrame:
     """R2: admin catalog search, one page plus the total match count.
 
     Predicates are added only for the parameters given, so the scan sees
@@ -151,9 +159,9 @@ def catalog_search(t: Tables, search: str | None = "old-1", categoria_id: int |
     if categoria_id is not None:
         cond = cond & (F.col("categoria_id") == categoria_id)
     if precio_min is not None:
-        cond = cond & (F.col("precio_sugerido") >= F.lit(precio_min))
+        cond = cond & (F.col("precio_sugerido") >= _price(precio_min))
     if precio_max is not None:
-        cond = cond & (F.col("precio_sugerido") <= F.lit(precio_max))
+        cond = cond & (F.col("precio_sugerido") <= _price(precio_max))
     hits = p.where(cond)
     if orden_precio == "asc":
         order = [F.asc_nulls_last("precio_sugerido"), F.asc("nombre"), F.asc("id")]
@@ -371,8 +379,8 @@ def checkout_routing(t: Tables, price_id: str = "price_pro", trial_price_id: str
 QUERIES = {
     "schema_profile": schema_profile_counts,
     "sales_export": sales_export,
-    "sales_history_page": sales_history_page,
-    "catalog_search": catalog_search,
+    "sales_history_page": lambda t: sales_history_page(t, page=2),
+    "catalog_search": lambda t: catalog_search(t, search="old-1", orden_precio="desc", precio_min=100.0, page=2),
     "catalog_not_in_inventory": catalog_not_in_inventory,
     "vendor_inventory": vendor_inventory,
     "storefront": storefront,

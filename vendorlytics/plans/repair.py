@@ -64,8 +64,11 @@ def dedup_stock_sum(t: Tables) -> DataFrame:
 
 
 def dedup_inventory(t: Tables) -> DataFrame:
-    """M4: the deduplicated inventory (unique per vendor and product)."""
-    return survivors(t.inventory_raw()).select(F.col("superviviente").alias("id"), *KEY, "stock")
+    """M4: the deduplicated inventory (unique per vendor and product): the
+    surviving rows with all their columns, stock replaced by the sum."""
+    raw = t.inventory_raw()
+    total = survivors(raw).select(F.col("superviviente").alias("id"), "stock")
+    return raw.drop("stock").join(total, "id").select(*raw.columns)
 
 
 # -- M5 -------------------------------------------------------------------

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorlytics.plans.billing import RATE_WINDOW, subscription_fold
+from vendorlytics.plans.billing import RATE_LIMIT, RATE_WINDOW, subscription_fold
 from vendorlytics.session import checkpoint_dir
 from vendorlytics.sources.tables import Tables
 
@@ -172,7 +172,7 @@ def billing_stream_state(t: Tables, chunks: int = 3, compact_every: int = 2) ->
                         "stripe_subscription_id", "stripe_customer_id")
 
 
-def rate_limit_stream(t: Tables, limit: int = 1, chunks: int = 4, lateness: str = "1 hour") -> DataFrame:
+def rate_limit_stream(t: Tables, limit: int = RATE_LIMIT, chunks: int = 4, lateness: str = "1 hour") -> DataFrame:
     """B9 streaming: windowed counts per key with a watermark; each batch's
     updated windows are appended with the batch id, and the latest count per
     window is the final one."""
@@ -201,5 +201,5 @@ def rate_limit_stream(t: Tables, limit: int = 1, chunks: int = 4, lateness: str
 
 QUERIES = {
     "billing_stream_state": billing_stream_state,
-    "rate_limit_stream": rate_limit_stream,
+    "rate_limit_stream": lambda t: rate_limit_stream(t, limit=1),
 }
