@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vendorlytics.functions.formats import money
 from vendorlytics.operators.fold import greedy_consume
 from vendorlytics.sources.requests import SEQ, instalment_requests, sale_requests, stock_changes
+from vendorlytics.session import materialize
 from vendorlytics.sources.tables import MONEY, Tables
 
 START_STOCK = 300
@@ -139,34 +140,67 @@ def client_balance_apply(t: Tables) -> DataFrame:
 
 
 # -- W6 -------------------------------------------------------------------
-def instalment_fold(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per credit sale in arrival order: refuse monto <= 0, a paid sale,
-    or monto > balance; otherwise subtract. Balances in cents."""
-    sales = t.credit_sales()
-    req = instalment_requests(t).join(sales.select("venta_id"), "venta_id")
-    ch = req.withColumn("cents", (F.col("monto") * 100).cast("long"))
+def apply_instalments(t: Tables, req: DataFrame | None = None, sales: DataFrame | None = None,
+                      seq: list[str] = SEQ) -> tuple[DataFrame, DataFrame]:
+    """Returns (every request with outcome, new sale snapshot).
+
+    Checked in the reference's order: amount missing or <= 0 (or no sale
+    named), sale unknown or another vendor's, sale already paid, amount above
+    the balance. A refused request counts as ``venta_pagada`` once the
+    balance has reached 0, that is, after the accepted request that emptied
+    it. Balances fold in cents, per sale, in arrival order (``seq``)."""
+    req = req if req is not None else instalment_requests(t)
+    sales = sales if sales is not None else t.sale_balances()
+    known = sales.select("venta_id", "vendedor_id", F.lit(True).alias("__known"),
+                         ((F.col("estado_pago") == "PAGADO") | (F.col("saldo_restante") <= 0)).alias("__paid"))
+    bad = F.col("monto").isNull() | F.col("venta_id").isNull() | (F.col("monto") <= 0)
+    r = req.join(known, ["venta_id", "vendedor_id"], "left").withColumn(
+        "motivo", F.when(bad, "monto_invalido").when(F.col("__known").isNull(), "venta_no_encontrada")
+        .when(F.col("__paid"), "venta_pagada")).drop("__known", "__paid")
+    r = materialize(r, "instalment-requests")
+    ch = r.where(F.col("motivo").isNull()).withColumn("cents", (F.col("monto") * 100).cast("long"))
     start = sales.select("venta_id", (F.col("saldo_restante") * 100).cast("long").alias("cents"))
-    rows, final = greedy_consume(ch, start, ["venta_id"], SEQ, "cents", "cents", carry=["monto"])
-    return req, rows, final
+    rows, final = greedy_consume(ch, start, ["venta_id"], seq, "cents", "cents", carry=["vendedor_id", "monto"])
+    order = F.struct(*[F.col(c) for c in seq])
+    emptied = rows.where("accepted").groupBy("venta_id").agg(F.max(order).alias("__last")) \
+        .join(final.where("cents <= 0").select("venta_id"), "venta_id")
+    folded = rows.join(emptied, "venta_id", "left").withColumn(
+        "motivo", F.when(F.col("accepted"), F.lit(None).cast("string"))
+        .when(order > F.col("__last"), "venta_pagada").otherwise("excede_saldo"))
+    cols = [*seq, "vendedor_id", "venta_id", "monto", "motivo"]
+    out = r.where(F.col("motivo").isNotNull()).select(*cols).unionByName(folded.select(*cols)) \
+        .withColumn("aceptada", F.col("motivo").isNull())
+    left = (F.col("cents") / 100).cast(MONEY)
+    changed = left != F.col("saldo_restante")
+    new_sales = sales.join(final, "venta_id", "left").withColumns({
+        "estado_pago": F.when(changed, F.when(F.col("cents") <= 0, "PAGADO").otherwise("EN_ABONOS"))
+        .otherwise(F.col("estado_pago")),
+        "saldo_restante": F.when(changed, left).otherwise(F.col("saldo_restante"))}).drop("cents")
+    return out, new_sales
 
 
 def instalment_ledger(t: Tables) -> DataFrame:
-    _, rows, _ = instalment_fold(t)
-    return rows.select(*IDENT, "venta_id", money("monto").alias("monto"), "accepted")
+    out, _ = apply_instalments(t)
+    return out.select(*IDENT, "vendedor_id", "venta_id", money("monto").alias("monto"), "aceptada", "motivo")
+
+
+def instalment_rows(t: Tables) -> DataFrame:
+    """The accepted requests as new rows of the instalment table."""
+    out, _ = apply_instalments(t)
+    return out.where("aceptada").select("venta_id", money("monto").alias("monto"))
 
 
 def instalment_sale_state(t: Tables) -> DataFrame:
-    _, _, final = instalment_fold(t)
-    saldo = (F.col("cents") / 100).cast(MONEY)
-    return final.select("venta_id", money(saldo).alias("saldo_restante"),
-                        F.when(F.col("cents") <= 0, "PAGADO").otherwise("EN_ABONOS").alias("estado_pago"))
+    _, sales = apply_instalments(t)
+    return sales.select("venta_id", "vendedor_id", "clienta_id", money("saldo_restante").alias("saldo_restante"),
+                        "estado_pago")
 
 
 def instalment_client_balance(t: Tables) -> DataFrame:
     """Each client's balance falls by the instalments accepted."""
-    _, rows, _ = instalment_fold(t)
-    paid = rows.where(F.col("accepted")) \
-        .join(t.credit_sales().select("venta_id", "clienta_id"), "venta_id") \
+    out, _ = apply_instalments(t)
+    paid = out.where(F.col("aceptada")) \
+        .join(t.sale_balances().select("venta_id", "clienta_id"), "venta_id") \
         .groupBy("clienta_id").agg(F.sum("monto").alias("pagado"))
     c = t.clients()
     j = c.join(paid, c.id == paid.clienta_id, "left")
@@ -183,6 +217,7 @@ QUERIES = {
     "first_instalments": first_instalments,
     "client_balance_apply": client_balance_apply,
     "instalment_ledger": instalment_ledger,
+    "instalment_rows": instalment_rows,
     "instalment_sale_state": instalment_sale_state,
     "instalment_client_balance": instalment_client_balance,
 }

@@ -56,8 +56,10 @@ SELECT c_custkey AS id, c_custkey % (SELECT count(*) FROM supplier) AS vendedor_
  CAST(c_acctbal AS DECIMAL(18,2)) AS saldo_pendiente, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE DATE '2001-06-01' + CAST(c_custkey % 120 AS INT) END AS fecha_proximo_pago FROM customer""",
     "v_push": """
 SELECT s_suppkey * 10 + 1 AS id, s_suppkey AS vendedor_id, '{"endpoint":"https://push.example/' || CAST(s_suppkey AS VARCHAR(20)) || '"}' AS subscription FROM supplier WHERE s_suppkey % 2 = 0""",
-    "v_credit_sales": """
-SELECT o_orderkey AS venta_id, o_custkey AS clienta_id, CAST(o_totalprice AS DECIMAL(18,2)) AS saldo_restante FROM orders WHERE o_orderstatus = 'O'""",
+    "v_sale_balances": """
+SELECT o_orderkey AS venta_id, o_custkey % (SELECT count(*) FROM supplier) AS vendedor_id, o_custkey AS clienta_id,
+ CAST(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0 END AS DECIMAL(18,2)) AS saldo_restante,
+ CASE WHEN o_orderstatus = 'O' THEN 'EN_ABONOS' ELSE 'PAGADO' END AS estado_pago FROM orders""",
     "v_payments": """
 SELECT event_id AS id, user_id AS usuario_id, CASE WHEN event_id % 4 = 0 THEN 'renovacion' ELSE 'suscripcion_inicial' END AS tipo, 29900 AS monto, 'pendiente' AS estado, ts AS creado_en FROM events WHERE event_type = 'signup'""",
     "v_billing": """

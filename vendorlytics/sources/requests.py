@@ -49,10 +49,18 @@ def stock_changes(t: Tables) -> DataFrame:
 
 
 def instalment_requests(t: Tables) -> DataFrame:
-    """instalments = lineitem rows of open orders, amount = extended price."""
+    """One instalment per lineitem row of every order, amount = extended
+    price. Line 6 is sent by another vendor, line 7 names an unknown sale;
+    line 5 has amount 0 or NULL for every second order."""
     li = t.read("lineitem")
-    return li.select(*SEQ, F.col("l_orderkey").alias("venta_id"),
-                     F.col("l_extendedprice").cast(MONEY).alias("monto"))
+    sales = t.sale_balances().select("venta_id", F.col("vendedor_id").alias("dueno"))
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    zero, missing = (line == 5) & (k % 4 == 0), (line == 5) & (k % 4 == 2)
+    return li.join(sales, li.l_orderkey == sales.venta_id).select(
+        *SEQ, F.when(line == 6, F.col("dueno") + 1).otherwise(F.col("dueno")).alias("vendedor_id"),
+        F.when(line == 7, -k).otherwise(k).alias("venta_id"),
+        F.when(zero, F.lit(0)).when(missing, F.lit(None)).otherwise(F.col("l_extendedprice"))
+        .cast(MONEY).alias("monto"))
 
 
 def admission_requests(t: Tables) -> DataFrame:

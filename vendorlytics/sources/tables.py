@@ -64,10 +64,11 @@ class SnapshotTables(Tables):
         """Before the unique constraint the raw table is the table itself."""
         return self.read("inventory")
 
-    def credit_sales(self) -> DataFrame:
-        """Open credit sales: the instalment ledger's snapshot."""
-        return (self.read("sales").where(F.col("estado_pago") == "EN_ABONOS")
-                .select(F.col("id").alias("venta_id"), "clienta_id", "saldo_restante"))
+    def sale_balances(self) -> DataFrame:
+        """All sales with owner, client, balance and payment state: the
+        instalment ledger's snapshot."""
+        return self.read("sales").select(F.col("id").alias("venta_id"), "vendedor_id", "clienta_id",
+                                         "saldo_restante", "estado_pago")
 
     def billing(self) -> DataFrame:
         """Stored webhook events (event_id, ts, user_id, type, object)."""
@@ -203,10 +204,14 @@ class FixtureTables(Tables):
                         F.concat(F.lit('{"endpoint":"https://push.example/'), _s(k), F.lit('"}'))
                         .alias("subscription")))
 
-    def credit_sales(self) -> DataFrame:
-        return (self.read("orders").where(F.col("o_orderstatus") == "O")
-                .select(F.col("o_orderkey").alias("venta_id"), F.col("o_custkey").alias("clienta_id"),
-                        F.col("o_totalprice").cast(MONEY).alias("saldo_restante")))
+    def sale_balances(self) -> DataFrame:
+        n_vendors = self.read("supplier").select(F.count(F.lit(1))).scalar()
+        is_open = F.col("o_orderstatus") == "O"
+        return self.read("orders").select(
+            F.col("o_orderkey").alias("venta_id"), (F.col("o_custkey") % n_vendors).alias("vendedor_id"),
+            F.col("o_custkey").alias("clienta_id"),
+            F.when(is_open, F.col("o_totalprice")).otherwise(F.lit(0)).cast(MONEY).alias("saldo_restante"),
+            F.when(is_open, "EN_ABONOS").otherwise("PAGADO").alias("estado_pago"))
 
     # -- billing --------------------------------------------------------
     def payments(self) -> DataFrame:
