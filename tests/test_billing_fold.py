@@ -16,3 +16,30 @@ def _rows(df):
 def test_stream_path_equals_list_path(spark):
     t = FixtureTables(spark, SMALL)
     assert _rows(subscription_fold(t, max_events=0)) == _rows(subscription_fold(t))
+
+
+def test_invoice_goes_to_one_user_on_text_keys(spark):
+    """Subscription before customer before e-mail, at the time of the event."""
+    users = spark.createDataFrame(
+        [("u1", "a@x", "sub_1", "cus_1"), ("u2", "b@x", None, "cus_9"), ("u3", "C@x", None, None)],
+        "id string, email string, stripe_subscription_id string, stripe_customer_id string") \
+        .withColumns({"suscripcion_estado": F.lit("pendiente"), "suscripcion_plan": F.lit("mini"),
+                      "suscripcion_fin": F.lit(None).cast("date")})
+    pays = spark.createDataFrame([("p-1", "u1", "pendiente")], "id string, usuario_id string, estado string") \
+        .withColumn("creado_en", F.lit("2024-01-01").cast("timestamp_ntz"))
+
+    def invoice(sub, cus):
+        return ('{"customer":"%s","parent":{"subscription_details":{"subscription":"%s"}},"lines":{"data":[]}}' % (cus, sub))
+
+    paid, failed = "invoice.payment_succeeded", "invoice.payment_failed"
+    rows = [(1, paid, invoice("sub_1", "cus_9")), (2, failed, invoice("sub_3", "cus_3")),
+            (3, paid, invoice("sub_3", "cus_3")), (4, failed, invoice("sub_3", "cus_9"))]
+    events = spark.createDataFrame(rows, "event_id int, type string, object string") \
+        .withColumn("ts", F.lit("2024-01-31").cast("timestamp_ntz")).withColumn("user_id", F.lit(0))
+    customers = spark.createDataFrame([("cus_3", "c@X")], "customer_id string, customer_email string")
+    for most in (0, 100):
+        out = {r["id"]: r for r in subscription_fold(None, events, users, pays, most, customers).collect()}
+        assert [(out[u]["estado"], out[u]["sub"]) for u in ("u1", "u2", "u3")] == [
+            ("activa", "sub_1"), ("pendiente", None), ("pago_fallido", "sub_3")]
+        assert [tuple(x) for x in out["u1"]["settled"]] == [("p-1", 1)]
+        assert str(out["u3"]["fin"]) == "2024-02-29 00:00:00"

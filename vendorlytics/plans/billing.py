@@ -5,19 +5,17 @@ Arrival order is ``event_id``. The state of each user (status, plan, start,
 end, subscription and customer ids, pending payments) is an ordered fold
 over the user's events; see ``subscription_fold``.
 
-Routing assumption (stated, and the only place we rely on it): a
-subscription or customer id belongs to one user over the whole history,
-as it does with the provider. Then every event can be routed statically to
-its user ("all ids ever linked": snapshot plus checkout links) and the
-time-dependent conditions of the reference (does the user *currently* hold
-this subscription id?) are evaluated inside the user's fold.
+Events are routed to users by who holds their ids when they arrive
+(``route_events``), so ids that move between users are handled as the
+reference does; ids may be of any type.
 """
 
 from __future__ import annotations
 
+import calendar
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlytics.session import materialize
@@ -142,37 +140,82 @@ def checkout_payment_link(t: Tables) -> DataFrame:
     return checkout_links(parse_events(t.billing()), t.payments())
 
 
-def route_events(t: Tables, parsed: DataFrame, users: DataFrame, payments: DataFrame,
-                 customers: DataFrame) -> DataFrame:
-    """Static event -> user routing. Checkout: by its pago. Paid invoice:
-    owners (ever) of its subscription or customer id, else the user whose
-    e-mail matches the customer's (smallest id). Failed / deleted / updated:
-    owners (ever) of the subscription id. Unroutable events are dropped, as
-    the reference drops unresolved ones."""
-    links = checkout_links(parsed, payments).where(F.col("usuario_id").isNotNull())
-    sub_owner = (users.select(F.col("id").alias("uid"), F.col("stripe_subscription_id").alias("sid"))
-                 .unionByName(links.select(F.col("usuario_id").alias("uid"), F.col("subscription_id").alias("sid")))
-                 .where(F.col("sid").isNotNull()).distinct())
-    cus_owner = (users.select(F.col("id").alias("uid"), F.col("stripe_customer_id").alias("cid"))
-                 .unionByName(links.select(F.col("usuario_id").alias("uid"), F.col("customer_id").alias("cid")))
-                 .where(F.col("cid").isNotNull()).distinct())
-    by_email = users.groupBy(F.lower("email").alias("mail")).agg(F.min("id").alias("uid"))
+def _holders(initial: DataFrame, links: DataFrame) -> DataFrame:
+    """Who holds which provider id when: one row (uid, held, since, until,
+    source) per run of equal ids in a user's history. A link counts for the
+    events after it; ``since`` NULL is the stored state."""
+    rows = initial.select("uid", "held", F.lit(None).cast(links.schema["since"].dataType).alias("since"),
+                          F.lit("state").alias("source")).unionByName(links).where(F.col("held").isNotNull())
+    w = Window.partitionBy("uid").orderBy(F.col("since").asc_nulls_first(), F.col("source"))
+    runs = rows.withColumn("__prev", F.lag("held").over(w)) \
+        .where(F.col("__prev").isNull() | (F.col("__prev") != F.col("held"))).drop("__prev")
+    return runs.withColumn("until", F.lead("since").over(w))
+
+
+def _holder_of(events: DataFrame, event_key: str, holders: DataFrame) -> DataFrame:
+    """(event_id, uid) for every user that holds the event's id when it arrives."""
+    at = F.col("event_id")
+    return events.select("event_id", F.col(event_key).alias("held")).join(holders, "held").where(
+        (F.col("since").isNull() | (F.col("since") < at)) & (F.col("until").isNull() | (at <= F.col("until")))
+    ).select("event_id", "uid")
+
+
+def route_events(parsed: DataFrame, users: DataFrame, payments: DataFrame, customers: DataFrame) -> DataFrame:
+    """Event -> user at the time of the event (arrival order = event_id).
+
+    Checkout: the user of its pago. Paid invoice: exactly one user, the first
+    found of the holder of its subscription id, the holder of its customer
+    id, and the user with the customer's e-mail (smallest id among equals).
+    Failed / deleted / updated: every holder of the subscription id.
+    Unroutable events are dropped, as the reference drops unresolved ones.
+
+    A paid invoice found by customer or e-mail gives its user the invoice's
+    subscription id, which later events see. These links are iterated until
+    they no longer change: a link depends on earlier events only, so each
+    round settles at least the earliest unsettled one, and the result is the
+    sequential one. Only links that change a user's id are kept, so one round
+    settles all users whose ids are not shared, and a second confirms it."""
+    links = checkout_links(parsed, payments).join(users.select(F.col("id").alias("usuario_id")), "usuario_id", "left_semi")
+    state = users.select(F.col("id").alias("uid"), F.col("stripe_subscription_id").alias("sid"),
+                         F.col("stripe_customer_id").alias("cid"))
+    chk = links.select(F.col("usuario_id").alias("uid"), F.col("event_id").alias("since"),
+                       F.lit("checkout").alias("source"), "subscription_id", "customer_id")
+    chk_sub = chk.select("uid", F.col("subscription_id").alias("held"), "since", "source")
+    chk_cus = chk.select("uid", F.col("customer_id").alias("held"), "since", "source")
+    sub_state, cus_state = state.withColumnRenamed("sid", "held"), state.withColumnRenamed("cid", "held")
 
-    chk = links.select("event_id", F.col("usuario_id").alias("uid"))
     paid = parsed.where(F.col("type") == PAID)
-    via_sub = paid.join(sub_owner, paid.subscription_id == sub_owner.sid).select("event_id", "uid")
-    via_cus = paid.join(cus_owner, paid.customer_id == cus_owner.cid).select("event_id", "uid")
-    owned = via_sub.unionByName(via_cus).distinct()
-    mail = (paid.join(owned.select("event_id").distinct(), "event_id", "left_anti")
-            .join(customers, "customer_id").where(F.col("customer_email").isNotNull())
-            .join(by_email, F.lower("customer_email") == by_email.mail).select("event_id", "uid"))
+    by_email = users.groupBy(F.lower("email").alias("mail")).agg(F.min("id").alias("uid"))
+    mail = paid.select("event_id", "customer_id").join(customers, "customer_id") \
+        .where(F.col("customer_email").isNotNull()) \
+        .join(by_email, F.lower("customer_email") == by_email.mail).select("event_id", "uid")
+    via_cus = _holder_of(paid, "customer_id", _holders(cus_state, chk_cus))
+    fallback = via_cus.groupBy("event_id").agg(F.min("uid").alias("u_cus")) \
+        .join(mail.groupBy("event_id").agg(F.min("uid").alias("u_mail")), "event_id", "full") \
+        .select("event_id", F.coalesce("u_cus", "u_mail").alias("u_other"))
+    paid = materialize(paid.select("event_id", "subscription_id").join(fallback, "event_id", "left"), "billing-paid")
+
+    learned = chk_sub.limit(0)
+    while True:
+        holders = _holders(sub_state, chk_sub.unionByName(learned))
+        by_sub = _holder_of(paid, "subscription_id", holders).groupBy("event_id").agg(F.min("uid").alias("u_sub"))
+        found = materialize(paid.join(by_sub, "event_id", "left"), "billing-found")
+        given = found.where(F.col("u_sub").isNull() & F.col("u_other").isNotNull()).select(
+            F.col("u_other").alias("uid"), F.col("subscription_id").alias("held"), F.col("event_id").alias("since"),
+            F.lit("invoice").alias("source"))
+        now = materialize(_holders(sub_state, chk_sub.unionByName(given)).where(F.col("source") == "invoice")
+                          .select("uid", "held", "since", "source"), "billing-learned")
+        if now.exceptAll(learned).isEmpty() and learned.exceptAll(now).isEmpty():
+            break
+        learned = now
+
+    resolved = found.select("event_id", F.coalesce("u_sub", "u_other").alias("uid")).where(F.col("uid").isNotNull())
     other = parsed.where(F.col("type").isin(FAILED, DELETED, UPDATED))
-    via_sub2 = other.join(sub_owner, other.subscription_id == sub_owner.sid).select("event_id", "uid")
-    routed = chk.unionByName(owned).unionByName(mail).unionByName(via_sub2).distinct()
-    return routed
+    return links.select("event_id", F.col("usuario_id").alias("uid")).unionByName(resolved) \
+        .unionByName(_holder_of(other, "subscription_id", holders))
 
 
-def event_user_resolved(t: Tables) -> DataFrame:
+def event_user_resolved(t: Tables, customers: DataFrame | None = None) -> DataFrame:
     """Paid invoices -> user by subscription id, else customer id, else
     e-mail (snapshot ids); unresolved invoices are dropped."""
     users = t.users()
@@ -181,7 +224,7 @@ def event_user_resolved(t: Tables) -> DataFrame:
     by_cus = users.select(F.col("id").alias("u_cus"), F.col("stripe_customer_id").alias("customer_id"))
     by_mail = users.groupBy(F.lower("email").alias("mail")).agg(F.min("id").alias("u_mail"))
     j = (paid.join(by_sub, "subscription_id", "left").join(by_cus, "customer_id", "left")
-         .join(customer_emails(t), "customer_id", "left")
+         .join(customers if customers is not None else customer_emails(t), "customer_id", "left")
          .join(by_mail, F.lower(F.col("customer_email")) == by_mail.mail, "left"))
     uid = F.coalesce("u_sub", "u_cus", "u_mail")
     via = (F.when(F.col("u_sub").isNotNull(), "subscription").when(F.col("u_cus").isNotNull(), "customer")
@@ -191,24 +234,21 @@ def event_user_resolved(t: Tables) -> DataFrame:
 
 # -- B5 / B6: the per-user fold ---------------------------------------------
 def fold_inputs(t: Tables, events: DataFrame | None = None, users: DataFrame | None = None,
-                payments: DataFrame | None = None):
+                payments: DataFrame | None = None, customers: DataFrame | None = None):
     """(user event rows, initial user states, pending pagos) for the fold."""
     events = events if events is not None else t.billing()
     users = users if users is not None else t.users()
     payments = payments if payments is not None else t.payments()
     # Parsed once: routing and the fold read it several times.
     parsed = materialize(parse_events(events).where(F.col("type").isin(*HANDLED)), "billing-parsed")
-    customers = customer_emails(t)
-    routed = route_events(t, parsed, users, payments, customers)
-    ev = routed.join(parsed, "event_id").join(customers, "customer_id", "left") \
-        .join(users.select(F.col("id").alias("uid"), F.lower("email").alias("u_mail")), "uid", "left")
+    customers = customers if customers is not None else customer_emails(t)
+    ev = route_events(parsed, users, payments, customers).join(parsed, "event_id")
     ev = ev.select(
         "uid", "event_id", "type", "ts", "subscription_id", "customer_id",
-        F.coalesce(F.lower(F.col("customer_email")) == F.col("u_mail"), F.lit(False)).alias("email_ok"),
         "period_end", plan_from_price(F.col("price_id")).alias("plan"),
         F.coalesce(F.col("payment_status").isin(*PAID_STATUSES), F.lit(False)).alias("pay_ok"),
         F.try_element_at(_lit_map(UPDATED_STATUS_MAP), F.col("status")).alias("mapped"),
-        F.col("pago_id").try_cast("bigint").alias("pago_id"))
+        F.col("pago_id").try_cast(payments.schema["id"].dataType).alias("pago_id"))
     init = users.select(F.col("id").alias("uid"), F.col("suscripcion_estado").alias("estado"),
                         F.col("suscripcion_plan").alias("plan"),
                         (F.col("suscripcion_inicio") if "suscripcion_inicio" in users.columns
@@ -224,9 +264,7 @@ def _step(acc, e):
     """One event applied to a user's state (Column expressions)."""
     kind = e["type"]
     is_chk, is_paid = kind == CHECKOUT, kind == PAID
-    resolved = is_paid & F.coalesce(
-        (e["subscription_id"].isNotNull() & (acc["sub"] == e["subscription_id"]))
-        | (e["customer_id"].isNotNull() & (acc["cus"] == e["customer_id"])) | e["email_ok"], F.lit(False))
+    resolved = is_paid  # routed to this user: already resolved at its time
     chk_paid = is_chk & e["pay_ok"]
     activate = chk_paid | resolved
     match = F.coalesce(e["subscription_id"].isNotNull() & (acc["sub"] == e["subscription_id"]), F.lit(False))
@@ -262,21 +300,23 @@ def _step(acc, e):
 
 
 MAX_EVENTS = 2048
-_EV_FIELDS = ["event_id", "type", "ts", "subscription_id", "customer_id", "email_ok", "period_end", "plan", "pay_ok",
+_EV_FIELDS = ["event_id", "type", "ts", "subscription_id", "customer_id", "period_end", "plan", "pay_ok",
               "mapped", "pago_id"]
 _STATE_FIELDS = ["estado", "plan", "inicio", "fin", "sub", "cus"]
 
 
-def _fold_stream(pdf_iter):
+def _next_month(ts):
+    year, month = ts.year + ts.month // 12, ts.month % 12 + 1
+    return ts.replace(year=year, month=month, day=min(ts.day, calendar.monthrange(year, month)[1]))
+
+
+def _fold_stream(batches):
     """Python twin of ``_step`` for users with very many events: rows of one
     user arrive together, sorted as state (kind 0), pending pagos newest
     first (kind 1), events by id (kind 2); only the state is kept."""
-    import pandas as pd
-
-    def val(x):
-        return None if x is None or (not isinstance(x, str) and pd.isna(x)) else x
+    import pyarrow as pa
 
-    out = []
+    out, schema = [], None
     uid, st, pend, live, gone, head, settled = None, None, [], set(), set(), 0, []
 
     def flush():
@@ -285,23 +325,25 @@ def _fold_stream(pdf_iter):
             for p, e in settled:
                 out.append({"uid": uid, **{k: None for k in _STATE_FIELDS}, "pago_id": p, "event_id": e, "kind": 1})
 
-    for pdf in pdf_iter:
-        for r in pdf.to_dict("records"):
+    for batch in batches:
+        of = batch.schema.field
+        schema = pa.schema([("uid", of("uid").type), *[(k, of("s_" + k).type) for k in _STATE_FIELDS],
+                            ("pago_id", of("pago_id").type), ("event_id", of("event_id").type), ("kind", pa.int32())])
+        for r in batch.to_pylist():
             if r["uid"] != uid:
                 flush()
                 uid, st, pend, live, gone, head, settled = r["uid"], None, [], set(), set(), 0, []
             kind = r["kind"]
             if kind == 0:
-                st = {k: val(r["s_" + k]) for k in _STATE_FIELDS}
+                st = {k: r["s_" + k] for k in _STATE_FIELDS}
                 continue
             if kind == 1:
-                pend.append(int(r["pago_id"]))
-                live.add(int(r["pago_id"]))
+                pend.append(r["pago_id"])
+                live.add(r["pago_id"])
                 continue
-            e = {k: val(r[k]) for k in _EV_FIELDS}
+            e = {k: r[k] for k in _EV_FIELDS}
             sid, cid, typ = e["subscription_id"], e["customer_id"], e["type"]
-            resolved = typ == PAID and ((sid is not None and st["sub"] == sid)
-                                        or (cid is not None and st["cus"] == cid) or bool(e["email_ok"]))
+            resolved = typ == PAID
             chk_paid = typ == CHECKOUT and bool(e["pay_ok"])
             activate = chk_paid or resolved
             match = sid is not None and st["sub"] == sid
@@ -317,34 +359,35 @@ def _fold_stream(pdf_iter):
                 st["estado"] = e["mapped"]
             while head < len(pend) and pend[head] in gone:
                 head += 1
-            if chk_paid and e["pago_id"] is not None and int(e["pago_id"]) in live:
-                live.discard(int(e["pago_id"]))
-                gone.add(int(e["pago_id"]))
-                settled.append((int(e["pago_id"]), int(e["event_id"])))
+            if chk_paid and e["pago_id"] is not None and e["pago_id"] in live:
+                live.discard(e["pago_id"])
+                gone.add(e["pago_id"])
+                settled.append((e["pago_id"], e["event_id"]))
             elif resolved and head < len(pend):
                 live.discard(pend[head])
                 gone.add(pend[head])
-                settled.append((pend[head], int(e["event_id"])))
+                settled.append((pend[head], e["event_id"]))
             if activate:
-                ts = pd.Timestamp(e["ts"])
+                ts = e["ts"]
                 st["plan"] = e["plan"]
                 st["inicio"] = st["inicio"] if st["inicio"] is not None else ts
-                st["fin"] = next(x for x in (e["period_end"], st["fin"], ts + pd.DateOffset(months=1))
+                st["fin"] = next(x for x in (e["period_end"], st["fin"], _next_month(ts))
                                  if x is not None)
                 st["sub"] = sid if sid is not None else linked_sub
             else:
                 st["sub"] = linked_sub
             st["cus"] = linked_cus
         if len(out) > 10000:
-            yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pylist(out, schema)
             out = []
     flush()
     if out:
-        yield pd.DataFrame(out)
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def subscription_fold(t: Tables, events: DataFrame | None = None, users: DataFrame | None = None,
-                      payments: DataFrame | None = None, max_events: int = MAX_EVENTS) -> DataFrame:
+                      payments: DataFrame | None = None, max_events: int = MAX_EVENTS,
+                      customers: DataFrame | None = None) -> DataFrame:
     """B5 + B6: fold each user's events (arrival order) over their state.
 
     Returns one row per user: estado, plan, inicio, fin, sub, cus and the
@@ -354,8 +397,11 @@ def subscription_fold(t: Tables, events: DataFrame | None = None, users: DataFra
     their rows sorted by Spark (``_fold_stream``), holding only the state
     and the user's pending pagos. Users without events keep their state.
     """
-    ev, init, pend = fold_inputs(t, events, users, payments)
+    ev, init, pend = fold_inputs(t, events, users, payments, customers)
     ev = materialize(ev, "billing-routed")
+    uid_t, pago_t, event_t = (f.schema[c].dataType.simpleString()
+                              for f, c in ((init, "uid"), (pend, "pago_id"), (ev, "event_id")))
+    settled_t = f"array<struct<pago_id:{pago_t},event_id:{event_t}>>"
     counts = ev.groupBy("uid").agg(F.count(F.lit(1)).alias("n_ev"))
     init = init.join(counts, "uid", "left").withColumn("big", F.coalesce(F.col("n_ev") > max_events, F.lit(False)))
     init = materialize(init, "billing-init")
@@ -371,8 +417,8 @@ def subscription_fold(t: Tables, events: DataFrame | None = None, users: DataFra
     s = small_users.join(ev_lists, "uid", "left").join(pend_lists, "uid", "left")
     start = F.struct(
         F.col("estado"), F.col("plan"), F.col("inicio"), F.col("fin"), F.col("sub"), F.col("cus"),
-        F.coalesce(F.col("pend"), F.array().cast("array<struct<pago_id:bigint>>")).alias("pend"),
-        F.array().cast("array<struct<pago_id:bigint,event_id:bigint>>").alias("settled"))
+        F.coalesce(F.col("pend"), F.array().cast(f"array<struct<pago_id:{pago_t}>>")).alias("pend"),
+        F.array().cast(settled_t).alias("settled"))
     folded = s.select("uid", F.aggregate(F.coalesce("evs", F.array().cast(s.schema["evs"].dataType)),
                                          start, _step).alias("st"))
     small_out = folded.select(F.col("uid").alias("id"), "st.*").drop("pend")
@@ -382,34 +428,32 @@ def subscription_fold(t: Tables, events: DataFrame | None = None, users: DataFra
     # Users with many events: one sorted stream of state, pagos, events.
     big_init = init.where(F.col("big"))
     null = {c: F.lit(None) for c in _EV_FIELDS}
-    cols = ["uid", "kind", "order_a", "order_b"] + [f"s_{k}" for k in _STATE_FIELDS] + _EV_FIELDS
+    cols = ["uid", "kind", "order_a"] + [f"s_{k}" for k in _STATE_FIELDS] + _EV_FIELDS
     st_rows = big_init.select("uid", F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("order_a"),
-                              F.lit(0).cast("bigint").alias("order_b"),
                               *[F.col(k).alias(f"s_{k}") for k in _STATE_FIELDS],
                               *[null[c].cast(ev.schema[c].dataType).alias(c) for c in _EV_FIELDS])
     p_rows = pend.join(big_users, "uid").select(
-        "uid", F.lit(1).alias("kind"), F.col("creado_en").alias("order_a"), F.col("pago_id").alias("order_b"),
+        "uid", F.lit(1).alias("kind"), F.col("creado_en").alias("order_a"),
         *[F.lit(None).cast(init.schema[k].dataType).alias(f"s_{k}") for k in _STATE_FIELDS],
         *[(F.col("pago_id") if c == "pago_id" else null[c].cast(ev.schema[c].dataType)).alias(c)
           for c in _EV_FIELDS])
     e_rows = ev.join(big_users, "uid").select(
         "uid", F.lit(2).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("order_a"),
-        F.col("event_id").alias("order_b"),
         *[F.lit(None).cast(init.schema[k].dataType).alias(f"s_{k}") for k in _STATE_FIELDS], *_EV_FIELDS)
     stream_in = (st_rows.select(*cols).unionByName(p_rows.select(*cols)).unionByName(e_rows.select(*cols))
                  .repartition("uid"))
     stream_in = stream_in.sortWithinPartitions(
-        "uid", "kind", F.when(F.col("kind") == 1, F.col("order_a")).desc_nulls_last(),
-        F.when(F.col("kind") == 1, -F.col("order_b")).otherwise(F.col("order_b")))
-    out_schema = ("uid bigint, estado string, plan string, inicio timestamp_ntz, fin timestamp_ntz, sub string, "
-                  "cus string, pago_id bigint, event_id bigint, kind int")
-    streamed = stream_in.mapInPandas(_fold_stream, out_schema)
+        "uid", "kind", F.col("order_a").desc_nulls_last(),
+        F.when(F.col("kind") == 1, F.col("pago_id")).desc_nulls_last(), "event_id")
+    out_schema = (f"uid {uid_t}, estado string, plan string, inicio timestamp_ntz, fin timestamp_ntz, sub string, "
+                  f"cus string, pago_id {pago_t}, event_id {event_t}, kind int")
+    streamed = stream_in.mapInArrow(_fold_stream, out_schema)
     big_state = streamed.where(F.col("kind") == 0).drop("pago_id", "event_id", "kind")
     big_settled = streamed.where(F.col("kind") == 1).groupBy("uid").agg(
         F.collect_list(F.struct("pago_id", "event_id")).alias("settled"))
     big_out = big_state.join(big_settled, "uid", "left").select(
         F.col("uid").alias("id"), *_STATE_FIELDS,
-        F.coalesce("settled", F.array().cast("array<struct<pago_id:bigint,event_id:bigint>>")).alias("settled"))
+        F.coalesce("settled", F.array().cast(settled_t)).alias("settled"))
     return small_out.unionByName(big_out)
 
 

@@ -36,30 +36,35 @@ _FOLD = f"""{_PARSE}, {_CUST},
  h AS (SELECT * FROM p WHERE type IN ({HANDLED})),
  links AS (SELECT c.event_id, pg.usuario_id, c.customer_id, c.subscription_id FROM h c
    JOIN v_payments pg ON CAST(pg.id AS VARCHAR) = c.pago_id WHERE c.type = 'checkout.session.completed'),
- sub_owner AS (SELECT DISTINCT uid, sid FROM (SELECT id AS uid, stripe_subscription_id AS sid FROM v_users
-   UNION ALL SELECT usuario_id, subscription_id FROM links) WHERE sid IS NOT NULL),
- cus_owner AS (SELECT DISTINCT uid, cid FROM (SELECT id AS uid, stripe_customer_id AS cid FROM v_users
-   UNION ALL SELECT usuario_id, customer_id FROM links) WHERE cid IS NOT NULL),
  by_mail AS (SELECT lower(email) AS mail, MIN(id) AS uid FROM v_users GROUP BY 1),
- paid AS (SELECT * FROM h WHERE type = 'invoice.payment_succeeded'),
- owned AS (SELECT DISTINCT event_id, uid FROM (SELECT paid.event_id, so.uid FROM paid JOIN sub_owner so ON so.sid = paid.subscription_id
-   UNION ALL SELECT paid.event_id, co.uid FROM paid JOIN cus_owner co ON co.cid = paid.customer_id)),
- mail AS (SELECT paid.event_id, bm.uid FROM paid JOIN cust ON cust.customer_id = paid.customer_id
-   JOIN by_mail bm ON bm.mail = lower(cust.customer_email) WHERE paid.event_id NOT IN (SELECT event_id FROM owned)),
- routed AS (SELECT DISTINCT event_id, uid FROM (SELECT event_id, usuario_id AS uid FROM links
-   UNION ALL SELECT event_id, uid FROM owned UNION ALL SELECT event_id, uid FROM mail
-   UNION ALL SELECT o.event_id, so.uid FROM h o JOIN sub_owner so ON so.sid = o.subscription_id
-     WHERE o.type IN ('invoice.payment_failed', 'customer.subscription.deleted', 'customer.subscription.updated'))),
- ev AS (SELECT r.uid, h.event_id, h.type, h.ts, h.subscription_id AS sid, h.customer_id AS cid,
-   COALESCE(lower(cust.customer_email) = lower(u.email), false) AS email_ok, h.period_end,
+ ordered AS MATERIALIZED (SELECT h.event_id, h.type, h.subscription_id AS sid, h.customer_id AS cid, l.usuario_id AS linked, bm.uid AS mailed,
+   row_number() OVER (ORDER BY h.event_id) AS n FROM h LEFT JOIN links l ON l.event_id = h.event_id
+   LEFT JOIN cust ON cust.customer_id = h.customer_id LEFT JOIN by_mail bm ON bm.mail = lower(cust.customer_email)),
+ t0 AS MATERIALIZED (SELECT list(id ORDER BY id) AS ids, list(stripe_subscription_id ORDER BY id) AS subs,
+   list(stripe_customer_id ORDER BY id) AS cuss FROM v_users),
+ walk(n, event_id, hit, subs, cuss) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), subs, cuss FROM t0
+   UNION ALL SELECT n, event_id, hit,
+     CASE WHEN type IN ('checkout.session.completed', 'invoice.payment_succeeded') AND len(hit) > 0 AND sid IS NOT NULL
+       THEN list_transform(subs, lambda x, i: CASE WHEN ids[i] = hit[1] THEN sid ELSE x END) ELSE subs END,
+     CASE WHEN type = 'checkout.session.completed' AND len(hit) > 0 AND cid IS NOT NULL
+       THEN list_transform(cuss, lambda x, i: CASE WHEN ids[i] = hit[1] THEN cid ELSE x END) ELSE cuss END
+   FROM (SELECT o.*, w.subs, w.cuss, t0.ids, CASE
+       WHEN o.type = 'checkout.session.completed' THEN CASE WHEN o.linked IS NULL THEN [] ELSE [o.linked] END
+       WHEN o.type = 'invoice.payment_succeeded' THEN CASE WHEN list_contains(w.subs, o.sid) THEN [t0.ids[list_position(w.subs, o.sid)]]
+         WHEN list_contains(w.cuss, o.cid) THEN [t0.ids[list_position(w.cuss, o.cid)]]
+         WHEN o.mailed IS NOT NULL THEN [o.mailed] ELSE [] END
+       WHEN list_contains(w.subs, o.sid) THEN list_filter(t0.ids, lambda x, i: w.subs[i] = o.sid) ELSE [] END AS hit
+     FROM walk w JOIN ordered o ON o.n = w.n + 1, t0)),
+ routed AS MATERIALIZED (SELECT event_id, UNNEST(hit) AS uid FROM walk),
+ ev AS MATERIALIZED (SELECT r.uid, h.event_id, h.type, h.ts, h.subscription_id AS sid, h.customer_id AS cid,
+   h.period_end,
    {_PLAN.format(x="h.price_id")} AS eplan,
    COALESCE(h.payment_status IN ('paid', 'no_payment_required'), false) AS pay_ok,
    CASE h.status WHEN 'canceled' THEN 'cancelada' WHEN 'unpaid' THEN 'pago_fallido' WHEN 'paused' THEN 'pausada'
      WHEN 'past_due' THEN 'pago_fallido' END AS mapped,
    CAST(h.pago_id AS BIGINT) AS pago_id,
    row_number() OVER (PARTITION BY r.uid ORDER BY h.event_id) AS rn
-   FROM routed r JOIN h ON h.event_id = r.event_id LEFT JOIN cust ON cust.customer_id = h.customer_id
-   LEFT JOIN v_users u ON u.id = r.uid),
+   FROM routed r JOIN h ON h.event_id = r.event_id),
  pend0 AS (SELECT usuario_id AS uid, list(id ORDER BY creado_en DESC, id DESC) AS pend FROM v_payments
    WHERE estado = 'pendiente' GROUP BY 1),
  f(uid, rn, estado, plan, inicio, fin, sub, cus, pend, settled) AS (
@@ -87,8 +92,7 @@ _FOLD = f"""{_PARSE}, {_CUST},
    FROM (SELECT f.uid, e.rn, f.estado, f.plan AS splan, f.inicio, f.fin, f.sub, f.cus, f.pend, f.settled,
        e.type, e.ts, e.sid, e.cid, e.period_end, e.eplan, e.mapped, e.pago_id, e.event_id,
        CASE WHEN e.type = 'checkout.session.completed' THEN COALESCE(e.sid, f.sub) ELSE f.sub END AS lsub,
-       (e.type = 'invoice.payment_succeeded' AND COALESCE((e.sid IS NOT NULL AND f.sub = e.sid)
-         OR (e.cid IS NOT NULL AND f.cus = e.cid) OR e.email_ok, false)) AS resolved,
+       e.type = 'invoice.payment_succeeded' AS resolved,
        (e.type = 'checkout.session.completed' AND e.pay_ok) AS chk_paid,
        COALESCE(e.sid IS NOT NULL AND f.sub = e.sid, false) AS mtch
      FROM f JOIN ev e ON e.uid = f.uid AND e.rn = f.rn + 1)),

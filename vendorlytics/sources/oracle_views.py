@@ -66,7 +66,7 @@ SELECT event_id AS id, user_id AS usuario_id, CASE WHEN event_id % 4 = 0 THEN 'r
 SELECT event_id, ts, user_id,
  CASE event_type WHEN 'signup' THEN 'checkout.session.completed' WHEN 'purchase' THEN 'invoice.payment_succeeded' WHEN 'error' THEN 'invoice.payment_failed' WHEN 'view' THEN 'customer.subscription.updated' ELSE 'customer.subscription.deleted' END AS type,
  CASE WHEN event_type IN ('purchase','error') AND event_id % 2 = 0 THEN '{"customer":"cus_' || CAST(user_id AS VARCHAR(20)) || '","parent":{"subscription_details":{"subscription":"sub_' || CAST(user_id AS VARCHAR(20)) || '"}},"lines":{"data":[{"period":{"end":' || CAST(1704067200 + event_id * 3600 AS VARCHAR(20)) || '},"price":{"id":"price_pro"}}]}}'
- WHEN event_type IN ('purchase','error') THEN '{"customer":{"id":"cus_' || CAST(user_id AS VARCHAR(20)) || '"},"lines":{"data":[{"subscription":null},{"subscription":"sub_' || CAST(user_id AS VARCHAR(20)) || '"}]}}'
+ WHEN event_type IN ('purchase','error') THEN '{"customer":{"id":"cus_' || CAST(CASE WHEN event_id % 10 = 3 THEN user_id + 1 ELSE user_id END AS VARCHAR(20)) || '"},"lines":{"data":[{"subscription":null},{"subscription":"' || CASE WHEN event_id % 10 = 5 THEN 'subx_' ELSE 'sub_' END || CAST(user_id AS VARCHAR(20)) || '"}]}}'
  WHEN event_type = 'signup' THEN '{"customer":"cus_' || CAST(user_id AS VARCHAR(20)) || '","subscription":"sub_' || CAST(user_id AS VARCHAR(20)) || '","payment_status":"' || CASE event_id % 3 WHEN 0 THEN 'paid' WHEN 1 THEN 'unpaid' ELSE 'no_payment_required' END || '","metadata":{"pago_id":"' || CAST(event_id AS VARCHAR(20)) || '","price_id":"price_adv"}}'
  ELSE '{"id":"sub_' || CAST(user_id AS VARCHAR(20)) || '","status":"' || CASE event_id % 6 WHEN 0 THEN 'active' WHEN 1 THEN 'past_due' WHEN 2 THEN 'paused' WHEN 3 THEN 'unpaid' WHEN 4 THEN 'canceled' ELSE 'trialing' END || '"}' END AS object
  FROM events""",

@@ -230,8 +230,9 @@ class FixtureTables(Tables):
             F.lit('"}},"lines":{"data":[{"period":{"end":'), _s(F.lit(1704067200) + e * 3600),
             F.lit('},"price":{"id":"price_pro"}}]}}'))
         invoice_obj = F.concat(
-            F.lit('{"customer":{"id":"'), cus, F.lit('"},"lines":{"data":[{"subscription":null},{"subscription":"'),
-            sub, F.lit('"}]}}'))
+            F.lit('{"customer":{"id":"cus_'), F.when(e % 10 == 3, _s(F.col("user_id") + 1)).otherwise(u),
+            F.lit('"},"lines":{"data":[{"subscription":null},{"subscription":"'),
+            F.when(e % 10 == 5, F.lit("subx_")).otherwise(F.lit("sub_")), u, F.lit('"}]}}'))
         pay_status = F.when(e % 3 == 0, "paid").when(e % 3 == 1, "unpaid").otherwise("no_payment_required")
         checkout = F.concat(
             F.lit('{"customer":"'), cus, F.lit('","subscription":"'), sub, F.lit('","payment_status":"'),
