@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendorlytics.plans.billing import RATE_LIMIT, RATE_WINDOW, subscription_fold
-from vendorlytics.session import checkpoint_dir
+from vendorlytics.session import checkpoint_dir, materialize
 from vendorlytics.sources.tables import Tables
 
 EVENT_SCHEMA = T.StructType([
@@ -73,7 +73,7 @@ def _initial_state(t: Tables, users: DataFrame | None, payments: DataFrame | Non
 
 def apply_batch(t: Tables, events: DataFrame, users: DataFrame, payments: DataFrame):
     """Fold one batch of events into (users, payments) state."""
-    f = subscription_fold(t, events=events, users=users, payments=payments)
+    f = materialize(subscription_fold(t, events=events, users=users, payments=payments), "billing-folded")
     new_users = users.select("id", "email").join(f, "id").select(
         "id", "email", F.col("estado").alias("suscripcion_estado"), F.col("plan").alias("suscripcion_plan"),
         F.col("inicio").alias("suscripcion_inicio"), F.col("fin").alias("suscripcion_fin"),
