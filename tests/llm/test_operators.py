@@ -270,6 +270,30 @@ def test_passages_found_and_clean_left_alone(spark):
     assert got[0]["first_word"] <= 200 and got[0]["end_word"] >= 255
 
 
+def test_passages_of_one_pair_are_judged_one_by_one(spark):
+    r = np.random.default_rng(14)
+    word = lambda n: [f"v{x}" for x in r.integers(0, 10 ** 6, n)]
+    opening, ending, one, two = word(500), word(400), word(70), word(60)
+    docs = [opening + word(40) + ending, opening + word(40) + ending,
+            word(9) + one + word(100) + two + word(30), word(90) + two + word(80) + one + word(4)]
+    out = op8_passages.repeated_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    got = sorted((x["doc_id"], x["first_word"], x["end_word"], x["class_id"]) for x in out)
+    assert got == [(0, 0, 500, 0), (0, 540, 940, 0), (1, 0, 500, 0), (1, 540, 940, 0), (2, 9, 79, 2), (2, 179, 239, 2), (3, 90, 150, 2), (3, 230, 300, 2)]
+
+
+def test_runs_that_fail_keep_their_agreeing_stretches():
+    r = np.random.default_rng(15)
+    x = r.integers(0, 1 << 60, 400).astype(np.uint64)
+    y = x.copy()
+    y[70:330] = r.integers(0, 1 << 60, 260)
+    y[80:330:12] = x[80:330:12]  # one shingle in twelve agrees: no gap cuts the run
+    (a, b), (c, d) = op8_passages.matched(x, y, 0, 0)
+    assert a == b and c == d and a[0] == 0 and a[1] >= 70 and c[0] <= 330 and c[1] == 400
+    for lo, hi in (a, c):
+        common = len(np.intersect1d(x[lo:hi], y[lo:hi]))
+        assert 100 * common >= 80 * (2 * (hi - lo) - common)
+
+
 def test_compact_windows_against_scan():
     r = np.random.default_rng(2)
     value, texts = r.integers(0, 50, 400).astype(np.uint64), np.array([0, 130, 150, 400])
