@@ -256,6 +256,17 @@ def test_embeddings_brute_force(spark):
     assert got[2000]["component_id"] == 2000 and got[2003]["n_links"] == 0 and got[2300]["kept"]
 
 
+def test_embeddings_link_dense_clusters(spark):
+    r = np.random.default_rng(8)
+    a, b = np.linalg.qr(r.normal(size=(16, 2)))[0].T
+    sides = [a, 0.985 * a + (1 - 0.985 ** 2) ** 0.5 * b]
+    rows = [(100 * k + i, (v + r.normal(size=16) * 1e-4).tolist(), 0) for k, v in enumerate(sides) for i in range(90)]
+    rows += [(1000 + i, r.normal(size=16).tolist(), 0) for i in range(60)]
+    out, _ = op9_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in out.collect()}
+    assert all(got[i] == ((179, 0, i == 0) if i < 1000 else (0, i, True)) for i in got) and len(got) == 240
+
+
 def test_passages_found_and_clean_left_alone(spark):
     r = np.random.default_rng(4)
     word = lambda n: [f"v{x}" for x in r.integers(0, 10 ** 6, n)]

@@ -10,8 +10,10 @@ or more. Equal vectors are one node with a count. Then
    lists it is) are compared with each other, and lists take what is nearer.
    A list that is saturated, that is full of links, is enlarged up to
    ``LARGE`` links.
-3. *Threshold edges* of the lists give components. Links never leave a
-   component, so its members are compared exactly, block by block, for the
+3. *Threshold edges* of the lists of all rounds give components. A list that
+   is full at ``LARGE`` links may hide others, so components with such a list
+   are compared exactly with all other nodes of the label, but for those too
+   far from a pivot to link with any member. Links never leave a component, so its members are compared exactly, block by block, for the
    numbers of links: a list that was too short for a large group of near
    copies loses nothing. Blocks send counts, never pairs.
 4. *Audit.* For ``AUDIT`` nodes, taken by hash, links are counted against all
@@ -177,6 +179,50 @@ def count_links(nodes: DataFrame, roots: DataFrame, groups: int) -> DataFrame:
     return rows.groupBy("g").applyInPandas(compare, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def touching(nodes: DataFrame, roots: DataFrame, full: DataFrame, groups: int) -> DataFrame:
+    """(u, v): a node and the root of a component of ``full`` that it doesn't
+    belong to but links with; exact. A node is compared with a component's
+    members only if its angle to one of them, the pivot, leaves room."""
+    named = nodes.select("id", "label", "dim", "v").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    named = named.withColumn("norm", norm)
+
+    def angle():
+        dot = F.aggregate(F.zip_with("v", "p", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / (F.col("norm") * F.col("pnorm"))
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+
+    members = named.join(full, "root", "left_semi")
+    pivot = members.groupBy("root").agg(F.min_by("v", "id").alias("p"), F.min_by("norm", "id").alias("pnorm"), F.count("*").alias("n"))
+    reach = members.join(pivot, "root").groupBy("root", "label", "dim").agg(
+        F.max(angle()).alias("reach"), F.first("p").alias("p"), F.first("pnorm").alias("pnorm"), F.first("n").alias("n"))
+    # a label's nodes are dealt in lots, each meets all pivots of the label
+    reach = reach.withColumnRenamed("root", "other").withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    lots = named.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    asked = lots.join(reach, ["label", "dim", "lot"]).where(F.col("root") != F.col("other")).where(
+        angle() <= F.col("reach") + math.acos(COSINE) + 1e-6).select("id", "v", F.col("other").alias("root"), "n")
+    sizes = asked.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ca"), F.ceil(F.first("n") / BLOCK).cast("int").alias("cm"))
+
+    def dealt(rows, own, other, side):
+        rows = rows.select("id", "root", "v").join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        pair = ("own", "part") if side == 0 else ("part", "own")
+        rows = rows.withColumn("block", F.xxhash64("root", *pair)).withColumn("side", F.lit(side))
+        return rows.withColumn("g", F.when(F.col("ca") * F.col("cm") == 1, F.pmod("block", F.lit(groups))).otherwise(F.col("block"))).select("id", "root", "v", "side", "block", "g")
+
+    def compare(key, pdf):
+        import pandas as pd
+
+        out = []
+        for _, b in pdf.groupby("block", sort=False):
+            of, ask = b[b["side"] == 0], b[b["side"] == 1]
+            if len(of) and len(ask):
+                hit = (unit(ask["v"]) @ unit(of["v"]).T >= COSINE).any(1)
+                out.append((ask["id"].to_numpy()[hit], ask["root"].to_numpy()[hit]))
+        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i, c in enumerate("uv")})
+
+    return dealt(members, "cm", "ca", 0).unionByName(dealt(asked, "ca", "cm", 1)).groupBy("g").applyInPandas(compare, "u long, v long")
+
+
 def audit(nodes: DataFrame, found: DataFrame) -> float:
     """Recall of links for ``AUDIT`` nodes, against all vectors."""
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "v").collect()  # bounded by AUDIT
@@ -217,6 +263,8 @@ def near_vectors(vectors: DataFrame) -> tuple[DataFrame, float]:
     for t in range(1, TABLES):
         edges = edges.unionByName(start(nodes, bits, t, partitions))
     lists = scratch.write(lists_of(edges), "lists")
+    is_link = F.col("s") >= COSINE
+    known = scratch.write(lists.where(is_link).select("u", "v"), "known")
     done, recall = 0, 0.0
     while True:
         for _ in range(ROUNDS if not done else 1):
@@ -224,7 +272,15 @@ def near_vectors(vectors: DataFrame) -> tuple[DataFrame, float]:
             nearer = scratch.write(lists_of(new), "lists")
             scratch.drop(lists)
             lists, done = nearer, done + 1
-        roots = components(lists.where(F.col("s") >= COSINE).select("u", "v"), scratch)
+            known = known.unionByName(scratch.write(lists.where(is_link).select("u", "v"), "known"))
+        roots = components(known, scratch)
+        # a list that is full of links may hide some: its component meets all others
+        full = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where((F.col("n") >= LARGE) & is_link)
+        full = scratch.write(full.select(F.col("u").alias("id")).join(roots, "id").select("root").distinct(), "full")
+        more = scratch.write(touching(nodes, roots, full, groups), "touching")
+        if not more.isEmpty():
+            known = scratch.write(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more), "known")
+            roots = components(known, scratch)
         links = scratch.write(count_links(nodes, roots, groups), "links")
         recall = audit(nodes, links)
         if recall >= RECALL or done >= ROUNDS + MORE_ROUNDS:
