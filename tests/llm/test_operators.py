@@ -267,6 +267,23 @@ def test_embeddings_link_dense_clusters(spark):
     assert all(got[i] == ((179, 0, i == 0) if i < 1000 else (0, i, True)) for i in got) and len(got) == 240
 
 
+def test_embeddings_lost_small_groups_are_found(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    big = r.normal(size=16)
+    rows = [(i, (big + r.normal(size=16) * 1e-4).tolist(), 0) for i in range(200)]
+    for i in range(60):
+        v = r.normal(size=16)
+        w = r.normal(size=16)
+        w -= v * (v @ w) / (v @ v)
+        rows += [(1000 + 2 * i, v.tolist(), 0), (1001 + 2 * i, (v + 0.15 * w * np.linalg.norm(v) / np.linalg.norm(w)).tolist(), 0)]
+    begin, none = op9_embeddings.start, spark.createDataFrame([], "u long, v long, s double")
+    monkeypatch.setattr(op9_embeddings, "start", lambda *a: begin(*a).where("s > 0.9999"))
+    monkeypatch.setattr(op9_embeddings, "descend", lambda *a: none)
+    out, recall = op9_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in out.collect()}
+    assert recall >= 0.95 and got == {i: (199, 0) if i < 1000 else (1, i - i % 2) for i, _, _ in rows}
+
+
 def test_passages_found_and_clean_left_alone(spark):
     r = np.random.default_rng(4)
     word = lambda n: [f"v{x}" for x in r.integers(0, 10 ** 6, n)]

@@ -16,8 +16,12 @@ or more. Equal vectors are one node with a count. Then
    far from a pivot to link with any member. Links never leave a component, so its members are compared exactly, block by block, for the
    numbers of links: a list that was too short for a large group of near
    copies loses nothing. Blocks send counts, never pairs.
-4. *Audit.* For ``AUDIT`` nodes, taken by hash, links are counted against all
-   vectors. If recall is under ``RECALL``, more rounds follow.
+4. *Audit.* For ``AUDIT`` nodes of each size of found components, lone nodes
+   included, links are counted against all vectors. If the mean recall of a
+   node's links is under ``RECALL`` for nodes of few, some or many links, more
+   rounds follow; if that doesn't do, all components of a label, lone nodes
+   too, are compared exactly like those with full lists, which is quadratic in
+   their number.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, and neither do those with a null label or of
@@ -46,6 +50,7 @@ LARGE = 32
 ROUNDS = 2
 MORE_ROUNDS = 3
 AUDIT = 200
+FEW = 4  # links of a node in a small group
 RECALL = 0.95
 BLOCK = 2048
 PACK = 1024  # nodes to a group, however many there are
@@ -223,11 +228,21 @@ def touching(nodes: DataFrame, roots: DataFrame, full: DataFrame, groups: int) -
     return dealt(members, "cm", "ca", 0).unionByName(dealt(asked, "ca", "cm", 1)).groupBy("g").applyInPandas(compare, "u long, v long")
 
 
-def audit(nodes: DataFrame, found: DataFrame) -> float:
-    """Recall of links for ``AUDIT`` nodes, against all vectors."""
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "label", "v").collect()  # bounded by AUDIT
+def audit(nodes: DataFrame, found: DataFrame, roots: DataFrame) -> float:
+    """Mean recall of a node's links, against all vectors, in the worst of the
+    classes of nodes with few, some and many links. ``AUDIT`` nodes are taken
+    by hash of each size of found components, lone nodes included, and stand
+    for all of that size."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    kind = F.when(F.col("size").isNull(), 0).when(F.col("size") <= FEW + 1, 1).when(F.col("size") <= LARGE, 2).otherwise(3)
+    kinds = nodes.select("id", "label", "v").join(roots.join(sizes, "root").select("id", "size"), "id", "left").withColumn("kind", kind)
+    total = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("id"), "id"))
+    sample = kinds.withColumn("r", rank).where(F.col("r") <= AUDIT).select("id", "label", "v", "kind").collect()  # bounded by AUDIT and the kinds
     if not sample:
         return 1.0
+    taken = [r["kind"] for r in sample]
+    share = nodes.sparkSession.createDataFrame([(r["id"], total[r["kind"]] / taken.count(r["kind"])) for r in sample], "id long, share double")
     by: dict = {}
     for r in sample:
         by.setdefault((r["label"], len(r["v"])), []).append((r["id"], r["v"]))
@@ -246,8 +261,20 @@ def audit(nodes: DataFrame, found: DataFrame) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((hit @ g["copies"].to_numpy()).astype(np.int64))], names=["id", "links"])
 
     truth = nodes.select("id", "label", "dim", "v", "copies").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-    got = truth.join(found.withColumnRenamed("links", "got"), "id", "left").agg(F.sum("links").alias("t"), F.sum(F.least("links", F.coalesce("got", F.lit(0)))).alias("g")).first()
-    return got["g"] / got["t"] if got["t"] else 1.0
+    held = truth.where("links > 0").join(share, "id").join(found.withColumnRenamed("links", "got"), "id", "left")
+    part = F.least("links", F.coalesce("got", F.lit(0))) / F.col("links")
+    size = F.when(F.col("links") <= FEW, 0).when(F.col("links") < LARGE, 1).otherwise(2)
+    classes = held.groupBy(size.alias("size")).agg((F.sum(part * F.col("share")) / F.sum("share")).alias("recall")).collect()
+    return min((r["recall"] for r in classes), default=1.0)
+
+
+def closed(nodes: DataFrame, roots: DataFrame, known: DataFrame, full: DataFrame, groups: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(roots, edges) with the links between ``full`` components and others."""
+    more = scratch.write(touching(nodes, roots, scratch.write(full, "full"), groups), "touching")
+    if more.isEmpty():
+        return roots, known
+    known = scratch.write(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more), "known")
+    return components(known, scratch), known
 
 
 def near_vectors(vectors: DataFrame) -> tuple[DataFrame, float]:
@@ -276,14 +303,17 @@ def near_vectors(vectors: DataFrame) -> tuple[DataFrame, float]:
         roots = components(known, scratch)
         # a list that is full of links may hide some: its component meets all others
         full = lists.groupBy("u").agg(F.count("*").alias("n"), F.min("s").alias("s")).where((F.col("n") >= LARGE) & is_link)
-        full = scratch.write(full.select(F.col("u").alias("id")).join(roots, "id").select("root").distinct(), "full")
-        more = scratch.write(touching(nodes, roots, full, groups), "touching")
-        if not more.isEmpty():
-            known = scratch.write(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more), "known")
-            roots = components(known, scratch)
+        full = full.select(F.col("u").alias("id")).join(roots, "id").select("root").distinct()
+        roots, known = closed(nodes, roots, known, full, groups, scratch)
         links = scratch.write(count_links(nodes, roots, groups), "links")
-        recall = audit(nodes, links)
-        if recall >= RECALL or done >= ROUNDS + MORE_ROUNDS:
+        recall = audit(nodes, links, roots)
+        if recall >= RECALL:
+            break
+        if done >= ROUNDS + MORE_ROUNDS:  # the rounds didn't do: every component, lone nodes too, meets all others
+            every = nodes.select("id").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root")).distinct()
+            roots, known = closed(nodes, roots, known, every, groups, scratch)
+            links = scratch.write(count_links(nodes, roots, groups), "links")
+            recall = audit(nodes, links, roots)
             break
     named = nodes.select("id", "h1", "h2", "copies", "vec").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lead = named.groupBy("root").agg(F.min("vec").alias("component"))
