@@ -123,6 +123,26 @@ def test_pii_bootstrapping_finds_unseen_identifiers(spark):
     assert len(out[201]["spans"]) == 0
 
 
+def found_ids(spark, texts):
+    out = op2_pii.find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    return {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "id"] for r in out}
+
+
+def test_pii_bootstrapping_finds_other_shapes(spark):
+    docs = {i: f"please call tel: +1 555 {100 + i} {2000 + i} today" for i in range(40)}
+    docs |= {100 + i: f"account mail: u{i}@site.org and more" for i in range(40)} | {200: "account mail: u77(at)site-org and more", 201: "room 2024 was fine"}
+    docs |= {300 + i: f"reach mail: user{i}@site.org" for i in range(40)} | {400: "reach mail: user7@site"}
+    got = found_ids(spark, docs)
+    assert got[200] == ["u77(at)site-org"] and got[400] == ["user7@site"] and got[201] == []
+
+
+def test_pii_found_instances_bring_new_patterns(spark):
+    texts = [f"mail: u{i}@site.org" for i in range(1000)] + [f"mail: ZX-{i:03d}" for i in range(30)] * 20
+    texts += [f"badge ZX-{i:03d}" for i in range(30)] + ["badge 77/QQ/1", "room 2024"]
+    got = found_ids(spark, dict(enumerate(texts)))
+    assert got[len(texts) - 2] == ["77/QQ/1"] and got[len(texts) - 1] == []
+
+
 def test_pii_plan_is_native(spark):
     plan = op2_pii.op2_pii(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

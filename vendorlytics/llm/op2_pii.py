@@ -5,18 +5,21 @@ found by their patterns (leftmost, non-overlapping by kind, then checked).
 
 *Bootstrapping.* Candidates are the words of a text that hold a digit or an @.
 A candidate's instance is its word, A-Z lower-cased, without marks at the
-ends; its pattern is the word before it with the shape of the candidate
-(letters a, digits 0, runs cut to three). Documents are reduced to counts of
-(pattern, instance). Seeds are the instances that overlap a seed span. Then,
-for ``ROUNDS`` rounds over this graph:
+ends; its patterns are the word before it and the word after it, each by
+itself and apart from the candidate's shape. Documents are reduced to counts
+of (pattern, instance). Seeds are the instances that overlap a seed span. Then
+over this graph, in rounds:
 
     trust(pattern)   = sum(w * belief) / (sum(w) + 1), w = log(1 + count)
     belief(instance) = 1 for seeds, else the mean trust of its patterns,
-                       weighted by how often each occurs
+                       weighted by how often each occurs, on the better side;
+                       never less than in the round before
 
-A pattern counts only if it holds ``SUPPORT`` different seed instances. An
-instance with a belief of ``CONFIDENT`` or more, in a context whose pattern is
-trusted as much, is an identifier (kind ``id``); base spans stay as they are.
+A pattern counts only if it holds ``SUPPORT`` different instances that are
+seeds or were believed with ``CONFIDENT`` in an earlier round. The rounds end
+when no pattern and no such instance is added. An instance with a belief of
+``CONFIDENT`` or more, beside a pattern that is trusted as much, is an
+identifier (kind ``id``); base spans stay as they are.
 
 Everything runs as DataFrame expressions. Patterns have possessive forms and
 a start that is tied to the run's start (or the last match's end), so a long
@@ -46,8 +49,9 @@ IP_VALID = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 # a word with a digit or an @, and the word before it if that has neither
 CANDIDATE = r"(?<![^ \t-\r])(?:[^ \t-\r0-9@]{1,32}[ \t-\r]{1,4})?+[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
 LONGEST = 64  # a longer word is no identifier
+NEAR = 40  # characters after a match that hold the next word
+AFTER = r"^[ \t-\r]{1,4}([^ \t-\r0-9@]{1,32})(?![^ \t-\r])"
 
-ROUNDS = 3
 SUPPORT = 5
 CONFIDENT = 0.8
 BLOCK = 64
@@ -59,9 +63,10 @@ def let(value: Column, body) -> Column:
 
 
 def spans_of(text: Column, pattern: str) -> Column:
-    """[(start, end, match)] of all matches, in code points: the lengths of
-    the gaps and matches before, summed in blocks of ``BLOCK``."""
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    """[(start, end, match, after)] of all matches, in code points: the lengths
+    of the gaps and matches before, summed in blocks of ``BLOCK``. ``after`` is
+    the beginning of the text that follows."""
+    none = F.array().cast("array<struct<start:int,end:int,match:string,after:string>>")
 
     def found(matches):
         return F.when(F.size(matches) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: placed(gaps, matches)))
@@ -83,7 +88,8 @@ def placed(gaps: Column, matches: Column) -> Column:
         def one(i):
             s = before + width(lo, i) + F.length(F.get(gaps, lo + i))
             m = F.get(matches, lo + i)
-            return F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("match"))
+            after = F.concat(F.substring(F.get(gaps, lo + i + 1), 1, NEAR), F.coalesce(F.substring(F.get(matches, lo + i + 1), 1, NEAR), F.lit("")))
+            return F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("match"), after.alias("after"))
 
         return F.transform(F.sequence(F.lit(0), F.least(F.lit(BLOCK), n - lo) - 1), one)
 
@@ -131,17 +137,11 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def shape(word: Column) -> Column:
-    """Letters a, digits 0; runs of more than three are cut to three."""
-    s = F.regexp_replace(F.regexp_replace(word, r"\p{L}", "a"), "[0-9]", "0")
-    return F.regexp_replace(F.regexp_replace(s, "a{3,}", "aaa"), "0{3,}", "000")
-
-
 MARKS = r"""^[^\p{L}0-9+]+|[^\p{L}0-9]+$"""
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per candidate: doc, row, start, end, pattern, instance, seed
+    """One row per candidate: doc, row, start, end, patterns, instance, seed
     (does it overlap a base span?)."""
     found = docs.where(F.col("text").rlike("[0-9@]")).select("doc", "row", "base", F.explode(spans_of(F.col("text"), CANDIDATE)).alias("c"))
     word = F.regexp_replace(F.col("c.match"), r"^[^ \t-\r0-9@]{1,32}[ \t-\r]{1,4}(?=[^ \t-\r])", "")
@@ -152,32 +152,42 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = (found.withColumn("bare", bare).withColumn("lead", lead)
                   .where(F.length("bare").between(4, LONGEST))
                   .withColumn("start", start).withColumn("end", start + F.length("bare")))
-    context = ascii_lower(F.regexp_replace("before", r"[^\p{L}]", ""))
+
+    def context(side: str, word) -> Column:
+        letters = ascii_lower(F.regexp_replace(word, r"[^\p{L}]", ""))
+        return F.when(letters != "", F.concat(F.lit(side), letters))
+
     return found.select(
         "doc", "row", "start", "end",
-        F.concat_ws(" ", context, shape(F.col("bare"))).alias("pattern"), ascii_lower(F.col("bare")).alias("instance"),
+        F.array_compact(F.array(context("<", "before"), context(">", F.regexp_extract("c.after", AFTER, 1)))).alias("patterns"), ascii_lower(F.col("bare")).alias("instance"),
         F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))).alias("seed"))
 
 
-def bootstrap(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS, support: int = SUPPORT):
+def bootstrap(found: DataFrame, scratch: Scratch, support: int = SUPPORT, confident: float = CONFIDENT):
     """(pattern, trust) and (instance, belief) after the rounds."""
-    graph = scratch.write(found.groupBy("pattern", "instance").agg(
-        F.count("*").alias("w"), F.sum(F.col("seed").cast("long")).alias("s")), "graph")
-    seeds = graph.groupBy("instance").agg(F.sum("w").alias("all"), F.sum("s").alias("seeded"))
+    graph = scratch.write(found.select("instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(
+        F.count("*").alias("w")), "graph")
+    seeds = found.groupBy("instance").agg(F.count("*").alias("all"), F.sum(F.col("seed").cast("long")).alias("seeded"))
     belief = scratch.write(seeds.select("instance", F.when(F.col("seeded") * 2 >= F.col("all"), 1.0).otherwise(0.0).alias("belief")), "belief")
-    fixed = belief.select("instance", (F.col("belief") == 1).alias("fixed"))
-    trust = None
-    for _ in range(rounds):
-        held = graph.join(belief, "instance").join(fixed, "instance")
+    sure = F.col("belief") >= confident
+    held, state = graph.join(belief, "instance"), None
+    while True:
         weight = F.log1p("w")
         rated = held.groupBy("pattern").agg(
-            F.sum(weight * F.col("belief")).alias("b"), F.sum(weight).alias("a"), F.sum(F.col("fixed").cast("long")).alias("k"))
+            F.sum(weight * F.col("belief")).alias("b"), F.sum(weight).alias("a"), F.sum(sure.cast("long")).alias("k"))
         trust = scratch.write(rated.where(F.col("k") >= support).select("pattern", (F.col("b") / (F.col("a") + 1)).alias("trust")), "trust")
-        heard = graph.join(trust, "pattern", "left").groupBy("instance").agg(
-            F.sum(F.col("w") * F.coalesce("trust", F.lit(0.0))).alias("t"), F.sum("w").alias("w"))
-        belief = scratch.write(heard.join(fixed, "instance").select(
-            "instance", F.when(F.col("fixed"), 1.0).otherwise(F.col("t") / F.col("w")).alias("belief")), "belief")
-    return trust, belief
+
+        def mean(side: str) -> Column:
+            w = F.when(F.col("pattern").startswith(side), F.col("w"))
+            return F.coalesce(F.sum(w * F.coalesce("trust", F.lit(0.0))) / F.sum(w), F.lit(0.0))
+
+        heard = graph.join(trust, "pattern", "left").groupBy("instance").agg(F.greatest(mean("<"), mean(">")).alias("now"))
+        belief = scratch.write(belief.join(heard, "instance", "left").select("instance", F.greatest("belief", F.coalesce("now", F.lit(0.0))).alias("belief")), "belief")
+        # neither number falls, as no belief does
+        before, state = state, (trust.count(), belief.where(sure).count())
+        if state == before:
+            return trust, belief
+        held = graph.join(belief, "instance")
 
 
 def find_pii(docs: DataFrame, text: str = "text", confident: float = CONFIDENT) -> DataFrame:
@@ -189,8 +199,8 @@ def find_pii(docs: DataFrame, text: str = "text", confident: float = CONFIDENT)
     keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     marked = keyed.withColumn("base", base_spans(F.col("text")))
     found = scratch.write(candidates(marked), "candidates")
-    trust, belief = bootstrap(found, scratch)
-    sure = (found.where("not seed")
+    trust, belief = bootstrap(found, scratch, confident=confident)
+    sure = (found.where("not seed").withColumn("pattern", F.explode("patterns"))
                  .join(trust.where(F.col("trust") >= confident).select("pattern"), "pattern", "left_semi")
                  .join(belief.where(F.col("belief") >= confident).select("instance"), "instance", "left_semi"))
     extra = sure.groupBy("doc", "row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("order"), F.lit("id").alias("kind"), "end")).alias("extra"))
