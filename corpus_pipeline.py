@@ -5,7 +5,8 @@
 3. n-gram Jaccard join (5): of each near-duplicate group the smallest doc_id
    stays; of several rows with that doc_id, the one with the smallest text hash.
 4. mixing (1): rows are put in the order of the weighted mix.
-5. BPE (10): number of tokens, digests of the ids and of the decoded text.
+5. BPE (10): number of tokens, digests of the ids and of the decoded text, and
+   the row's stream and position in the mix, which follow from the rows.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last
@@ -38,12 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return op5_jaccard.first_of_groups(docs)
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    return op1_mixing.mix(docs, op1_mixing.RECIPE, op1_mixing.REST_WEIGHT)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_mixing.mix(docs, op1_mixing.RECIPE, op1_mixing.REST_WEIGHT).orderBy("position").select(*docs.columns)
+    return mixed(docs).orderBy("position").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_bpe.digest(op10_bpe.encode_decode(docs.select("doc_id", "text")))
+    placed = mixed(docs.select("doc_id", "text", "source")).select("doc_id", "text", "stream", "position")
+    return op10_bpe.digest(op10_bpe.encode_decode(placed), "stream", "position")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("bpe", tokenize)]

@@ -2,13 +2,14 @@
 
 from collections import Counter
 
+import duckdb
 import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.helpers import AWKWARD, DOCS, jaccard_groups, tables
 from tests.llm.test_operators import lines_kept
-from vendorlytics.llm import op6_quality, op10_bpe
+from vendorlytics.llm import op1_mixing, op6_quality, op10_bpe
 
 
 def brute(spark, path):
@@ -32,6 +33,19 @@ def test_pipeline_equals_brute_force(spark):
     assert got == brute(spark, path)
 
 
+def test_pipeline_rows_hold_the_mix(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).collect()]
+    labels = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()]
+    path = tables(spark, docs, labels)
+    left = {d for d, _ in brute(spark, path)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r[0], r[3]) for r in docs if r[0] in left])
+    want = con.execute(f"SELECT doc_id, stream, position FROM ({op1_mixing.ORACLES['op1_mixing']})").fetchall()
+    got = [(r["doc_id"], r["stream"], r["position"]) for r in corpus_pipeline.run(spark, path).collect()]
+    assert sorted(got) == sorted(want) and len(want) == len(left)
+
+
 def test_stages_take_awkward_rows(spark):
     path = tables(spark, AWKWARD)
     docs = spark.read.parquet(f"{path}/documents.parquet")

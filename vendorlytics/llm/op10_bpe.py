@@ -265,9 +265,9 @@ def encode_decode(df: DataFrame, path: str = TOKENIZER, text: str = "text") -> D
     return _mapped(df, text, [("ids", "encode"), ("decoded", "decode")], Automaton.load(path))
 
 
-def digest(df: DataFrame) -> DataFrame:
+def digest(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(
-        "doc_id",
+        "doc_id", *keep,
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
