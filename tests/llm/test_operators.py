@@ -329,6 +329,24 @@ def test_passages_of_one_pair_are_judged_one_by_one(spark):
     assert got == [(0, 0, 500, 0), (0, 540, 940, 0), (1, 0, 500, 0), (1, 540, 940, 0), (2, 9, 79, 2), (2, 179, 239, 2), (3, 90, 150, 2), (3, 230, 300, 2)]
 
 
+def test_passages_at_the_threshold_are_found(spark):
+    r = np.random.default_rng(16)
+    word = lambda n: [f"v{x}" for x in r.integers(0, 10 ** 6, n)]
+    docs = []
+    for _ in range(200):
+        one = word(100)
+        two = list(one)
+        two[33], two[66] = word(2)
+        s, t = shingles(" ".join(one)), shingles(" ".join(two))
+        assert 0.8 <= len(s & t) / len(s | t) < 0.82
+        docs += [word(60) + one + word(60), word(60) + two + word(60)]
+    out = op8_passages.repeated_passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    whole = {x["doc_id"] for x in out if x["class_id"] == x["doc_id"] // 2 * 2 and x["first_word"] <= 63 and x["end_word"] >= 157}
+    part = {x["doc_id"] for x in out if x["class_id"] == x["doc_id"] // 2 * 2}
+    print("found", len(part), "whole", len(whole), "of", len(docs))
+    assert len(part) >= 398
+
+
 def test_runs_that_fail_keep_their_agreeing_stretches():
     r = np.random.default_rng(15)
     x = r.integers(0, 1 << 60, 400).astype(np.uint64)
