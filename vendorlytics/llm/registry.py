@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["op1_mixing", "op2_pii", "op3_urls", "op4_lines", "op5_jaccard", "op6_quality",
-           "op7_topk", "op8_passages", "op9_embeddings", "op10_bpe", "op11_merkle", "op12_phrases"]
+           "op7_topk", "op8_passages", "op9_embeddings", "op10_bpe", "op11_merkle", "op12_phrases", "op13_wrappers"]
 
 
 def _collect(kind: str) -> dict:
