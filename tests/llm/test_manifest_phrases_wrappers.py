@@ -180,6 +180,20 @@ def test_summary_keeps_all_frequent_keys():
         assert (upper[np.isin(found, np.arange(60000, 60040))] >= 100).all()
 
 
+@pytest.mark.parametrize("log", [7, 12])
+def test_packed_counts_come_back(log):
+    r = np.random.default_rng(log)
+    keys = np.unique(r.integers(0, 2 ** 64, 5000, dtype=np.uint64))
+    counts = np.where(r.random(len(keys)) < 0.7, 1, r.integers(2, 10 ** 10, len(keys)))
+    seen = {}
+    for part, mass, data in op12_phrases.pack(keys, counts, log):
+        low, n = op12_phrases.unpack(data)
+        assert mass == n.sum()
+        seen |= {(part << 32) + int(x): int(y) for x, y in zip(low, n)}
+    assert seen == {int(k) >> (32 - log): int(n) for k, n in zip(keys, counts)}
+    assert list(op12_phrases.pack(keys[:0], counts[:0], log)) == []
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     cases = [(10 ** 12 + 7, 9 * 10 ** 14 + 1, 10 ** 13 + 3, 10 ** 12 + 9), (3, 7, 3, 3), (10 ** 14, 10 ** 15 - 1, 10 ** 14, 10 ** 14 + 1)]
     df = spark.createDataFrame(cases, "a long, n long, l long, r long").select(

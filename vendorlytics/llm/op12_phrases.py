@@ -6,13 +6,14 @@ go in three rounds, by length: single words; pairs of frequent words; then 3 to
 frequent phrase is frequent, so nothing is lost). A round has two passes:
 
 1. Summaries. Tasks add up the occurrences of what they hold and send them on
-   by hash partition of the phrase. Each partition keeps a Misra-Gries summary
-   of ``capacity`` counters: where it is full, the smallest counts are
-   subtracted from all. With a capacity above the partition's mass / ``least``,
-   what is subtracted stays below ``least``, so every frequent phrase survives;
-   a partition whose mass turns out larger gets more room instead of going
-   over. Survivors are those whose counter plus what was subtracted reaches
-   ``least``.
+   by hash partition of the phrase, packed: 32 bits of hash for each phrase in
+   a partition (phrases that share them only bring each other along). Each
+   partition keeps a Misra-Gries summary of ``capacity`` counters: where it is
+   full, the smallest counts are subtracted from all. With a capacity above the
+   partition's mass / ``least``, what is subtracted stays below ``least``, so
+   every frequent phrase survives; a partition whose mass turns out larger gets
+   more room instead of going over. Survivors are those whose counter plus what
+   was subtracted reaches ``least``.
 2. Exact counts of the survivors. Tasks know them by a bit filter of at most
    2 ** MOST_BITS bits; what passes it wrongly (all, were the filter full) is
    counted too and falls at the threshold, so its size costs time, not rows.
@@ -23,9 +24,9 @@ Scores: a phrase cut after k words into parts of l and r occurrences has
 floor(1000 a n / (l r)), its lowest cut counts; phrases inside a longer one
 that is as frequent go.
 
-Scale: a task holds one batch of text and at most ``HELD`` counters (more are
+Scale: a task holds one stretch of text and about ``HELD`` counters (more are
 sent on and begun anew), a partition ``capacity`` counters; the number of
-partitions grows with the corpus. A frequent word is one row a task.
+partitions grows with the corpus. A frequent word is one counter a task.
 
 Defined cases: null and empty texts have no words, a null lang is ``und``;
 repeated rows count each time; a piece ends at ``.,;:!?`` and line ends, words
@@ -50,7 +51,7 @@ LONGEST = 5
 TOP = 2000
 SEGMENT = 2 << 20
 HELD = 1 << 20
-ROOM = 1 << 20  # counters of one partition, about
+PENDING = 1 << 18  # counts that a partition takes into its summary at once
 MOST_BITS = 29
 
 KIND = np.zeros(256, np.int8)  # 0: of a word, 1: between words, 2: ends a piece
@@ -242,25 +243,50 @@ def signed(h):
     return h.view(np.int64)
 
 
-PASS = "kind int, a long, b long, lang string, k int, phrase string, n long"
+PASS = "kind int, a long, b long, lang string, k int, phrase string, n long, data binary"
 
 
-def one_pass(texts: DataFrame, exact, summed, singles, pairs) -> DataFrame:
+def pack(keys, counts, log: int):
+    """(partition, mass, payload) of sorted hashes: 32 bits each, those that
+    occur once first, and the others' counts."""
+    part = keys >> np.uint64(64 - log)
+    low = (keys >> np.uint64(32 - log)).astype(np.uint32)
+    edge = np.concatenate((np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), [len(part)])) if len(part) else [0]
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        once = counts[lo:hi] == 1
+        single, more = low[lo:hi][once], low[lo:hi][~once]
+        yield int(part[lo]), int(counts[lo:hi].sum()), b"".join((
+            np.uint32(len(single)).tobytes(), single.tobytes(), more.tobytes(), counts[lo:hi][~once].tobytes()))
+
+
+def unpack(data: bytes):
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    single = np.frombuffer(data, np.uint32, n, 4)
+    rest = (len(data) - 4 - 4 * n) // 12
+    more = np.frombuffer(data, np.uint32, rest, 4 + 4 * n)
+    counts = np.frombuffer(data, np.int64, rest, 4 + 4 * (n + rest))
+    return np.concatenate((single, more)), np.concatenate((np.ones(n, np.int64), counts))
+
+
+def one_pass(texts: DataFrame, exact, summed, singles, pairs, log: int) -> DataFrame:
     """Reads the texts once: counts of the phrases of ``exact`` lengths that
     pass their filter ``exact[k]`` (kind 1), occurrences by hash for ``summed``
-    lengths (kind 0), and the first time words by lang (kind 2). ``singles``
-    and ``pairs`` are broadcast filters or None."""
+    lengths (kind 0: partition, mass, packed counts; 2 ** log partitions), and
+    the first time words by lang (kind 2). ``singles`` and ``pairs`` are
+    broadcast filters or None."""
 
     def send(sums):
-        keys, counts = sums.take()
-        n = len(keys)
-        yield from rows_of(kind=np.zeros(n, np.int32), a=signed(keys), b=np.zeros(n, np.int64), lang=pa.nulls(n, pa.string()),
-                           k=np.zeros(n, np.int32), phrase=pa.nulls(n, pa.string()), n=counts)
+        for part, mass, data in pack(*sums.take(), log):
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array([0], pa.int32()), "a": pa.array([part], pa.int64()), "b": pa.array([0], pa.int64()),
+                "lang": pa.nulls(1, pa.string()), "k": pa.array([0], pa.int32()), "phrase": pa.nulls(1, pa.string()),
+                "n": pa.array([mass], pa.int64()), "data": pa.array([data], pa.binary())})
 
     def total(words):
         n = len(words)
         yield from rows_of(kind=np.full(n, 2, np.int32), a=np.zeros(n, np.int64), b=np.zeros(n, np.int64), lang=pa.array(list(words), pa.string()),
-                           k=np.ones(n, np.int32), phrase=pa.nulls(n, pa.string()), n=np.array(list(words.values()), np.int64))
+                           k=np.ones(n, np.int32), phrase=pa.nulls(n, pa.string()), n=np.array(list(words.values()), np.int64),
+                           data=pa.nulls(n, pa.binary()))
 
     def give(found):
         if found:
@@ -268,7 +294,7 @@ def one_pass(texts: DataFrame, exact, summed, singles, pairs) -> DataFrame:
             rows = list(found.items())
             yield from rows_of(kind=np.ones(n, np.int32), a=np.array([x[0][0] for x in rows], np.int64), b=np.array([x[0][1] for x in rows], np.int64),
                                lang=pa.array([x[1][1] for x in rows], pa.string()), k=np.array([x[1][2] for x in rows], np.int32),
-                               phrase=pa.array([x[1][3] for x in rows], pa.string()), n=np.array([x[1][0] for x in rows], np.int64))
+                               phrase=pa.array([x[1][3] for x in rows], pa.string()), n=np.array([x[1][0] for x in rows], np.int64), data=pa.nulls(n, pa.binary()))
             found.clear()
 
     def run(batches):
@@ -317,19 +343,35 @@ def one_pass(texts: DataFrame, exact, summed, singles, pairs) -> DataFrame:
     return texts.mapInArrow(run, PASS)
 
 
-def survivors(sums: DataFrame, mass: int, least: int, parts: int) -> DataFrame:
-    """(a, n): hashes whose summary reaches ``least``. Partitions by hash."""
-    parts = max(parts, math.ceil(mass / least / ROOM))
-    capacity = 2 * (mass // (parts * least)) + 1
+def survivors(sums: DataFrame, mass: int, least: int, log: int) -> DataFrame:
+    """(a, n): hashes whose summary reaches ``least``, by hash partition."""
+    capacity = 2 * (mass // (least << log)) + 1
 
     def merge(batches):
-        s = Summary(capacity, least)
-        for b in batches:
-            s.merge(np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)))
-        keys, n = s.survivors()
-        yield from rows_of(a=signed(keys), n=n)
+        held: dict = {}
 
-    return sums.select("a", "n").repartition(parts, "a").mapInArrow(merge, "a long, n long")
+        def settle(part):
+            s, keys, counts, _ = held[part]
+            s.merge(np.concatenate(keys).astype(np.uint64), np.concatenate(counts))
+            held[part] = [s, [], [], 0]
+
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if part not in held:
+                    held[part] = [Summary(capacity, least), [], [], 0]
+                keys, counts = unpack(data)
+                held[part][1].append(keys)
+                held[part][2].append(counts)
+                held[part][3] += len(keys)
+                if held[part][3] > PENDING:
+                    settle(part)
+        for part in list(held):
+            if held[part][3]:
+                settle(part)
+            keys, n = held[part][0].survivors()
+            yield from rows_of(a=signed((np.uint64(part) << np.uint64(64 - log)) | (keys << np.uint64(32 - log))), n=n)
+
+    return sums.select("a", "data").repartition(1 << log, "a").mapInArrow(merge, "a long, n long")
 
 
 def filter_of(found: DataFrame):
@@ -353,33 +395,31 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     spark = docs.sparkSession
     scratch = Scratch(spark, "phrases")
     texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    parts = bucket_count(texts, least=max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    log = min(24, math.ceil(math.log2(bucket_count(texts, 0.125))))
     rounds = [[1], [2], list(range(3, longest + 1))]
     filters: list = []
     tables = []
     for turn in range(len(rounds) + 1):
-        lengths = rounds[turn] if turn < len(rounds) else []
-        before = rounds[turn - 1] if turn else []
-        singles = filters[0] if filters else None
-        pairs = filters[1] if len(filters) > 1 else None
         if turn and not filters[-1]:
             break
-        done = {k: filters[turn - 1] for k in before}
-        both = scratch.write(one_pass(texts, done, lengths, singles, pairs), f"pass{turn}")
-        if before:
-            tables.append(both.where("kind = 1").groupBy("a", "b", "lang", "k").agg(F.min("phrase").alias("phrase"), F.sum("n").alias("n"))
-                              .where(F.col("n") >= least).select("lang", "k", "phrase", "n"))
+        lengths = rounds[turn] if turn < len(rounds) else []
+        done = {k: filters[turn - 1] for k in rounds[turn - 1]} if turn else {}
+        both = scratch.write(one_pass(texts, done, lengths, *(filters + [None, None])[:2], log), f"pass{turn}")
+        if done:
+            exact = both.where("kind = 1").groupBy("a", "b", "lang", "k").agg(F.min("phrase").alias("phrase"), F.sum("n").alias("n"))
+            tables.append(scratch.write(exact.where(F.col("n") >= least).select("lang", "k", "phrase", "n"), f"exact{turn}"))
+        else:
+            words = scratch.write(both.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n")), "words")
         if lengths:
             sums = both.where("kind = 0")
             mass = sums.agg(F.sum("n")).first()[0] or 0
-            found = scratch.write(survivors(sums, mass, least, parts), f"survivors{turn}")
+            found = scratch.write(survivors(sums, mass, least, log), f"survivors{turn}")
             filters.append(filter_of(found) if not found.isEmpty() else None)
-        if not turn:
-            words = both.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n"))
+        scratch.drop(both)
     out = spark.createDataFrame([], "lang string, k int, phrase string, n long")
     for t in tables:
         out = out.unionByName(t)
-    return scratch.write(out, "frequent"), scratch.write(words, "words")
+    return out, words
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
