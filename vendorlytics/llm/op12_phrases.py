@@ -104,6 +104,7 @@ class Words:
         return " ".join([w for w in raw.decode("utf-8", "replace").split(" ") if w])
 
 
+MASK = (1 << 64) - 1
 BREAK = np.array([10], np.uint8)
 
 
@@ -270,7 +271,8 @@ def unpack(data: bytes):
 
 def one_pass(texts: DataFrame, exact, summed, singles, pairs, log: int) -> DataFrame:
     """Reads the texts once: counts of the phrases of ``exact`` lengths that
-    pass their filter ``exact[k]`` (kind 1), occurrences by hash for ``summed``
+    pass their filter ``exact[k]`` (kind 1: partition, lang, k, the phrases in
+    lines, their hashes and counts packed), occurrences by hash for ``summed``
     lengths (kind 0: partition, mass, packed counts; 2 ** log partitions), and
     the first time words by lang (kind 2). ``singles`` and ``pairs`` are
     broadcast filters or None."""
@@ -289,13 +291,17 @@ def one_pass(texts: DataFrame, exact, summed, singles, pairs, log: int) -> DataF
                            data=pa.nulls(n, pa.binary()))
 
     def give(found):
-        if found:
-            n = len(found)
-            rows = list(found.items())
-            yield from rows_of(kind=np.ones(n, np.int32), a=np.array([x[0][0] for x in rows], np.int64), b=np.array([x[0][1] for x in rows], np.int64),
-                               lang=pa.array([x[1][1] for x in rows], pa.string()), k=np.array([x[1][2] for x in rows], np.int32),
-                               phrase=pa.array([x[1][3] for x in rows], pa.string()), n=np.array([x[1][0] for x in rows], np.int64), data=pa.nulls(n, pa.binary()))
-            found.clear()
+        rows: dict = {}
+        for (x, y), (n, lang, k, phrase) in found.items():
+            rows.setdefault(((x & MASK) >> (64 - log), lang, k), []).append((x, y, n, phrase))
+        for (part, lang, k), r in rows.items():
+            numbers = np.array([x[:3] for x in r], np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array([1], pa.int32()), "a": pa.array([part], pa.int64()), "b": pa.array([len(r)], pa.int64()),
+                "lang": pa.array([lang], pa.string()), "k": pa.array([k], pa.int32()),
+                "phrase": pa.array(["\n".join([x[3] for x in r])], pa.string()), "n": pa.array([int(numbers[:, 2].sum())], pa.int64()),
+                "data": pa.array([numbers.tobytes()], pa.binary())})
+        found.clear()
 
     def run(batches):
         one = Filter(*singles.value) if singles is not None else None
@@ -343,6 +349,28 @@ def one_pass(texts: DataFrame, exact, summed, singles, pairs, log: int) -> DataF
     return texts.mapInArrow(run, PASS)
 
 
+def counted(packed: DataFrame, least: int, log: int) -> DataFrame:
+    """(lang, k, phrase, n): the exact counts that reach ``least``, by hash
+    partition."""
+    def add(batches):
+        found: dict = {}
+        for batch in batches:
+            for lang, k, phrases, data in zip(*[batch.column(c).to_pylist() for c in ("lang", "k", "phrase", "data")]):
+                numbers = np.frombuffer(data, np.int64).reshape(-1, 3).tolist()
+                for (a, b, n), phrase in zip(numbers, phrases.split("\n")):  # a phrase has no line end
+                    row = found.get((a, b))
+                    if row is None:
+                        found[a, b] = [n, lang, k, phrase]
+                    else:
+                        row[0] += n
+        rows = [x for x in found.values() if x[0] >= least]
+        yield from rows_of(lang=pa.array([x[1] for x in rows], pa.string()), k=np.array([x[2] for x in rows], np.int32),
+                           phrase=pa.array([x[3] for x in rows], pa.string()), n=np.array([x[0] for x in rows], np.int64))
+
+    return (packed.select("a", "lang", "k", "phrase", "data").repartition(1 << log, "a")
+                  .mapInArrow(add, "lang string, k int, phrase string, n long"))
+
+
 def survivors(sums: DataFrame, mass: int, least: int, log: int) -> DataFrame:
     """(a, n): hashes whose summary reaches ``least``, by hash partition."""
     capacity = 2 * (mass // (least << log)) + 1
@@ -406,8 +434,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
         done = {k: filters[turn - 1] for k in rounds[turn - 1]} if turn else {}
         both = scratch.write(one_pass(texts, done, lengths, *(filters + [None, None])[:2], log), f"pass{turn}")
         if done:
-            exact = both.where("kind = 1").groupBy("a", "b", "lang", "k").agg(F.min("phrase").alias("phrase"), F.sum("n").alias("n"))
-            tables.append(scratch.write(exact.where(F.col("n") >= least).select("lang", "k", "phrase", "n"), f"exact{turn}"))
+            tables.append(scratch.write(counted(both.where("kind = 1"), least, log), f"exact{turn}"))
         else:
             words = scratch.write(both.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("n")), "words")
         if lengths:
