@@ -23,11 +23,11 @@ def brute(start, rows):
     return out, rem
 
 
-def run(spark, start, rows, max_list, domain_max=1024, segment_rows=500_000):
+def run(spark, start, rows, max_list, segment_rows=500_000):
     ch = spark.createDataFrame(rows, "k long, s long, a long").withColumn("rid", F.concat_ws(":", "k", "s"))
     st = spark.createDataFrame(list(start.items()), "k long, b long")
     res, final = greedy_consume(ch, st, ["k"], ["s"], "a", "b", carry=["rid"], max_list=max_list,
-                                domain_max=domain_max, segment_rows=segment_rows)
+                                segment_rows=segment_rows)
     got = {tuple(int(x) for x in r["rid"].split(":")): r["accepted"] for r in res.collect()}
     return got, {r["k"]: r["b"] for r in final.collect()}
 
@@ -46,19 +46,17 @@ def test_instalment_case(spark):
     assert final == {7: 0}
 
 
-@pytest.mark.parametrize("max_list,domain_max,segment_rows", [
-    (1, 0, 10**6),       # sequential streaming path
-    (3, 0, 10**6),
-    (3, 1024, 37),       # parallel segments (hot keys split into ~11 segments)
-    (1, 1024, 10**6),    # one segment
-    (1000, 1024, 10),    # bounded JVM lists
+@pytest.mark.parametrize("max_list,segment_rows", [
+    (1, 10**6),      # every key by levels
+    (3, 37),         # hot keys in many range partitions
+    (1000, 10),      # bounded JVM lists
 ])
-def test_random_against_brute_force(spark, max_list, domain_max, segment_rows):
+def test_random_against_brute_force(spark, max_list, segment_rows):
     rnd = random.Random(max_list + segment_rows)
     start = {k: rnd.randint(0, 40) for k in range(12)}
     start[0] = 600  # one hot key with a third of the rows
     rows = [(0 if i % 3 == 0 else rnd.randint(1, 13), i, rnd.randint(-2, 15)) for i in range(400)]
-    got, final = run(spark, start, rows, max_list, domain_max, segment_rows)
+    got, final = run(spark, start, rows, max_list, segment_rows)
     want, want_final = brute(start, rows)
     assert got == want
     assert final == want_final
@@ -68,10 +66,38 @@ def test_random_against_brute_force(spark, max_list, domain_max, segment_rows):
         assert used + want_final[k] == start[k]
 
 
-@pytest.mark.parametrize("domain_max", [0, 1024])
-def test_carried_ids_above_2_53_with_nulls(spark, domain_max):
+def test_carried_ids_above_2_53_with_nulls(spark):
     big = 2**53 + 1
     ch = spark.createDataFrame([(0, i, 3, big if i % 2 else None) for i in range(20)], "k long, s long, a long, c long")
     st = spark.createDataFrame([(0, 10)], "k long, b long")
-    rows, _ = greedy_consume(ch, st, ["k"], ["s"], "a", "b", carry=["c"], max_list=1, domain_max=domain_max, segment_rows=5)
+    rows, _ = greedy_consume(ch, st, ["k"], ["s"], "a", "b", carry=["c"], max_list=1, segment_rows=5)
     assert {(r["s"], r["c"]) for r in rows.collect()} == {(i, big if i % 2 else None) for i in range(20)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_levels_with_large_balances(spark, seed):
+    """Balances far apart, amounts at powers of two and one beside them, a
+    hot key with a third of the rows, repeated sequence ranges of refusals."""
+    rnd = random.Random(seed)
+    start = {k: rnd.choice([0, 1, 2, 3, 7, 8, 1023, 1024, 2**33 + 5, 10**12]) for k in range(12)}
+    start[0] = 10**9 + 7
+
+    def amount(k):
+        return max(0, 2**rnd.randint(0, max(1, start[k].bit_length())) + rnd.randint(-1, 1)) if rnd.random() < 0.6 \
+            else rnd.randint(1, max(1, start[k] // 40))
+
+    rows = [(k, i, amount(k)) for i in range(500) for k in [0 if i % 3 == 0 else rnd.randint(1, 13) if i % 7 else 99]
+            if k in start] + [(77, 1, 5)]
+    got, final = run(spark, start, rows, 1, 50)
+    want, want_final = brute(start, rows)
+    assert got == want and final == want_final
+
+
+def test_levels_run_no_python(spark):
+    ch = spark.createDataFrame([(0, i, 3) for i in range(40)], "k long, s long, a long")
+    st = spark.createDataFrame([(0, 50)], "k long, b long")
+    rows, final = greedy_consume(ch, st, ["k"], ["s"], "a", "b", max_list=1, segment_rows=5)
+    for df in (rows, final):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(op in plan for op in ("InArrow", "InPandas", "EvalPython"))
+    assert sum(r["accepted"] for r in rows.collect()) == 16 and final.collect()[0]["b"] == 2

@@ -10,6 +10,7 @@ from vendorlytics.sources.tables import FixtureTables
 QUERIES = registry.queries()
 STREAMING = {"billing_stream_state", "rate_limit_stream"}
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
+PYTHON = ["MapInArrow", "MapInPandas", "FlatMapGroups"]
 
 
 def plan_of(df):
@@ -41,6 +42,12 @@ def test_no_cross_join_row_udf_or_global_window(spark, name):
     assert not unpartitioned_windows(plan), f"{name} has a window without PARTITION BY"
 
 
+@pytest.mark.parametrize("name", ["stock_ledger", "stock_ledger_final", "sale_register", "instalment_ledger", "instalment_sale_state"])
+def test_folds_run_no_python(spark, name):
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    assert not any(op in plan for op in PYTHON)
+
+
 def test_topk_is_limited_before_the_shuffle(spark):
     t = FixtureTables(spark, SMALL)
     for df in (kpis.recent_sales(t), kpis.top_products(t)):

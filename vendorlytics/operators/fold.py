@@ -14,116 +14,86 @@ Plan, cheapest path first:
 3. other keys with at most ``max_list`` rows are folded JVM-side: one
    ``array_sort(collect_list(struct(seq, ...)))`` list per key and
    ``aggregate`` over it (bounded list size by construction);
-4. keys with more rows and a start balance of at most ``DOMAIN_MAX`` (stock
-   counts) are split into bounded segments and folded in parallel
-   (``_chunked_fold``): one consumption step maps every possible balance
-   0..S to the next, so a segment is summarised by a lookup table of S + 1
-   entries; tables compose in arrival order, which gives each segment's
-   start balance, and each segment is then replayed from its start. A key
-   holding a third of all rows is spread over many tasks;
-5. keys with more rows and larger balances (money in cents) are folded by a
-   streaming pass over ``repartition(key).sortWithinPartitions(key, seq)``:
-   Spark's external sorter orders the rows (spilling as needed) and
-   ``mapInArrow`` walks the batches carrying only the current
-   balance, so no group is materialised in memory (one task per key: the
-   dependency is sequential).
+4. keys with more rows are folded by levels (``_levelled_fold``). While the
+   balance lies in [2^k, 2^(k+1)), amounts below 2^k always fit, so they are a
+   running sum; the first of these to bring the balance below 2^k, or the
+   first amount of 2^k and more that fits, ends the level. Larger amounts are
+   refused for good, as the balance never rises. Each round takes every key
+   through one level, so there are at most log2(S) + 1 rounds, whatever the
+   number of rows. A round is a prefix sum over range partitions of (key,
+   seq): sums by partition, their offsets, and row by row only the partitions
+   where a level may end. A key that holds a third of all rows is spread over
+   as many tasks as its rows ask for.
 
 Amounts and balances are integers (stock units, or money in cents), so the
-result is exact and independent of partitioning.
+result is exact and independent of partitioning. No step runs Python code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vendorlytics.session import materialize
 
 MAX_LIST = 2048
-DOMAIN_MAX = 1024
 SEGMENT_ROWS = 500_000
-
-
-def _stream_fold(batches):
-    """Carried columns stay Arrow columns: NULLs next to integers above 2^53
-    keep their values."""
-    import pyarrow as pa
-
-    cur, rem = None, 0
-    for batch in batches:
-        ok, left = [], []
-        for k, a, start in zip(*(batch.column(c).to_pylist() for c in ("__k", "__a", "__s"))):
-            if k != cur:
-                cur, rem = k, start
-            ok.append(a <= rem)
-            rem -= a if a <= rem else 0
-            left.append(rem)
-        kept = [c for c in batch.schema.names if c not in ("__k", "__s")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), pa.array(ok, pa.bool_()), pa.array(left, pa.int64())],
-            names=[*kept, "accepted", "remaining"])
-
-
-def _chunked_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows: int):
-    """Parallel exact fold for keys with many rows and a small start balance.
-
-    rows: (key..., seq..., carry..., __a, __s). Returns (rows with
-    ``accepted``, per-key final balance (key..., __end))."""
-    import numpy as np
-
-    n = rows.count()
-    parts = max(1, -(-n // segment_rows))
-    seg = materialize(rows.repartitionByRange(parts, *key, *seq).withColumn("__part", F.spark_partition_id()),
-                      "fold-segments")
-    key_fields = [seg.schema[k] for k in key]
-
-    def table(pdf):
-        pdf = pdf.sort_values(seq)
-        s = np.arange(int(pdf["__s"].iloc[0]) + 1, dtype=np.int64)
-        for a in pdf["__a"].to_numpy():
-            s = np.where(s >= a, s - a, s)
-        out = pdf.iloc[:1][key + ["__part", "__s"]].reset_index(drop=True)
-        out["__tab"] = [s.tolist()]
-        return out
-
-    tab_schema = T.StructType(key_fields + [T.StructField("__part", T.IntegerType()),
-                                            T.StructField("__s", T.LongType()),
-                                            T.StructField("__tab", T.ArrayType(T.LongType()))])
-    tabs = seg.groupBy(*key, "__part").applyInPandas(table, tab_schema)
-    # Chain the segment tables of each key (at most ``parts`` tables of S + 1).
-    chained = tabs.groupBy(*key).agg(F.first("__s").alias("__s"),
-                                     F.array_sort(F.collect_list(F.struct("__part", "__tab"))).alias("__tabs"))
-    init = F.struct(F.col("__s").alias("s"), F.array().cast("array<struct<__part:int,start:bigint>>").alias("starts"))
-    walked = chained.select(*key, F.aggregate(
-        "__tabs", init,
-        lambda acc, x: F.struct(F.element_at(x["__tab"], (acc["s"] + 1).cast("int")).alias("s"),
-                                F.array_append(acc["starts"], F.struct(x["__part"].alias("__part"),
-                                                                       acc["s"].alias("start"))).alias("starts")),
-    ).alias("w"))
-    ends = walked.select(*key, F.col("w.s").alias("__end"))
-    starts = walked.select(*key, F.explode("w.starts").alias("x")).select(*key, "x.__part", F.col("x.start")
-                                                                           .alias("__start"))
-
-    def replay(rows_of_part):
-        import pyarrow as pa
-
-        rows_of_part = rows_of_part.sort_by([(c, "ascending") for c in seq])
-        rem = rows_of_part.column("__start")[0].as_py()
-        ok = []
-        for a in rows_of_part.column("__a").to_pylist():
-            ok.append(a <= rem)
-            rem -= a if a <= rem else 0
-        return rows_of_part.drop_columns(["__s", "__part", "__start"]).append_column("accepted", pa.array(ok, pa.bool_()))
-
-    out_schema = T.StructType([f for f in seg.schema.fields if f.name not in ("__s", "__part")]
-                              + [T.StructField("accepted", T.BooleanType())])
-    flags = seg.join(starts, [*key, "__part"]).groupBy(*key, "__part").applyInArrow(replay, out_schema)
-    return flags, ends
+LAST = 2**63 - 1
+
+
+def _levelled_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows: int) -> tuple[DataFrame, DataFrame]:
+    """rows: (key..., seq..., carry..., __a, __s) with 0 < __a <= __s. Returns
+    (rows with ``accepted``, per-key final balance (key..., __end))."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // segment_rows))
+    placed = materialize(rows.repartitionByRange(parts, *key, *seq).sortWithinPartitions(*key, *seq)
+                         .withColumn("__at", F.monotonically_increasing_id()), "fold-ranges")
+    part = F.shiftright("__at", 33)  # the partition that the row was written from
+    narrow = placed.select(*key, "__a", "__at", part.alias("__part"))
+    state = materialize(placed.groupBy(*key).agg(F.first("__s").alias("__b"))
+                        .withColumn("__p", F.lit(-1).cast("long")), "fold-state")
+    rounds = []
+    while not state.isEmpty():
+        low = F.expr("shiftleft(1L, length(bin(__b)) - 1)")  # 2^k <= balance
+        open_rows = narrow.join(state, key).where((F.col("__at") > F.col("__p")) & (F.col("__a") <= F.col("__b"))) \
+            .withColumn("__low", low)
+        small = F.col("__a") < F.col("__low")
+        sums = open_rows.groupBy(*key, "__part", "__b", "__low").agg(
+            F.sum(F.when(small, F.col("__a")).otherwise(0)).alias("__sum"),
+            F.min(F.when(~small, F.col("__a"))).alias("__mid"))
+        upto = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+        sums = materialize(sums.withColumn("__cum", F.sum("__sum").over(upto)), "fold-sums")
+        left = F.col("__b") - F.col("__cum")
+        may_end = (left < F.col("__low")) | (F.col("__mid") <= left + F.col("__sum"))
+        sure = sums.where(left < F.col("__low")).groupBy(*key).agg(F.min("__part").alias("__sure"))
+        look = sums.where(may_end).join(sure, key, "left").where(F.col("__sure").isNull() | (F.col("__part") <= F.col("__sure"))) \
+            .select(*key, "__part", (F.col("__cum") - F.col("__sum")).alias("__before"))
+        run = F.sum(F.when(small, F.col("__a")).otherwise(0)).over(
+            Window.partitionBy(*key, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+        near = open_rows.join(look, [*key, "__part"]).withColumn("__left", F.col("__b") - F.col("__before") - run)
+        after = F.when(small, F.col("__left")).otherwise(F.col("__left") - F.col("__a"))
+        ended = near.where(F.when(small, F.col("__left") < F.col("__low")).otherwise(F.col("__a") <= F.col("__left"))) \
+            .groupBy(*key).agg(F.min(F.struct(F.col("__at").alias("e"), after.alias("b"))).alias("__end"))
+        total = sums.groupBy(*key).agg(F.sum("__sum").alias("__total"))
+        done = materialize(state.withColumn("__low", low).join(ended, key, "left").join(total, key, "left").select(
+            *key, "__low", "__p", F.coalesce("__end.e", F.lit(LAST)).alias("__e"),
+            F.coalesce(F.col("__end.b"), F.col("__b") - F.coalesce("__total", F.lit(0))).alias("__b")), "fold-level")
+        rounds.append(done)
+        state = done.where((F.col("__e") < LAST) & (F.col("__b") > 0)).select(*key, "__b", F.col("__e").alias("__p"))
+    levels = rounds[0]
+    for r in rounds[1:]:
+        levels = levels.unionByName(r)
+    # at most log2(S) + 1 levels a key
+    levels = levels.groupBy(*key).agg(F.collect_list(F.struct("__p", "__e", "__low")).alias("__levels"),
+                                      F.min("__b").alias("__end"))
+    at, a = F.col("__at"), F.col("__a")
+    taken = F.exists("__levels", lambda x: (at > x["__p"]) & (at <= x["__e"]) & ((a < x["__low"]) | (at == x["__e"])))
+    flags = placed.join(levels.drop("__end"), key).withColumn("accepted", taken).drop("__s", "__at", "__levels")
+    return flags, levels.select(*key, "__end")
 
 
 def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: list[str], amount: str,
-                   balance: str, carry: list[str] = (), max_list: int = MAX_LIST, domain_max: int = DOMAIN_MAX,
+                   balance: str, carry: list[str] = (), max_list: int = MAX_LIST,
                    segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Fold ``changes`` (key, seq..., amount, carry...) against ``start``
     (key, balance). Both amount and balance must be integral.
@@ -147,8 +117,7 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     stats = j.where(~never).groupBy(*key).agg(F.sum("__a").alias("__sum"), F.count(F.lit(1)).alias("__n"))
     path = (F.when(F.col("__s").isNull(), F.lit("unknown")).when(never, F.lit("never"))
             .when(F.col("__sum") <= F.col("__s"), F.lit("all"))
-            .when(F.col("__n") <= max_list, F.lit("list"))
-            .when(F.col("__s") <= domain_max, F.lit("chunked")).otherwise(F.lit("stream")))
+            .when(F.col("__n") <= max_list, F.lit("list")).otherwise(F.lit("levels")))
     j = materialize(j.join(stats, key, "left").withColumn("__path", path), "fold-input")
 
     simple = j.where(F.col("__path").isin("unknown", "never", "all")).select(
@@ -175,23 +144,12 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
     ends = (j.where(F.col("__path") == "all").groupBy(*key).agg(F.first(F.col("__s") - F.col("__sum")).alias("__end"))
             .unionByName(folded.select(*key, F.col("__st.rem").alias("__end"))))
 
-    # Large keys with big balances: streaming fold over sorted partitions.
-    big = j.where(F.col("__path") == "stream").withColumn("__k", F.to_json(F.struct(*key))) \
-        .select("__k", *cols, "__a", "__s")
-    if not big.isEmpty():
-        schema = T.StructType([f for f in big.schema.fields if f.name not in ("__k", "__s")]
-                              + [T.StructField("accepted", T.BooleanType()),
-                                 T.StructField("remaining", T.LongType())])
-        streamed = (big.repartition(*key).sortWithinPartitions(*key, *seq).mapInArrow(_stream_fold, schema))
-        rows = rows.unionByName(streamed.select(*cols, "accepted"))
-        ends = ends.unionByName(streamed.groupBy(*key).agg(F.min("remaining").alias("__end")))
-
-    # Large keys with small balances: parallel segments.
-    chunk_rows = j.where(F.col("__path") == "chunked").select(*cols, "__a", "__s")
-    if not chunk_rows.isEmpty():
-        chunk_flags, chunk_ends = _chunked_fold(chunk_rows, key, seq, segment_rows)
-        rows = rows.unionByName(chunk_flags.select(*cols, "accepted"))
-        ends = ends.unionByName(chunk_ends)
+    # Keys with more rows: by levels, spread over range partitions.
+    many = j.where(F.col("__path") == "levels").select(*cols, "__a", "__s")
+    if not many.isEmpty():
+        flags, level_ends = _levelled_fold(many, key, seq, segment_rows)
+        rows = rows.unionByName(flags.select(*cols, "accepted"))
+        ends = ends.unionByName(level_ends)
 
     final = st.join(ends, key, "left").select(*key, F.coalesce(F.col("__end"), F.col("__s")).alias(balance))
     return rows, final
