@@ -15,7 +15,6 @@ from vendorlytics.sources.tables import AS_OF, Tables
 # Fixed values (reference constants).
 PRO_PLAN = "pro"
 CLIENT_QUOTA = 20
-TEST_CLIENT_QUOTA = 10
 MAX_UPLOAD_BYTES = 5 * 1024 * 1024
 UPLOAD_TYPES = {"image/jpeg": ".jpg", "image/png": ".png", "image/webp": ".webp"}
 CARD_CODE_CLASS = {
@@ -102,7 +101,7 @@ def user_requests(t: Tables) -> DataFrame:
         F.lit("x").alias("password"), (k % 3 + 1).cast("int").alias("rol_id"))
 
 
-def register_users(t: Tables, req: DataFrame | None = None) -> DataFrame:
+def decide_registrations(t: Tables, req: DataFrame | None = None) -> DataFrame:
     """W16 self sign-up: trimmed name and e-mail required; e-mail trimmed and
     lower-cased; an e-mail already used (case-insensitive) or taken earlier
     in the batch is refused. New accounts: brand 1, role 2, 'pendiente'; the
@@ -116,13 +115,17 @@ def register_users(t: Tables, req: DataFrame | None = None) -> DataFrame:
     r = r.join(win, "correo", "left")
     result = (F.when(~F.col("valid"), "datos_faltantes")
               .when(F.col("exists").isNotNull() | (F.col("win") < F.col("seq")), "correo_registrado").otherwise("ok"))
-    ok = result == "ok"
-    return r.select("seq", result.alias("resultado"), F.when(ok, F.sha2("correo", 256)).alias("usuario_id"),
+    return r.withColumn("resultado", result)
+
+
+def register_users(t: Tables, req: DataFrame | None = None) -> DataFrame:
+    ok = F.col("resultado") == "ok"
+    return decide_registrations(t, req).select("seq", "resultado", F.when(ok, F.sha2("correo", 256)).alias("usuario_id"),
                     F.when(ok, F.col("correo")).alias("email"), F.when(ok, F.lit(1)).alias("marca_id"),
                     F.when(ok, F.lit(2)).alias("rol_id"), F.when(ok, F.lit("pendiente")).alias("suscripcion_estado"))
 
 
-def create_users_admin(t: Tables, req: DataFrame | None = None) -> DataFrame:
+def decide_admin_users(t: Tables, req: DataFrame | None = None) -> DataFrame:
     """W16 admin path: all fields required; brand NULL for role 1 (admin),
     else role - 1; the e-mail is stored as sent and must be unique."""
     req = req if req is not None else user_requests(t)
@@ -134,8 +137,12 @@ def create_users_admin(t: Tables, req: DataFrame | None = None) -> DataFrame:
     r = r.join(win, "email", "left")
     result = (F.when(~F.col("valid"), "datos_faltantes")
               .when(F.col("exists").isNotNull() | (F.col("win") < F.col("seq")), "correo_registrado").otherwise("ok"))
-    ok = result == "ok"
-    return r.select("seq", result.alias("resultado"),
+    return r.withColumn("resultado", result)
+
+
+def create_users_admin(t: Tables, req: DataFrame | None = None) -> DataFrame:
+    ok = F.col("resultado") == "ok"
+    return decide_admin_users(t, req).select("seq", "resultado",
                     F.when(ok, F.sha2(F.col("email"), 256)).alias("usuario_id"),
                     F.when(ok, F.when(F.col("rol_id") == 1, F.lit(None)).otherwise(F.col("rol_id") - 1))
                     .cast("int").alias("marca_id"),
@@ -168,8 +175,8 @@ def client_requests(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("detalles"))
 
 
-def admit_clients(t: Tables, req: DataFrame | None = None, snapshot: DataFrame | None = None,
-                  quota: int = CLIENT_QUOTA) -> DataFrame:
+def decide_clients(t: Tables, req: DataFrame | None = None, snapshot: DataFrame | None = None,
+                   quota: int = CLIENT_QUOTA) -> DataFrame:
     """Name required (400) before the client quota of plan 'mini' (403);
     a vendor without a plan is 'mini'. Accepted = first ``cap`` valid
     requests of each limited vendor."""
@@ -186,12 +193,13 @@ def admit_clients(t: Tables, req: DataFrame | None = None, snapshot: DataFrame |
     r = r.join(fill, "vendedor_id", "left")
     result = (F.when(~F.col("valid"), "datos_faltantes")
               .when(~quota_ok(F.col("limited"), F.col("cap"), F.col("fill"), ["seq"]), "cuota").otherwise("ok"))
-    return r.select("seq", "vendedor_id", result.alias("resultado"),
-                    F.when(result == "ok", F.coalesce("detalles", F.lit("{}"))).alias("detalles"))
+    return r.withColumn("resultado", result)
 
 
-def client_admission(t: Tables) -> DataFrame:
-    return admit_clients(t, quota=TEST_CLIENT_QUOTA)
+def client_admission(t: Tables, req: DataFrame | None = None, snapshot: DataFrame | None = None,
+                     quota: int = CLIENT_QUOTA) -> DataFrame:
+    return decide_clients(t, req, snapshot, quota).select(
+        "seq", "vendedor_id", "resultado", F.when(F.col("resultado") == "ok", F.coalesce("detalles", F.lit("{}"))).alias("detalles"))
 
 
 def client_patch_requests(t: Tables) -> DataFrame:

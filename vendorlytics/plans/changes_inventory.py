@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vendorlytics.functions.formats import money
 from vendorlytics.operators.admission import fixpoint, quota_fill, quota_ok, seq_struct, unique_claims
 from vendorlytics.session import materialize
-from vendorlytics.sources.requests import SEQ, admission_requests, custom_item_requests, inventory_patch_requests
+from vendorlytics.sources.requests import admission_requests, arrival, custom_item_requests, inventory_patch_requests
 from vendorlytics.sources.tables import MONEY, Tables
 
 # Plan quota of the reference.
@@ -43,7 +43,7 @@ def _slots(t: Tables, snapshot: DataFrame, quota: int) -> DataFrame:
 
 # -- W7 -------------------------------------------------------------------
 def admit_inventory(t: Tables, req: DataFrame | None = None, snapshot: DataFrame | None = None,
-                    quota: int = ITEM_QUOTA) -> DataFrame:
+                    quota: int = ITEM_QUOTA, seq: list[str] | None = None) -> DataFrame:
     """Add catalog items to vendors' inventories.
 
     Checks in order: vendor exists (401); quota of plan 'mini' (403); item of
@@ -53,6 +53,7 @@ def admit_inventory(t: Tables, req: DataFrame | None = None, snapshot: DataFrame
     is the first permitted request of a pair not in the snapshot.
     """
     req = req if req is not None else admission_requests(t)
+    SEQ = seq or arrival(req)
     snapshot = snapshot if snapshot is not None else _empty_inventory(t)
     prod = t.products().select(F.col("id").alias("producto_maestro_id"), F.col("marca_id").alias("p_marca"),
                                "creado_por")
@@ -80,18 +81,9 @@ def inventory_admission(t: Tables) -> DataFrame:
     return admit_inventory(t).select(*IDENT, "vendedor_id", "producto_maestro_id", "resultado")
 
 
-def inventory_after_admission(t: Tables, snapshot: DataFrame | None = None) -> DataFrame:
-    """The new inventory snapshot: old rows plus accepted ones (stable ids)."""
-    snapshot = snapshot if snapshot is not None else _empty_inventory(t)
-    ok = admit_inventory(t, snapshot=snapshot).where(F.col("resultado") == "ok")
-    new = ok.select((F.col("vendedor_id") * 1000000 + F.col("producto_maestro_id")).alias("id"), "vendedor_id",
-                    "producto_maestro_id", "stock", "precio_personalizado")
-    return snapshot.unionByName(new)
-
-
 # -- W8 -------------------------------------------------------------------
 def submit_custom_items(t: Tables, req: DataFrame | None = None, snapshot: DataFrame | None = None,
-                        quota: int = ITEM_QUOTA) -> DataFrame:
+                        quota: int = ITEM_QUOTA, seq: list[str] | None = None) -> DataFrame:
     """Vendors create their own (pending) items.
 
     Checks: required fields (400); quota (403); SKU unique across the
@@ -100,6 +92,7 @@ def submit_custom_items(t: Tables, req: DataFrame | None = None, snapshot: DataF
     the SKU), so outcomes are solved by ``fixpoint``.
     """
     req = req if req is not None else custom_item_requests(t)
+    SEQ = seq or arrival(req)
     snapshot = snapshot if snapshot is not None else _empty_inventory(t)
     valid = (F.col("nombre").isNotNull() & (F.col("nombre") != "") & F.col("sku").isNotNull()
              & (F.col("sku") != "") & F.col("stock").isNotNull() & F.col("precio_personalizado").isNotNull())
@@ -109,18 +102,17 @@ def submit_custom_items(t: Tables, req: DataFrame | None = None, snapshot: DataF
             .join(slots, "vendedor_id", "left")
             .withColumn("limited", F.coalesce("limited", F.lit(True)))
             .withColumn("cap", F.coalesce("cap", F.lit(quota)))
-            .withColumn("seq", seq_struct(SEQ))
-            .select("req_id", "vendedor_id", "sku", "seq", *SEQ, "valid",
-                    F.coalesce("in_catalog", F.lit(False)).alias("in_catalog"), "limited", "cap"))
+            .withColumn("__seq", seq_struct(SEQ))
+            .select(*req.columns, "__seq", "valid", F.coalesce("in_catalog", F.lit(False)).alias("in_catalog"), "limited", "cap"))
     base = materialize(base, "custom-items")
 
     def step(flags: DataFrame) -> DataFrame:
         cur = base.join(flags, "req_id")
         acc = cur.where(F.col("ok"))
-        first_sku = acc.groupBy("sku").agg(F.min("seq").alias("sku_first"))
+        first_sku = acc.groupBy("sku").agg(F.min("__seq").alias("sku_first"))
         fill = quota_fill(acc.where(F.col("limited") & (F.col("cap") > 0)), "vendedor_id", SEQ, "cap", quota)
         nxt = base.join(first_sku, "sku", "left").join(fill, "vendedor_id", "left")
-        sku_free = ~F.col("in_catalog") & (F.col("sku_first").isNull() | (F.col("sku_first") >= F.col("seq")))
+        sku_free = ~F.col("in_catalog") & (F.col("sku_first").isNull() | (F.col("sku_first") >= F.col("__seq")))
         ok = F.col("valid") & quota_ok(F.col("limited"), F.col("cap"), F.col("fill"), SEQ) & sku_free
         return nxt.select("req_id", ok.alias("ok"))
 
@@ -128,7 +120,7 @@ def submit_custom_items(t: Tables, req: DataFrame | None = None, snapshot: DataF
     start = base.select("req_id", (F.col("valid") & ~F.col("in_catalog")).alias("ok"))
     flags = fixpoint(step, start, "req_id")
     cur = base.join(flags, "req_id")
-    first_sku = cur.where(F.col("ok")).groupBy("sku").agg(F.min("seq").alias("sku_first"))
+    first_sku = cur.where(F.col("ok")).groupBy("sku").agg(F.min("__seq").alias("sku_first"))
     fill = quota_fill(cur.where(F.col("ok") & F.col("limited") & (F.col("cap") > 0)), "vendedor_id", SEQ, "cap", quota)
     cur = cur.join(first_sku, "sku", "left").join(fill, "vendedor_id", "left")
     qok = quota_ok(F.col("limited"), F.col("cap"), F.col("fill"), SEQ)
@@ -146,10 +138,12 @@ def patch_inventory(t: Tables, req: DataFrame | None = None, snapshot: DataFrame
     """COALESCE(new, old) for stock and price, owner only (else 404).
     Several edits of one item: the last non-NULL value of each column wins."""
     req = req if req is not None else inventory_patch_requests(t)
+    SEQ = arrival(req)
+    ident = IDENT if SEQ != ["seq"] else SEQ
     snap = snapshot if snapshot is not None else t.inventory()
     owned = snap.select("id", "vendedor_id", F.lit(True).alias("owned"))
     r = req.join(owned, ["id", "vendedor_id"], "left")
-    outcome = r.select(*IDENT, "id", "vendedor_id",
+    outcome = r.select(*ident, "id", "vendedor_id",
                        F.when(F.col("owned").isNull(), "no_encontrado").otherwise("ok").alias("resultado"))
     seq = seq_struct(SEQ)
     upd = r.where(F.col("owned")).groupBy("id").agg(
@@ -304,13 +298,14 @@ def patch_catalog(t: Tables, req: DataFrame | None = None) -> DataFrame:
         .otherwise(F.col("p.skus_anteriores"))
     result = (F.when(~current, "diferida").when(~exists, "no_encontrada").when(F.col("blocked"), "sku_duplicado")
               .when(~fk_ok, "fk_invalida").otherwise("ok"))
-    return r.select(
-        "id", result.alias("resultado"), new_sku.alias("sku"),
-        F.coalesce("r.nombre", "p.nombre").alias("nombre"),
-        F.coalesce("r.descripcion", "p.descripcion").alias("descripcion"),
-        F.coalesce("r.precio_sugerido", "p.precio_sugerido").alias("precio_sugerido"),
-        F.col("r.categoria_id").alias("categoria_id"),
-        F.coalesce("r.marca_id", "p.marca_id").alias("marca_id"), hist.alias("skus_anteriores"))
+
+    def edited(name: str, value) -> F.Column:
+        """Refused requests leave the product as it was."""
+        return F.when(result == "ok", value).otherwise(F.col(f"p.{name}")).alias(name)
+
+    return r.select("id", result.alias("resultado"), edited("sku", new_sku),
+                    *[edited(c, F.coalesce(f"r.{c}", f"p.{c}")) for c in ("nombre", "descripcion", "precio_sugerido", "ruta_imagen", "marca_id")],
+                    edited("categoria_id", F.col("r.categoria_id")), edited("skus_anteriores", hist))
 
 
 def catalog_patch(t: Tables) -> DataFrame:
@@ -346,11 +341,6 @@ def catalog_reject(t: Tables, req: DataFrame | None = None) -> DataFrame:
                     .cast("bigint").alias("inventario_borrado"))
 
 
-def inventory_after_reject(t: Tables) -> DataFrame:
-    gone = catalog_reject(t).where(F.col("resultado") == "rechazada").select(F.col("id").alias("producto_maestro_id"))
-    return t.inventory().join(gone, "producto_maestro_id", "left_anti")
-
-
 QUERIES = {
     "inventory_admission": inventory_admission,
     "custom_item_submit": custom_item_submit,

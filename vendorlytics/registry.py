@@ -20,11 +20,23 @@ MODULES = [
     ("vendorlytics.plans.changes_sales", "vendorlytics.plans.oracle_changes_sales"),
     ("vendorlytics.plans.changes_inventory", "vendorlytics.plans.oracle_changes_inventory"),
     ("vendorlytics.plans.changes_accounts", "vendorlytics.plans.oracle_changes_accounts"),
+    ("vendorlytics.plans.new_tables", "vendorlytics.plans.oracle_new_tables"),
     ("vendorlytics.plans.billing", "vendorlytics.plans.oracle_billing"),
     ("vendorlytics.streaming.billing_stream", "vendorlytics.streaming.oracle_stream"),
 ]
 
 
+# Test values of the registered queries; the plans' defaults are the
+# reference's values, which the command line uses.
+TEST_ARGS = {
+    "sales_history_page": {"page": 2},
+    "catalog_search": {"search": "old-1", "orden_precio": "desc", "precio_min": 100.0, "page": 2},
+    "client_admission": {"quota": 10},
+    "rate_limit_violations": {"limit": 1},
+    "rate_limit_stream": {"limit": 1},
+}
+
+
 def _load():
     queries, oracles = {}, {}
     for plan, oracle in MODULES:
@@ -43,10 +55,10 @@ def flat(df: DataFrame) -> DataFrame:
 def queries():
     q, _ = _load()
 
-    def bind(fn):
-        return lambda spark, sf_dir: flat(fn(FixtureTables(spark, sf_dir)))
+    def bind(fn, args):
+        return lambda spark, sf_dir: flat(fn(FixtureTables(spark, sf_dir), **args))
 
-    return {name: bind(fn) for name, fn in q.items()}
+    return {name: bind(fn, TEST_ARGS.get(name, {})) for name, fn in q.items()}
 
 
 def oracle_sql():

@@ -85,6 +85,38 @@ def custom_item_requests(t: Tables) -> DataFrame:
         F.col("l_extendedprice").cast(MONEY).alias("precio_personalizado"))
 
 
+def own_item_requests(t: Tables) -> DataFrame:
+    """W8 from parts: seven vendors, SKUs repeat, one in fifty is in the
+    catalog, one in 97 lacks a name."""
+    k = F.col("p_partkey")
+    return t.read("part").select(
+        k.alias("seq"), k.alias("req_id"), (k % 7).alias("vendedor_id"),
+        F.when(k % 97 != 0, F.col("p_name")).alias("nombre"),
+        F.when(k % 50 == 0, F.concat(F.lit("SKU-"), k.cast("string")))
+         .otherwise(F.concat(F.lit("CUS-"), (k % 600).cast("string"))).alias("sku"),
+        F.col("p_size").alias("stock"), F.col("p_retailprice").cast(MONEY).alias("precio_personalizado"))
+
+
+def sku_move_requests(t: Tables) -> DataFrame:
+    """W13 with collisions: each product asks for a SKU three further on,
+    which is free only if its holder moved before; every fifth asks for a new
+    one, every eleventh sends an unknown category. From the last id down, so
+    that some holders have moved and some haven't."""
+    k = F.col("p_partkey")
+    return t.read("part").select(
+        k.alias("id"), F.when(k % 2 == 0, -k).otherwise(k).alias("seq"),
+        F.when(k % 5 == 0, F.concat(F.lit("NEW-"), (k % 50).cast("string")))
+         .otherwise(F.concat(F.lit("SKU-"), (k + 3).cast("string"))).alias("sku"),
+        F.when(k % 4 == 1, F.concat(F.col("p_name"), F.lit(" v2"))).alias("nombre"), F.lit(None).cast("string").alias("descripcion"),
+        F.lit(None).cast(MONEY).alias("precio_sugerido"), F.lit(None).cast("string").alias("ruta_imagen"),
+        F.when(k % 11 == 0, F.lit(99)).when(k % 3 == 0, F.lit(2)).cast("int").alias("categoria_id"), F.lit(None).cast("int").alias("marca_id"))
+
+
+def arrival(req: DataFrame) -> list[str]:
+    """The columns that order a job's requests: ``seq``, or the fixture's."""
+    return ["seq"] if "seq" in req.columns else SEQ
+
+
 def inventory_patch_requests(t: Tables) -> DataFrame:
     """Stock or price edits of item (l_suppkey, l_partkey); line 6 is
     sent by another vendor (not the owner)."""

@@ -19,6 +19,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vendorlytics.sources.commits import current_commit, folder, versions
+
 MONEY = "decimal(18,2)"
 
 # Fixed values of the fixture binding (FIXTURES.md, "Constants").
@@ -43,7 +45,10 @@ class Tables:
 
 
 class SnapshotTables(Tables):
-    """Real deployment: one parquet directory per application table."""
+    """Real deployment: one parquet directory per application table. Tables
+    that a commit under the root names (``sources.commits``) are read at its
+    versions; the commit is looked up once, so that all tables of one object
+    belong together."""
 
     NAMES = {
         "users": "usuarios", "roles": "usuario_roles", "categories": "categorias",
@@ -52,8 +57,16 @@ class SnapshotTables(Tables):
         "payments": "pagos", "push": "push_subscriptions",
     }
 
+    def __init__(self, spark: SparkSession, root: str):
+        super().__init__(spark, root)
+        self.commit = current_commit(spark, self.root)
+        self.versions = versions(spark, self.root, self.commit)
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.NAMES.get(name, name)}")
+        table = self.NAMES.get(name, name)
+        if table in self.versions:
+            return self.spark.read.parquet(f"{folder(self.root, table)}/v={self.versions[table]}")
+        return self.spark.read.parquet(f"{self.root}/{table}")
 
     def __getattr__(self, name):
         if name in self.NAMES:
