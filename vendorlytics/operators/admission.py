@@ -19,7 +19,7 @@ the batch has exactly one sequential answer. We compute it set-wise:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlytics.operators.topk import top_k
@@ -58,31 +58,50 @@ def fixpoint(step, flags: DataFrame, key: str) -> DataFrame:
 def unique_claims(base: DataFrame, holders: DataFrame) -> DataFrame:
     """Unique values claimed in arrival order (store slug, SKU).
 
-    ``base``: one request per owner: (owner, seq, value, pre_ok, post_ok).
-    ``holders``: the snapshot (h_owner, h_value), values unique.
-    A request is blocked when, at its time, another owner holds its value:
-    a snapshot holder that has not moved to another value by an earlier
-    accepted request, or an earlier accepted request for the same value.
-    accepted = pre_ok and not blocked and post_ok; only accepted requests
-    claim. Returns (owner, blocked, ok)."""
+    ``base``: the requests (req, owner, seq, value, pre_ok, post_ok), any
+    number of them an owner; a NULL value claims nothing. ``seq`` may be any
+    type that orders. ``holders``: the snapshot (h_owner, h_value), values
+    unique.
+
+    An accepted request makes its owner hold the value until the owner's next
+    accepted request for another one; a snapshot value is held from the
+    start. A request is blocked when another owner holds its value as it
+    arrives; accepted = pre_ok and not blocked and post_ok.
+    Returns (req, blocked, ok).
+
+    Holdings are intervals of arrival order: +1 where one begins and -1 where
+    it ends, so who holds a value at a request is a running sum over the
+    value's begins, ends and requests, without pairing them up."""
     base = materialize(base, "claims")
+    claims = base.where(F.col("value").isNotNull()).select("req", "owner", "seq", "value", "pre_ok", "post_ok")
+    no_seq = F.lit(None).cast(base.schema["seq"].dataType)
+    start = holders.where(F.col("h_value").isNotNull()).join(claims.select(F.col("owner").alias("h_owner")).distinct().withColumn("moves", F.lit(True)),
+                                                             "h_owner", "left")
+    wanted = claims.select(F.col("value").alias("h_value")).distinct()
+    start = materialize(start.join(wanted.withColumn("wanted", F.lit(True)), "h_value", "left").where("moves or wanted").select(
+        F.col("h_owner").alias("owner"), no_seq.alias("seq"), F.col("h_value").alias("value")), "claim-holders")
+    by_owner = Window.partitionBy("owner").orderBy(F.col("seq").asc_nulls_first())
 
     def blocked_by(flags: DataFrame) -> DataFrame:
-        acc = base.join(flags.where(F.col("ok")), "owner").select(
-            F.col("owner").alias("h_owner"), F.col("seq").alias("h_seq"), F.col("value").alias("h_new"))
-        hold = holders.join(acc, "h_owner", "left")
-        snap = base.join(hold, (hold.h_value == base.value) & (hold.h_owner != base.owner)).where(
-            ~(F.col("h_seq").isNotNull() & (F.col("h_seq") < F.col("seq")) & (F.col("h_new") != F.col("value")))
-        ).select("owner").distinct().withColumn("snap_block", F.lit(True))
-        first = acc.groupBy(F.col("h_new").alias("value")).agg(F.min("h_seq").alias("claim_seq"))
-        b = base.join(snap, "owner", "left").join(first, "value", "left")
-        blocked = F.col("snap_block").isNotNull() | F.coalesce(F.col("claim_seq") < F.col("seq"), F.lit(False))
-        return b.select("owner", blocked.alias("blocked"), "pre_ok", "post_ok")
+        held = start.unionByName(claims.join(flags.where("ok"), "req").select("owner", "seq", "value"))
+        change = ~F.col("value").eqNullSafe(F.lag("value").over(by_owner))
+        held = held.withColumn("change", change).where("change")
+        held = held.withColumn("until", F.lead("seq").over(by_owner))
+        begins = held.select("value", "seq", F.lit(1).alias("step"), F.lit(None).cast(base.schema["req"].dataType).alias("req"), "owner")
+        ends = held.where(F.col("until").isNotNull()).select("value", F.col("until").alias("seq"), F.lit(-1).alias("step"),
+                                                             F.lit(None).cast(base.schema["req"].dataType).alias("req"), "owner")
+        asks = claims.select("value", "seq", F.lit(0).alias("step"), "req", "owner")
+        # what happens at a request's own arrival comes after it
+        order = [F.col("seq").asc_nulls_first(), (F.col("step") != 0).asc()]
+        whole = Window.partitionBy("value").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        own = Window.partitionBy("value", "owner").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        line = begins.unionByName(ends).unionByName(asks)
+        line = line.withColumn("mine", F.sum("step").over(own)).withColumn("all", F.sum("step").over(whole))
+        return base.join(line.where("step = 0").select("req", (F.col("all") > F.col("mine")).alias("blocked")), "req", "left") \
+            .select("req", F.coalesce("blocked", F.lit(False)).alias("blocked"), "pre_ok", "post_ok")
 
     def step(flags: DataFrame) -> DataFrame:
-        b = blocked_by(flags)
-        return b.select("owner", (F.col("pre_ok") & ~F.col("blocked") & F.col("post_ok")).alias("ok"))
+        return blocked_by(flags).select("req", (F.col("pre_ok") & ~F.col("blocked") & F.col("post_ok")).alias("ok"))
 
-    start = base.select("owner", (F.col("pre_ok") & F.col("post_ok")).alias("ok"))
-    flags = fixpoint(step, start, "owner")
-    return blocked_by(flags).join(flags, "owner").select("owner", "blocked", "ok")
+    flags = fixpoint(step, base.select("req", (F.col("pre_ok") & F.col("post_ok")).alias("ok")), "req")
+    return blocked_by(flags).join(flags, "req").select("req", "blocked", "ok")

@@ -65,27 +65,23 @@ def apply_store_settings(t: Tables, req: DataFrame | None = None) -> DataFrame:
     """Store slug and phone (plan 'pro' only). The clean slug must not
     be held by another user at the time of the request; holders change as
     earlier requests are accepted, so outcomes are solved by ``fixpoint``.
-    One request per user is applied per batch; later ones are 'diferida'
-    (they go to the next batch)."""
+    A user may send any number of requests."""
     req = req if req is not None else store_settings_requests(t)
     users = t.users()
-    first = req.groupBy("id").agg(F.min("seq").alias("first_seq"))
-    r = (req.join(first, "id").join(users.select("id", "suscripcion_plan"), "id", "left")
+    r = (req.join(users.select("id", "suscripcion_plan"), "id", "left")
          .withColumn("slug", slugify(F.col("store_slug")))
          .withColumn("phone", digits_only(F.col("telefono")))
          .withColumn("filled", nonempty(F.col("store_slug")) & nonempty(F.col("telefono")))
-         .withColumn("pro", F.coalesce(F.col("suscripcion_plan"), F.lit("mini")) == PRO_PLAN)
-         .withColumn("current", F.col("seq") == F.col("first_seq")))
-    base = r.where(F.col("current")).select(
-        F.col("id").alias("owner"), "seq", F.col("slug").alias("value"),
+         .withColumn("pro", F.coalesce(F.col("suscripcion_plan"), F.lit("mini")) == PRO_PLAN))
+    base = r.select(
+        F.col("seq").alias("req"), F.col("id").alias("owner"), "seq", F.col("slug").alias("value"),
         (F.col("filled") & F.col("pro")).alias("pre_ok"), F.lit(True).alias("post_ok"))
     holders = users.select(F.col("id").alias("h_owner"), F.col("store_slug").alias("h_value"))
-    flags = unique_claims(base, holders).withColumnRenamed("owner", "id")
-    out = r.join(flags, "id", "left")
-    result = (F.when(~F.col("current"), "diferida").when(~F.col("filled"), "datos_faltantes")
+    out = r.join(unique_claims(base, holders).withColumnRenamed("req", "seq"), "seq", "left")
+    result = (F.when(~F.col("filled"), "datos_faltantes")
               .when(~F.col("pro"), "plan").when(~F.col("ok"), "slug_en_uso").otherwise("ok"))
     return out.select("id", "seq", result.alias("resultado"), F.col("slug").alias("store_slug"),
-                      F.col("phone").alias("telefono"), "personalizacion")
+                      F.col("phone").alias("telefono"), *[c for c in ("store_name", "personalizacion") if c in req.columns])
 
 
 def store_settings_apply(t: Tables) -> DataFrame:

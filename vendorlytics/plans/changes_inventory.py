@@ -270,42 +270,59 @@ def catalog_patch_requests(t: Tables) -> DataFrame:
         F.when(m != 3, F.col("categoria_id")).alias("categoria_id"), F.lit(None).cast("int").alias("marca_id"))
 
 
-def patch_catalog(t: Tables, req: DataFrame | None = None) -> DataFrame:
-    """COALESCE edits except categoria_id (assigned, NULL included);
-    a changed SKU moves the old one into the history. SKUs stay unique: the
-    unique check (at update) precedes the category key (statement end), and
-    SKUs move between products in arrival order (``unique_claims``). One
-    request per product per batch; later ones are 'diferida'."""
+def decide_patches(t: Tables, req: DataFrame | None = None) -> DataFrame:
+    """W13, every request with its outcome. The unique check (at update)
+    precedes the category key (statement end); SKUs move between products in
+    arrival order (``unique_claims``), a product may have any number of
+    requests. A request without a SKU keeps the product's."""
     req = req if req is not None else catalog_patch_requests(t)
     p = t.products()
-    first = req.groupBy("id").agg(F.min("seq").alias("first_seq"))
-    r = req.join(first, "id").alias("r").join(p.alias("p"), "id", "left")
-    exists = F.col("p.sku").isNotNull()
-    new_sku = F.coalesce(F.col("r.sku"), F.col("p.sku"))
-    cats = t.categories().select(F.col("id").alias("cat_id"), F.lit(True).alias("cat_ok"))
-    r = r.join(cats, F.col("r.categoria_id") == F.col("cat_id"), "left")
-    fk_ok = F.col("r.categoria_id").isNull() | F.col("cat_ok").isNotNull()
-    current = F.col("r.seq") == F.col("first_seq")
-    base = r.where(current).select(F.col("id").alias("owner"), F.col("r.seq").alias("seq"),
-                                   new_sku.alias("value"), exists.alias("pre_ok"), fk_ok.alias("post_ok"))
+    cats = t.categories().select(F.col("id").alias("categoria_id"), F.lit(True).alias("cat_ok"))
+    r = req.join(p.select("id", F.lit(True).alias("found")), "id", "left").join(cats, "categoria_id", "left")
+    exists = F.col("found").isNotNull()
+    fk_ok = F.col("categoria_id").isNull() | F.col("cat_ok").isNotNull()
+    base = r.select(F.col("seq").alias("req"), F.col("id").alias("owner"), "seq", F.col("sku").alias("value"),
+                    exists.alias("pre_ok"), fk_ok.alias("post_ok"))
     holders = p.select(F.col("id").alias("h_owner"), F.col("sku").alias("h_value"))
-    claims = unique_claims(base, holders).withColumnRenamed("owner", "id")
-    r = r.join(claims, "id", "left")
-    changed = F.col("r.sku").isNotNull() & F.col("p.sku").isNotNull() & (F.col("r.sku") != F.col("p.sku"))
-    hist = F.when(changed, F.array_remove(F.array_append(F.coalesce(F.col("p.skus_anteriores"),
-                                                                    F.array().cast("array<string>")),
-                                                         F.col("p.sku")), F.col("r.sku"))) \
-        .otherwise(F.col("p.skus_anteriores"))
-    result = (F.when(~current, "diferida").when(~exists, "no_encontrada").when(F.col("blocked"), "sku_duplicado")
+    r = r.join(unique_claims(base, holders).withColumnRenamed("req", "seq").drop("ok"), "seq", "left")
+    result = (F.when(~exists, "no_encontrada").when(F.col("blocked"), "sku_duplicado")
               .when(~fk_ok, "fk_invalida").otherwise("ok"))
+    return r.withColumn("resultado", result).select(*req.columns, "resultado")
+
+
+def patched_catalog(t: Tables, decided: DataFrame) -> DataFrame:
+    """The new products. COALESCE edits: the last value sent wins by
+    column, except categoria_id: the last request's, NULL included. A changed
+    SKU moves the old one into the history, request by request."""
+    p, seq = t.products(), F.col("seq")
+    ok = decided.where("resultado = 'ok'")
+    plain = ["nombre", "descripcion", "precio_sugerido", "ruta_imagen", "marca_id"]
+    edits = ok.groupBy("id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), seq)).alias(f"n_{c}") for c in plain],
+        F.max_by("categoria_id", seq).alias("n_categoria_id"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("sku").isNotNull(), F.struct("seq", "sku")))), lambda x: x["sku"]).alias("n_skus"),
+        F.lit(True).alias("hit"))
+    j = p.join(edits, "id", "left")
+
+    def move(acc, new):
+        moved = acc["sku"].isNotNull() & (acc["sku"] != new)
+        kept = F.array_remove(F.array_append(F.coalesce(acc["old"], F.array().cast("array<string>")), acc["sku"]), new)
+        return F.struct(new.alias("sku"), F.when(moved, kept).otherwise(acc["old"]).alias("old"))
+
+    skus = F.aggregate(F.coalesce("n_skus", F.array().cast("array<string>")),
+                       F.struct(F.col("sku"), F.col("skus_anteriores").alias("old")), move)
+    new = {c: F.coalesce(f"n_{c}", c) for c in plain} | {
+        "categoria_id": F.when(F.col("hit"), F.col("n_categoria_id")).otherwise(F.col("categoria_id")),
+        "sku": F.col("moved.sku"), "skus_anteriores": F.col("moved.old")}
+    j = j.withColumn("moved", skus)
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in p.columns])
 
-    def edited(name: str, value) -> F.Column:
-        """Refused requests leave the product as it was."""
-        return F.when(result == "ok", value).otherwise(F.col(f"p.{name}")).alias(name)
 
-    return r.select("id", result.alias("resultado"), edited("sku", new_sku),
-                    *[edited(c, F.coalesce(f"r.{c}", f"p.{c}")) for c in ("nombre", "descripcion", "precio_sugerido", "ruta_imagen", "marca_id")],
-                    edited("categoria_id", F.col("r.categoria_id")), edited("skus_anteriores", hist))
+def patch_catalog(t: Tables, req: DataFrame | None = None) -> DataFrame:
+    """Every request's outcome and what its product is after the batch."""
+    decided = materialize(decide_patches(t, req), "patches")
+    after = patched_catalog(t, decided)
+    return decided.select("id", "resultado").join(after, "id", "left").select("id", "resultado", *[c for c in after.columns if c != "id"])
 
 
 def catalog_patch(t: Tables) -> DataFrame:

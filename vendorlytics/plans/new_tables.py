@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from vendorlytics.functions.formats import money
 from vendorlytics.plans import changes_accounts as accounts
 from vendorlytics.plans import changes_inventory as inventory
-from vendorlytics.sources.requests import own_item_requests, sku_move_requests
+from vendorlytics.session import materialize
+from vendorlytics.sources.requests import own_item_requests, sku_chain_requests, sku_move_requests, slug_requests
 from vendorlytics.sources.tables import MONEY, Tables
 
 
@@ -75,15 +76,15 @@ def deleted_inventory(t: Tables, req: DataFrame | None = None, snapshot: DataFra
 
 
 def store_settings(t: Tables, req: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Slug and phone of the accepted requests, name and settings where
-    they were sent."""
-    done = accounts.apply_store_settings(t, req).where("resultado = 'ok'").withColumn("hit", F.lit(True))
-    users = t.users()
-    set_to = {"store_slug": F.col("n.store_slug"), "telefono": F.col("n.telefono"),
-              "personalizacion": F.coalesce("n.personalizacion", "u.personalizacion")}
-    j = users.alias("u").join(done.alias("n"), F.col("u.id") == F.col("n.id"), "left")
-    return {"users": j.select(*[F.when(F.col("n.hit"), set_to[c]).otherwise(F.col(f"u.{c}")).alias(c) if c in set_to else F.col(f"u.{c}")
-                                for c in users.columns])}
+    """Slug and phone of the last accepted request, name and settings as
+    last sent."""
+    done = accounts.apply_store_settings(t, req).where("resultado = 'ok'")
+    users, seq = t.users(), F.col("seq")
+    last = {c: F.max_by(c, seq) for c in ("store_slug", "telefono") if c in users.columns}
+    last |= {c: F.max_by(c, F.when(F.col(c).isNotNull(), seq)) for c in ("store_name", "personalizacion") if c in users.columns and c in done.columns}
+    edits = done.groupBy("id").agg(*[e.alias(f"n_{c}") for c, e in last.items()])
+    j = users.join(edits, "id", "left")  # an accepted slug and phone are never NULL
+    return {"users": j.select(*[F.coalesce(f"n_{c}", c).alias(c) if c in last else F.col(c) for c in users.columns])}
 
 
 def created_products(t: Tables, req: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -94,13 +95,8 @@ def created_products(t: Tables, req: DataFrame | None = None) -> dict[str, DataF
 
 
 def patched_products(t: Tables, req: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Accepted patches only."""
-    done = inventory.patch_catalog(t, req).where("resultado = 'ok'").withColumn("hit", F.lit(True))
-    old = t.products()
-    j = old.alias("p").join(done.alias("n"), F.col("p.id") == F.col("n.id"), "left")
-    edited = set(done.columns) - {"id", "hit", "resultado"}
-    return {"products": j.select(*[F.when(F.col("n.hit"), F.col(f"n.{c}")).otherwise(F.col(f"p.{c}")).alias(c) if c in edited
-                                   else F.col(f"p.{c}") for c in old.columns])}
+    """W13."""
+    return {"products": inventory.patched_catalog(t, materialize(inventory.decide_patches(t, req), "patches"))}
 
 
 def approved_products(t: Tables, req: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -203,7 +199,11 @@ QUERIES = {
     "custom_item_inventory_table": lambda t: _inventory(custom_items(t, own_item_requests(t), _none(t.inventory()))["inventory"]),
     "store_settings_users_table": lambda t: _users(store_settings(t)["users"]),
     "catalog_create_table": lambda t: _products(created_products(t)["products"]),
+    "store_settings_repeats": lambda t: accounts.apply_store_settings(t, slug_requests(t)).select("id", "seq", "resultado", "store_slug"),
+    "store_settings_repeats_table": lambda t: _users(store_settings(t, slug_requests(t))["users"]),
     "catalog_move_outcome": lambda t: inventory.patch_catalog(t, sku_move_requests(t)).select("id", "resultado", "sku"),
+    "catalog_repeats_outcome": lambda t: inventory.decide_patches(t, sku_chain_requests(t)).select("seq", "id", "sku", "resultado"),
+    "catalog_repeats_table": lambda t: _products(patched_products(t, sku_chain_requests(t))["products"]),
     "catalog_patch_table": lambda t: _products(patched_products(t, sku_move_requests(t))["products"]),
     "catalog_approve_table": lambda t: _products(approved_products(t)["products"]),
     "catalog_reject_table": lambda t: _products(rejected_products(t)["products"]),

@@ -1,7 +1,7 @@
 """DuckDB oracles for the change-set jobs' new snapshots. W8 and the SKU moves
 of W13 are sequential recursive CTEs (one request a step)."""
 
-from vendorlytics.plans.oracle_changes_accounts import _CLIENTS, _STORE, _USERS
+from vendorlytics.plans.oracle_changes_accounts import _CLIENTS, _SLUG, _STORE, _USERS
 from vendorlytics.plans.oracle_changes_inventory import _ADMIT, _CREATE
 
 
@@ -54,6 +54,42 @@ _MOVE = """r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'NEW-'
      FROM f JOIN r ON r.rn = f.rn + 1)),
  n AS (SELECT r.*, f.res = 'ok' AS ok, f.res FROM r JOIN f ON f.rn = r.rn)"""
 
+_SLUGS = f"""r AS (SELECT c_custkey % 45 AS owner, c_custkey AS seq, {_SLUG.format(x="'Tienda ' || CAST((c_custkey * 7) % 60 AS VARCHAR)")} AS slug,
+   c_custkey % 13 <> 0 AS filled, CASE WHEN c_custkey % 4 = 0 THEN '{{"n":' || CAST(c_custkey AS VARCHAR) || '}}' END AS pers,
+   COALESCE(u.suscripcion_plan, 'mini') = 'pro' AS pro, row_number() OVER (ORDER BY c_custkey) AS rn
+   FROM customer LEFT JOIN v_users u ON u.id = c_custkey % 45),
+ f(rn, held, res) AS (
+   SELECT CAST(0 AS BIGINT), (SELECT list({{'o': id, 's': store_slug}}) FROM v_users), CAST(NULL AS VARCHAR)
+   UNION ALL
+   SELECT rn, CASE WHEN res = 'ok' THEN list_transform(held, lambda h: CASE WHEN h.o = owner THEN {{'o': owner, 's': slug}} ELSE h END) ELSE held END, res
+   FROM (SELECT r.rn, f.held, r.owner, r.slug, CASE WHEN NOT r.filled THEN 'datos_faltantes' WHEN NOT r.pro THEN 'plan'
+       WHEN len(list_filter(f.held, lambda h: h.s = r.slug AND h.o <> r.owner)) > 0 THEN 'slug_en_uso' ELSE 'ok' END AS res
+     FROM f JOIN r ON r.rn = f.rn + 1)),
+ n AS (SELECT r.*, f.res FROM r JOIN f ON f.rn = r.rn)"""
+
+# The state is each product's SKU and history, request by request.
+_CHAIN = """r AS (SELECT c_custkey AS seq, c_custkey % 300 AS id,
+   CASE WHEN c_custkey % 9 <> 0 THEN 'SKU-' || CAST((c_custkey * 11) % 400 AS VARCHAR) END AS sku,
+   CASE WHEN c_custkey % 6 = 1 THEN 'Pieza ' || CAST(c_custkey AS VARCHAR) END AS nombre,
+   CASE WHEN c_custkey % 10 = 3 THEN CAST(c_custkey AS DECIMAL(18,2)) END AS precio,
+   CAST(CASE WHEN c_custkey % 17 = 0 THEN 99 WHEN c_custkey % 4 = 0 THEN 2 END AS INT) AS categoria_id,
+   row_number() OVER (ORDER BY c_custkey) AS rn FROM customer),
+ f(rn, held, res) AS (
+   SELECT CAST(0 AS BIGINT), (SELECT list({'o': id, 's': sku, 'a': skus_anteriores}) FROM v_products), CAST(NULL AS VARCHAR)
+   UNION ALL
+   SELECT rn, CASE WHEN res = 'ok' AND sku IS NOT NULL THEN list_transform(held, lambda h: CASE WHEN h.o = id AND h.s <> sku THEN
+       {'o': id, 's': sku, 'a': list_filter(list_append(COALESCE(h.a, CAST([] AS VARCHAR[])), h.s), lambda x: x <> sku)} ELSE h END)
+     ELSE held END, res
+   FROM (SELECT r.rn, f.held, r.id, r.sku, CASE WHEN r.id NOT IN (SELECT id FROM v_products) THEN 'no_encontrada'
+       WHEN len(list_filter(f.held, lambda h: h.s = r.sku AND h.o <> r.id)) > 0 THEN 'sku_duplicado'
+       WHEN r.categoria_id IS NOT NULL AND r.categoria_id NOT IN (SELECT id FROM v_categories) THEN 'fk_invalida' ELSE 'ok' END AS res
+     FROM f JOIN r ON r.rn = f.rn + 1)),
+ n AS (SELECT r.*, f.res FROM r JOIN f ON f.rn = r.rn),
+ u AS (SELECT unnest(held) AS x FROM f WHERE rn = (SELECT max(rn) FROM f)),
+ h AS (SELECT x.o AS o, x.s AS s, x.a AS a FROM u),
+ e AS (SELECT id, arg_max(nombre, seq) FILTER (WHERE nombre IS NOT NULL) AS nombre, arg_max(precio, seq) FILTER (WHERE precio IS NOT NULL) AS precio,
+   max(seq) AS last FROM n WHERE res = 'ok' GROUP BY id)"""
+
 _REGISTER = f"""{_USERS}, k AS (SELECT req.*, lower(trim(email)) AS correo FROM req),
  w AS (SELECT correo, MIN(seq) AS w FROM k WHERE correo NOT IN (SELECT lower(email) FROM v_users) AND trim(nombre) <> '' GROUP BY correo),
  ok AS (SELECT {_id('k.correo')} AS id, trim(nombre) AS nombre, k.correo AS email, 1 AS marca_id, 2 AS rol_id FROM k
@@ -91,6 +127,21 @@ SELECT u.id, u.nombre, u.email, u.marca_id, u.suscripcion_estado, COALESCE(f.slu
  CASE WHEN f.owner IS NOT NULL AND u.id % 4 = 0 THEN '{{"theme":"dark"}}' ELSE u.personalizacion END AS personalizacion
 FROM v_users u LEFT JOIN f ON f.owner = u.id AND f.res = 'ok'""",
 
+    "store_settings_repeats": f"""WITH RECURSIVE {_SLUGS}
+SELECT owner AS id, seq, res AS resultado, slug AS store_slug FROM n""",
+
+    "store_settings_repeats_table": f"""WITH RECURSIVE {_SLUGS},
+ e AS (SELECT owner, arg_max(slug, seq) AS slug, arg_max(pers, seq) FILTER (WHERE pers IS NOT NULL) AS pers FROM n WHERE res = 'ok' GROUP BY owner)
+SELECT u.id, u.nombre, u.email, u.marca_id, u.suscripcion_estado, COALESCE(e.slug, u.store_slug) AS store_slug,
+ COALESCE(e.pers, u.personalizacion) AS personalizacion FROM v_users u LEFT JOIN e ON e.owner = u.id""",
+
+    "catalog_repeats_outcome": f"WITH RECURSIVE {_CHAIN} SELECT seq, id, sku, res AS resultado FROM n",
+
+    "catalog_repeats_table": f"""WITH RECURSIVE {_CHAIN}
+SELECT {_product(sku='h.s', nombre='COALESCE(e.nombre, p.nombre)', precio_sugerido='COALESCE(e.precio, p.precio_sugerido)',
+                 categoria_id='CASE WHEN e.id IS NULL THEN p.categoria_id ELSE l.categoria_id END', skus_anteriores='h.a')}
+FROM v_products p JOIN h ON h.o = p.id LEFT JOIN e ON e.id = p.id LEFT JOIN r l ON l.seq = e.last""",
+
     "catalog_create_table": f"""WITH {_CREATE}
 SELECT {_product()} FROM v_products p
 UNION ALL SELECT {_product(id=_id('p.sku'), nombre='part.p_name', descripcion='NULL', precio_sugerido='CAST(part.p_retailprice AS DECIMAL(18,2))',

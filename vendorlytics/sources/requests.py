@@ -112,6 +112,29 @@ def sku_move_requests(t: Tables) -> DataFrame:
         F.when(k % 11 == 0, F.lit(99)).when(k % 3 == 0, F.lit(2)).cast("int").alias("categoria_id"), F.lit(None).cast("int").alias("marca_id"))
 
 
+def slug_requests(t: Tables) -> DataFrame:
+    """W11, several requests a user: every customer row asks for one of 60
+    names for user (key % 45), one in 13 without a phone."""
+    k = F.col("c_custkey")
+    return t.read("customer").select(
+        (k % 45).alias("id"), k.alias("seq"), F.concat(F.lit("Tienda "), ((k * 7) % 60).cast("string")).alias("store_slug"),
+        F.when(k % 13 != 0, F.concat(F.lit("+52 "), k.cast("string"))).alias("telefono"),
+        F.when(k % 4 == 0, F.concat(F.lit('{"n":'), k.cast("string"), F.lit("}"))).alias("personalizacion"))
+
+
+def sku_chain_requests(t: Tables) -> DataFrame:
+    """W13, several requests a product: every customer row patches product
+    key % 300, with one of 400 SKUs (most of them held by a product), or none,
+    or an unknown category."""
+    k = F.col("c_custkey")
+    return t.read("customer").select(
+        (k % 300).alias("id"), k.alias("seq"),
+        F.when(k % 9 != 0, F.concat(F.lit("SKU-"), ((k * 11) % 400).cast("string"))).alias("sku"),
+        F.when(k % 6 == 1, F.concat(F.lit("Pieza "), k.cast("string"))).alias("nombre"), F.lit(None).cast("string").alias("descripcion"),
+        F.when(k % 10 == 3, k.cast(MONEY)).alias("precio_sugerido"), F.lit(None).cast("string").alias("ruta_imagen"),
+        F.when(k % 17 == 0, F.lit(99)).when(k % 4 == 0, F.lit(2)).cast("int").alias("categoria_id"), F.lit(None).cast("int").alias("marca_id"))
+
+
 def arrival(req: DataFrame) -> list[str]:
     """The columns that order a job's requests: ``seq``, or the fixture's."""
     return ["seq"] if "seq" in req.columns else SEQ
