@@ -168,6 +168,16 @@ def test_urls_share_decisions(spark):
     assert (out[7]["host"], out[8]["path"], verdicts[7]) == ("", "", "allow")
 
 
+def test_tags_of_any_length_and_number_make_edges(spark):
+    far = "x" * 5000
+    rows = [page(1, "http://z.net/1"), page(2, "http://a.com/de/2", f'<link data-x="{far}" rel = "canonical" {" " * 40} href = "http://z.net/1">'),
+            page(3, "http://z.net/3"), page(4, "http://a.com/de/4", '<link rel=canonical href="http://z.net/9"><LINK href=\'http://z.net/3\' REL=canonical>'),
+            page(5, "http://z.net/5"), page(6, "http://a.com/de/6", f'<meta name=a content="{far}"><meta http-equiv=refresh content="0;url=http://z.net/5">'),
+            page(7, "http://z.net/7"), page(8, "http://a.com/de/8", '<link rel=alternate href="http://z.net/7"><p rel=canonical href="http://z.net/7">')]
+    out = {r["page_id"]: r["verdict"] for r in op3_urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in (1, 3, 5, 7)] == ["block", "block", "block", "allow"]
+
+
 def lines_kept(docs):
     owner, seen = {}, {}
     big = float("inf")

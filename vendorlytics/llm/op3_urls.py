@@ -72,18 +72,22 @@ def resolved(base: Column, target: Column) -> Column:
              .otherwise(F.concat(F.when(folder.endswith("/") & (F.length(folder) > F.length(origin)), folder).otherwise(F.concat(origin, F.lit("/"))), t)))
 
 
-# attribute values end at their quote, so long pages cost linear time
-CANONICAL = r"""(?i)<link\b(?=[^>]{0,2000}\brel\s{0,9}=\s{0,9}["']?canonical\b)[^>]{0,2000}?\bhref\s{0,9}=\s{0,9}["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b(?=[^>]{0,2000}\bhttp-equiv\s{0,9}=\s{0,9}["']?refresh\b)[^>]{0,2000}?\burl\s{0,9}=\s{0,9}["']?([^"'\s>]+)"""
+# A tag of any length up to its end, then its attributes in the tag alone.
+TAGS = r"(?i)<(?:link|meta)\b[^>]*"
+CANONICAL, HREF = r"""(?i)\brel\s*=\s*["']?canonical\b""", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+REFRESH, TO = r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): plain URLs of a page and of what it redirects or points to."""
-    html = F.col("html")
+    """(a, b): plain URLs of a page and of what it redirects or points to, by
+    all its link and meta tags."""
     # only the pages with such a tag are searched for its attributes
-    canonical = F.when(html.rlike(r"(?i)canonical"), F.regexp_extract(html, CANONICAL, 1))
-    refresh = F.when(html.rlike(r"(?i)http-equiv"), F.regexp_extract(html, REFRESH, 1))
-    out = pages.select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
+    some = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    tags = some.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag"))
+    tag = F.col("tag")
+    link = F.when(tag.rlike(r"(?i)^<link") & tag.rlike(CANONICAL), F.regexp_extract(tag, HREF, 1)) \
+        .when(tag.rlike(r"(?i)^<meta") & tag.rlike(REFRESH), F.regexp_extract(tag, TO, 1))
+    out = tags.select("url", link.alias("to")).where("to <> ''")
     return out.select(plain(F.col("url")).alias("a"), plain(resolved(F.col("url"), F.col("to"))).alias("b")).where("a <> b")
 
 
