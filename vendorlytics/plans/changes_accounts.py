@@ -29,18 +29,20 @@ CARD_CODE_CLASS = {
     "processing_error": "error_temporal",
 }
 CARD_OTHER_CLASS = "tarjeta_otro"
+CARD_ERROR = "StripeCardError"
 ERROR_TYPE_CLASS = {
-    "api_connection_error": "sin_conexion",
-    "authentication_error": "configuracion",
-    "invalid_request_error": "datos_pago",
-    "rate_limit_error": "demasiadas_solicitudes",
+    "StripeConnectionError": "sin_conexion",
+    "StripeAuthenticationError": "configuracion",
+    "StripeInvalidRequestError": "datos_pago",
+    "StripeRateLimitError": "demasiadas_solicitudes",
 }
+REFUSED_CODE = "ECONNREFUSED"
 GENERIC_CLASS = "generico"
 # Fixture: failure codes and types assigned to 'error' events by event_id.
 FIXTURE_CARD_CODES = ["card_declined", "insufficient_funds", "expired_card", "incorrect_cvc", "invalid_cvc",
                       "incorrect_number", "invalid_number", "fraudulent", "processing_error", "do_not_honor"]
-FIXTURE_ERROR_TYPES = ["api_connection_error", "authentication_error", "invalid_request_error",
-                       "rate_limit_error", "api_error"]
+FIXTURE_ERROR_TYPES = ["StripeConnectionError", "StripeAuthenticationError", "StripeInvalidRequestError",
+                       "StripeRateLimitError", "StripeAPIError"]
 
 
 def _lit_map(d: dict) -> F.Column:
@@ -307,14 +309,17 @@ def payment_errors(t: Tables) -> DataFrame:
     e = t.read("events").where(F.col("event_type") == "error")
     card = F.col("event_id") % 20 < 10
     return e.select("event_id", "ts",
-                    F.when(card, F.lit("card_error")).otherwise(_pick(FIXTURE_ERROR_TYPES, F.col("event_id") % 5))
+                    F.when(card, F.lit(CARD_ERROR)).otherwise(_pick(FIXTURE_ERROR_TYPES, F.col("event_id") % 5))
                     .alias("tipo"),
-                    F.when(card, _pick(FIXTURE_CARD_CODES, F.col("event_id") % 10)).alias("codigo"))
+                    F.when(card, _pick(FIXTURE_CARD_CODES, F.col("event_id") % 10))
+                    .when(F.col("event_id") % 20 == 17, F.lit(REFUSED_CODE)).alias("codigo"))
 
 
 def classify_payment_error(tipo, codigo) -> F.Column:
-    """Message class of a failure: card codes first, then the error type."""
-    return (F.when(tipo == "card_error", F.coalesce(F.try_element_at(_lit_map(CARD_CODE_CLASS), codigo),
+    """Message class of a failure: no connection (by type or code) first, then
+    card codes, then the other types."""
+    return (F.when(F.coalesce(codigo == REFUSED_CODE, F.lit(False)), F.lit(ERROR_TYPE_CLASS["StripeConnectionError"]))
+            .when(tipo == CARD_ERROR, F.coalesce(F.try_element_at(_lit_map(CARD_CODE_CLASS), codigo),
                                                     F.lit(CARD_OTHER_CLASS)))
             .otherwise(F.coalesce(F.try_element_at(_lit_map(ERROR_TYPE_CLASS), tipo), F.lit(GENERIC_CLASS))))
 

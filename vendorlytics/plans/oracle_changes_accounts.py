@@ -110,17 +110,18 @@ SELECT event_id, user_id, estado, CASE WHEN estado = 200 THEN 'uploads/' || CAST
 SELECT user_id, COUNT(*) AS subidas, CAST(SUM(size) AS BIGINT) AS bytes FROM st WHERE estado = 200 GROUP BY user_id""",
 
     "payment_error_summary": """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS dia,
-   CASE WHEN event_id % 20 < 10 THEN 'card_error' ELSE (['api_connection_error', 'authentication_error',
-     'invalid_request_error', 'rate_limit_error', 'api_error'])[event_id % 5 + 1] END AS tipo,
+   CASE WHEN event_id % 20 < 10 THEN 'StripeCardError' ELSE (['StripeConnectionError', 'StripeAuthenticationError',
+     'StripeInvalidRequestError', 'StripeRateLimitError', 'StripeAPIError'])[event_id % 5 + 1] END AS tipo,
    CASE WHEN event_id % 20 < 10 THEN (['card_declined', 'insufficient_funds', 'expired_card', 'incorrect_cvc',
      'invalid_cvc', 'incorrect_number', 'invalid_number', 'fraudulent', 'processing_error',
-     'do_not_honor'])[event_id % 10 + 1] END AS codigo FROM events WHERE event_type = 'error')
-SELECT dia, CASE WHEN tipo = 'card_error' THEN CASE codigo WHEN 'card_declined' THEN 'banco_rechazo'
+     'do_not_honor'])[event_id % 10 + 1] WHEN event_id % 20 = 17 THEN 'ECONNREFUSED' END AS codigo FROM events WHERE event_type = 'error')
+SELECT dia, CASE WHEN tipo = 'StripeConnectionError' OR codigo = 'ECONNREFUSED' THEN 'sin_conexion'
+  WHEN tipo = 'StripeCardError' THEN CASE codigo WHEN 'card_declined' THEN 'banco_rechazo'
    WHEN 'insufficient_funds' THEN 'fondos_insuficientes' WHEN 'expired_card' THEN 'tarjeta_vencida'
    WHEN 'incorrect_cvc' THEN 'cvc_incorrecto' WHEN 'invalid_cvc' THEN 'cvc_incorrecto'
    WHEN 'incorrect_number' THEN 'numero_invalido' WHEN 'invalid_number' THEN 'numero_invalido'
    WHEN 'fraudulent' THEN 'fraude' WHEN 'processing_error' THEN 'error_temporal' ELSE 'tarjeta_otro' END
-  ELSE CASE tipo WHEN 'api_connection_error' THEN 'sin_conexion' WHEN 'authentication_error' THEN 'configuracion'
-   WHEN 'invalid_request_error' THEN 'datos_pago' WHEN 'rate_limit_error' THEN 'demasiadas_solicitudes'
+  ELSE CASE tipo WHEN 'StripeAuthenticationError' THEN 'configuracion'
+   WHEN 'StripeInvalidRequestError' THEN 'datos_pago' WHEN 'StripeRateLimitError' THEN 'demasiadas_solicitudes'
    ELSE 'generico' END END AS clase, COUNT(*) AS fallos FROM e GROUP BY 1, 2""",
 }
