@@ -59,3 +59,14 @@ def test_vendor_filter_reaches_the_scan(spark):
     t = FixtureTables(spark, SMALL)
     plan = plan_of(kpis.sales_summary(t, vendor_id=5))
     assert "PushedFilters: [IsNotNull(l_suppkey), EqualTo(l_suppkey,5)" in plan or "EqualTo(l_suppkey,5)" in plan
+
+
+def test_constraints_read_every_table_once(spark):
+    """Four application tables come from lineitem (one of them with a second
+    use of part for its price), and nothing is joined but the report's names."""
+    df = QUERIES["constraint_violations"](spark, SMALL)
+    plan = plan_of(df)
+    per_table = {x: plan.count(f"{x}.parquet") for x in ("lineitem", "orders", "customer", "supplier")}
+    assert per_table["lineitem"] == 4 and per_table["orders"] == per_table["customer"] == 1
+    kinds = {r["tipo"] for r in df.where("violaciones > 0").collect()}
+    assert kinds == {"unique", "foreign_key", "not_null"}

@@ -47,6 +47,9 @@ SELECT v.id, COALESCE(moved.keeper, v.id) AS inventario_id FROM v_sales v LEFT J
         _violations("ventas_clienta_fk", "foreign_key",
                     "SELECT COUNT(*) FROM v_sales v WHERE v.clienta_id IS NOT NULL AND NOT EXISTS "
                     "(SELECT 1 FROM v_clients c WHERE c.id = v.clienta_id)"),
+        _violations("abonos_venta_fk", "foreign_key",
+                    "SELECT COUNT(*) FROM v_instalments a WHERE a.venta_id IS NOT NULL AND a.venta_id NOT IN (SELECT id FROM v_sales)"),
+        _violations("abonos_monto_not_null", "not_null", "SELECT COUNT(*) FROM v_instalments WHERE monto IS NULL"),
         _violations("catalogo_categoria_fk", "foreign_key",
                     "SELECT COUNT(*) FROM v_products p WHERE p.categoria_id IS NOT NULL AND NOT EXISTS "
                     "(SELECT 1 FROM v_categories c WHERE c.id = p.categoria_id)"),

@@ -72,45 +72,75 @@ def dedup_inventory(t: Tables) -> DataFrame:
 
 
 # -- M5 -------------------------------------------------------------------
-def _row(name: str, kind: str, n) -> DataFrame:
-    return n.select(F.lit(name).alias("restriccion"), F.lit(kind).alias("tipo"),
-                    F.col("n").cast("bigint").alias("violaciones"))
+UNIQUE, CHILD, PARENT, NULL = "unica", "hija", "madre", "nula"
 
 
-def _unique(df: DataFrame, name: str, *cols) -> DataFrame:
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    return _row(name, "unique", g.agg(F.count(F.lit(1)).alias("n")))
+def _keys(df: DataFrame, *checks) -> DataFrame:
+    """One pass over ``df``: an entry for each check (constraint, kind, side,
+    key); rows whose key is NULL have none."""
+    entries = F.array(*[F.struct(F.lit(name).alias("restriccion"), F.lit(kind).alias("tipo"), F.lit(side).alias("lado"),
+                                 key.cast("string").alias("clave")) for name, kind, side, key in checks])
+    return df.select(F.explode(entries).alias("e")).select("e.*").where("clave IS NOT NULL")
 
 
-def _fk(df: DataFrame, col: str, parent: DataFrame, pcol: str, name: str) -> DataFrame:
-    child = df.where(F.col(col).isNotNull()).select(F.col(col).alias("k"))
-    miss = child.join(parent.select(F.col(pcol).alias("k")), "k", "left_anti")
-    return _row(name, "foreign_key", miss.agg(F.count(F.lit(1)).alias("n")))
+def _unique(name: str, *cols):
+    key = F.col(cols[0]) if len(cols) == 1 else F.concat(*[x for c in cols for x in (F.col(c).cast("string"), F.lit("|"))])
+    return name, "unique", UNIQUE, key
 
 
-def _not_null(df: DataFrame, col: str, name: str) -> DataFrame:
-    return _row(name, "not_null", df.agg(F.count_if(F.col(col).isNull()).alias("n")))
+def _child(name: str, col: str):
+    return name, "foreign_key", CHILD, F.col(col)
+
+
+def _parent(name: str, col: str = "id"):
+    return name, "foreign_key", PARENT, F.col(col)
+
+
+def _not_null(name: str, col: str):
+    return name, "not_null", NULL, F.when(F.col(col).isNull(), F.lit(""))
 
 
 def constraint_violations(t: Tables) -> DataFrame:
-    """M5: one row per constraint with the number of violations."""
-    raw, users, prod, sales = t.inventory_raw(), t.users(), t.products(), t.sales()
+    """M5: one row per constraint with the number of violations.
+
+    Every table is read once and gives its keys for all constraints that it
+    takes part in; one aggregation by (constraint, key), combined before the
+    shuffle, then says which keys are there twice, which children have no
+    parent, and how many values are missing. As in the reference's database,
+    NULLs are no duplicates and refer to nothing."""
     parts = [
-        _unique(raw, "inventario_vendedor_vendedor_producto_unico", *KEY),
-        _unique(prod, "catalogo_maestro_sku_unico", "sku"),
-        _unique(users.select(F.lower("email").alias("e")), "usuarios_email_unico", "e"),
-        _unique(users, "usuarios_store_slug_unico", "store_slug"),
-        _fk(sales, "inventario_id", t.inventory(), "id", "ventas_inventario_fk"),
-        _fk(sales, "clienta_id", t.clients(), "id", "ventas_clienta_fk"),
-        _fk(prod, "categoria_id", t.categories(), "id", "catalogo_categoria_fk"),
-        _fk(raw, "producto_maestro_id", prod, "id", "inventario_producto_fk"),
-        _not_null(t.clients(), "nombre", "clientas_nombre_not_null"),
-        _not_null(raw, "stock", "inventario_stock_not_null"),
+        _keys(t.inventory_raw(), _unique("inventario_vendedor_vendedor_producto_unico", *KEY),
+              _child("inventario_producto_fk", "producto_maestro_id"), _not_null("inventario_stock_not_null", "stock")),
+        _keys(t.products(), _unique("catalogo_maestro_sku_unico", "sku"), _child("catalogo_categoria_fk", "categoria_id"),
+              _parent("inventario_producto_fk")),
+        _keys(t.users().withColumn("correo", F.lower("email")), _unique("usuarios_email_unico", "correo"),
+              _unique("usuarios_store_slug_unico", "store_slug")),
+        _keys(t.sales(), _child("ventas_inventario_fk", "inventario_id"), _child("ventas_clienta_fk", "clienta_id"), _parent("abonos_venta_fk")),
+        _keys(t.inventory(), _parent("ventas_inventario_fk")),
+        _keys(t.clients(), _parent("ventas_clienta_fk"), _not_null("clientas_nombre_not_null", "nombre")),
+        _keys(t.categories(), _parent("catalogo_categoria_fk")),
+        _keys(t.instalments(), _child("abonos_venta_fk", "venta_id"), _not_null("abonos_monto_not_null", "monto")),
     ]
-    out = parts[0]
+    keys = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        keys = keys.unionByName(p)
+
+    def count(side: str) -> F.Column:
+        return F.count_if(F.col("lado") == side)
+
+    by_key = keys.groupBy("restriccion", "clave").agg(count(UNIQUE).alias("u"), count(CHILD).alias("c"), count(PARENT).alias("p"), count(NULL).alias("n"))
+    found = by_key.groupBy("restriccion").agg(F.sum(
+        F.when(F.col("u") > 1, 1).when((F.col("c") > 0) & (F.col("p") == 0), F.col("c")).otherwise(F.col("n"))).alias("violaciones"))
+    names = t.spark.createDataFrame(CONSTRAINTS, "restriccion string, tipo string")
+    return names.join(found, "restriccion", "left").select("restriccion", "tipo", F.coalesce("violaciones", F.lit(0)).cast("bigint").alias("violaciones"))
+
+
+# Every constraint has its row, also one without keys.
+CONSTRAINTS = [
+    ("inventario_vendedor_vendedor_producto_unico", "unique"), ("catalogo_maestro_sku_unico", "unique"), ("usuarios_email_unico", "unique"),
+    ("usuarios_store_slug_unico", "unique"), ("ventas_inventario_fk", "foreign_key"), ("ventas_clienta_fk", "foreign_key"),
+    ("abonos_venta_fk", "foreign_key"), ("catalogo_categoria_fk", "foreign_key"), ("inventario_producto_fk", "foreign_key"),
+    ("clientas_nombre_not_null", "not_null"), ("inventario_stock_not_null", "not_null"), ("abonos_monto_not_null", "not_null")]
 
 
 # -- M6 -------------------------------------------------------------------

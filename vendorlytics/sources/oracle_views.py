@@ -51,6 +51,10 @@ SELECT (l_orderkey * 100000 + l_suppkey) * 1000000 + l_partkey AS id, l_suppkey
  CASE WHEN o_orderstatus = 'O' AND l_linenumber % 5 <> 0 THEN 'EN_ABONOS' ELSE 'PAGADO' END AS estado_pago,
  CAST(CASE WHEN o_orderstatus = 'O' AND l_linenumber % 5 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END AS DECIMAL(18,2)) AS saldo_restante
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "v_instalments": """
+SELECT ((l_orderkey * 100000 + l_suppkey) * 1000000 + l_partkey) * 10 + l_linenumber AS id,
+ CASE WHEN l_orderkey % 200 = 0 THEN -1 ELSE 1 END * ((l_orderkey * 100000 + l_suppkey) * 1000000 + l_partkey) AS venta_id,
+ CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS monto, l_shipdate AS fecha FROM lineitem WHERE l_linenumber % 3 = 0""",
     "v_clients": """
 SELECT c_custkey AS id, c_custkey % (SELECT count(*) FROM supplier) AS vendedor_id, c_name AS nombre,
  CAST(c_acctbal AS DECIMAL(18,2)) AS saldo_pendiente, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE DATE '2001-06-01' + CAST(c_custkey % 120 AS INT) END AS fecha_proximo_pago FROM customer""",

@@ -199,6 +199,16 @@ class FixtureTables(Tables):
                         F.when(credit, price - (price * F.col("l_discount").cast("decimal(4,2)")).cast(MONEY))
                          .otherwise(F.lit(0).cast(MONEY)).cast(MONEY).alias("saldo_restante")))
 
+    def instalments(self) -> DataFrame:
+        """Every third line has an instalment; one order in 200 names a sale
+        that doesn't exist, one line in 50 has no amount."""
+        o = F.col("l_orderkey")
+        sale = (o * 100000 + F.col("l_suppkey")) * 1000000 + F.col("l_partkey")
+        return (self.read("lineitem").where(F.col("l_linenumber") % 3 == 0)
+                .select((sale * 10 + F.col("l_linenumber")).alias("id"), F.when(o % 200 == 0, -sale).otherwise(sale).alias("venta_id"),
+                        F.when(F.col("l_partkey") % 50 != 0, F.col("l_extendedprice").cast(MONEY)).alias("monto"),
+                        F.col("l_shipdate").alias("fecha")))
+
     def clients(self) -> DataFrame:
         n_vendors = self.read("supplier").select(F.count(F.lit(1))).scalar()
         k = F.col("c_custkey")
