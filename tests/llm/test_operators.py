@@ -402,3 +402,25 @@ def test_bpe_equals_the_library(spark, awkward):
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["decoded"] == lib.decode(ids, skip_special_tokens=False)
     with pytest.raises(ValueError):
         op10_bpe.encode_decode(awkward.withColumn("ids", F.lit(1)))
+
+
+def test_stretches_that_may_repeat_against_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        bounds = np.concatenate(([0], np.cumsum(r.integers(0, 150, 4))))
+        again = r.random(bounds[-1]) < r.choice([0.5, 0.75, 0.85, 0.95])
+        want = np.zeros(len(again), bool)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            for a in range(lo, hi):
+                for b in range(a + op8_passages.SPAN, hi + 1):
+                    if again[a:b].sum() * 100 >= op8_passages.PERCENT * (b - a):
+                        want[a:b] = True
+        assert (op8_passages.likely(again, bounds) == want).all()
+
+
+def test_set_order_with_hashes_that_share_their_first_bits():
+    r = np.random.default_rng(5)
+    group = np.sort(r.integers(0, 9, 400))
+    for h in (r.integers(0, 2 ** 63, 400).astype(np.uint64), r.integers(0, 30, 400).astype(np.uint64)):
+        order = op5_jaccard._set_order(h, group)
+        assert list(zip(group[order], h[order])) == sorted(zip(group, h))

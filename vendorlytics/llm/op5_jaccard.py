@@ -59,6 +59,20 @@ def cell_of(h, buckets: int):
     return (h % np.uint64(buckets)) << np.uint64(32) | h >> np.uint64(32)
 
 
+def _set_order(h, group):
+    """The order by (group, h): by one 64-bit word that holds the group and the
+    first bits of h, unless two unlike hashes of a group agree in these."""
+    bits = int(group[-1]).bit_length() if len(group) else 0
+    if bits > 32:
+        return np.lexsort((h, group))
+    word = h >> np.uint64(bits) if not bits else (group.astype(np.uint64) << np.uint64(64 - bits)) | h >> np.uint64(bits)
+    order = np.argsort(word)
+    w, own = word[order], h[order]
+    if np.any((w[1:] == w[:-1]) & (own[1:] != own[:-1])):
+        return np.lexsort((h, group))
+    return order
+
+
 def set_arrays(texts, cells=None, buckets: int = 1):
     """Distinct shingles of every text, in order (heavy, hash): (shingles,
     text of each, sizes, set hashes). Texts without words have size 0."""
@@ -70,7 +84,7 @@ def set_arrays(texts, cells=None, buckets: int = 1):
         late = (cells[at] == own).astype(np.int64)
     else:
         late = np.zeros(len(h), np.int64)
-    order = np.lexsort((h, doc * 2 + late))
+    order = _set_order(h, doc * 2 + late)
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -84,19 +98,6 @@ def set_arrays(texts, cells=None, buckets: int = 1):
     return h, doc, size, key
 
 
-def document_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, row, n, k): set size and set hash of every row."""
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for part in sub_batches(batch, "text"):
-                _, _, size, key = set_arrays(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("row"), pa.array(size), pa.array(key.view(np.int64))], names=["doc", "row", "n", "k"])
-
-    return _keyed(docs, text).mapInArrow(run, "doc long, row long, n long, k long")
-
-
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
@@ -119,21 +120,32 @@ def _emit(bucket, buckets: int, *columns):
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), *blobs], names=["bucket", *[f"c{i}" for i in range(len(columns))]])
 
 
-def shingle_counts(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """(cell, n): occurrences of frequent shingles over all documents, by
-    cell; a row with cell -1 for each bucket has the sums of counts (n) and of
-    squared counts (sq) of the others."""
+def sets_and_counts(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+    """Two tables from one pass over the texts. With a cell: (cell, n),
+    occurrences of frequent shingles over all documents; a row with cell -1
+    for each bucket has the sums of counts (n) and of squared counts (sq) of
+    the others. Without: (doc, row, n, k), set size and set hash of every row."""
     def count(batches):
+        import pyarrow as pa
+
         held, size, most = [], 0, 8 << 20
 
         def flush():
             cells, n = np.unique(np.concatenate(held), return_counts=True)
             bucket, cells = (cells >> np.uint64(32)).astype(np.int64), (cells & np.uint64(0xFFFFFFFF)).astype("<u4")
-            return _emit(bucket, buckets, (n == 1, cells), (n > 1, cells), (n > 1, np.minimum(n, 2 ** 31).astype("<u4")))
+            return packed(_emit(bucket, buckets, (n == 1, cells), (n > 1, cells), (n > 1, np.minimum(n, 2 ** 31).astype("<u4"))).columns)
+
+        def packed(columns):
+            return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(1, pa.binary()).take(pa.array([0] * len(columns[0])))] * (5 - len(columns))],
+                                              names=["bucket", "c0", "c1", "c2", "c3"])
 
         for batch in batches:
             for part in sub_batches(batch, "text"):
-                held.append(cell_of(set_arrays(part.column("text"))[0], buckets))
+                h, _, n, key = set_arrays(part.column("text"))
+                own = [np.asarray(part.column(c).to_numpy(), "<i8") for c in ("doc", "row")] + [n.astype("<i8"), key]
+                # lots of sets travel beside the buckets of counts
+                yield packed([pa.array([-1 - int(own[1][0]) % buckets], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in own]])
+                held.append(cell_of(h, buckets))
                 size += len(held[-1])
                 if size > most:
                     yield flush()
@@ -144,6 +156,9 @@ def shingle_counts(docs: DataFrame, buckets: int, text: str = "text") -> DataFra
     def add(key, pdf):
         import pandas as pd
 
+        if key[0] < 0:
+            doc, row, n, k = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("c0", "c1", "c2", "c3"))
+            return pd.DataFrame({"cell": None, "n": n, "sq": None, "doc": doc, "row": row, "k": k})
         single, multiple, times = (np.concatenate([np.frombuffer(x, "<u4") for x in pdf[c]]) for c in ("c0", "c1", "c2"))
         cells = np.concatenate((single, multiple))
         n = np.concatenate((np.ones(len(single), np.int64), times.astype(np.int64)))
@@ -153,10 +168,10 @@ def shingle_counts(docs: DataFrame, buckets: int, text: str = "text") -> DataFra
         cells, n = cells[first].astype(np.int64) | key[0] << 32, np.add.reduceat(n, first)
         often, rest = n >= HEAVY_FROM, n[n < HEAVY_FROM]
         return pd.DataFrame({"cell": np.append(cells[often], -1), "n": np.append(n[often], rest.sum()),
-                             "sq": np.append(n[often] ** 2, (rest ** 2).sum())})
+                             "sq": np.append(n[often] ** 2, (rest ** 2).sum()), "doc": None, "row": None, "k": None})
 
-    packed = _keyed(docs, text).mapInArrow(count, "bucket long, c0 binary, c1 binary, c2 binary")
-    return packed.groupBy("bucket").applyInPandas(add, "cell long, n long, sq long")
+    found = _keyed(docs, text).mapInArrow(count, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
+    return found.groupBy("bucket").applyInPandas(add, "cell long, n long, sq long, doc long, row long, k long")
 
 
 def needed(n):
@@ -289,10 +304,12 @@ def pair(u: str, v: str):
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def set_components(docs: DataFrame, sets: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """(id, root): set hashes that link with another, and their component."""
-    spark, buckets = docs.sparkSession, bucket_count(docs)
-    counts = scratch.write(shingle_counts(docs, buckets, text), "counts")
+def set_components(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc, row, n, k), every row's set; (id, root), set hashes that link
+    with another, and their component."""
+    buckets = bucket_count(docs)
+    counts = scratch.write(sets_and_counts(docs, buckets, text), "counts")
+    sets = scratch.write(counts.where("cell is null").select("doc", "row", "n", "k"), "sets")
     usual = counts.where("cell = -1").agg(F.sum("n").alias("n"), F.sum("sq").alias("sq")).first()
     top = counts.where("cell >= 0").orderBy(F.desc("n"), "cell").limit(HEAVY_SHINGLES).select("cell")
     cells = np.sort(np.array(top.toArrow().column("cell").to_numpy(), np.uint64))
@@ -323,8 +340,8 @@ def set_components(docs: DataFrame, sets: DataFrame, scratch: Scratch, text: str
     rest = close_pairs(apart, bits, buckets).distinct()
     more = scratch.write(linked(rest.join(tried.unionByName(again), ["u", "v"], "left_anti"), texts), "links")
     if more.isEmpty():
-        return roots
-    return components(links.unionByName(more), scratch)
+        return sets, roots
+    return sets, components(links.unionByName(more), scratch)
 
 
 def split_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -408,8 +425,7 @@ def groups(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows with size and set hash; sets with their component's first
     document and that document's row)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sets = scratch.write(document_sets(docs, text), "sets")
-    roots = set_components(docs, sets, scratch, text)
+    sets, roots = set_components(docs, scratch, text)
     # by set, then by component: one row each before the rows are met again
     by_set = sets.where("n > 0").groupBy("k").agg(F.min(F.struct("doc", "row")).alias("first"))
     by_set = by_set.join(roots.withColumnRenamed("id", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
