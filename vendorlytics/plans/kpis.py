@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 from vendorlytics.functions.formats import day_label, money, month_label, to_char_minute
 from vendorlytics.operators.topk import top_k
+from vendorlytics.session import materialize
 from vendorlytics.sources.tables import AS_OF, Tables
 
 
+ROLLUP_MONEY = "decimal(38,2)"
+
+
 def _vendor_filter(df: DataFrame, vendor_id, col: str = "vendedor_id") -> DataFrame:
     return df if vendor_id is None else df.where(F.col(col) == F.lit(vendor_id))
 
@@ -46,19 +50,26 @@ def daily_rollup(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataFrame
                  F.count("id").alias("n")))
 
 
-def sales_rollups(t: Tables, vendor_id=None) -> tuple[DataFrame, DataFrame]:
-    """(vendor, day) and (vendor, item) aggregates from ONE pass over the
-    sales fact: a grouping-sets aggregate (Expand + partial aggregation
-    before a single shuffle); the two results share that exchange."""
-    s = _vendor_filter(t.sales(), vendor_id).select(
-        "vendedor_id", F.to_date("fecha").alias("dia"), "inventario_id", "cantidad", "precio_total", "id")
-    g = (s.groupingSets([["vendedor_id", "dia"], ["vendedor_id", "inventario_id"]],
-                        "vendedor_id", "dia", "inventario_id")
-         .agg(F.sum("precio_total").alias("revenue"), F.sum("cantidad").alias("units"),
-              F.count("id").alias("n"), F.grouping_id().alias("gid")))
-    daily = g.where(F.col("gid") == 1).select("vendedor_id", "dia", "revenue", "units", "n")
-    per_item = g.where(F.col("gid") == 2).select("vendedor_id", "inventario_id", F.col("units").alias("u"))
-    return daily, per_item
+ROLLUP_KEYS = ["vendedor_id", "dia", "inventario_id", "gid"]
+
+
+def sales_rollup(sales: DataFrame) -> DataFrame:
+    """The dashboard's rollup of sales: a row for each (vendor, day), gid 1,
+    and each (vendor, item), gid 2, with exact sums, from one pass (Expand and
+    partial aggregation before a single shuffle). Rollups of disjoint batches
+    of sales add up, see ``merge_rollups``."""
+    s = sales.select("vendedor_id", F.to_date("fecha").alias("dia"), "inventario_id", "cantidad", "precio_total", "id")
+    return (s.groupingSets([["vendedor_id", "dia"], ["vendedor_id", "inventario_id"]],
+                           "vendedor_id", "dia", "inventario_id")
+            .agg(F.sum("precio_total").cast(ROLLUP_MONEY).alias("revenue"), F.sum("cantidad").alias("units"),
+                 F.count("id").alias("n"), F.grouping_id().cast("int").alias("gid")))
+
+
+def merge_rollups(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """A stored rollup with that of a batch of new sales: the rollup of both,
+    without reading the old sales again."""
+    return stored.unionByName(batch).groupBy(*ROLLUP_KEYS).agg(
+        F.sum("revenue").cast(ROLLUP_MONEY).alias("revenue"), F.sum("units").alias("units"), F.sum("n").alias("n"))
 
 
 def sales_summary(t: Tables, as_of: dt.date = AS_OF, vendor_id=None, rollup: DataFrame | None = None) -> DataFrame:
@@ -186,36 +197,42 @@ def receivables_due_count(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) ->
     return out.select("vendedor_id", F.col("count").cast("int").alias("count"))
 
 
-def vendor_dashboard(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataFrame:
+def vendor_dashboard(t: Tables, as_of: dt.date = AS_OF, vendor_id=None, rollup: DataFrame | None = None) -> DataFrame:
     """One dashboard document per vendor.
 
-    The parts (summary, alerts, inventory value, top products, last sales,
-    daily/monthly/yearly charts, due-client count) are unioned into one
-    frame and assembled by a single ``groupBy(vendor)``: one shuffle instead
-    of a join per part. Lists are bounded by construction (top 3, last 5,
-    8 days, 12 months, one entry per year); the due-client list (K10) is not
-    bounded per vendor, so the document carries its count and K10 stays a
-    table.
+    The sales fact is read twice: for the rollup, which is written once and
+    serves the summary, the charts and the top products, and for the last
+    sales. A stored ``rollup`` (``sales_rollup``, kept up by ``merge_rollups``)
+    saves the first of these. The parts are unioned into one frame and
+    assembled by a single ``groupBy(vendor)``: one shuffle instead of a join
+    per part. Lists are bounded by construction (top 3, last 5, 8 days, 12
+    months, one entry per year); the due clients aren't bounded per vendor, so
+    the document carries their count and their rows are a table beside it
+    (``receivables_due``).
     """
-    rollup, per_item = sales_rollups(t, vendor_id)
-    summary = sales_summary(t, as_of, vendor_id, rollup)
+    if rollup is None:
+        rollup = materialize(sales_rollup(_vendor_filter(t.sales(), vendor_id)), "dashboard-rollup")
+    rollup = _vendor_filter(rollup, vendor_id)
+    daily = rollup.where("gid = 1").select("vendedor_id", "dia", "revenue", "units", "n")
+    per_item = rollup.where("gid = 2").select("vendedor_id", "inventario_id", F.col("units").alias("u"))
+    summary = sales_summary(t, as_of, vendor_id, daily)
     inv = with_all_vendors(t, _inventory_counts(t, vendor_id),
                            {"productos_criticos": 0, "total_productos": 0, "valor_total": 0}, vendor_id)
     parts = {
         "resumen": summary.select("vendedor_id", F.struct(*[c for c in summary.columns if c != "vendedor_id"])),
-        "alertas": inv.select("vendedor_id", F.struct(
-            F.col("productos_criticos").cast("int").alias("productos_criticos"))),
-        "inventario": inv.select("vendedor_id", F.struct(
-            F.col("total_productos").cast("int").alias("total_productos"), money("valor_total").alias("valor_total"))),
+        "existencias": inv.select("vendedor_id", F.struct(
+            F.struct(F.col("productos_criticos").cast("int").alias("productos_criticos")).alias("alertas"),
+            F.struct(F.col("total_productos").cast("int").alias("total_productos"),
+                     money("valor_total").alias("valor_total")).alias("inventario"))),
         "top_productos": top_products(t, vendor_id, per_item=per_item).select(
             "vendedor_id", F.struct("ord", "nombre", "total_vendido")),
         "ultimas_ventas": recent_sales(t, vendor_id).select(
             "vendedor_id", F.struct("ord", "id", "cantidad", "total", "fecha", "producto_nombre", "imagen")),
-        "grafica_reciente": daily_revenue_7d(t, as_of, vendor_id, rollup).select(
+        "grafica_reciente": daily_revenue_7d(t, as_of, vendor_id, daily).select(
             "vendedor_id", F.struct("dia", "etiqueta", "total")),
-        "grafica_mensual": monthly_revenue_ytd(t, as_of, vendor_id, rollup).select(
+        "grafica_mensual": monthly_revenue_ytd(t, as_of, vendor_id, daily).select(
             "vendedor_id", F.struct("mes_inicio", "mes", "total")),
-        "grafica_anual": yearly_revenue(t, as_of, vendor_id, rollup).select(
+        "grafica_anual": yearly_revenue(t, as_of, vendor_id, daily).select(
             "vendedor_id", F.struct("anio", "total")),
         "cobros_hoy": receivables_due_count(t, as_of, vendor_id).select("vendedor_id", F.col("count")),
     }
@@ -228,7 +245,8 @@ def vendor_dashboard(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataF
     lists = {"top_productos", "ultimas_ventas", "grafica_reciente", "grafica_mensual", "grafica_anual"}
     aggs = [F.sort_array(F.collect_list(n)).alias(n) if n in lists else F.first(n, ignorenulls=True).alias(n)
             for n in parts]
-    return aligned.groupBy("vendedor_id").agg(*aggs)
+    return aligned.groupBy("vendedor_id").agg(*aggs).select(
+        "vendedor_id", "resumen", "existencias.alertas", "existencias.inventario", *list(parts)[2:])
 
 
 def vendor_dashboard_flat(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) -> DataFrame:
@@ -238,8 +256,8 @@ def vendor_dashboard_flat(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) ->
     def joined(arr, expr):
         return F.array_join(F.transform(arr, expr), "|")
 
-    def total(arr):
-        return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x["total"])
+    def points(arr, label):
+        return joined(arr, lambda x: F.concat_ws(":", label(x), x["total"].cast("decimal(18,2)").cast("string")))
 
     return d.select(
         "vendedor_id",
@@ -254,9 +272,10 @@ def vendor_dashboard_flat(t: Tables, as_of: dt.date = AS_OF, vendor_id=None) ->
         joined("top_productos", lambda x: F.concat_ws(":", x["nombre"], x["total_vendido"].cast("string")))
         .alias("top_productos"),
         joined("ultimas_ventas", lambda x: x["id"].cast("string")).alias("ultimas_ventas"),
-        joined("grafica_reciente", lambda x: x["etiqueta"]).alias("dias"),
+        points("grafica_reciente", lambda x: x["etiqueta"]).alias("dias"),
         F.size("grafica_reciente").alias("n_dias"),
-        joined("grafica_mensual", lambda x: F.trim(x["mes"])).alias("meses"),
+        points("grafica_mensual", lambda x: F.trim(x["mes"])).alias("meses"),
+        points("grafica_anual", lambda x: x["anio"].cast("string")).alias("anios"),
         F.size("grafica_anual").alias("n_anios"),
         "cobros_hoy")
 

@@ -70,10 +70,11 @@ ON u.id = c.vendedor_id""",
     "vendor_dashboard": f"""WITH {_K1_AGG}, {_TOP}, {_RECENT},
 inv AS (SELECT vendedor_id, COUNT(*) FILTER (WHERE stock < 5) AS pc, SUM(stock) AS tp,
         SUM(stock * precio_personalizado) AS vt FROM v_inventory GROUP BY vendedor_id),
-d7 AS (SELECT vendedor_id, CAST(fecha AS DATE) AS dia FROM v_sales
+d7 AS (SELECT vendedor_id, CAST(fecha AS DATE) AS dia, CAST(SUM(precio_total) AS DECIMAL(18,2)) AS p FROM v_sales
        WHERE fecha >= DATE '2001-08-01' - INTERVAL 7 DAY GROUP BY 1, 2),
-mo AS (SELECT vendedor_id, date_trunc('month', fecha) AS m FROM v_sales WHERE fecha >= DATE '2001-01-01' GROUP BY 1, 2),
-yr AS (SELECT vendedor_id, COUNT(DISTINCT EXTRACT(YEAR FROM fecha)) AS ny FROM v_sales GROUP BY 1),
+mo AS (SELECT vendedor_id, date_trunc('month', fecha) AS m, CAST(SUM(precio_total) AS DECIMAL(18,2)) AS p FROM v_sales WHERE fecha >= DATE '2001-01-01' GROUP BY 1, 2),
+ya AS (SELECT vendedor_id, EXTRACT(YEAR FROM fecha) AS y, CAST(SUM(precio_total) AS DECIMAL(18,2)) AS p FROM v_sales GROUP BY 1, 2),
+yr AS (SELECT vendedor_id, COUNT(*) AS ny FROM ya GROUP BY 1),
 due AS (SELECT vendedor_id, COUNT(id) AS c FROM v_clients WHERE {_DUE_WHERE} GROUP BY 1)
 SELECT u.id AS vendedor_id, {_K1_COLS},
  CAST(COALESCE(inv.pc, 0) AS INTEGER) AS productos_criticos,
@@ -83,10 +84,11 @@ SELECT u.id AS vendedor_id, {_K1_COLS},
            WHERE top.vendedor_id = u.id), '') AS top_productos,
  COALESCE((SELECT string_agg(CAST(id AS VARCHAR), '|' ORDER BY ord) FROM rec WHERE rec.vendedor_id = u.id), '')
    AS ultimas_ventas,
- COALESCE((SELECT string_agg(strftime(dia, '%d %b'), '|' ORDER BY dia) FROM d7 WHERE d7.vendedor_id = u.id), '')
+ COALESCE((SELECT string_agg(strftime(dia, '%d %b') || ':' || CAST(p AS VARCHAR), '|' ORDER BY dia) FROM d7 WHERE d7.vendedor_id = u.id), '')
    AS dias,
  CAST((SELECT COUNT(*) FROM d7 WHERE d7.vendedor_id = u.id) AS INTEGER) AS n_dias,
- COALESCE((SELECT string_agg(strftime(m, '%B'), '|' ORDER BY m) FROM mo WHERE mo.vendedor_id = u.id), '') AS meses,
+ COALESCE((SELECT string_agg(strftime(m, '%B') || ':' || CAST(p AS VARCHAR), '|' ORDER BY m) FROM mo WHERE mo.vendedor_id = u.id), '') AS meses,
+ COALESCE((SELECT string_agg(CAST(y AS VARCHAR) || ':' || CAST(p AS VARCHAR), '|' ORDER BY y) FROM ya WHERE ya.vendedor_id = u.id), '') AS anios,
  CAST(COALESCE(yr.ny, 0) AS INTEGER) AS n_anios,
  CAST(COALESCE(due.c, 0) AS INTEGER) AS cobros_hoy
 FROM v_users u LEFT JOIN s ON u.id = s.vendedor_id LEFT JOIN inv ON u.id = inv.vendedor_id
