@@ -50,15 +50,33 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, **used) -> DataFrame:
+    """Columns under names of the caller's own, beside the struct ``given`` of
+    all columns of ``df``, so that no input column can clash with a working
+    name. ``used`` maps a working name to a column name or expression."""
+    own = [(F.col(quoted(c)) if isinstance(c, str) else c).alias(name) for name, c in used.items()]
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("given"), *own)
+
+
+def given(df: DataFrame, **changed) -> list[Column]:
+    """The columns of the input ``df`` out of a packed row; ``changed`` gives
+    some of them a new value."""
+    return [changed[c].alias(c) if c in changed else F.col(f"given.{quoted(c)}").alias(c) for c in df.columns]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(c, UPPER, LOWER)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def bucket_count(df: DataFrame, per_split: float = 1.0, least: int = 128) -> int:
     """Buckets for packed exchanges: in proportion to the input's splits, so
     that a bucket stays of bounded size however large the input is."""

@@ -21,8 +21,8 @@ many tasks as its size asks for.
 Defined cases: sources that the recipe doesn't name, and null, share the
 stream ``REST``; repeated rows and ties in the hash order each get a place of
 their own; null doc_ids are hashed as such; an empty table gives an empty
-result; weights must be positive integers. Other columns pass through, and a
-clash with an output name raises ``ValueError``.
+result; weights must be positive integers. Other columns pass through under any
+name but an output's, which raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.common import table
+from vendorlytics.llm.common import given, packed, quoted, table
 
 REST = "rest"
 BLOCK = 16
@@ -100,10 +100,10 @@ def mix(docs: DataFrame, recipe: dict[str, int], rest: int, block: int = BLOCK,
     if any(not isinstance(w, int) or w <= 0 for w in weights.values()) or REST in recipe:
         raise ValueError("weights are positive integers; the name of the rest is reserved")
     spark = docs.sparkSession
-    named = F.col(source).isin(*recipe) if recipe else F.lit(False)
-    stream = F.when(named, F.col(source)).otherwise(F.lit(REST))
+    of = F.col(quoted(source))
+    stream = F.when(of.isin(*recipe), of).otherwise(F.lit(REST)) if recipe else F.lit(REST)
     bits = max(8, math.ceil(math.log2(max(1, docs.count() / BUCKET_ROWS))))
-    rows = docs.withColumn("stream", stream).withColumn("_h", hash_order(F.col("doc_id"))).withColumn("_b", F.shiftright("_h", 60 - bits))
+    rows = packed(docs, stream=stream, doc_id="doc_id", _h=hash_order(F.col("doc_id"))).withColumn("_b", F.shiftright("_h", 60 - bits))
     counts = rows.groupBy("stream", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("stream").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, recipe: dict[str, int], rest: int, block: int = BLOCK,
     short = [(_slot(n // block, s, spans, periods), block - n % block) for s, n in size.items() if n % block]
     gap = sum((F.when(F.col("slot") > t, F.lit(g)).otherwise(F.lit(0)) for t, g in short), F.lit(0).cast("long"))
     return placed.select(
-        *[F.col(c) for c in docs.columns], "stream", "block", "phase",
+        *given(docs), "stream", "block", "phase",
         (F.col("_c") + F.col("r")).alias("release"), (F.col("_c") + F.col("d")).alias("deadline"), "slot",
         (F.col("slot") * block + F.col("_rank") % block - gap).alias("position"))
 

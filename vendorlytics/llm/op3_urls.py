@@ -14,8 +14,8 @@ pages of no such component are allowed.
 Defined cases: a null url or one without ``://`` has empty host and path, fits
 no rule and is allowed; null or empty html has no edges; repeated rows are
 judged each; ties between rules of equal length go to allow; an empty table
-gives an empty result; extra columns pass through, and a clash with an output
-name raises ``ValueError``.
+gives an empty result; extra columns pass through under any name but an
+output's, which raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.common import Scratch, ascii_lower, table
+from vendorlytics.llm.common import Scratch, ascii_lower, given, packed, table
 from vendorlytics.llm.components import components
 
 # The rules of the registered query: (verdict, host, path prefix).
@@ -103,8 +103,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "urls")
     edges = scratch.write(alias_edges(pages).distinct(), "edges")
     rule, explicit = rule_for(F.col("host"), F.col("path"), rules)
-    out = (pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-                .withColumn("rule", rule).withColumn("_own", explicit).withColumn("_node", node_of("url")))
+    out = (packed(pages, host=host_of(F.col("url")), path=path_of(F.col("url")), node=node_of("url"))
+           .withColumn("rule", rule).withColumn("own", explicit))
     # decisions reach aliases through the component; rows by node come first,
     # so a URL that a third of all pages share is one row here. A node that
     # only links point to is judged by its own URL too.
@@ -114,12 +114,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     _, theirs = rule_for(F.col("host"), F.col("path"), rules)
     votes = known.select(node("plain").alias("id"), theirs.alias("said")).where("said is not null")
     said = votes.join(roots, "id").groupBy("root").agg(F.min("said").alias("said"))  # allow comes before block
-    shared = scratch.write(roots.join(said, "root").select(F.col("id").alias("_node"), "said"), "shared")
+    shared = scratch.write(roots.join(said, "root").select(F.col("id").alias("node"), "said"), "shared")
     if shared.isEmpty():
         out = out.withColumn("said", F.lit(None).cast("string"))
     else:
-        out = out.join(shared, "_node", "left")
-    return out.select(*pages.columns, "host", "path", "rule", F.coalesce("_own", "said", F.lit("allow")).alias("verdict"))
+        out = out.join(shared, "node", "left")
+    return out.select(*given(pages), "host", "path", "rule", F.coalesce("own", "said", F.lit("allow")).alias("verdict"))
 
 
 def node_of(url: str) -> Column:

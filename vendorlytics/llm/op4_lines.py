@@ -20,7 +20,8 @@ documents keep their lines in the smallest doc_id only (all of them there).
 Defined cases: a null or empty text is one empty line; null doc_ids count as
 one document after all others; rows with the same doc_id are one document;
 a document that loses all lines keeps the empty text; an empty table gives an
-empty result; other columns pass through. Keys are compared by 128-bit hash.
+empty result; other columns pass through under any name but ``n_lines`` and
+``n_dropped``, which raise ``ValueError``. Keys are compared by 128-bit hash.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.common import Scratch, ascii_lower, shuffle_partitions, table
+from vendorlytics.llm.common import Scratch, ascii_lower, bucket_count, given, packed, quoted, table
 
 LEAST = 10
 BATCHES = 4
 FANOUT = 2
+LEAST_BUCKETS = 8
 SPACES = " \t\n\x0b\x0c\r"
 NO_ID = (1 << 63) - 1
 
@@ -48,9 +50,9 @@ def key_of(line: Column) -> Column:
 class Runs:
     """The levelled runs: bucketed, sorted tables of (h1, h2, owner)."""
 
-    def __init__(self, scratch: Scratch, fanout: int = FANOUT):
+    def __init__(self, scratch: Scratch, buckets: int, fanout: int = FANOUT):
         self.scratch, self.spark, self.fanout = scratch, scratch.spark, fanout
-        self.buckets = shuffle_partitions(self.spark)
+        self.buckets = buckets
         self.levels: list[list[tuple[str, DataFrame]]] = [[]]
 
     def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
@@ -98,8 +100,8 @@ class Runs:
 
 def line_keys(docs: DataFrame, text: str, least: int) -> DataFrame:
     """One row per line that can be dropped: document, row, index, hash."""
-    lines = F.transform(lines_of(F.col(text)), key_of)
-    return (docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(lines).alias("i", "key"))
+    lines = F.transform(lines_of(F.col(quoted(text))), key_of)
+    return (docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(quoted(text))).alias("row"), F.posexplode(lines).alias("i", "key"))
                 .where(F.length("key") >= least)
                 .select("doc", "row", "i", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
 
@@ -112,7 +114,8 @@ def dropped_lines(docs: DataFrame, text: str = "text", least: int = LEAST, batch
     doc = F.coalesce("doc_id", F.lit(NO_ID))
     found = docs.select(F.percentile_approx(doc, cuts, 1000).alias("c")).first()["c"] or []  # any cuts give the same result
     edges = [None, *sorted(set(found)), None]
-    runs, drops = Runs(scratch, fanout), []
+    # about an input split's lines a bucket, however large the input is
+    runs, drops = Runs(scratch, bucket_count(docs, least=LEAST_BUCKETS), fanout), []
     for lo, hi in zip(edges, edges[1:]):
         part = docs
         if lo is not None:
@@ -142,15 +145,15 @@ def dedup_lines(docs: DataFrame, text: str = "text", least: int = LEAST, batches
     clash = {"n_lines", "n_dropped"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
-    drops = dropped_lines(docs, text, least, batches, fanout).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("drop").alias("_drop"))
-    hit = docs.join(drops, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(docs[text]) == F.col("_row")), "left")
-    lines = lines_of(docs[text])
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.coalesce(docs[text], F.lit(""))).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    cols = [kept.alias(c) if c == text else docs[c] for c in docs.columns]
-    return hit.withColumn("_lines", lines).select(
-        *cols, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    drops = dropped_lines(docs, text, least, batches, fanout)
+    body = F.col(quoted(text))
+    rows = packed(docs, doc=F.coalesce("doc_id", F.lit(NO_ID)), row=F.xxhash64(body))
+    hit = rows.join(drops, ["doc", "row"], "left").withColumn("lines", lines_of(F.col(f"given.{quoted(text)}")))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), F.coalesce(F.col(f"given.{quoted(text)}"), F.lit(""))).otherwise(
+        F.array_join(F.transform(keep, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return hit.select(
+        *given(docs, **{text: kept}), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

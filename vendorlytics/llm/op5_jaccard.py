@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.common import ODD, Scratch, batch_shingles, bucket_count, mix, sub_batches, table
+from vendorlytics.llm.common import ODD, Scratch, batch_shingles, bucket_count, given, mix, packed, sub_batches, table
 from vendorlytics.llm.components import components
 
 WIDTH = 5
@@ -446,16 +446,16 @@ def first_of_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     smallest doc_id (then text hash); rows without words all stay."""
     sets, named = groups(docs, text)
     first = sets.join(named, "k").where("doc = component and row = lead_row").select("doc", "row").distinct()
-    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_row", F.xxhash64(text))
+    keyed = packed(docs, doc=F.coalesce("doc_id", F.lit(NO_ID)), row=F.xxhash64(text))
 
     def those(keys: DataFrame) -> DataFrame:
-        return keyed.join(keys.select(F.col("doc").alias("_doc"), F.col("row").alias("_row")), ["_doc", "_row"], "left_semi")
+        return keyed.join(keys, ["doc", "row"], "left_semi")
 
     if sets.groupBy("doc", "row").count().where("count > 1").isEmpty():
         out = those(first.unionByName(sets.where("n = 0").select("doc", "row")))
     else:
-        out = those(first).dropDuplicates(["_doc", "_row"]).unionByName(those(sets.where("n = 0").select("doc", "row").distinct()))
-    return out.select(*docs.columns)
+        out = those(first).dropDuplicates(["doc", "row"]).unionByName(those(sets.where("n = 0").select("doc", "row").distinct()))
+    return out.select(*given(docs))
 
 
 def _id(c):
