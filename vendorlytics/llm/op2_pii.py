@@ -27,7 +27,9 @@ run of word characters costs linear time.
 
 Defined cases: a null or empty text has no spans; offsets are code points, end
 exclusive; rows with the same doc_id are judged each by its own text; an empty
-table gives an empty result; a word that is only marks is no candidate.
+table gives an empty result; a word that is only marks is no candidate. Words,
+contexts and the space between them may have any length. Other columns pass
+through under any name but ``base`` and ``spans``, which raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlytics.llm.common import Scratch, ascii_lower, table
+from vendorlytics.llm.common import Scratch, ascii_lower, given, packed, table
 
 LOCAL = "[A-Za-z0-9._%+-]"
 LABEL = "[A-Za-z0-9-]"
@@ -47,10 +49,10 @@ CARD = r"[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IP_VALID = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 # a word with a digit or an @, and the word before it if that has neither
-CANDIDATE = r"(?<![^ \t-\r])(?:[^ \t-\r0-9@]{1,32}[ \t-\r]{1,4})?+[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
-LONGEST = 64  # a longer word is no identifier
-NEAR = 40  # characters after a match that hold the next word
-AFTER = r"^[ \t-\r]{1,4}([^ \t-\r0-9@]{1,32})(?![^ \t-\r])"
+CANDIDATE = r"(?<![^ \t-\r])(?:[^ \t-\r0-9@]++[ \t-\r]++)?+[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+FIRST_WORD = r"^[ \t-\r]*+[^ \t-\r]*+"  # with the space before it
+AFTER = r"^[ \t-\r]++([^ \t-\r0-9@]++)$"
+LONG = 64  # longer words are compared by their SHA-256
 
 SUPPORT = 5
 CONFIDENT = 0.8
@@ -74,6 +76,18 @@ def spans_of(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
 
+def next_word(gaps: Column, matches: Column, i: Column) -> Column:
+    """The space and the word that follow a match, of any length: they lie in
+    the gap ``i``, or go on in the match after it."""
+    gap, more = F.get(gaps, i), F.coalesce(F.get(matches, i), F.lit(""))
+    begun = F.regexp_extract(gap, FIRST_WORD, 0)
+    return F.when(F.length(begun) < F.length(gap), begun).otherwise(F.regexp_extract(F.concat(gap, F.regexp_extract(more, FIRST_WORD, 0)), FIRST_WORD, 0))
+
+
+def short(word: Column) -> Column:
+    return F.when(F.length(word) <= LONG, word).otherwise(F.sha2(word.cast("binary"), 256))
+
+
 def placed(gaps: Column, matches: Column) -> Column:
     n = F.size(matches)
     blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
@@ -88,8 +102,7 @@ def placed(gaps: Column, matches: Column) -> Column:
         def one(i):
             s = before + width(lo, i) + F.length(F.get(gaps, lo + i))
             m = F.get(matches, lo + i)
-            after = F.concat(F.substring(F.get(gaps, lo + i + 1), 1, NEAR), F.coalesce(F.substring(F.get(matches, lo + i + 1), 1, NEAR), F.lit("")))
-            return F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("match"), after.alias("after"))
+            return F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"), m.alias("match"), next_word(gaps, matches, lo + i + 1).alias("after"))
 
         return F.transform(F.sequence(F.lit(0), F.least(F.lit(BLOCK), n - lo) - 1), one)
 
@@ -144,22 +157,22 @@ def candidates(docs: DataFrame) -> DataFrame:
     """One row per candidate: doc, row, start, end, patterns, instance, seed
     (does it overlap a base span?)."""
     found = docs.where(F.col("text").rlike("[0-9@]")).select("doc", "row", "base", F.explode(spans_of(F.col("text"), CANDIDATE)).alias("c"))
-    word = F.regexp_replace(F.col("c.match"), r"^[^ \t-\r0-9@]{1,32}[ \t-\r]{1,4}(?=[^ \t-\r])", "")
+    word = F.regexp_replace(F.col("c.match"), r"^[^ \t-\r0-9@]++[ \t-\r]++", "")
     found = found.withColumn("word", word).withColumn("before", F.substring("c.match", F.lit(1), F.length("c.match") - F.length("word")))
     bare = F.regexp_replace("word", MARKS, "")
     lead = F.length(F.regexp_extract("word", r"^[^\p{L}0-9+]*", 0))
     start = F.col("c.end") - F.length("word") + F.col("lead")
     found = (found.withColumn("bare", bare).withColumn("lead", lead)
-                  .where(F.length("bare").between(4, LONGEST))
+                  .where(F.length("bare") > 0)
                   .withColumn("start", start).withColumn("end", start + F.length("bare")))
 
     def context(side: str, word) -> Column:
         letters = ascii_lower(F.regexp_replace(word, r"[^\p{L}]", ""))
-        return F.when(letters != "", F.concat(F.lit(side), letters))
+        return F.when(letters != "", F.concat(F.lit(side), short(letters)))
 
     return found.select(
         "doc", "row", "start", "end",
-        F.array_compact(F.array(context("<", "before"), context(">", F.regexp_extract("c.after", AFTER, 1)))).alias("patterns"), ascii_lower(F.col("bare")).alias("instance"),
+        F.array_compact(F.array(context("<", "before"), context(">", F.regexp_extract("c.after", AFTER, 1)))).alias("patterns"), short(ascii_lower(F.col("bare"))).alias("instance"),
         F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))).alias("seed"))
 
 
@@ -204,11 +217,11 @@ def find_pii(docs: DataFrame, text: str = "text", confident: float = CONFIDENT)
                  .join(trust.where(F.col("trust") >= confident).select("pattern"), "pattern", "left_semi")
                  .join(belief.where(F.col("belief") >= confident).select("instance"), "instance", "left_semi"))
     extra = sure.groupBy("doc", "row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("order"), F.lit("id").alias("kind"), "end")).alias("extra"))
-    extra = scratch.write(extra, "extra").withColumnsRenamed({"doc": "_doc", "row": "_row", "extra": "_extra"})
-    own = docs.withColumn("base", base_spans(F.coalesce(text, F.lit(""))))
-    out = own.join(extra, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left")
-    every = F.when(F.col("_extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_extra")))
-    return out.select(*docs.columns, "base", every.alias("spans"))
+    extra = scratch.write(extra, "extra").withColumnRenamed("doc", "of_doc").withColumnRenamed("row", "of_row")
+    own = packed(docs, doc="doc_id", row=F.xxhash64(text), base=base_spans(F.coalesce(text, F.lit(""))))
+    out = own.join(extra, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("row") == F.col("of_row")), "left")
+    every = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
+    return out.select(*given(docs), "base", every.alias("spans"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
