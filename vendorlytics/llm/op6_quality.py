@@ -161,8 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MA
                     [part.column("doc_id"), part.column("y").cast(pa.int32()), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in range(3))],
                     names=["doc_id", "y", "ids", "x", "stats"])
 
-    got = rows.mapInArrow(extract, "doc_id long, y int, ids binary, x binary, stats binary").toArrow().to_pylist()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["ids"], r["x"], r["stats"]))[:most]  # copies of a doc_id don't break the bound
+    # one row a doc_id, so the driver gets at most ``most`` rows however often an id repeats
+    found = rows.mapInArrow(extract, "doc_id long, y int, ids binary, x binary, stats binary")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("ids", "x", "stats", "y")).alias("r")).select("doc_id", "r.*")
+    got = sorted(one.toArrow().to_pylist(), key=lambda r: r["doc_id"])
     data = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["x"], np.float32), np.frombuffer(r["stats"], np.float32)) for r in got]
     return fit(data, np.array([r["y"] for r in got], np.float64))
 
