@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,15 @@ def test_pii_found_instances_bring_new_patterns(spark):
     assert got[len(texts) - 2] == ["77/QQ/1"] and got[len(texts) - 1] == []
 
 
+def test_pii_words_of_any_length(spark):
+    long_id, long_word = "z9" * 60, "x" * 90
+    docs = {i: f"account mail: u{i}@site.org and more" for i in range(40)}
+    docs |= {50 + i: f"{long_word} v{i}@site.org" for i in range(40)}
+    docs |= {100: f"account mail: {long_id} and more", 101: "account mail:" + " " * 9 + "q77/x", 102: f"{long_word} r5/t", 103: "account mail: a7 now"}
+    got = found_ids(spark, docs)
+    assert [got[i] for i in (100, 101, 102, 103)] == [[long_id], ["q77/x"], ["r5/t"], ["a7"]]
+
+
 def test_pii_plan_is_native(spark):
     plan = op2_pii.op2_pii(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -391,7 +401,7 @@ def test_compact_windows_against_scan():
 def test_bpe_equals_the_library(spark, awkward):
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(op10_bpe.TOKENIZER)
+    lib = Tokenizer.from_file(public_tokenizers.path(op10_bpe.TOKENIZER))
     random.seed(5)
     parts = [" ", "  ", "\n", " \n", "\t", "a", "th", "ing", "123", "'s", "'ll", "é", "漢", "😀", "!", "<|endoftext|>", "\x85", "\x1c", "\xa0", "aaaa", "Ⅷ", "́"]
     docs = [(i, "".join(random.choice(parts) for _ in range(random.randint(0, 30))), "en", "s", 1) for i in range(300)] + AWKWARD

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -21,7 +22,7 @@ def brute(spark, path):
         key = root[i] if t.split() else ("empty", i)
         if key not in first or (texts[first[key]][0] is None, texts[first[key]][0] or 0) > (d is None, d or 0):
             first[key] = i
-    lib = Tokenizer.from_file(op10_bpe.TOKENIZER)
+    lib = Tokenizer.from_file(public_tokenizers.path(op10_bpe.TOKENIZER))
     return Counter((texts[i][0], len(lib.encode(texts[i][1], add_special_tokens=False).ids)) for i in first.values())
 
 

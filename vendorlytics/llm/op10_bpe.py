@@ -12,8 +12,9 @@ The state after a token depends on that token alone, so states are named by
 tokens. An arc inherited through gadgets is resolved by undoing them from the
 newest one, and the answer is kept in the transition table.
 
-A pre-split word is encoded by one left-to-right pass: of the tokens that end
-at a byte, exactly one continues the accepted path of the bytes before it.
+A pre-split word is encoded by following arcs, the longest label first. Only
+one accepted path spells a given prefix, so a position from which nothing leads
+on is backed over once and never entered again.
 Decoding emits the labels of the arcs.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
@@ -24,7 +25,9 @@ each; other columns pass through, and a clash with an output name raises
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import struct
 import sys
 import types
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 
 from vendorlytics.llm.common import sub_batches, table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "byte_bpe_50k.json"  # a public tokenizer's file name, or a path
 
 # Fixed values of the byte-level format: the bytes that are their own
 # character; the others take the characters from 256 on, in order.
@@ -71,7 +74,9 @@ class Automaton:
             self.add_gadget(when, vocab[u], vocab[v], vocab[u + v])
         self.special = {a["content"]: a["id"] for a in added}
         self.labels |= {i: s.encode() for s, i in self.special.items()}
-        self.key = hash((len(self.labels), len(merges), tuple(sorted(self.special)), json.dumps(merges[:50]), json.dumps(merges[-50:])))
+        # all merges, ids and special tokens: no other tokenizer shares its coder
+        whole = json.dumps([sorted(vocab.items()), list(merges), sorted(self.special.items())])
+        self.key = hashlib.sha256(whole.encode()).hexdigest()
 
     def add_gadget(self, when: int, u: int, v: int, x: int) -> None:
         self.removed[u, v] = when
@@ -79,6 +84,10 @@ class Automaton:
 
     @classmethod
     def load(cls, path: str) -> "Automaton":
+        if not os.path.dirname(path):
+            import public_tokenizers
+
+            path = public_tokenizers.path(path)
         spec = json.loads(open(path, encoding="utf-8").read())
         return cls(spec["model"]["vocab"], spec["model"]["merges"], spec.get("added_tokens", []))
 
