@@ -16,23 +16,37 @@ text's length. Rows without words link with nothing and stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlytics.llm import op1_mixing, op4_lines, op5_jaccard, op6_quality, op10_bpe
-from vendorlytics.llm.common import Scratch, table
+from vendorlytics.llm.common import Scratch, quoted, table
+
+
+def apart(docs: DataFrame, step: Callable[[DataFrame], DataFrame], *added: str) -> DataFrame:
+    """The columns of ``docs`` after ``step``, which adds the columns ``added``
+    and drops or changes rows. An input column with one of these names has
+    another one meanwhile."""
+    moved = {c: f"given {i}" for i, c in enumerate(docs.columns) if c.lower() in added}
+    out = step(docs.withColumnsRenamed(moved))
+    return out.select(*[F.col(quoted(moved.get(c, c))).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return op6_quality.classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    return apart(docs, lambda d: op6_quality.classify(d, labels).where("predicted = 1"), "score", "predicted")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = op4_lines.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    def step(d: DataFrame) -> DataFrame:
+        out = op4_lines.dedup_lines(d)
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        return out
+
+    return apart(docs, step, "n_lines", "n_dropped")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +58,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs).orderBy("position").select(*docs.columns)
+    return apart(docs, lambda d: mixed(d).orderBy("position"), *op1_mixing.ADDED)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
