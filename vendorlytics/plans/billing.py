@@ -15,9 +15,10 @@ from __future__ import annotations
 import calendar
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendorlytics.operators.asof import START, as_of, time_segments
 from vendorlytics.session import materialize
 from vendorlytics.sources.tables import Tables
 
@@ -83,7 +84,8 @@ def parse_events(ev: DataFrame) -> DataFrame:
               .when(subscription, o["id"]))
     price = F.when(invoice, F.coalesce(period_line["price"]["id"], period_line["plan"]["id"])) \
         .when(checkout, o["metadata"]["price_id"])
-    parsed = ev.select("event_id", "ts", "user_id", "type", F.from_json("object", OBJECT_SCHEMA).alias("o"))
+    seg = [c for c in ("seg",) if c in ev.columns]  # time segments pass through
+    parsed = ev.select("event_id", "ts", "user_id", "type", F.from_json("object", OBJECT_SCHEMA).alias("o"), *seg)
     return parsed.select(
         "event_id", "ts", "user_id", "type",
         F.when(~subscription, _id_of(F.col("o.customer"))).alias("customer_id"),
@@ -92,7 +94,7 @@ def parse_events(ev: DataFrame) -> DataFrame:
         price.alias("price_id"),
         F.when(checkout, F.col("o.payment_status")).alias("payment_status"),
         F.when(checkout, F.col("o.metadata.pago_id")).alias("pago_id"),
-        F.when(subscription, F.col("o.status")).alias("status"))
+        F.when(subscription, F.col("o.status")).alias("status"), *seg)
 
 
 def billing_events_parsed(t: Tables) -> DataFrame:
@@ -133,31 +135,34 @@ def checkout_links(parsed: DataFrame, payments: DataFrame) -> DataFrame:
     return c.join(p, "pago_id", "left").select(
         "event_id", "ts", "pago_id", "usuario_id", "customer_id", "subscription_id",
         F.col("payment_status").isin(*PAID_STATUSES).alias("pagado"),
-        plan_from_price(F.col("price_id")).alias("plan"))
+        plan_from_price(F.col("price_id")).alias("plan"), *[c for c in ("seg",) if c in parsed.columns])
 
 
 def checkout_payment_link(t: Tables) -> DataFrame:
     return checkout_links(parse_events(t.billing()), t.payments())
 
 
-def _holders(initial: DataFrame, links: DataFrame) -> DataFrame:
-    """Who holds which provider id when: one row (uid, held, since, until,
-    source) per run of equal ids in a user's history. A link counts for the
-    events after it; ``since`` NULL is the stored state."""
-    rows = initial.select("uid", "held", F.lit(None).cast(links.schema["since"].dataType).alias("since"),
-                          F.lit("state").alias("source")).unionByName(links).where(F.col("held").isNotNull())
-    w = Window.partitionBy("uid").orderBy(F.col("since").asc_nulls_first(), F.col("source"))
-    runs = rows.withColumn("__prev", F.lag("held").over(w)) \
-        .where(F.col("__prev").isNull() | (F.col("__prev") != F.col("held"))).drop("__prev")
-    return runs.withColumn("until", F.lead("since").over(w))
+def _holders(state: DataFrame, links: DataFrame, seg: str | None = "seg") -> DataFrame:
+    """Who holds which provider id from when on: one mark (held, uid, since,
+    seg, on) where a run of equal ids in a user's history begins (on) and
+    where the next one ends it. A link counts for the events after it;
+    ``since`` NULL is the stored state."""
+    stored = state.where(F.col("held").isNotNull()).select(
+        "uid", "held", F.lit(None).cast(links.schema["since"].dataType).alias("since"), F.lit(START).alias("seg"))
+    links = links.where(F.col("held").isNotNull()).select("uid", "held", "since", "seg")
+    history = stored.unionByName(links).withColumnRenamed("held", "prev")
+    runs = as_of(links, history, ["uid"], "since", "prev", seg).where("prev is null or prev <> held")
+    marks = F.array(F.struct("held", F.lit(True).alias("on")), F.struct(F.col("prev").alias("held"), F.lit(False).alias("on")))
+    marks = runs.select("uid", "since", "seg", F.explode(marks).alias("m")).select("m.held", "uid", "since", "seg", "m.on").where("held is not null")
+    return marks.unionByName(stored.withColumn("on", F.lit(True)))
 
 
-def _holder_of(events: DataFrame, event_key: str, holders: DataFrame) -> DataFrame:
-    """(event_id, uid) for every user that holds the event's id when it arrives."""
-    at = F.col("event_id")
-    return events.select("event_id", F.col(event_key).alias("held")).join(holders, "held").where(
-        (F.col("since").isNull() | (F.col("since") < at)) & (F.col("until").isNull() | (at <= F.col("until")))
-    ).select("event_id", "uid")
+def _holder_of(events: DataFrame, event_key: str, holders: DataFrame, seg: str | None = "seg") -> DataFrame:
+    """(event_id, uid) for every user that holds the event's id when it
+    arrives: of the users that ever hold it, those whose last mark is on."""
+    ever = holders.select("held", "uid").distinct()
+    asked = events.select(F.col("event_id").alias("since"), "seg", F.col(event_key).alias("held")).join(ever, "held")
+    return as_of(asked, holders, ["held", "uid"], "since", "on", seg).where("on").select(F.col("since").alias("event_id"), "uid")
 
 
 def route_events(parsed: DataFrame, users: DataFrame, payments: DataFrame, customers: DataFrame) -> DataFrame:
@@ -170,18 +175,23 @@ def route_events(parsed: DataFrame, users: DataFrame, payments: DataFrame, custo
     Unroutable events are dropped, as the reference drops unresolved ones.
 
     A paid invoice found by customer or e-mail gives its user the invoice's
-    subscription id, which later events see. These links are iterated until
-    they no longer change: a link depends on earlier events only, so each
-    round settles at least the earliest unsettled one, and the result is the
-    sequential one. Only links that change a user's id are kept, so one round
-    settles all users whose ids are not shared, and a second confirms it."""
+    subscription id, which later events see. Which invoices give one is
+    iterated until it no longer changes: it depends on earlier events only, so
+    each round settles at least the earliest unsettled invoice, and the result
+    is the sequential one. A round is written once, with the flag of the round
+    before beside its own; so the comparison is a scan of what was written.
+
+    ``parsed`` has the time segments of its events (``seg``). Matches that run
+    once go by them (``as_of``), so neither a user nor an id with a third of
+    the events is one task's work; in the rounds a user's links, and the
+    invoices of one id, are one sorted pass each."""
     links = checkout_links(parsed, payments).join(users.select(F.col("id").alias("usuario_id")), "usuario_id", "left_semi")
     state = users.select(F.col("id").alias("uid"), F.col("stripe_subscription_id").alias("sid"),
                          F.col("stripe_customer_id").alias("cid"))
     chk = links.select(F.col("usuario_id").alias("uid"), F.col("event_id").alias("since"),
-                       F.lit("checkout").alias("source"), "subscription_id", "customer_id")
-    chk_sub = chk.select("uid", F.col("subscription_id").alias("held"), "since", "source")
-    chk_cus = chk.select("uid", F.col("customer_id").alias("held"), "since", "source")
+                       "seg", "subscription_id", "customer_id")
+    chk_sub = chk.select("uid", F.col("subscription_id").alias("held"), "since", "seg")
+    chk_cus = chk.select("uid", F.col("customer_id").alias("held"), "since", "seg")
     sub_state, cus_state = state.withColumnRenamed("sid", "held"), state.withColumnRenamed("cid", "held")
 
     paid = parsed.where(F.col("type") == PAID)
@@ -189,26 +199,27 @@ def route_events(parsed: DataFrame, users: DataFrame, payments: DataFrame, custo
     mail = paid.select("event_id", "customer_id").join(customers, "customer_id") \
         .where(F.col("customer_email").isNotNull()) \
         .join(by_email, F.lower("customer_email") == by_email.mail).select("event_id", "uid")
-    via_cus = _holder_of(paid, "customer_id", _holders(cus_state, chk_cus))
+    via_cus = _holder_of(paid, "customer_id", materialize(_holders(cus_state, chk_cus), "billing-customers"))
     fallback = via_cus.groupBy("event_id").agg(F.min("uid").alias("u_cus")) \
         .join(mail.groupBy("event_id").agg(F.min("uid").alias("u_mail")), "event_id", "full") \
         .select("event_id", F.coalesce("u_cus", "u_mail").alias("u_other"))
-    paid = materialize(paid.select("event_id", "subscription_id").join(fallback, "event_id", "left"), "billing-paid")
+    paid = materialize(paid.select("event_id", "seg", "subscription_id").join(fallback, "event_id", "left"), "billing-paid")
+    chk_sub = materialize(chk_sub, "billing-links")
 
-    learned = chk_sub.limit(0)
+    found = paid.withColumn("gives", F.lit(False))
     while True:
-        holders = _holders(sub_state, chk_sub.unionByName(learned))
-        by_sub = _holder_of(paid, "subscription_id", holders).groupBy("event_id").agg(F.min("uid").alias("u_sub"))
-        found = materialize(paid.join(by_sub, "event_id", "left"), "billing-found")
-        given = found.where(F.col("u_sub").isNull() & F.col("u_other").isNotNull()).select(
-            F.col("u_other").alias("uid"), F.col("subscription_id").alias("held"), F.col("event_id").alias("since"),
-            F.lit("invoice").alias("source"))
-        now = materialize(_holders(sub_state, chk_sub.unionByName(given)).where(F.col("source") == "invoice")
-                          .select("uid", "held", "since", "source"), "billing-learned")
-        if now.exceptAll(learned).isEmpty() and learned.exceptAll(now).isEmpty():
+        given = found.where("gives").select(F.col("u_other").alias("uid"), F.col("subscription_id").alias("held"),
+                                            F.col("event_id").alias("since"), "seg")
+        links_now = chk_sub.unionByName(given)
+        by_sub = _holder_of(paid, "subscription_id", _holders(sub_state, links_now, None), None).groupBy("event_id").agg(F.min("uid").alias("u_sub"))
+        gives = F.col("u_sub").isNull() & F.col("u_other").isNotNull() & F.col("subscription_id").isNotNull()
+        found = found.select("event_id", "seg", "subscription_id", "u_other", F.col("gives").alias("gave")) \
+            .join(by_sub, "event_id", "left").withColumn("gives", gives)
+        found = materialize(found, "billing-found")
+        if found.where("gives <> gave").isEmpty():
             break
-        learned = now
 
+    holders = materialize(_holders(sub_state, links_now), "billing-holders")
     resolved = found.select("event_id", F.coalesce("u_sub", "u_other").alias("uid")).where(F.col("uid").isNotNull())
     other = parsed.where(F.col("type").isin(FAILED, DELETED, UPDATED))
     return links.select("event_id", F.col("usuario_id").alias("uid")).unionByName(resolved) \
@@ -239,8 +250,9 @@ def fold_inputs(t: Tables, events: DataFrame | None = None, users: DataFrame | N
     events = events if events is not None else t.billing()
     users = users if users is not None else t.users()
     payments = payments if payments is not None else t.payments()
-    # Parsed once: routing and the fold read it several times.
-    parsed = materialize(parse_events(events).where(F.col("type").isin(*HANDLED)), "billing-parsed")
+    # Parsed once: routing and the fold read it several times. In ranges of
+    # arrival, which are the segments of time for as-of matching.
+    parsed = materialize(parse_events(time_segments(events.where(F.col("type").isin(*HANDLED)), "event_id")), "billing-parsed")
     customers = customers if customers is not None else customer_emails(t)
     ev = route_events(parsed, users, payments, customers).join(parsed, "event_id")
     ev = ev.select(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.functions.formats import money
-from vendorlytics.operators.topk import rank_range, top_k
+from vendorlytics.operators.topk import day_index, indexed_page, top_k
 from vendorlytics.sources.tables import AS_OF, Tables
 
 # Fixed values (reference constants).
@@ -116,20 +116,20 @@ def write_sales_export(df: DataFrame, path: str, fmt: str = "parquet") -> None:
      .write.mode("overwrite").partitionBy("anio").format(fmt).save(path))
 
 
-def sales_history_page(t: Tables, page: int = 1, vendor_id=None) -> DataFrame:
+def sales_history_page(t: Tables, page: int = 1, vendor_id=None, index: DataFrame | None = None) -> DataFrame:
     """Page ``page`` (50 rows) of each vendor's sales, newest first.
 
-    The total is a separate per-vendor count (the reference's
-    COUNT(*) OVER () on the page rows); a page past the end has no rows.
+    Sales per vendor and day (``day_index``, or a stored ``index``) locate the
+    page and give the total (the reference's COUNT(*) OVER () on the page
+    rows); a page past the end has no rows.
     """
     page = max(1, int(page))
     first = (page - 1) * SALES_PAGE_SIZE + 1
     s = _opt(t.sales(), "vendedor_id", vendor_id).select("id", "vendedor_id", "inventario_id", "cantidad",
                                                          "precio_total", "fecha")
-    rows = rank_range(s, ["vendedor_id"], [F.desc("fecha"), F.desc("id")], first,
-                      first + SALES_PAGE_SIZE - 1, "ord")
-    totals = s.groupBy("vendedor_id").agg(F.count(F.lit(1)).alias("total_count"))
-    return (_sales_with_product(t, rows).join(totals, "vendedor_id")
+    days = _opt(index, "vendedor_id", vendor_id) if index is not None else day_index(s, ["vendedor_id"], "fecha")
+    rows = indexed_page(s, days, ["vendedor_id"], "fecha", "id", first, first + SALES_PAGE_SIZE - 1)
+    return (_sales_with_product(t, rows)
             .select("vendedor_id", "ord", F.col("id").alias("venta_id"), "cantidad",
                     money("precio_total").alias("precio_total"), "fecha", "producto_nombre", "sku",
                     "ruta_imagen", "total_count",
