@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from vendorlytics.plans.billing import RATE_LIMIT, RATE_WINDOW, subscription_fold
 from vendorlytics.session import checkpoint_dir, materialize
+from vendorlytics.sources.snapshots import current_version
 from vendorlytics.sources.tables import Tables
 
 EVENT_SCHEMA = T.StructType([
@@ -109,6 +110,12 @@ def read_state(spark: SparkSession, root: str, v: int, every: int) -> DataFrame:
     return base.join(latest.select("id"), "id", "left_anti").unionByName(latest)
 
 
+def committed(spark: SparkSession, folder: str) -> bool:
+    """Does the folder have Spark's commit marker?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def run_billing_stream(t: Tables, source: str, state: str, lateness: str = "1 day",
                        max_files_per_trigger: int = 1, users: DataFrame | None = None,
                        payments: DataFrame | None = None, compact_every: int = COMPACT_EVERY) -> int:
@@ -120,14 +127,15 @@ def run_billing_stream(t: Tables, source: str, state: str, lateness: str = "1 da
     id and computed from the previous version only, so a replayed batch
     rewrites identical files."""
     spark = t.spark
-    u0, p0 = _initial_state(t, users, payments)
-    u0.write.mode("overwrite").parquet(f"{state}/users/base/b=-1")
-    p0.write.mode("overwrite").parquet(f"{state}/payments/base/b=-1")
+    for name, first in zip(("users", "payments"), _initial_state(t, users, payments)):
+        if not committed(spark, f"{state}/{name}/base/b=-1"):  # once, not at a restart
+            first.write.mode("overwrite").parquet(f"{state}/{name}/base/b=-1")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         prev_u = read_state(spark, f"{state}/users", batch_id - 1, compact_every)
         prev_p = read_state(spark, f"{state}/payments", batch_id - 1, compact_every)
-        ev = batch.select("event_id", "ts", "user_id", "type", "object")
+        # written once, so the stateful deduplication runs once a batch
+        ev = materialize(batch.select("event_id", "ts", "user_id", "type", "object"), "billing-batch")
         new_u, new_p = apply_batch(t, ev, prev_u, prev_p)
         if _base_of(batch_id, compact_every) == batch_id:
             new_u.write.mode("overwrite").parquet(f"{state}/users/base/b={batch_id}")
@@ -151,11 +159,10 @@ def run_billing_stream(t: Tables, source: str, state: str, lateness: str = "1 da
 
 def latest_version(spark: SparkSession, state: str) -> int:
     """Highest committed state version (also after a restart that found no
-    new files, when no batch ran in this process); -1 before any batch."""
-    try:
-        return spark.read.parquet(f"{state}/_versions").agg(F.max("v")).first()[0]
-    except Exception:  # noqa: BLE001 - no batch committed yet
-        return -1
+    new files, when no batch ran in this process); -1 before any batch. Read
+    errors are raised."""
+    v = current_version(spark, f"{state}/_versions")
+    return -1 if v is None else v
 
 
 def billing_stream_state(t: Tables, chunks: int = 3, compact_every: int = 2) -> DataFrame:
