@@ -49,3 +49,26 @@ def test_custom_items_match_sequential(spark):
     res = submit_custom_items(t, req=req, snapshot=inv, quota=4)
     got = {r["l_shipdate"]: r["resultado"] for r in res.select(SEQ[0], "resultado").collect()}
     assert got == brute(reqs, plans, catalog, 4)
+
+
+def test_custom_items_write_only_candidates(spark, tmp_path, monkeypatch):
+    """The rounds carry the requests that may be accepted, not the batch; a
+    request sent twice has its rows, and uses slots, as often as before."""
+    from vendorlytics.plans import changes_inventory as ci
+
+    written = []
+    monkeypatch.setattr(ci, "materialize", lambda df, name="stage": written.append((name, df.count())) or df)
+    plans = {0: "mini", 1: "pro", 2: "mini"}
+    reqs = [{"seq": i, "vendor": i % 3, "sku": f"S{i % 7}", "nombre": f"n{i}"} for i in range(420)]
+    rows = [(r["seq"], r["seq"], r["vendor"], r["nombre"], r["sku"], 1, 10.0) for r in reqs]
+    schema = "seq long, req_id long, vendedor_id long, nombre string, sku string, stock int, precio_personalizado double"
+    users = spark.createDataFrame([(k, v) for k, v in plans.items()], "id long, suscripcion_plan string").withColumn("marca_id", F.lit(1))
+    inv = spark.createDataFrame([], "id long, vendedor_id long, producto_maestro_id long, stock int, precio_personalizado decimal(18,2)")
+    t = FakeTables(spark, users=users, inventory=inv, products=spark.createDataFrame([("S0",)], "sku string"))
+    res = submit_custom_items(t, req=spark.createDataFrame(rows, schema), snapshot=inv, quota=2)
+    assert {r["seq"]: r["resultado"] for r in res.collect()} == brute(reqs, plans, ["S0"], 2)
+    assert written and max(n for _, n in written) <= 30, written
+
+    twice = spark.createDataFrame(rows[:30] + rows[:3], schema)  # vendor 2's request 2 uses both of its slots... twice over
+    got = submit_custom_items(t, req=twice, snapshot=inv, quota=2).groupBy("seq").count().collect()
+    assert {r["seq"]: r["count"] for r in got} == {i: 4 if i < 3 else 1 for i in range(30)}
