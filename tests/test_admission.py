@@ -72,3 +72,29 @@ def test_custom_items_write_only_candidates(spark, tmp_path, monkeypatch):
     twice = spark.createDataFrame(rows[:30] + rows[:3], schema)  # vendor 2's request 2 uses both of its slots... twice over
     got = submit_custom_items(t, req=twice, snapshot=inv, quota=2).groupBy("seq").count().collect()
     assert {r["seq"]: r["count"] for r in got} == {i: 4 if i < 3 else 1 for i in range(30)}
+
+
+def test_long_chain_of_claims_takes_blocks_not_rounds(spark, monkeypatch):
+    """Each owner waits for the next one's value: one link a round would be 60
+    rounds. Blocks of 90 requests give the sequential answer."""
+    from vendorlytics.operators import admission
+
+    rnd = random.Random(11)
+    n = 60
+    reqs = [(i, (7 * i) % n, i, f"v{((7 * i) + 1) % n}", True, True) for i in range(2 * n)]  # the value after the one's own
+    reqs += [(i, rnd.randrange(n), i, rnd.choice([None, *(f"v{k}" for k in range(n + 2))]), rnd.random() > 0.1, rnd.random() > 0.1) for i in range(2 * n, 6 * n)]
+    held = {k: f"v{k}" for k in range(n - 1)}
+    base = spark.createDataFrame(reqs, "req long, owner long, seq long, value string, pre_ok boolean, post_ok boolean")
+    holders = spark.createDataFrame(list(held.items()), "h_owner long, h_value string")
+    written = []
+    plain = admission.materialize
+    monkeypatch.setattr(admission, "materialize", lambda df, name="stage": written.append(name) or plain(df, name))
+    got = {r["req"]: (r["blocked"], r["ok"]) for r in admission.unique_claims(base, holders, rounds=2, block_rows=90).collect()}
+    want = {}
+    for req, owner, _, value, pre, post in reqs:
+        blocked = value is not None and any(v == value for o, v in held.items() if o != owner)
+        want[req] = (blocked, pre and post and not blocked)
+        if value is not None and want[req][1]:
+            held[owner] = value
+    assert got == want
+    assert written.count("admission-flags") <= 4 and written.count("claim-block") == 4
