@@ -2,9 +2,9 @@
 
 import pytest
 
-from tests.conftest import SMALL
+from tests.conftest import SMALL, FakeTables
 from vendorlytics import registry
-from vendorlytics.plans import kpis
+from vendorlytics.plans import kpis, repair
 from vendorlytics.sources.tables import FixtureTables
 
 QUERIES = registry.queries()
@@ -70,3 +70,25 @@ def test_constraints_read_every_table_once(spark):
     assert per_table["lineitem"] == 4 and per_table["orders"] == per_table["customer"] == 1
     kinds = {r["tipo"] for r in df.where("violaciones > 0").collect()}
     assert kinds == {"unique", "foreign_key", "not_null"}
+
+
+def test_constraint_keys_hold_numbers_not_names(spark):
+    """A key's row in the aggregation has the constraint's number; hand rows
+    of every kind of check are counted right."""
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    t = FakeTables(
+        spark,
+        inventory_raw=df([(1, 7, 1), (1, 7, None), (1, 8, 2), (2, None, 2), (2, None, 2)], "vendedor_id int, producto_maestro_id int, stock int"),
+        products=df([(7, "a", 1), (9, "a", 5), (10, None, None), (11, None, 5)], "id int, sku string, categoria_id int"),
+        users=df([("A@x", "s"), ("a@X", "t"), (None, "s")], "email string, store_slug string"),
+        sales=df([(1, 70, 5), (2, 71, None), (3, 71, 6)], "id int, inventario_id int, clienta_id int"),
+        inventory=df([(70,)], "id int"), clients=df([(5, None)], "id int, nombre string"), categories=df([(1,)], "id int"),
+        instalments=df([(1, 5), (9, None), (9, None), (None, 1)], "venta_id int, monto int"))
+    out = repair.constraint_violations(t)
+    aggregates = [line for line in plan_of(out).splitlines() if "Aggregate" in line and "clave" in line]
+    assert aggregates and all("n_restriccion" in line for line in aggregates)
+    assert {r["restriccion"]: r["violaciones"] for r in out.collect()} == {
+        "inventario_vendedor_vendedor_producto_unico": 1, "catalogo_maestro_sku_unico": 1, "usuarios_email_unico": 1,
+        "usuarios_store_slug_unico": 1, "ventas_inventario_fk": 2, "ventas_clienta_fk": 1, "abonos_venta_fk": 2,
+        "catalogo_categoria_fk": 2, "inventario_producto_fk": 1, "clientas_nombre_not_null": 1, "inventario_stock_not_null": 1,
+        "abonos_monto_not_null": 2}

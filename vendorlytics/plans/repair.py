@@ -72,32 +72,30 @@ def dedup_inventory(t: Tables) -> DataFrame:
 
 
 # -- M5 -------------------------------------------------------------------
-UNIQUE, CHILD, PARENT, NULL = "unica", "hija", "madre", "nula"
-
-
 def _keys(df: DataFrame, *checks) -> DataFrame:
-    """One pass over ``df``: an entry for each check (constraint, kind, side,
-    key); rows whose key is NULL have none."""
-    entries = F.array(*[F.struct(F.lit(name).alias("restriccion"), F.lit(kind).alias("tipo"), F.lit(side).alias("lado"),
-                                 key.cast("string").alias("clave")) for name, kind, side, key in checks])
+    """One pass over ``df``: an entry for each check (number of the
+    constraint, whether the row is a parent, key); rows whose key is NULL have
+    none. A number is all of a name that the aggregation holds per key."""
+    entries = F.array(*[F.struct(F.lit(NUMBERS[name]).cast("tinyint").alias("n_restriccion"), F.lit(parent).alias("madre"),
+                                 key.cast("string").alias("clave")) for name, parent, key in checks])
     return df.select(F.explode(entries).alias("e")).select("e.*").where("clave IS NOT NULL")
 
 
 def _unique(name: str, *cols):
     key = F.col(cols[0]) if len(cols) == 1 else F.concat(*[x for c in cols for x in (F.col(c).cast("string"), F.lit("|"))])
-    return name, "unique", UNIQUE, key
+    return name, False, key
 
 
 def _child(name: str, col: str):
-    return name, "foreign_key", CHILD, F.col(col)
+    return name, False, F.col(col)
 
 
 def _parent(name: str, col: str = "id"):
-    return name, "foreign_key", PARENT, F.col(col)
+    return name, True, F.col(col)
 
 
 def _not_null(name: str, col: str):
-    return name, "not_null", NULL, F.when(F.col(col).isNull(), F.lit(""))
+    return name, False, F.when(F.col(col).isNull(), F.lit(""))
 
 
 def constraint_violations(t: Tables) -> DataFrame:
@@ -125,14 +123,12 @@ def constraint_violations(t: Tables) -> DataFrame:
     for p in parts[1:]:
         keys = keys.unionByName(p)
 
-    def count(side: str) -> F.Column:
-        return F.count_if(F.col("lado") == side)
-
-    by_key = keys.groupBy("restriccion", "clave").agg(count(UNIQUE).alias("u"), count(CHILD).alias("c"), count(PARENT).alias("p"), count(NULL).alias("n"))
-    found = by_key.groupBy("restriccion").agg(F.sum(
-        F.when(F.col("u") > 1, 1).when((F.col("c") > 0) & (F.col("p") == 0), F.col("c")).otherwise(F.col("n"))).alias("violaciones"))
-    names = t.spark.createDataFrame(CONSTRAINTS, "restriccion string, tipo string")
-    return names.join(found, "restriccion", "left").select("restriccion", "tipo", F.coalesce("violaciones", F.lit(0)).cast("bigint").alias("violaciones"))
+    by_key = keys.groupBy("n_restriccion", "clave").agg(F.count_if(~F.col("madre")).alias("n"), F.max("madre").alias("madre"))
+    unique = F.col("n_restriccion").isin([NUMBERS[name] for name, kind in CONSTRAINTS if kind == "unique"])
+    found = by_key.groupBy("n_restriccion").agg(F.sum(
+        F.when(unique, (F.col("n") > 1).cast("bigint")).when(F.col("madre"), 0).otherwise(F.col("n"))).alias("violaciones"))
+    names = t.spark.createDataFrame([(NUMBERS[name], name, kind) for name, kind in CONSTRAINTS], "n_restriccion tinyint, restriccion string, tipo string")
+    return names.join(found, "n_restriccion", "left").select("restriccion", "tipo", F.coalesce("violaciones", F.lit(0)).cast("bigint").alias("violaciones"))
 
 
 # Every constraint has its row, also one without keys.
@@ -141,6 +137,7 @@ CONSTRAINTS = [
     ("usuarios_store_slug_unico", "unique"), ("ventas_inventario_fk", "foreign_key"), ("ventas_clienta_fk", "foreign_key"),
     ("abonos_venta_fk", "foreign_key"), ("catalogo_categoria_fk", "foreign_key"), ("inventario_producto_fk", "foreign_key"),
     ("clientas_nombre_not_null", "not_null"), ("inventario_stock_not_null", "not_null"), ("abonos_monto_not_null", "not_null")]
+NUMBERS = {name: i for i, (name, _) in enumerate(CONSTRAINTS)}
 
 
 # -- M6 -------------------------------------------------------------------
