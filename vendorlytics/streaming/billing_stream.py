@@ -48,17 +48,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_event_files(events: DataFrame, folder: str, chunks: int = 4, duplicate_chunks: tuple = ()) -> None:
+FILE_ROWS = 200_000
+
+
+def write_event_files(events: DataFrame, folder: str, chunks: int = 4, duplicate_chunks: tuple = (),
+                      file_rows: int = FILE_ROWS) -> int:
     """Land events as JSON files in arrival order: one write per event-id
     range, so file times follow event order. Chunks listed in
-    ``duplicate_chunks`` are delivered twice (a provider retry)."""
+    ``duplicate_chunks`` are delivered twice (a provider retry). Returns the
+    number of files of every chunk: more than one, written side by side, if
+    the smallest chunk has several times ``file_rows`` rows."""
     bounds = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) // chunks + 1
-    for i in range(chunks):
-        part = events.where((F.col("event_id") >= lo + i * step) & (F.col("event_id") < lo + (i + 1) * step))
+    parts = [events.where((F.col("event_id") >= lo + i * step) & (F.col("event_id") < lo + (i + 1) * step)) for i in range(chunks)]
+    smallest = min(events.agg(*[F.count_if((F.col("event_id") >= lo + i * step) & (F.col("event_id") < lo + (i + 1) * step))
+                                for i in range(chunks)]).first())
+    files = max(1, smallest // file_rows)
+    for i, part in enumerate(parts):
+        # dealt in turn: every file has rows, so each chunk has as many files
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
         for _ in range(2 if i in duplicate_chunks else 1):
-            part.coalesce(1).write.mode("append").option("timestampNTZFormat", TS_FORMAT).json(folder)
+            part.write.mode("append").option("timestampNTZFormat", TS_FORMAT).json(folder)
+    return files
 
 
 def _initial_state(t: Tables, users: DataFrame | None, payments: DataFrame | None):
@@ -73,18 +85,23 @@ def _initial_state(t: Tables, users: DataFrame | None, payments: DataFrame | Non
 
 
 def apply_batch(t: Tables, events: DataFrame, users: DataFrame, payments: DataFrame):
-    """Fold one batch of events into (users, payments) state."""
+    """Fold one batch of events into (users, payments) state. Rows have
+    ``changed``: whether the batch changed them."""
     f = materialize(subscription_fold(t, events=events, users=users, payments=payments), "billing-folded")
-    new_users = users.select("id", "email").join(f, "id").select(
-        "id", "email", F.col("estado").alias("suscripcion_estado"), F.col("plan").alias("suscripcion_plan"),
-        F.col("inicio").alias("suscripcion_inicio"), F.col("fin").alias("suscripcion_fin"),
-        F.col("sub").alias("stripe_subscription_id"), F.col("cus").alias("stripe_customer_id"))
+    folded = {"suscripcion_estado": "estado", "suscripcion_plan": "plan", "suscripcion_inicio": "inicio",
+              "suscripcion_fin": "fin", "stripe_subscription_id": "sub", "stripe_customer_id": "cus"}
+    changed = ~F.lit(True)
+    for old, new in folded.items():
+        changed = changed | ~F.col(old).eqNullSafe(F.col(new))
+    new_users = users.join(f, "id").select("id", "email", *[F.col(new).alias(old) for old, new in folded.items()],
+                                           changed.alias("changed"))
     settled = f.select(F.explode("settled").alias("s")).select(F.col("s.pago_id").alias("id"),
                                                                F.lit(True).alias("paid_now"))
+    paid_now = F.col("paid_now").isNotNull()
     new_pay = payments.join(settled, "id", "left").select(
         "id", "usuario_id", "tipo", "monto",
-        F.when(F.col("paid_now").isNotNull(), "pagado").otherwise(F.col("estado")).alias("estado"), "creado_en",
-        F.when(F.col("paid_now").isNotNull(), F.lit("card")).otherwise(F.col("metodo")).alias("metodo"))
+        F.when(paid_now, "pagado").otherwise(F.col("estado")).alias("estado"), "creado_en",
+        F.when(paid_now, F.lit("card")).otherwise(F.col("metodo")).alias("metodo"), paid_now.alias("changed"))
     return new_users, new_pay
 
 
@@ -136,13 +153,15 @@ def run_billing_stream(t: Tables, source: str, state: str, lateness: str = "1 da
         prev_p = read_state(spark, f"{state}/payments", batch_id - 1, compact_every)
         # written once, so the stateful deduplication runs once a batch
         ev = materialize(batch.select("event_id", "ts", "user_id", "type", "object"), "billing-batch")
-        new_u, new_p = apply_batch(t, ev, prev_u, prev_p)
-        if _base_of(batch_id, compact_every) == batch_id:
-            new_u.write.mode("overwrite").parquet(f"{state}/users/base/b={batch_id}")
-            new_p.write.mode("overwrite").parquet(f"{state}/payments/base/b={batch_id}")
+        if ev.isEmpty():  # delivered again, or none that came in time: the state stays
+            new_u, new_p = (x.withColumn("changed", F.lit(False)) for x in (prev_u, prev_p))
         else:
-            new_u.subtract(prev_u).write.mode("overwrite").parquet(f"{state}/users/delta/v={batch_id}")
-            new_p.subtract(prev_p).write.mode("overwrite").parquet(f"{state}/payments/delta/v={batch_id}")
+            new_u, new_p = apply_batch(t, ev, prev_u, prev_p)
+        for name, new in (("users", new_u), ("payments", new_p)):
+            if _base_of(batch_id, compact_every) == batch_id:
+                new.drop("changed").write.mode("overwrite").parquet(f"{state}/{name}/base/b={batch_id}")
+            else:
+                new.where("changed").drop("changed").write.mode("overwrite").parquet(f"{state}/{name}/delta/v={batch_id}")
         spark.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite") \
             .parquet(f"{state}/_versions/v={batch_id}")
 
@@ -172,8 +191,8 @@ def billing_stream_state(t: Tables, chunks: int = 3, compact_every: int = 2) ->
     every 2 batches here, so both deltas and bases are exercised."""
     spark = t.spark
     src, state = scratch(spark, "billing-src"), scratch(spark, "billing-state")
-    write_event_files(t.billing(), src, chunks, duplicate_chunks=(1,))
-    v = run_billing_stream(t, src, state, compact_every=compact_every)
+    files = write_event_files(t.billing(), src, chunks, duplicate_chunks=(1,))
+    v = run_billing_stream(t, src, state, max_files_per_trigger=files, compact_every=compact_every)
     users = read_state(spark, f"{state}/users", v, compact_every)
     return users.select("id", "suscripcion_estado", "suscripcion_plan", "suscripcion_inicio", "suscripcion_fin",
                         "stripe_subscription_id", "stripe_customer_id")
@@ -187,8 +206,8 @@ def rate_limit_stream(t: Tables, limit: int = RATE_LIMIT, chunks: int = 4, laten
     src, out = scratch(spark, "events-src"), scratch(spark, "ratelimit")
     ev = t.read("events").select("event_id", "ts", "user_id", F.col("event_type").alias("type"),
                                  F.col("props").alias("object"))
-    write_event_files(ev, src, chunks)
-    counts = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
+    files = write_event_files(ev, src, chunks)
+    counts = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files)
               .option("timestampNTZFormat", TS_FORMAT).json(src)
               .withColumn("event_time", F.col("ts").cast("timestamp"))
               .withWatermark("event_time", lateness)
