@@ -19,9 +19,14 @@ START = -1  # segment of what holds from the start
 
 
 def time_segments(df: DataFrame, at: str, seg: str = "seg") -> DataFrame:
-    """``df`` in ranges of ``at``, with the number of the range. Write the
-    result before it is used: the ranges are drawn anew each time it runs."""
-    return df.repartitionByRange(F.col(at)).withColumn(seg, F.spark_partition_id())
+    """``df`` with the number of the range of ``at`` that each row is in. The
+    ranges' first values are drawn from ``at`` alone, one a shuffle partition,
+    so the rows stay where they are and their other columns aren't sampled."""
+    ranges = df.select(F.col(at).alias("at")).repartitionByRange("at").groupBy(F.spark_partition_id().alias("n")).agg(F.min("at").alias("at"))
+    firsts = ranges.where("at is not null").agg(F.array_sort(F.collect_list("at")).alias("firsts"))
+    # the first range also takes what is null or was drawn too late
+    number = F.greatest(F.size(F.filter("__firsts", lambda x: x <= F.col(at))) - 1, F.lit(0))
+    return df.crossJoin(F.broadcast(firsts.withColumnRenamed("firsts", "__firsts"))).withColumn(seg, number).drop("__firsts")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, value: str, seg: str | None = "seg") -> DataFrame:

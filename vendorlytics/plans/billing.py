@@ -15,7 +15,7 @@ from __future__ import annotations
 import calendar
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlytics.operators.asof import START, as_of, time_segments
@@ -150,6 +150,9 @@ def _holders(state: DataFrame, links: DataFrame, seg: str | None = "seg") -> Dat
     stored = state.where(F.col("held").isNotNull()).select(
         "uid", "held", F.lit(None).cast(links.schema["since"].dataType).alias("since"), F.lit(START).alias("seg"))
     links = links.where(F.col("held").isNotNull()).select("uid", "held", "since", "seg")
+    if seg is not None:  # a link to the id of the link before, in one segment, begins no run
+        before = F.lag("held").over(Window.partitionBy("uid", "seg").orderBy("since"))
+        links = links.withColumn("before", before).where("before is null or before <> held").drop("before")
     history = stored.unionByName(links).withColumnRenamed("held", "prev")
     runs = as_of(links, history, ["uid"], "since", "prev", seg).where("prev is null or prev <> held")
     marks = F.array(F.struct("held", F.lit(True).alias("on")), F.struct(F.col("prev").alias("held"), F.lit(False).alias("on")))
@@ -159,10 +162,54 @@ def _holders(state: DataFrame, links: DataFrame, seg: str | None = "seg") -> Dat
 
 def _holder_of(events: DataFrame, event_key: str, holders: DataFrame, seg: str | None = "seg") -> DataFrame:
     """(event_id, uid) for every user that holds the event's id when it
-    arrives: of the users that ever hold it, those whose last mark is on."""
-    ever = holders.select("held", "uid").distinct()
+    arrives: of the users that ever hold it, those whose last mark is on. Only
+    users that also lose the id are matched as of the event; others hold it
+    from their first mark on."""
+    ever = holders.groupBy("held", "uid").agg(F.min("on").alias("kept"), F.min("since").alias("first"), F.max(F.col("since").isNull()).alias("start"))
     asked = events.select(F.col("event_id").alias("since"), "seg", F.col(event_key).alias("held")).join(ever, "held")
-    return as_of(asked, holders, ["held", "uid"], "since", "on", seg).where("on").select(F.col("since").alias("event_id"), "uid")
+    kept = asked.where("kept and (first < since or start and since is not null)")
+    lost = ever.where("not kept").select("held", "uid")
+    moved = as_of(asked.where("not kept").drop("kept", "first", "start"), holders.join(lost, ["held", "uid"], "left_semi"), ["held", "uid"], "since", "on", seg).where("on")
+    return kept.select("since", "uid").unionByName(moved.select("since", "uid")).withColumnRenamed("since", "event_id")
+
+
+def _held_for_sure(links: DataFrame, state: DataFrame, asked: DataFrame) -> DataFrame:
+    """``links`` and ``asked`` (uid, held, since, seg: links that may be given)
+    in one line a user, with the flag ``sure``: the user holds the id already,
+    whichever of ``asked`` become links. That is so inside a run of one id, in
+    the user's line of stored state, links and asked links, after the first
+    stored state or link of the run. Lines of one time with unlike ids are
+    never sure, nor is what follows up to the next link."""
+    cols = ["uid", "held", "since", "seg", "link"]
+    stored = state.select("uid", "held", F.lit(None).cast(links.schema["since"].dataType).alias("since"), F.lit(START).alias("seg"), F.lit(True).alias("link"))
+    line = stored.unionByName(links.withColumn("link", F.lit(True))).unionByName(asked.withColumn("link", F.lit(False))) \
+        .where("held is not null").select(*cols).repartition("uid")
+    tie = Window.partitionBy("uid", "since")
+    line = line.withColumns({"lo": F.min("held").over(tie), "hi": F.max("held").over(tie)})
+    order = Window.partitionBy("uid").orderBy(F.col("since").asc_nulls_first())
+    same = (F.col("lo") == F.col("hi")) & (F.lag("lo").over(order) == F.col("lo")) & (F.lag("hi").over(order) == F.col("hi"))
+    line = line.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    line = line.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy("uid", "run").orderBy(F.col("since").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.min(F.when(F.col("link"), F.struct("since"))).over(run)["since"]
+    begun = F.max(F.col("link") & F.col("since").isNull()).over(run)
+    return line.withColumn("sure", F.coalesce(F.col("since").isNotNull() & (begun | (first < F.col("since"))), F.lit(False))) \
+        .where("seg <> %d" % START).select(*cols, "sure")
+
+
+def _unheld(asked: DataFrame, holders: DataFrame) -> DataFrame:
+    """``asked`` (event_id, held, ...) with ``free``: no user holds the id when
+    the event arrives, nor an id of another row with the same event_id. Users
+    are counted in one line an id, not paired with its events."""
+    marks = holders.where("uid is not null").select("held", "uid", "since", "on", F.lit(1).alias("mark"))
+    line = asked.withColumn("since", F.col("event_id")).withColumn("mark", F.lit(0)).unionByName(
+        marks.withColumnRenamed("uid", "holder"), allowMissingColumns=True).repartition("held")
+    time = [F.col("since").asc_nulls_first(), "mark"]
+    was = F.coalesce(F.lag("on").over(Window.partitionBy("held", "holder").orderBy(*time)), F.lit(False))
+    line = line.withColumn("step", F.when(F.col("mark") == 1, F.col("on").cast("int") - was.cast("int")).otherwise(0))
+    users = F.sum("step").over(Window.partitionBy("held").orderBy(*time).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    line = line.withColumn("users", users).where("mark = 0")
+    return line.withColumn("free", F.max("users").over(Window.partitionBy("event_id")) == 0).select(*asked.columns, "free")
 
 
 def route_events(parsed: DataFrame, users: DataFrame, payments: DataFrame, customers: DataFrame) -> DataFrame:
@@ -186,6 +233,7 @@ def route_events(parsed: DataFrame, users: DataFrame, payments: DataFrame, custo
     the events is one task's work; in the rounds a user's links, and the
     invoices of one id, are one sorted pass each."""
     links = checkout_links(parsed, payments).join(users.select(F.col("id").alias("usuario_id")), "usuario_id", "left_semi")
+    links = materialize(links.select("event_id", "usuario_id", "subscription_id", "customer_id", "seg"), "billing-checkouts")
     state = users.select(F.col("id").alias("uid"), F.col("stripe_subscription_id").alias("sid"),
                          F.col("stripe_customer_id").alias("cid"))
     chk = links.select(F.col("usuario_id").alias("uid"), F.col("event_id").alias("since"),
@@ -204,23 +252,25 @@ def route_events(parsed: DataFrame, users: DataFrame, payments: DataFrame, custo
         .join(mail.groupBy("event_id").agg(F.min("uid").alias("u_mail")), "event_id", "full") \
         .select("event_id", F.coalesce("u_cus", "u_mail").alias("u_other"))
     paid = materialize(paid.select("event_id", "seg", "subscription_id").join(fallback, "event_id", "left"), "billing-paid")
-    chk_sub = materialize(chk_sub, "billing-links")
-
-    found = paid.withColumn("gives", F.lit(False))
+    # Only invoices that could give an id are asked in the rounds, and of these
+    # and the links only those whose user doesn't hold the id already.
+    may = paid.where(F.col("u_other").isNotNull() & F.col("subscription_id").isNotNull())
+    line = _held_for_sure(chk_sub, sub_state, may.select(F.col("u_other").alias("uid"), F.col("subscription_id").alias("held"),
+                                                        F.col("event_id").alias("since"), "seg"))
+    line = materialize(line.where(~F.col("sure")).drop("sure"), "billing-links")
+    chk_sub = line.where("link").drop("link")
+    found = line.where(~F.col("link")).select(F.col("since").alias("event_id"), "uid", "held", "seg", F.lit(False).alias("gives"))
     while True:
-        given = found.where("gives").select(F.col("u_other").alias("uid"), F.col("subscription_id").alias("held"),
-                                            F.col("event_id").alias("since"), "seg")
-        links_now = chk_sub.unionByName(given)
-        by_sub = _holder_of(paid, "subscription_id", _holders(sub_state, links_now, None), None).groupBy("event_id").agg(F.min("uid").alias("u_sub"))
-        gives = F.col("u_sub").isNull() & F.col("u_other").isNotNull() & F.col("subscription_id").isNotNull()
-        found = found.select("event_id", "seg", "subscription_id", "u_other", F.col("gives").alias("gave")) \
-            .join(by_sub, "event_id", "left").withColumn("gives", gives)
-        found = materialize(found, "billing-found")
+        links_now = chk_sub.unionByName(found.where("gives").select("uid", "held", F.col("event_id").alias("since"), "seg"))
+        asked = found.select("event_id", "uid", "held", "seg", F.col("gives").alias("gave"))
+        found = materialize(_unheld(asked, _holders(sub_state, links_now, None)).withColumnRenamed("free", "gives"), "billing-found")
         if found.where("gives <> gave").isEmpty():
             break
 
     holders = materialize(_holders(sub_state, links_now), "billing-holders")
-    resolved = found.select("event_id", F.coalesce("u_sub", "u_other").alias("uid")).where(F.col("uid").isNotNull())
+    by_sub = _holder_of(paid, "subscription_id", holders, None).groupBy("event_id").agg(F.min("uid").alias("u_sub"))
+    resolved = paid.select("event_id", "u_other").join(by_sub, "event_id", "left") \
+        .select("event_id", F.coalesce("u_sub", "u_other").alias("uid")).where(F.col("uid").isNotNull())
     other = parsed.where(F.col("type").isin(FAILED, DELETED, UPDATED))
     return links.select("event_id", F.col("usuario_id").alias("uid")).unionByName(resolved) \
         .unionByName(_holder_of(other, "subscription_id", holders))
@@ -250,8 +300,8 @@ def fold_inputs(t: Tables, events: DataFrame | None = None, users: DataFrame | N
     events = events if events is not None else t.billing()
     users = users if users is not None else t.users()
     payments = payments if payments is not None else t.payments()
-    # Parsed once: routing and the fold read it several times. In ranges of
-    # arrival, which are the segments of time for as-of matching.
+    # Parsed once: routing and the fold read it several times. With the
+    # segments of arrival for as-of matching; bodies aren't moved for them.
     parsed = materialize(parse_events(time_segments(events.where(F.col("type").isin(*HANDLED)), "event_id")), "billing-parsed")
     customers = customers if customers is not None else customer_emails(t)
     ev = route_events(parsed, users, payments, customers).join(parsed, "event_id")
