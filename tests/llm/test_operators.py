@@ -2,8 +2,10 @@
 trip, and on awkward rows."""
 
 import hashlib
+import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -367,6 +369,56 @@ def test_passages_at_the_threshold_are_found(spark):
     assert len(part) >= 398
 
 
+def test_passages_leave_no_texts_and_shuffles_behind(spark, monkeypatch):
+    r = np.random.default_rng(21)
+    word = lambda n: [f"v{x}" for x in r.integers(0, 10 ** 6, n)]
+    shared = word(120)
+    docs = [word(300) if i % 4 else word(40) + shared + word(30) for i in range(80)]
+    given = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in sc._gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    sc, roots, hot, begin, windows = spark.sparkContext, [], [], op8_passages.Scratch, op8_passages.windows
+    monkeypatch.setattr(op8_passages, "Scratch", lambda *a: roots.append(begin(*a)) or roots[-1])
+    monkeypatch.setattr(op8_passages, "windows", lambda texts, *a: hot.extend(x["doc"] for x in texts.select("doc").collect()) or windows(texts, *a))
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    out = op8_passages.repeated_passages(given)
+    # files go in the background
+    for _ in range(100):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    left = os.listdir(roots[0].root.removeprefix("file://").removeprefix("file:"))
+    assert left and not [x for x in left if x.endswith(("-parts", "-repeats", "-hot"))]
+    # only texts with a stretch that may repeat get windows
+    assert sorted(hot) == list(range(0, 80, 4))
+    assert sorted((x["doc_id"], x["class_id"]) for x in out.collect()) == [(i, 0) for i in range(0, 80, 4)]
+
+
+def test_passages_compared_at_all_shifts_at_once(monkeypatch):
+    r = np.random.default_rng(22)
+    for kinds in (3, 60, 1 << 60):
+        for _ in range(60):
+            x = r.integers(0, kinds, int(r.integers(0, 300))).astype(np.uint64)
+            cut = int(r.integers(0, len(x) + 1))
+            y = np.concatenate((x[int(r.integers(0, 5)):cut], r.integers(0, 1 << 60, int(r.integers(0, 12))).astype(np.uint64), x[cut + int(r.integers(0, 6)):]))
+            least = int(r.integers(-9, 9))
+            got = op8_passages.matched(x, y, least, least + 5)
+            with monkeypatch.context() as m:
+                m.setattr(op8_passages, "CELLS", 0)
+                assert got == op8_passages.matched(x, y, least, least + 5)
+
+
+def test_lots_of_a_document_small_and_large(spark):
+    # document 0 is asked in lots of more than 64 slices, the others in one small lot each
+    n, text = 4800, " ".join(f"w{j}" for j in range(50))
+    docs = spark.range(n + 1).select(F.col("id").alias("doc"), F.col("id").alias("row"), F.lit(text).alias("text"))
+    pairs = spark.createDataFrame([(0, 0, 0, 46, i, i, 0, 46, 0) for i in range(1, n + 1)], op8_passages.PAIR)
+    out = op8_passages.verified(pairs, docs, Scratch(spark, "lots")).collect()
+    assert sorted(tuple(x) for x in out) == [(0, 0, 0, 46, i, i, 0, 46) for i in range(1, n + 1)]
+
+
 def test_runs_that_fail_keep_their_agreeing_stretches():
     r = np.random.default_rng(15)
     x = r.integers(0, 1 << 60, 400).astype(np.uint64)
