@@ -34,10 +34,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendorlytics.session import materialize
+from vendorlytics.session import materialize, materialize_lots, released
 
 MAX_LIST = 2048
 SEGMENT_ROWS = 500_000
+LOT_ROWS = 24_000_000  # change rows that are dealt out by key at a time
 LAST = 2**63 - 1
 
 
@@ -94,7 +95,7 @@ def _levelled_fold(rows: DataFrame, key: list[str], seq: list[str], segment_rows
 
 def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: list[str], amount: str,
                    balance: str, carry: list[str] = (), max_list: int = MAX_LIST,
-                   segment_rows: int = SEGMENT_ROWS) -> tuple[DataFrame, DataFrame]:
+                   segment_rows: int = SEGMENT_ROWS, lot_rows: int = LOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Fold ``changes`` (key, seq..., amount, carry...) against ``start``
     (key, balance). Both amount and balance must be integral.
 
@@ -106,19 +107,30 @@ def greedy_consume(changes: DataFrame, start: DataFrame, key: list[str], seq: li
 
     The joined input (with each key's path) is written once to the shared
     checkpoint folder, so the branches below read it instead of
-    recomputing the change table.
+    recomputing the change table. Keys are dealt out in lots of about
+    ``lot_rows`` change rows, one after the other, so that the shuffle files
+    are those of one lot, not of the whole change table.
     """
     carry = [c for c in carry if c not in key and c not in seq]
     cols = [*key, *seq, *carry]
     ch = changes.select(*cols, F.col(amount).cast("long").alias("__a"))
     st = start.select(*key, F.col(balance).cast("long").alias("__s"))
-    j = ch.join(st, key, "left")
-    never = F.col("__s").isNull() | (F.col("__a") <= 0) | (F.col("__a") > F.col("__s"))
-    stats = j.where(~never).groupBy(*key).agg(F.sum("__a").alias("__sum"), F.count(F.lit(1)).alias("__n"))
-    path = (F.when(F.col("__s").isNull(), F.lit("unknown")).when(never, F.lit("never"))
-            .when(F.col("__sum") <= F.col("__s"), F.lit("all"))
-            .when(F.col("__n") <= max_list, F.lit("list")).otherwise(F.lit("levels")))
-    j = materialize(j.join(stats, key, "left").withColumn("__path", path), "fold-input")
+    # a key's hash is the same on both sides only for one type
+    alike = [ch.schema[k].dataType for k in key] == [st.schema[k].dataType for k in key]
+    lots = max(1, -(-ch.count() // lot_rows)) if alike else 1
+
+    def joined(i: int) -> DataFrame:
+        mine = F.lit(True) if lots == 1 else F.pmod(F.xxhash64(*key), F.lit(lots)) == i
+        j = ch.where(mine).join(st.where(mine), key, "left")
+        never = F.col("__s").isNull() | (F.col("__a") <= 0) | (F.col("__a") > F.col("__s"))
+        stats = j.where(~never).groupBy(*key).agg(F.sum("__a").alias("__sum"), F.count(F.lit(1)).alias("__n"))
+        path = (F.when(F.col("__s").isNull(), F.lit("unknown")).when(never, F.lit("never"))
+                .when(F.col("__sum") <= F.col("__s"), F.lit("all"))
+                .when(F.col("__n") <= max_list, F.lit("list")).otherwise(F.lit("levels")))
+        return j.join(stats, key, "left").withColumn("__path", path).drop("__n")
+
+    with released(ch.sparkSession):
+        j = materialize_lots(ch.sparkSession, joined, lots, "fold-input")
 
     simple = j.where(F.col("__path").isin("unknown", "never", "all")).select(
         *cols, F.when(F.col("__path") == "all", F.lit(True))

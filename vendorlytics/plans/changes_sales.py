@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlytics.functions.formats import money
-from vendorlytics.operators.fold import greedy_consume
+from vendorlytics.operators.fold import LOT_ROWS, greedy_consume
 from vendorlytics.sources.requests import SEQ, instalment_requests, sale_requests, stock_changes
-from vendorlytics.session import materialize
+from vendorlytics.session import discard, materialize, materialize_lots, released
 from vendorlytics.sources.tables import MONEY, Tables
 
 START_STOCK = 300
@@ -77,40 +77,73 @@ def stock_ledger_final(t: Tables) -> DataFrame:
 
 
 # -- the whole registration -------------------------------------------------
+def _client_checked(r: DataFrame, clients: DataFrame) -> DataFrame:
+    """Refuses sales to unknown clients. Only the clients asked for that are
+    unknown (or stored more than once: each is a match) meet the requests, so
+    these aren't dealt out by client."""
+    n = clients.groupBy(F.col("id").alias("clienta_id")).agg(F.count(F.lit(1)).alias("__n"))
+    asked = r.select("clienta_id").where("clienta_id IS NOT NULL").distinct().join(n, "clienta_id", "left")
+    odd = materialize(asked.select("clienta_id", F.coalesce("__n", F.lit(0)).alias("__n")).where("__n <> 1"), "sale-clients")
+    if odd.isEmpty():
+        return r
+    r = r.join(odd, "clienta_id", "left").withColumn(
+        "motivo", F.coalesce(F.col("motivo"), F.when(F.col("__n") == 0, F.lit("clienta_no_existe"))))
+    if not odd.where("__n > 1").isEmpty():
+        r = r.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("__n", F.lit(1)), F.lit(1)).cast("int")))).drop("__copy")
+    return r.drop("__n")
+
+
 def register_sales(t: Tables, req: DataFrame | None = None, inventory: DataFrame | None = None,
-                   clients: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                   clients: DataFrame | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """W1 -> W3 + client check -> W2. Returns (requests with outcome, new
-    inventory stock per item)."""
-    req = req if req is not None else sale_requests(t)
-    inventory = inventory if inventory is not None else t.inventory()
-    clients = clients if clients is not None else t.clients()
-    r = split_payment(validate_sales(req))
-    known = clients.select(F.col("id").alias("clienta_id"), F.lit(True).alias("__known"))
-    r = r.join(known, "clienta_id", "left").withColumn(
-        "motivo", F.coalesce(F.col("motivo"), F.when(F.col("clienta_id").isNotNull() & F.col("__known").isNull(),
-                                                     F.lit("clienta_no_existe")))).drop("__known")
-    ok = r.where(F.col("motivo").isNull())
-    start = inventory.select(F.col("id").alias("inventario_id"), "vendedor_id", "stock")
-    key = ["inventario_id", "vendedor_id"]
-    rows, final = greedy_consume(ok, start, key, SEQ, "cantidad", "stock",
-                                 carry=[c for c in r.columns if c not in key + SEQ])
+    inventory stock per item).
+
+    ``keep`` names the columns of the requests that are wanted beside those
+    that decide and order them (all, if None): no other is written or dealt
+    out. The requests are joined once, and dealt out by item in the fold's lots."""
+    with released(t.spark):
+        lots = max(1, -(-t.read("lineitem").count() // LOT_ROWS)) if req is None else 1
+        inventory = inventory if inventory is not None else materialize(t.inventory(), "sale-inventory")
+        clients = clients if clients is not None else t.clients()
+        key = ["inventario_id", "vendedor_id"]
+
+        def split(i: int) -> DataFrame:
+            r = split_payment(validate_sales(req if req is not None else sale_requests(t, i, lots)))
+            return r if keep is None else r.select(*dict.fromkeys([*key, *SEQ, "cantidad", "clienta_id", "motivo", *keep]))
+
+        whole = materialize_lots(t.spark, split, lots, "sale-requests")
+        r = _client_checked(whole, clients)
+        if keep is not None and "clienta_id" not in keep:
+            r = r.drop("clienta_id")
+        refused = materialize(r.where(F.col("motivo").isNotNull()), "sale-refused")
+        ok = r.where(F.col("motivo").isNull())
+        start = inventory.select(F.col("id").alias("inventario_id"), "vendedor_id", "stock")
+        rows, final = greedy_consume(ok, start, key, SEQ, "cantidad", "stock",
+                                     carry=[c for c in r.columns if c not in key + SEQ])
+        discard(whole)  # the fold has its rows, the others are in refused
     folded = rows.withColumn("motivo", F.when(F.col("accepted").isNull(), F.lit("no_pertenece"))
                              .when(~F.col("accepted"), F.lit("sin_stock"))).drop("accepted")
-    out = r.where(F.col("motivo").isNotNull()).unionByName(folded) \
-        .withColumn("aceptada", F.col("motivo").isNull())
+    out = refused.unionByName(folded).withColumn("aceptada", F.col("motivo").isNull())
     new_stock = inventory.join(final.withColumnRenamed("stock", "nuevo_stock")
                                .withColumnRenamed("inventario_id", "id"), ["id", "vendedor_id"], "left") \
         .withColumn("stock", F.coalesce("nuevo_stock", "stock").cast("int")).drop("nuevo_stock")
     return out, new_stock
 
 
+def _registered(t: Tables, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``register_sales`` with few columns of the requests and the inventory."""
+    with released(t.spark):
+        inventory = materialize(t.inventory().select("id", "vendedor_id", "stock"), "sale-inventory")
+    return register_sales(t, inventory=inventory, keep=keep)
+
+
 def sale_register(t: Tables) -> DataFrame:
-    out, _ = register_sales(t)
+    out, _ = _registered(t, ["estado_pago", "saldo_restante"])
     return out.select(*IDENT, "aceptada", "motivo", "estado_pago", money("saldo_restante").alias("saldo_restante"))
 
 
 def sale_register_stock(t: Tables) -> DataFrame:
-    _, inv = register_sales(t)
+    _, inv = _registered(t, [])
     return inv.select("id", "vendedor_id", "stock")
 
 
@@ -118,7 +151,7 @@ def sale_register_stock(t: Tables) -> DataFrame:
 def first_instalments(t: Tables) -> DataFrame:
     """An instalment whenever the accepted sale has a client and an
     advance > 0, also when it was not a credit sale."""
-    out, _ = register_sales(t)
+    out, _ = _registered(t, ["clienta_id", "anticipo_num"])
     a = out.where(F.col("aceptada") & F.col("clienta_id").isNotNull() & (F.col("anticipo_num") > 0))
     return a.select(*IDENT, "clienta_id", money("anticipo_num").alias("monto"))
 
@@ -126,7 +159,7 @@ def first_instalments(t: Tables) -> DataFrame:
 def client_balance_apply(t: Tables) -> DataFrame:
     """Client balance += new sale balances; next payment date = last
     non-NULL date sent, in arrival order, else unchanged."""
-    out, _ = register_sales(t)
+    out, _ = _registered(t, ["clienta_id", "saldo_restante", "fecha_proximo_pago"])
     a = out.where(F.col("aceptada") & F.col("clienta_id").isNotNull())
     seq = F.struct(*[F.col(c) for c in SEQ])
     d = a.groupBy("clienta_id").agg(

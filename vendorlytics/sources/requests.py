@@ -19,10 +19,13 @@ def req_id(cols=SEQ) -> F.Column:
     return F.to_json(F.struct(*[F.col(c) for c in cols]))
 
 
-def sale_requests(t: Tables) -> DataFrame:
-    """One sale request per lineitem row."""
+def sale_requests(t: Tables, lot: int = 0, lots: int = 1) -> DataFrame:
+    """One sale request per lineitem row; those of one of ``lots`` lots
+    of orders, if there are several."""
     li = t.read("lineitem")
     o = t.read("orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus")
+    if lots > 1:
+        li, o = (df.where(F.pmod(F.xxhash64(F.col(k).cast("long")), F.lit(lots)) == lot) for df, k in ((li, "l_orderkey"), (o, "o_orderkey")))
     k, s, p = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_partkey")
     sid = (k * 100000 + s) * 1000000 + p
     total = F.col("l_extendedprice").cast(MONEY)
