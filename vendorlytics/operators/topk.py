@@ -27,8 +27,8 @@ def day_index(df: DataFrame, by: list[str], at: str) -> DataFrame:
 def indexed_page(df: DataFrame, index: DataFrame, by: list[str], at: str, tie: str, first: int, last: int,
                  rank_col: str = "ord", total_col: str = "total_count") -> DataFrame:
     """Rows ranked first..last (1-based, inclusive) of each group, newest
-    first (``at``, then ``tie``, both descending; rows without a time last),
-    and the group's number of rows.
+    first (``at``, then ``tie``, both descending; rows without a time last; rows
+    with the same ``tie`` by their other columns), and the group's number of rows.
 
     Running counts over the index locate the days that the page touches; only
     these days' rows are ranked, so a page costs the same however deep it lies.
@@ -43,6 +43,7 @@ def indexed_page(df: DataFrame, index: DataFrame, by: list[str], at: str, tie: s
     for c in by:
         same = same & (F.col(c) == F.col(f"__{c}"))
     rows = df.join(of, same)
-    w = Window.partitionBy(*by, "dia").orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc())
+    rest = [F.col(c).desc() for c, kind in df.dtypes if c not in (at, tie, *by) and "map<" not in kind]
+    w = Window.partitionBy(*by, "dia").orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc(), *rest)
     ranked = rows.withColumn(rank_col, (F.col("__before") + F.row_number().over(w)).cast("int"))
     return ranked.where(F.col(rank_col).between(first, last)).select(*df.columns, rank_col, total_col)
